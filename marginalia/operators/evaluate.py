@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.keyed import with_previous, with_running_sum
+from marginalia.operators.keyed import CHECK, resolve_block, with_previous, with_running_sum
 
 
 def retrieval_metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
@@ -76,16 +76,17 @@ def chunking_quality(chunks: DataFrame) -> DataFrame:
                     (F.col("_tagged") / n).alias("semantic_integrity"), (F.col("_p") / n).alias("pico_completeness"))
 
 
-def chunking_comparison(chunks: DataFrame, size: int = 512) -> DataFrame:
+def chunking_comparison(chunks: DataFrame, size: int = 512, block: int | None = CHECK) -> DataFrame:
     """Semantic chunks against cutting every ``size`` characters, measured per corpus.
 
     A fixed-size piece crosses a section when a tag change falls strictly inside it. Offsets
     are prefix sums, and a change at offset ``o`` lies in piece ``o div size``, so the crossing
     pieces are counted by grouping; no range join.
     """
+    block = resolve_block(chunks, ["doc_name"], block)
     c = chunks.select("doc_name", "chunk_idx", "section_tag", F.length("text").cast("bigint").alias("n"))
-    c = with_running_sum(c, ["doc_name"], "chunk_idx", "n", "offset")
-    c = with_previous(c, ["doc_name"], "chunk_idx", ["section_tag"])
+    c = with_running_sum(c, ["doc_name"], "chunk_idx", "n", "offset", block)
+    c = with_previous(c, ["doc_name"], "chunk_idx", ["section_tag"], block)
     change = F.col("prev_chunk_idx").isNotNull() & ~F.equal_null("section_tag", "prev_section_tag")
     inside = change & (F.col("offset") % size != 0)
     pieces = c.withColumn("piece", F.when(inside, F.floor(F.col("offset") / size)))

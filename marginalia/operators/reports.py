@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.operators.keyed import top_n_per_key
+from marginalia.operators.keyed import block_for, top_n_per_key, with_position
 
 
 def count(name: str = "n") -> Column:
@@ -178,8 +178,8 @@ def session_message_counts(messages: DataFrame) -> DataFrame:
 
 def session_history(messages: DataFrame) -> DataFrame:
     """Messages in order with their place in the session."""
-    from marginalia.operators.keyed import with_position
-    return with_position(messages, ["session_id"], "message_no", "position")
+    block = block_for(messages, ["session_id"])
+    return with_position(messages, ["session_id"], "message_no", "position", block)
 
 
 def latency_report(calls: DataFrame, keys: list[str], value: str = "duration_ms") -> DataFrame:
