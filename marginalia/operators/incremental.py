@@ -73,20 +73,45 @@ def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None =
     Stored chunks of the given documents that no longer occur are dropped; new ones pass the
     gate, must be unknown to the whole remaining table, are labelled and appended. Documents
     not in ``items`` are untouched. Persist by overwriting the touched partitions.
+
+    Old and new rows meet in one aggregate per (document, hash), and new rows meet all stored
+    hashes in one aggregate per hash; both combine before their shuffle, so neither a document
+    nor a hash with a third of the rows lands in one task.
     """
-    candidates = ingest.items_to_chunks(items, analysis)
+    columns = stored.columns
     touched = items.select("doc_name").distinct()
-    status = diff_document(stored.join(touched, "doc_name", "left_semi"), candidates)
-    key = ["doc_name", "content_md5"]
-    stale = status.where((F.col("stale") > 0) & (F.col("kept") == 0)).select(*key)
-    remaining = stored.join(stale, key, "left_anti")
-    fresh = ingest.quality_gate(
-        candidates.join(status.where(F.col("added") == 1).select(*key), key, "left_semi"))
-    fresh = fresh.join(remaining.select("content_md5").distinct(), "content_md5", "left_anti")
-    fresh = ingest.tag_sections(ingest.keep_first_copy(fresh))
-    state = remaining.unionByName(fresh.select(*stored.columns))
-    added = fresh.groupBy("doc_name").agg(F.count(F.lit(1)).alias("added"))
-    counts = (status.groupBy("doc_name").agg(F.sum("kept").alias("kept"), F.sum("stale").alias("stale"))
-              .join(added, "doc_name", "left")
-              .select("doc_name", "kept", "stale", F.coalesce("added", F.lit(0)).cast("bigint").alias("added")))
-    return state, counts
+    far = stored.join(touched, "doc_name", "left_anti")
+    near = stored.join(touched, "doc_name", "left_semi")
+    candidates = ingest.items_to_chunks(items, analysis).withColumn("section_tag", F.lit(None).cast("string"))
+
+    def side(df: DataFrame, old: bool) -> DataFrame:
+        return df.select("doc_name", "content_md5", "chunk_idx", F.lit(old).alias("_old"),
+                         F.struct(*[F.col(c) for c in columns]).alias("_row"))
+
+    old = F.col("_old")
+    g = side(near, True).unionByName(side(candidates, False)).groupBy("doc_name", "content_md5").agg(
+        F.min_by("_row", F.when(old, F.col("chunk_idx"))).alias("_stored"),
+        F.min_by("_row", F.when(~old, F.col("chunk_idx"))).alias("_new"), F.count_if(old).alias("_copies"))
+
+    def rows(df: DataFrame, row: str) -> DataFrame:
+        return df.select(*[F.col(row)[c].alias(c) for c in columns])
+
+    kept = rows(g.where(F.col("_stored").isNotNull() & F.col("_new").isNotNull()), "_stored")
+    fresh = ingest.quality_gate(rows(g.where(F.col("_stored").isNull()), "_new"))
+    known = far.select("content_md5").unionByName(kept.select("content_md5"))
+    offered = fresh.select("content_md5", F.struct(F.lit(1).alias("k"), "doc_name", "chunk_idx").alias("_o"),
+                           F.struct(*columns).alias("_row"))
+    taken = known.select("content_md5", F.struct(F.lit(0).alias("k"), F.lit("").alias("doc_name"),
+                                                 F.lit(0).cast("bigint").alias("chunk_idx")).alias("_o"),
+                         F.lit(None).cast(offered.schema["_row"].dataType).alias("_row"))
+    won = offered.unionByName(taken).groupBy("content_md5").agg(
+        F.min("_o").alias("_o"), F.min_by("_row", "_o").alias("_row")).where(F.col("_o.k") == 1)
+    fresh = ingest.tag_sections(rows(won, "_row"))
+    state = far.unionByName(kept).unionByName(fresh.select(*columns))
+
+    matched = F.col("_stored").isNotNull() & F.col("_new").isNotNull()
+    counts = g.groupBy("doc_name").agg(
+        F.count_if(matched).alias("kept"),
+        (F.sum("_copies") - F.count_if(matched)).alias("stale")).join(
+        fresh.groupBy("doc_name").agg(F.count(F.lit(1)).alias("added")), "doc_name", "left")
+    return state, counts.withColumn("added", F.coalesce("added", F.lit(0)).cast("bigint"))

@@ -90,8 +90,12 @@ def tag_sections(chunks: DataFrame, rule_set: rules.Rules = rules.SECTION_RULES)
 
 
 def build_chunks(items: DataFrame, analysis: str | None = None) -> DataFrame:
-    """Items to knowledge-base chunks: filter, gate, dedup, label. One shuffle (on the hash)."""
-    return tag_sections(keep_first_copy(quality_gate(items_to_chunks(items, analysis))))
+    """Items to knowledge-base chunks: filter, dedup, gate, label. One shuffle (on the hash).
+
+    The gate looks at the text alone, so equal copies pass or fail together and it may run after
+    the dedup, once per distinct text.
+    """
+    return tag_sections(quality_gate(keep_first_copy(items_to_chunks(items, analysis))))
 
 
 def enrich_items(chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:

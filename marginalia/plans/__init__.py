@@ -1,6 +1,6 @@
 """Queries: operators bound to concrete tables, each with its SQL counterpart where SQL can say it."""
 
-from marginalia.plans import chunk_queries, text_queries  # noqa: F401  (imports register queries)
+from marginalia.plans import chunk_queries, retrieval_queries, text_queries  # noqa: F401  (imports register queries)
 from marginalia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,7 @@ from marginalia.operators import ingest
 from marginalia.operators.keyed import block_for
 from marginalia.plans import inputs as I
 from marginalia.plans.registry import query
+from marginalia.session import ensure_checkpoint_dir
 
 # ---- paragraph packing --------------------------------------------------------------------
 # a page for the splitter: every line of a document is a paragraph
@@ -275,6 +276,12 @@ counted AS (SELECT doc_name, content_md5, sum(o)::BIGINT AS o, sum(n)::BIGINT AS
 status AS (SELECT doc_name, content_md5, (o > 0 AND n > 0)::BIGINT AS kept, o - (o > 0 AND n > 0)::BIGINT AS stale, (o = 0 AND n > 0)::BIGINT AS added FROM counted)"""
 
 
+def stored_chunks(spark, sf):
+    """The chunk table as it lies in storage: written once, then read by the update."""
+    ensure_checkpoint_dir(spark)
+    return I.chunks(spark, sf).checkpoint()
+
+
 def _new_items(spark, sf):
     return I.items(spark, sf).withColumn("text", F.expr(CHANGED))
 
@@ -295,7 +302,7 @@ fresh AS (SELECT * EXCLUDE (rn) FROM (SELECT h.*, row_number() OVER (PARTITION B
 SELECT doc_name, chunk_idx, type, content_md5, section_tag FROM remaining UNION ALL
 SELECT doc_name, chunk_idx, type, content_md5, CASE WHEN type = 'text' THEN {I.sql_rules('text', R.SECTION_RULES, 'unknown', 300)} END FROM fresh""")
 def upsert_document(spark, sf):
-    state, _ = N.upsert_documents(I.chunks(spark, sf), _new_items(spark, sf))
+    state, _ = N.upsert_documents(stored_chunks(spark, sf), _new_items(spark, sf))
     return state.select("doc_name", "chunk_idx", "type", "content_md5", "section_tag")
 
 
@@ -303,7 +310,7 @@ def upsert_document(spark, sf):
 SELECT doc_name, sum(kept)::BIGINT AS kept, sum(stale)::BIGINT AS stale, coalesce(any_value(f.added), 0) AS added
 FROM status LEFT JOIN f USING (doc_name) GROUP BY doc_name""")
 def upsert_counts(spark, sf):
-    return N.upsert_documents(I.chunks(spark, sf), _new_items(spark, sf))[1]
+    return N.upsert_documents(stored_chunks(spark, sf), _new_items(spark, sf))[1]
 
 
 @query("document_hash", "WITH " + I.ITEMS + """

@@ -38,16 +38,20 @@ def _rows(columns, rows):
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
+TIMES: dict[str, tuple[float, float]] = {}
 KINDS = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
          "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
 def compare(spark, con, name: str, fn, sql: str, sf: str) -> str | None:
     """None when equal, else what differs."""
+    t0 = time.time()
     df = fn(spark, sf)
     got = df.collect()
+    t1 = time.time()
     rel = con.sql(sql)
     want = rel.fetchall()
+    TIMES[name] = (t1 - t0, time.time() - t1)
     if sorted(df.columns) != sorted(rel.columns):
         return f"columns {sorted(df.columns)} != {sorted(rel.columns)}"
     types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
@@ -81,7 +85,8 @@ def main() -> int:
         except Exception as e:
             err = "".join(traceback.format_exception_only(e))[:1500]
         bad += err is not None
-        print(f"{'ok  ' if err is None else 'FAIL'} {name} {time.time() - t:.1f}s" + (f"\n  {err}" if err else ""), flush=True)
+        a, b = TIMES.get(name, (time.time() - t, 0.0))
+        print(f"{'ok  ' if err is None else 'FAIL'} {name} {a:.1f}s (sql {b:.1f}s)" + (f"\n  {err}" if err else ""), flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
     return bad
 
