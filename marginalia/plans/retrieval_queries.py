@@ -25,13 +25,16 @@ def topk_inner_product(spark, sf):
 
 
 TARGETS = """
-targets AS (SELECT DISTINCT label::BIGINT AS query_id, 'doc' || (vec_id % 10) AS target FROM embeddings WHERE label % 3 <> 0)"""
+routed_to AS (SELECT label::BIGINT AS query_id, CASE WHEN label IN (0, 3, 6, 9) THEN 'ALL' ELSE 'doc' || (vec_id % 10) END AS target FROM embeddings),
+targets AS (SELECT DISTINCT query_id, target FROM routed_to WHERE target <> 'ALL')"""
 
 
 def _targets(spark, sf):
-    e = I.table(spark, sf, "embeddings").where(F.col("label") % 3 != 0)
-    return e.select(F.col("label").cast("bigint").alias("query_id"),
-                    F.concat(F.lit("doc"), (F.col("vec_id") % 10).cast("string")).alias("target")).distinct()
+    """What a router answered per topic: some documents, or ALL for no filter."""
+    target = F.when(F.col("label").isin(0, 3, 6, 9), "ALL").otherwise(
+        F.concat(F.lit("doc"), (F.col("vec_id") % 10).cast("string")))
+    e = I.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("query_id"), target.alias("target"))
+    return e.where(F.col("target") != "ALL").distinct()
 
 
 @query("filter_hits_by_doc", H + "," + TARGETS + """
@@ -101,7 +104,7 @@ SELECT query_id, vec_id, round(final_score, 6) AS final_score,
   row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 5 THEN -final_score ELSE rank END, rank) AS final_rank FROM b""")
 def blend_rerank(spark, sf):
     h = _hits(spark, sf)
-    scores = h.where(F.col("vec_id") % 4 != 0).select("query_id", "rank", (F.col("vec_id") % 11).alias("model_score"))
+    scores = h.select("query_id", "rank", F.when(F.col("vec_id") % 4 != 0, F.col("vec_id") % 11).alias("model_score"))
     return Q.blend_rerank(h, scores).select("query_id", "vec_id", "final_score", "final_rank")
 
 
@@ -170,13 +173,14 @@ def numbered_sources(spark, sf):
     return Q.numbered_sources(_hits(spark, sf))
 
 
-@query("search_result_set", H + """, g AS (SELECT query_id, left(repeat('graph ' || query_id || ' ', 90), 600) AS graph_context FROM queries WHERE query_id % 2 = 0)
+@query("search_result_set", H + """, g AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN left(repeat('graph ' || query_id || ' ', 90), 600) END AS graph_context FROM queries)
 SELECT query_id, count(*) AS source_count, any_value(graph_context) AS graph_context, CASE WHEN any_value(graph_context) IS NULL THEN 'faiss' ELSE 'hybrid' END AS engine,
  string_agg(rank || ':' || source || ':' || left(text, 500) || ':' || doc_name || ':' || page_idx || ':' || section_tag, '|' ORDER BY rank) AS snippets
 FROM hits LEFT JOIN g USING (query_id) GROUP BY query_id""")
 def search_result_set(spark, sf):
     q = I.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("query_id")).distinct()
-    g = q.where(F.col("query_id") % 2 == 0).withColumn("summary", F.repeat(F.concat(F.lit("graph "), F.col("query_id").cast("string"), F.lit(" ")), F.lit(200)))
+    text = F.repeat(F.concat(F.lit("graph "), F.col("query_id").cast("string"), F.lit(" ")), F.lit(200))
+    g = q.withColumn("summary", F.when(F.col("query_id") % 2 == 0, text))
     r = Q.search_result_set(q, _hits(spark, sf), g)
     line = lambda s: F.concat_ws(":", s["ref"].cast("string"), s["source"], s["text"], s["doc"], s["page_idx"].cast("string"), s["section"])
     return r.withColumn("snippets", F.transform("snippets", line))
