@@ -1,6 +1,8 @@
 """Queries: operators bound to concrete tables, each with its SQL counterpart where SQL can say it."""
 
-from marginalia.plans import chunk_queries, evidence_queries, retrieval_queries, text_queries  # noqa: F401  (imports register queries)
+from marginalia.plans import (  # noqa: F401  (imports register queries)
+    chunk_queries, evidence_queries, report_queries, retrieval_queries, stream_queries, text_queries,
+)
 from marginalia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

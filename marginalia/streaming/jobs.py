@@ -141,7 +141,8 @@ def task_lifecycle(events: DataFrame) -> DataFrame:
             limit = STAGE_TIMEOUT_MS.get(current)
             if limit:
                 state.setTimeoutTimestamp(max(since + limit, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["task_uuid", "from_state", "to_state", "at", "reason"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["task_uuid", "from_state", "to_state", "at", "reason"])
 
     return (events.withWatermark("ts", WATERMARK).groupBy("task_uuid")
             .applyInPandasWithState(step, TASK_OUTPUT, TASK_STATE, "append", GroupStateTimeout.EventTimeTimeout))
