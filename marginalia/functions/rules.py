@@ -1,8 +1,8 @@
 """Ordered keyword rules: the first label with any keyword in the (lower-cased) text wins.
 
-A rule set is a list of ``(label, [keywords])`` in priority order and becomes one CASE
-expression with one compiled alternation per label, so a label costs one scan of the text
-however many keywords it has. Rule sets are parameters; the tables below are the defaults.
+A rule set is a list of ``(label, [keywords])`` in priority order. A text is scanned once for
+all keywords of all labels, and the hit with the best priority names the label. Rule sets are
+parameters; the tables below are the defaults.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import contains_any, count_present, occurrences, refine_query, strip
+from marginalia.functions.text import contains_any, count_present, found, occurrences, refine_query, strip
 
 Rules = list[tuple[str, list[str]]]
 
@@ -235,11 +235,17 @@ def classify(text: Column | str, rules: Rules, default: str | None = None,
         raise ValueError(f"a rule set holds at most {MAX_KEYWORDS} keywords; split it by label")
     text = F.col(text) if isinstance(text, str) else text
     low = F.lower(F.left(text, F.lit(prefix)) if prefix else text)
-    out = F  # the module starts the chain: F.when, then Column.when
-    for label, keywords in rules:
-        keys = [k.lower() for k in keywords] if fold_keywords else keywords
-        out = out.when(contains_any(low, keys), F.lit(label))
-    return out.otherwise(F.lit(default).cast("string"))
+    priority: dict[str, int] = {}
+    for place, (_, keywords) in enumerate(rules):
+        for k in keywords:
+            priority.setdefault(k.lower() if fold_keywords else k, place)
+    if not priority:
+        return F.lit(default).cast("string")
+    # one scan: where several keywords start, the one of the first rule is reported
+    table = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])
+    best = F.array_min(F.transform(found(low, list(priority)), lambda k: F.element_at(table, k)))
+    labels = F.array(*[F.lit(label) for label, _ in rules])
+    return F.coalesce(F.get(labels, best), F.lit(default).cast("string"))
 
 
 def lookup(key: Column | str, table: dict, default) -> Column:

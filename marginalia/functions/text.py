@@ -1,11 +1,14 @@
 """String functions over page, chunk and caption text.
 
-Python's ``strip``/``split`` follow Unicode white space, Spark's ``trim`` and
-Java's bare ``\\s`` do not, hence the ``(?U)`` patterns here.
+White space means Unicode white space throughout; Spark's ``trim`` and Java's bare ``\\s`` know
+only ASCII, hence the explicit class. Keyword tests compile to one alternation grouped by first
+character, so a text is scanned once and most positions fail on one comparison.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,20 +65,39 @@ def length(c: Column | str) -> Column:
     return F.length(_col(c)).cast("bigint")
 
 
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+\z", "")
+    """Both ends freed of white space; looks at the ends only, unlike a regex."""
+    return F.btrim(_col(c), F.lit(SPACE_CHARS))
 
 
 def words(c: Column | str) -> Column:
     """Lower-cased white-space tokens."""
-    return F.filter(F.split(F.lower(_col(c)), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(_col(c)), SPACE + "+"), "")
+
+
+def alternation(needles: list[str]) -> str:
+    """Regex for any of the literals, grouped by first character, order kept within a group."""
+    groups: dict[str, list[str]] = {}
+    for n in dict.fromkeys(needles):
+        groups.setdefault(n[0], []).append(re.escape(n[1:]))
+    return "|".join(re.escape(k) + (v[0] if len(v) == 1 else "(?:" + "|".join(v) + ")") for k, v in groups.items())
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:
-    """True where any needle occurs; one compiled alternation instead of a chain of tests."""
-    if not needles:
-        return F.lit(False)
-    return c.rlike("|".join("\\Q" + n + "\\E" for n in needles))
+    """True where any needle occurs."""
+    return c.rlike(alternation(needles)) if needles else F.lit(False)
+
+
+def found(c: Column, needles: list[str]) -> Column:
+    """For every place where needles start, the first of them in list order; one scan."""
+    return F.regexp_extract_all(c, F.lit("(?=(" + alternation(needles) + "))"), F.lit(1))
 
 
 def count_present(c: Column, needles: list[str]) -> Column:
@@ -107,8 +129,8 @@ def clean_ocr(c: Column | str) -> Column:
     return out
 
 
-def top_word_count(c: Column | str) -> Column:
-    """Occurrences of the most frequent word: sort the words, keep the longest run."""
+def _top_count(tokens: Column) -> Column:
+    """Occurrences of the most frequent token: sort, keep the longest run."""
     start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc, w):
@@ -116,23 +138,25 @@ def top_word_count(c: Column | str) -> Column:
         return F.struct(w.alias("prev"), run.alias("run"),
                         F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(words(c)), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.array_sort(tokens), start, step, lambda acc: acc["best"])
 
 
 def is_generation_loop(c: Column | str) -> Column:
     """One word more than 30 times and in over 30 % of the text (needs 30 words to begin with)."""
-    n = F.size(words(c))
-    top = top_word_count(c)
-    # more than 30 of one word implies more than 60 characters: most chunks never reach the fold
-    return F.when(
-        (F.length(_col(c)) > 60) & (n >= 30), (top > 30) & (top / n > 0.3)
-    ).otherwise(False)
+    def looped(w):
+        n = F.size(w)
+        # a word seen k times leaves at most n - k + 1 distinct ones: ordinary text stops here
+        return (n - F.size(F.array_distinct(w)) >= 30) & (_top_count(w) > 30) & (_top_count(w) / n > 0.3)
+
+    # the tokens are bound once; 31 words need more than 60 characters
+    verdict = F.get(F.transform(F.array(words(c)), looped), F.lit(0))
+    return F.when(F.length(_col(c)) > 60, verdict).otherwise(False)
 
 
 def noise_ratio(c: Column | str) -> Column:
     """Share of ASCII characters that are neither alphanumeric nor plain punctuation."""
     c = _col(c)
-    noise = F.regexp_replace(c, r"[A-Za-z0-9 .,;:!?()\-\[\]{}%/=<>]|[^\x00-\x7F]", "")
+    noise = F.regexp_replace(c, r"[A-Za-z0-9 .,;:!?()\-\[\]{}%/=<>\x{80}-\x{10FFFF}]+", "")
     return F.when(F.length(c) > 0, F.length(noise) / F.length(c)).otherwise(F.lit(0.0))
 
 
@@ -200,15 +224,27 @@ def doc_meta(page0: Column | str, doc: Column | str) -> Column:
 
 
 def extract_entities(c: Column | str, vocabulary: list[str] | None = None, keep: int = 10) -> Column:
-    """Vocabulary terms found in the text, in vocabulary order."""
-    terms = F.array(*[F.lit(t) for t in (vocabulary or ENTITY_VOCABULARY)])
-    low = F.lower(_col(c))
-    return F.slice(F.filter(terms, lambda t: F.contains(low, F.lower(t))), 1, keep)
+    """Vocabulary terms found in the text, in vocabulary order.
+
+    The text is scanned once for the longest term at each place; a term is present where a hit
+    starts with it, so only the few hits are compared with the vocabulary.
+    """
+    terms = vocabulary or ENTITY_VOCABULARY
+    low = sorted((t.lower() for t in terms), key=len, reverse=True)
+    hits = F.array_distinct(found(F.lower(_col(c)), low))
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(t.lower()).alias("l")) for t in terms])
+    none = F.array().cast("array<string>")
+
+    def pick(h):
+        kept = F.filter(table, lambda e: F.exists(h, lambda x: F.startswith(x, e["l"])))
+        return F.when(F.size(h) == 0, none).otherwise(F.slice(F.transform(kept, lambda e: e["t"]), 1, keep))
+
+    return F.get(F.transform(F.array(hits), pick), F.lit(0))
 
 
 def one_liner(c: Column | str) -> Column:
     c = _col(c)
-    first = strip(F.translate(F.left(F.get(F.split(c, r"(?U)[.!?]\s+"), F.lit(0)), F.lit(150)),
+    first = strip(F.translate(F.left(F.get(F.split(c, r"[.!?]" + SPACE + "+"), F.lit(0)), F.lit(150)),
                               "\n", " "))
     return F.when(first != "", first).otherwise(
         strip(F.translate(F.left(c, F.lit(120)), "\n", " ")))
@@ -264,7 +300,7 @@ def wiki_links(c: Column | str) -> Column:
 
 def refine_query(c: Column | str) -> Column:
     """A question cut to its first five words, question marks dropped."""
-    tokens = F.filter(F.split(F.translate(_col(c), "？?", ""), r"(?U)\s+"), lambda w: w != "")
+    tokens = F.array_remove(F.split(F.translate(_col(c), "？?", ""), SPACE + "+"), "")
     return F.array_join(F.slice(tokens, 1, 5), " ")
 
 

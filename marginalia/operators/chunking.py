@@ -50,14 +50,14 @@ def split_paragraphs(page: Column | str, floor: int = 250, ceiling: int = 1200)
     by sentence, short ones join the chunk before.
     """
     page = F.col(page) if isinstance(page, str) else page
-    paras = F.filter(F.transform(F.split(page, r"(?U)\n\s*\n"), T.strip), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(page, rf"\n{T.SPACE}*\n"), T.strip), lambda p: p != "")
     opens = lambda p: p.rlike("(?i)" + SECTION_HEADER) | p.rlike(TABLE_LINE)
     chunks = _pack(paras, opens, "\n\n", floor, ceiling)
     never = lambda p: F.lit(False)
 
     def regroup(done, c):
         n = F.length(c)
-        sentences = F.split(c, r"(?U)(?<=[.!?])\s+")
+        sentences = F.split(c, rf"(?<=[.!?]){T.SPACE}+")
         short = (n < floor) & (F.size(done) > 0)
         glued = F.concat(F.slice(done, 1, F.size(done) - 1),
                          F.array(F.concat(F.element_at(done, -1), F.lit("\n\n"), c)))

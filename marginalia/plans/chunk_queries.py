@@ -18,7 +18,7 @@ from marginalia.session import ensure_checkpoint_dir
 
 
 def _doc_pages(spark, sf):
-    b = I.table(spark, sf, "documents")
+    b = I.text_table(spark, sf, "documents")
     text = F.concat(F.expr(I.DOC_SENTENCE), F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return b.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit(0).alias("page_idx"), text.alias("text"))
 
@@ -62,7 +62,7 @@ def split_paragraphs(spark, sf):
 SELECT doc_id, seq, substring(text, seq * 512 + 1, 512) AS piece
 FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 512.0)::BIGINT)) AS seq FROM documents WHERE text <> '')""")
 def fixed_size_chunks(spark, sf):
-    return C.fixed_size_chunks(I.table(spark, sf, "documents")).select("doc_id", "seq", "piece")
+    return C.fixed_size_chunks(I.text_table(spark, sf, "documents")).select("doc_id", "seq", "piece")
 
 
 @query("merge_text_by_page", "WITH " + I.PAGES + " SELECT doc_name, page_idx, text FROM page_texts")
@@ -210,7 +210,7 @@ def to_enhanced_items(spark, sf):
     dims = ["population", "intervention", "comparison", "outcome"]
     pico = s.select(name, F.array(*[F.struct(F.lit(d).alias("dim"), F.col("pico")[d].alias("value")) for d in dims],
                                   F.struct(F.lit("evidence_type").alias("dim"), F.col("evidence_type").alias("value"))).alias("parts"))
-    sections = I.table(spark, sf, "documents").select(name, F.lit(0).cast("bigint").alias("seq"), F.lit("results").alias("section_tag"),
+    sections = I.text_table(spark, sf, "documents").select(name, F.lit(0).cast("bigint").alias("seq"), F.lit("results").alias("section_tag"),
                                                       (F.col("doc_id") % 7).alias("page_idx"), F.col("text").alias("content"))
     return C.to_enhanced_items(sections, pico)
 
@@ -324,7 +324,7 @@ WITH h AS (SELECT 'doc' || doc_id AS doc_name, md5(text) AS doc_md5, lang FROM d
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_md5 ORDER BY doc_name) AS rn FROM h WHERE doc_md5 NOT IN (SELECT doc_md5 FROM h WHERE lang = 'fr'))
 SELECT doc_name, doc_md5 FROM f WHERE rn = 1""")
 def skip_known_documents(spark, sf):
-    h = I.table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"),
+    h = I.text_table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"),
                                               F.md5("text").alias("doc_md5"), "lang")
     return N.skip_known_documents(h.select("doc_name", "doc_md5"), h.where(F.col("lang") == "fr"))
 
@@ -343,7 +343,7 @@ def assign_vector_ids(spark, sf):
 
 @query("remove_document", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 def remove_document(spark, sf):
-    gone = I.table(spark, sf, "documents").where(F.col("lang") == "de").select(F.col("doc_id").alias("vec_id"))
+    gone = I.text_table(spark, sf, "documents").where(F.col("lang") == "de").select(F.col("doc_id").alias("vec_id"))
     return N.remove_documents(I.vectors(spark, sf).select("vec_id"), gone, "vec_id")
 
 
@@ -353,7 +353,7 @@ SELECT doc_name FROM n WHERE NOT (starts_with(doc_name, 'mineru_') AND substring
 def drop_cross_engine_duplicates(spark, sf):
     i = F.col("doc_id")
     n = F.when(i % 3 == 0, F.concat(F.lit("mineru_doc"), F.floor(i / 3).cast("string"))).otherwise(F.concat(F.lit("doc"), i.cast("string")))
-    return ingest.drop_cross_engine_duplicates(I.table(spark, sf, "documents").select(n.alias("doc_name")))
+    return ingest.drop_cross_engine_duplicates(I.text_table(spark, sf, "documents").select(n.alias("doc_name")))
 
 
 @query("enrich_items", "WITH " + I.CHUNKS + f"""

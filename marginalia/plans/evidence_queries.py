@@ -166,7 +166,7 @@ _DL = f"({I.sql_count('lower(' + DOC_TEXT + ')', R.SUPPORT_WORDS)} - {I.sql_coun
 @query("consistency_verdict", f"""WITH f AS (SELECT n_chars AS topic, CASE WHEN {_DL} > 1 THEN 'supportive' WHEN {_DL} < -1 THEN 'against' ELSE 'neutral' END AS direction FROM documents),
 g AS (SELECT topic, {COUNTS} FROM f GROUP BY topic), v AS (SELECT *, {VERDICT} FROM g) SELECT *, {READING} FROM v""")
 def consistency_verdict(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     text = F.concat(F.expr(I.DOC_SENTENCE), F.expr(I.DOC_SENTENCE_2), F.col("text"))
     return E.consistency_verdict(d.select(F.col("n_chars").alias("topic"), R.direction(text).alias("direction")), "topic")
 
@@ -299,7 +299,7 @@ SELECT 'node_type' AS kind, grp AS name, count(*) AS n FROM nodes GROUP BY grp U
 UNION ALL SELECT 'total', 'nodes', count(*) FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM edges
 UNION ALL SELECT 'total', 'entity_types', count(DISTINCT grp) FROM nodes UNION ALL SELECT 'total', 'docs', count(DISTINCT source) FROM documents""")
 def graph_stats(spark, sf):
-    docs = I.table(spark, sf, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("doc_key"))
+    docs = I.text_table(spark, sf, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("doc_key"))
     return K.graph_stats(I.nodes(spark, sf), I.edges(spark, sf), docs)
 
 

@@ -98,8 +98,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores when it has fewer file splits than those.
+
+    Text work is far heavier than moving a table this small; a table of many splits, the normal
+    case at scale, is left as it is and not shuffled.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", "lang", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"),
                     F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
         "line_no", F.col("line_no").cast("bigint"))
@@ -182,7 +193,7 @@ page_texts AS (
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as retrievable passages; ``vec_id = doc_id`` links them to vectors."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     text = F.concat(F.expr(DOC_SENTENCE), F.col("text"))
     kind = F.expr(CHUNK_KIND)
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
@@ -251,7 +262,7 @@ hits AS (SELECT * FROM ranked JOIN passages USING (vec_id) WHERE rank <= {k})"""
 
 def studies(spark: SparkSession, sf: str) -> DataFrame:
     """Gradable studies: design, findings, PICO parts and effect sizes per document."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     v = F.expr(EFFECT_VALUE)
 
     def effect(value, lo, hi):
@@ -420,7 +431,7 @@ NOTE_LINK = r'<a href="/([^"]*)">'
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     """Web pages as notes: each local link becomes a wiki link, the first title word the title."""
-    p = table(spark, sf, "pages")
+    p = text_table(spark, sf, "pages")
     return p.select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^ <]*)", 1).alias("title"),
                     F.regexp_replace("html", NOTE_LINK, "[[$1]] ").alias("content"))
 

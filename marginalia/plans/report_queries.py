@@ -45,7 +45,7 @@ SELECT asked, CASE WHEN count(d.doc_name) > 0 THEN count(d.doc_name) END AS docu
   array_to_string(list_sort(list_distinct(flatten(list(types)))), '|') AS types, sum(pages)::BIGINT AS pages, count(d.doc_name) > 0 AS found
 FROM names LEFT JOIN d ON contains(lower(d.doc_name), lower(asked)) GROUP BY asked""")
 def document_coverage(spark, sf):
-    names = I.table(spark, sf, "documents").select(
+    names = I.text_table(spark, sf, "documents").select(
         F.concat(F.lit("DOC"), F.floor(F.col("doc_id") / 10).cast("string")).alias("asked"))
     return P.document_coverage(I.chunks(spark, sf), names)
 
@@ -107,7 +107,7 @@ UNION ALL SELECT 'overall', 'weighted', round(sum(score * weight) / sum(weight)
 UNION ALL SELECT 'category', category, round(avg(score), 6), count(score) FROM r GROUP BY category
 UNION ALL SELECT 'dimension', dimension, round(avg(coalesce(score, 0)), 6), count(*) FROM r GROUP BY dimension""")
 def competency_report(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     score = F.when(F.col("doc_id") % 9 != 0, F.length(F.expr(SCORED)) % 100 / 10.0)
     return V.competency_report(d.select(F.col("lang").alias("category"), F.col("source").alias("dimension"),
                                         (F.lit(0.5) + F.col("n_chars") % 3).alias("weight"), score.alias("score")))
@@ -326,6 +326,6 @@ SELECT o_orderkey AS article_id, o_orderpriority AS title, 'approved' AS status
 UNION ALL SELECT n + row_number() OVER (ORDER BY doc_id), coalesce(source, ''), 'pending' FROM documents, m""")
 def append_rows(spark, sf):
     base = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_orderpriority").alias("title"), F.lit("approved").alias("status"))
-    fresh = I.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
+    fresh = I.text_table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
     return M.append_rows(base, fresh, "article_id", ["doc_id"], {"title": F.lit(""), "status": F.lit("pending")})
 

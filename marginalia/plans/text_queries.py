@@ -79,7 +79,7 @@ def is_generation_loop(spark, sf):
 
 @query("noise_ratio", f"SELECT doc_id, round({I.sql_noise('text')}, 6) AS noise FROM documents WHERE length(text) > 0")
 def noise_ratio(spark, sf):
-    d = I.table(spark, sf, "documents").where(F.length("text") > 0)
+    d = I.text_table(spark, sf, "documents").where(F.length("text") > 0)
     return d.select("doc_id", T.noise_ratio("text").alias("noise"))
 
 
@@ -90,7 +90,7 @@ def quality_gate(spark, sf):
 
 @query("content_md5", "SELECT doc_id, md5(text) AS content_md5 FROM documents")
 def content_md5(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", T.content_md5("text").alias("content_md5"))
+    return I.text_table(spark, sf, "documents").select("doc_id", T.content_md5("text").alias("content_md5"))
 
 
 @query("item_to_chunk", "WITH " + I.CHUNKS + " SELECT doc_name, chunk_idx, type, text, source, content_md5 FROM hashed")
@@ -163,7 +163,7 @@ SELECT doc_id,
   coalesce(left(list_filter(ls, lambda x: length(x) - length(replace(x, ',', '')) >= 4 AND regexp_matches(left(x, 5), '\\p{{Lu}}'))[1], 200), '') AS authors
 FROM l""")
 def extract_doc_meta(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     page = F.concat(F.replace(F.expr(META_HEAD), F.lit("~"), F.lit("\n")), F.col("text"))
     return d.select("doc_id", T.doc_meta(page, F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("m")).select("doc_id", "m.*")
 
@@ -181,7 +181,7 @@ def extract_entities(spark, sf):
 WITH s AS (SELECT doc_id, text, {I.sql_strip("replace(left(string_split_regex(text, '[.!?]\\s+')[1], 150), chr(10), ' ')")} AS f FROM documents)
 SELECT doc_id, CASE WHEN f <> '' THEN f ELSE {I.sql_strip("replace(left(text, 120), chr(10), ' ')")} END AS one_liner FROM s""")
 def one_liner(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", T.one_liner("text").alias("one_liner"))
+    return I.text_table(spark, sf, "documents").select("doc_id", T.one_liner("text").alias("one_liner"))
 
 
 FENCED = ("(CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 1 THEN 'Sure: ```json' || j || '``` done' "
@@ -195,13 +195,13 @@ SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN json_extract_string(j, '$.n')::BIGI
   CASE WHEN doc_id % 4 < 3 THEN json_extract_string(j, '$.lang') END AS lang,
   CASE WHEN doc_id % 4 = 3 THEN resp END AS raw_response, CASE WHEN doc_id % 4 = 3 THEN 'JSON parse failed' END AS error FROM r""")
 def parse_fenced_json(spark, sf):
-    d = I.table(spark, sf, "documents").withColumn("j", F.to_json(F.struct(F.col("n_chars").alias("n"), "lang")))
+    d = I.text_table(spark, sf, "documents").withColumn("j", F.to_json(F.struct(F.col("n_chars").alias("n"), "lang")))
     p = d.select("doc_id", T.parse_fenced_json(F.expr(FENCED), "n bigint, lang string").alias("p"))
     return p.select("doc_id", "p.value.n", "p.value.lang", "p.raw_response", "p.error")
 
 
 def _analysis(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     n = F.col("n_chars").cast("string")
     outcome = lambda i: F.struct(
         F.concat(F.lit(f"outcome{i} "), F.col("lang")).alias("outcome_name"), F.lit("HR").alias("effect_measure"), n.alias("effect_value"),
@@ -301,7 +301,7 @@ def first_pages_text(spark, sf):
 
 @query("doc_id_from_text", "SELECT doc_id, left(md5(left(text, 1000)), 12) AS short_id FROM documents")
 def doc_id_from_text(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", T.doc_id_from_text("text").alias("short_id"))
+    return I.text_table(spark, sf, "documents").select("doc_id", T.doc_id_from_text("text").alias("short_id"))
 
 
 CELLS = [(0, 0), (0, 1), (1, 1), (1, 1), (5, 0)]
@@ -311,7 +311,7 @@ CELLS = [(0, 0), (0, 1), (1, 1), (1, 1), (5, 0)]
 SELECT doc_id, '<table>' || chr(10) || '<tr><td>' || lang || '</td><td>' || source || '</td></tr>' || chr(10) ||
  CASE WHEN doc_id % 2 = 0 THEN '<tr><td></td><td>' || n_chars || '</td></tr>' || chr(10) ELSE '' END || '</table>' AS html FROM documents""")
 def table_cells_to_html(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     values = [F.col("lang"), F.col("source"), F.lit("old"), F.col("n_chars").cast("string"), F.lit("outside")]
     cells = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), v.alias("text")) for (r, c), v in zip(CELLS, values)])
     rows = F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)
@@ -360,7 +360,7 @@ WITH t AS (SELECT doc_id, {I.sql_rules('(' + I.DOC_SENTENCE + ' || text)', R.EVI
 SELECT doc_id, type, CASE type WHEN 'meta_analysis' THEN 1 WHEN 'rct' THEN 2 WHEN 'cohort_study' THEN 3 WHEN 'case_control' THEN 4
  WHEN 'case_report' THEN 5 WHEN 'expert_consensus' THEN 6 ELSE 7 END::BIGINT AS level FROM t""")
 def detect_evidence_type(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     return d.select("doc_id", R.detect_evidence_type(F.concat(F.expr(I.DOC_SENTENCE), F.col("text"))).alias("e")).select("doc_id", "e.type", "e.level")
 
 
@@ -380,7 +380,7 @@ SELECT doc_id, level, CASE level WHEN 1 THEN 'META_ANALYSIS' WHEN 2 THEN 'RCT' W
  WHEN 4 THEN '[病例对照研究] 中低等证据' WHEN 5 THEN '[病例报告/病例系列] 低等级证据' WHEN 6 THEN '[专家共识/指南] 权威共识' ELSE '[证据等级待定]' END AS prefix
 FROM l""")
 def parse_evidence_level(spark, sf):
-    d = I.table(spark, sf, "documents").select("doc_id", R.parse_evidence_level(F.expr(I.STUDY_TYPE)).alias("level"))
+    d = I.text_table(spark, sf, "documents").select("doc_id", R.parse_evidence_level(F.expr(I.STUDY_TYPE)).alias("level"))
     return d.select("*", R.level_name("level").alias("name"), R.level_label("level").alias("label"), R.level_prefix("level").alias("prefix"))
 
 
@@ -430,7 +430,7 @@ z AS (SELECT doc_id, CASE WHEN bad THEN 0 ELSE relevance END::BIGINT AS relevanc
   CASE WHEN bad THEN 0 ELSE safety END::BIGINT AS safety FROM s)
 SELECT *, round((relevance + completeness + sourcing + specificity + safety) / 5.0::DOUBLE, 6) AS total FROM z""")
 def score_answer(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.text_table(spark, sf, "documents")
     expected = F.array(F.left("lang", F.lit(1)), F.lit("hr"), F.lit("nowhere"), F.col("source"))
     return d.select("doc_id", R.score_answer(F.expr(SCORED), expected).alias("s")).select("doc_id", "s.*")
 
