@@ -27,16 +27,16 @@ AGREE, DISAGREE = "一致", "方向不一致: %s vs %s"
 MATRIX_HITS = 8
 
 
-def assess_documents(docs: DataFrame, strict: bool = False) -> DataFrame:
+def assess_documents(docs: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Grade every document.
 
     ``docs(doc_id, title, evidence_type, findings array<string>, pico map<string,string>,
-    effects array<struct>)``. Pure projection: no shuffle.
+    effects array<struct>)``; ``keep`` names further columns to carry. Pure projection: no shuffle.
     """
     text = F.array_join("findings", " ")
     d = docs.withColumn("_text", text)
     cols = G.assess(F.col("_text"), F.col("evidence_type"), F.col("pico"), F.col("effects"), strict)
-    d = d.select("doc_id", "title", *[c.alias(n) for n, c in cols.items()])
+    d = d.select("doc_id", "title", *keep, *[c.alias(n) for n, c in cols.items()])
     return with_final_level(d)
 
 

@@ -67,12 +67,14 @@ def remove_documents(table: DataFrame, gone: DataFrame, key: str = "doc_name") -
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None = None) -> tuple[DataFrame, DataFrame]:
+def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None = None,
+                     known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New state of the chunk table after (re-)ingesting documents, and counts per document.
 
     Stored chunks of the given documents that no longer occur are dropped; new ones pass the
     gate, must be unknown to the whole remaining table, are labelled and appended. Documents
-    not in ``items`` are untouched. Persist by overwriting the touched partitions.
+    not in ``items`` are untouched. Persist by overwriting the touched partitions; when ``stored``
+    is only the touched part, ``known(content_md5)`` brings the hashes of the rest.
 
     Old and new rows meet in one aggregate per (document, hash), and new rows meet all stored
     hashes in one aggregate per hash; both combine before their shuffle, so neither a document
@@ -98,10 +100,12 @@ def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None =
 
     kept = rows(g.where(F.col("_stored").isNotNull() & F.col("_new").isNotNull()), "_stored")
     fresh = ingest.quality_gate(rows(g.where(F.col("_stored").isNull()), "_new"))
-    known = far.select("content_md5").unionByName(kept.select("content_md5"))
+    hashes = far.select("content_md5").unionByName(kept.select("content_md5"))
+    if known is not None:
+        hashes = hashes.unionByName(known.select("content_md5"))
     offered = fresh.select("content_md5", F.struct(F.lit(1).alias("k"), "doc_name", "chunk_idx").alias("_o"),
                            F.struct(*columns).alias("_row"))
-    taken = known.select("content_md5", F.struct(F.lit(0).alias("k"), F.lit("").alias("doc_name"),
+    taken = hashes.select("content_md5", F.struct(F.lit(0).alias("k"), F.lit("").alias("doc_name"),
                                                  F.lit(0).cast("bigint").alias("chunk_idx")).alias("_o"),
                          F.lit(None).cast(offered.schema["_row"].dataType).alias("_row"))
     won = offered.unionByName(taken).groupBy("content_md5").agg(

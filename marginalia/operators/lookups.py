@@ -74,16 +74,15 @@ def route_queries(answers: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def article_detail(articles: DataFrame, segments: DataFrame, figures: DataFrame) -> DataFrame:
-    """Articles with their ordered segments and figures; one article's children are one cell."""
-    def ordered(df: DataFrame, name: str, text: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("sequence", text)))
-        return df.groupBy("article_id").agg(F.transform(rows, lambda r: r[text]).alias(name))
-
-    empty = F.array().cast("array<string>")
-    return (articles.join(ordered(segments, "segments", "content"), "article_id", "left")
-            .join(ordered(figures, "figures", "caption"), "article_id", "left")
-            .withColumn("segments", F.coalesce("segments", empty))
-            .withColumn("figures", F.coalesce("figures", empty)))
+    """Articles with their segments and figures as rows ``(…, kind, sequence, content)``.
+
+    Children stay rows in (kind, sequence) order instead of being gathered per article, so an
+    article with a third of all segments is just more rows; an article without children has one
+    row with a null kind.
+    """
+    children = segments.select("article_id", F.lit("segment").alias("kind"), "sequence", "content").unionByName(
+        figures.select("article_id", F.lit("figure").alias("kind"), "sequence", F.col("caption").alias("content")))
+    return articles.join(children, "article_id", "left")
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:

@@ -100,9 +100,7 @@ def apply_corrections(spark, sf):
  count(*) FILTER (final_level = 2) AS low, count(*) FILTER (final_level = 1) AS very_low FROM graded GROUP BY topic)
 SELECT *, CASE WHEN high + moderate >= total_assessed * 0.5 THEN '{E.OVERALL_GOOD}' WHEN low > 0 THEN '{E.OVERALL_LIMITED}' ELSE '{E.OVERALL_LOW}' END AS overall FROM p""")
 def grade_profile(spark, sf):
-    s = I.studies(spark, sf)
-    a = E.assess_documents(s).join(s.select("doc_id", "topic"), "doc_id")
-    return E.grade_profile(a, ["topic"])
+    return E.grade_profile(E.assess_documents(I.studies(spark, sf), keep=("topic",)), ["topic"])
 
 
 def _estimate_sql(top: int, keep: int) -> str:

@@ -130,10 +130,11 @@ def task_filter(spark, sf):
 
 
 @query("article_detail", A + "," + S + "," + X + """
-SELECT a.article_id, (SELECT coalesce(string_agg(content, '|' ORDER BY sequence, content), '') FROM segments s WHERE s.article_id = a.article_id) AS segments,
- (SELECT coalesce(string_agg(caption, '|' ORDER BY sequence, caption), '') FROM figures f WHERE f.article_id = a.article_id) AS figures FROM articles a""")
+SELECT a.article_id, title, status, kind, sequence, content FROM articles a LEFT JOIN (
+  SELECT article_id, 'segment' AS kind, sequence, content FROM segments UNION ALL SELECT article_id, 'figure', sequence, caption FROM figures) c USING (article_id)""")
 def article_detail(spark, sf):
-    return L.article_detail(I.articles(spark, sf), I.segments(spark, sf), I.figures(spark, sf)).select("article_id", "segments", "figures")
+    return L.article_detail(I.articles(spark, sf), I.segments(spark, sf), I.figures(spark, sf)).select(
+        "article_id", "title", "status", "kind", "sequence", "content")
 
 
 @query("orphans", "SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")

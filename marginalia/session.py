@@ -12,6 +12,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sessions of one user merge inside each task before the shuffle
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

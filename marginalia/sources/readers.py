@@ -166,4 +166,4 @@ def read_table(spark: SparkSession, name: str, folder: str | None = None, jdbc:
 
 def load_kb(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk table written by ``save_kb``."""
-    return spark.read.schema(S.CHUNKS + ", bucket int").parquet(folder)
+    return spark.read.schema(S.CHUNKS + ", bucket int").parquet(folder).where(F.col("doc_name").isNotNull())

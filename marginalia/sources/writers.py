@@ -50,16 +50,21 @@ def bucket_of(doc: str = "doc_name", buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")
 
 
-def save_kb(chunks: DataFrame, folder: str, buckets: int = BUCKETS, touched_only: bool = False) -> None:
+def save_kb(chunks: DataFrame, folder: str, buckets: int = BUCKETS, touched: DataFrame | None = None) -> None:
     """Write the chunk table partitioned by document bucket.
 
     A document larger than one block is spread over several files of its bucket. With
-    ``touched_only`` just the buckets present in ``chunks`` are replaced (pass whole buckets).
+    ``touched(bucket)`` just those buckets are replaced (``chunks`` then holds all their rows);
+    each gets an empty marker row, so that a bucket whose last chunk went is replaced too.
     """
     names = [f.split()[0] for f in S.CHUNKS.split(", ")]
     out = chunks.select(*names).withColumn("bucket", bucket_of(buckets=buckets)).withColumn(
         "_part", F.floor(F.col("chunk_idx") / BLOCK)).repartition("bucket", "_part").drop("_part")
-    mode = "dynamic" if touched_only else "static"
+    if touched is not None:
+        markers = touched.select("bucket").distinct().select(
+            *[F.lit(None).cast(t).alias(n) for n, t in out.dtypes if n != "bucket"], "bucket")
+        out = out.unionByName(markers)
+    mode = "static" if touched is None else "dynamic"
     out.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(folder)
 
 

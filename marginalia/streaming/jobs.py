@@ -15,9 +15,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.operators import incremental
+from marginalia.operators.ingest import items_to_chunks, keep_first_copy
 from marginalia.session import ensure_checkpoint_dir
 from marginalia.sources import schemas as S
-from marginalia.sources.readers import parse_content_lists, read_whole_files, split_corrupt
+from marginalia.sources.readers import load_kb, parse_content_lists, read_whole_files, split_corrupt
 from marginalia.sources.writers import bucket_of, save_kb, write_dead_letters
 
 WATERMARK = "10 minutes"
@@ -28,8 +29,8 @@ STAGE_TIMEOUT_MS = {"parsing": 600_000, "chunking": 300_000, "indexing": 300_000
 def ingest_batch(folder: str, buckets: int = 256, dead_letters: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` body that upserts newly arrived content lists into the chunk table.
 
-    Only the buckets of arriving documents are read and replaced, plus the hash column of the
-    rest for global dedup. Replaying a batch leaves the same table.
+    Only the buckets of arriving documents are rewritten; of the others the hash column is
+    scanned for arriving hashes. Replaying a batch leaves the same table.
     """
     def apply(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
@@ -37,23 +38,22 @@ def ingest_batch(folder: str, buckets: int = 256, dead_letters: str | None = Non
         if dead_letters:
             write_dead_letters(bad, dead_letters)
         items = parse_content_lists(good)
-        touched = items.select(bucket_of(buckets=buckets).alias("bucket")).distinct()
+        # at most one row per bucket
+        touched = F.broadcast(items.select(bucket_of(buckets=buckets).alias("bucket")).distinct())
         try:
-            stored = spark.read.schema(S.CHUNKS + ", bucket int").parquet(folder)
+            stored = load_kb(spark, folder)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = spark.createDataFrame([], S.CHUNKS + ", bucket int")
-        near = stored.join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
-        far = stored.join(F.broadcast(touched), "bucket", "left_anti").select("content_md5")
-        state, _ = incremental.upsert_documents(near, items)
-        kept = state.join(near.select("doc_name", "chunk_idx", "content_md5").withColumn("_old", F.lit(True)),
-                          ["doc_name", "chunk_idx", "content_md5"], "left")
-        known = far.distinct().withColumn("_elsewhere", F.lit(True))
-        fresh = kept.join(known, "content_md5", "left").where(F.col("_old") | F.col("_elsewhere").isNull())
+        near = stored.join(touched, "bucket", "left_semi").drop("bucket")
+        arriving = items_to_chunks(items).select("content_md5").distinct()
+        elsewhere = stored.join(touched, "bucket", "left_anti").select("content_md5").join(
+            arriving, "content_md5", "left_semi").distinct()
+        state, _ = incremental.upsert_documents(near, items, known=elsewhere)
         # the files being replaced are an input: cut the lineage in the shared folder first
         ensure_checkpoint_dir(spark)
-        save_kb(fresh.drop("_old", "_elsewhere").checkpoint(), folder, buckets, touched_only=True)
+        save_kb(state.checkpoint(), folder, buckets, touched)
 
     return apply
 
@@ -69,8 +69,6 @@ def stream_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str
 
 def dedup_stream(chunks: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append only chunks whose hash was never stored: an anti join per batch, no growing state."""
-    from marginalia.operators.ingest import keep_first_copy
-
     def apply(batch: DataFrame, batch_id: int) -> None:
         first = keep_first_copy(batch)
         try:
