@@ -66,6 +66,14 @@ def document_coverage(chunks: DataFrame, names: DataFrame) -> DataFrame:
         "found", F.col("documents").isNotNull())
 
 
+def document_exists(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """Whether a file of exactly this name is indexed, and its chunks; ``names(file_name)``."""
+    n = names.select("file_name", F.replace("file_name", F.lit(".pdf"), F.lit("")).alias("doc_name")).distinct()
+    per = chunks.groupBy("doc_name").agg(count("_n"))
+    return n.join(per, "doc_name", "left").select(
+        "file_name", "doc_name", F.col("_n").isNotNull().alias("exists"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("chunk_count"))
+
+
 def article_filter(articles: DataFrame, status: str | None = None, search: str | None = None,
                    article_type: str | None = None, department: str | None = None, limit: int = 50) -> DataFrame:
     """Newest articles matching the given filters."""

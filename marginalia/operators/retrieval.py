@@ -17,6 +17,7 @@ from marginalia.operators.keyed import first_per_key, top_n_per_key
 from marginalia.operators.lookups import filter_hits_by_doc
 
 MAX_QUERY_ROWS = 4_096  # query vectors shipped to every task: 32 MB at 1024 dimensions
+MAX_HIT_ROWS = 1_000_000  # hits that may be broadcast to the chunk table: about 32 MB
 SCORE_DIGITS = 12  # scores closer than this are a tie, broken by vec_id
 
 
@@ -78,6 +79,8 @@ def topk_inner_product(queries: DataFrame, vectors: DataFrame, k: int = 5, min_s
     scores its batches as matrix products, keeps a running best ``k`` per query, and only those
     rows are ranked. The query matrix is shipped to the tasks after a check that it has at most
     ``max_rows`` rows; a larger batch is cut into hash slices below that bound, one pass each.
+    With the number of queries known, the hits are at most queries times ``k``; below a million
+    they are marked for broadcast, so that looking up their chunks does not shuffle the corpus.
     Runs a job to read the queries.
     """
     id_type = queries.schema["query_id"].dataType
@@ -90,6 +93,7 @@ def topk_inner_product(queries: DataFrame, vectors: DataFrame, k: int = 5, min_s
         return _scan(vectors, ids, flat.astype(np.float64).reshape(len(ids), width), k, id_type)
 
     table = asked.limit(max_rows + 1).toArrow()
+    bounded = table.num_rows <= max_rows and table.num_rows * k <= MAX_HIT_ROWS
     if table.num_rows <= max_rows:
         hits = scan(table)
     else:
@@ -103,7 +107,8 @@ def topk_inner_product(queries: DataFrame, vectors: DataFrame, k: int = 5, min_s
             if table.num_rows:
                 hits = scan(table) if hits is None else hits.unionByName(scan(table))
     top = top_n_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], k)
-    return top if min_score is None else top.where(F.col("score") > min_score)
+    top = top if min_score is None else top.where(F.col("score") > min_score)
+    return F.broadcast(top) if bounded else top
 
 
 def doc_aware_retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, targets: DataFrame,

@@ -191,20 +191,28 @@ page_texts AS (
   FROM items WHERE type = 'text' GROUP BY doc_name, page_idx)"""
 
 
-def passages(spark: SparkSession, sf: str) -> DataFrame:
+def passage_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as retrievable passages; ``vec_id = doc_id`` links them to vectors."""
     d = text_table(spark, sf, "documents")
     text = F.concat(F.expr(DOC_SENTENCE), F.col("text"))
     kind = F.expr(CHUNK_KIND)
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     page = F.col("doc_id") % 7
-    p = d.select(F.col("doc_id").alias("vec_id"), name.alias("doc_name"), page.alias("page_idx"), kind.alias("type"),
+    return d.select(F.col("doc_id").alias("vec_id"), name.alias("doc_name"), page.alias("page_idx"), kind.alias("type"),
                  T.format_source(name, page, kind).alias("source"), text.alias("text"),
                  F.when(kind == "image", F.concat(F.lit("/images/"), name, F.lit(".png"))).alias("image_url"))
+
+
+def labelled(p: DataFrame) -> DataFrame:
+    """Section tag and evidence level of passages."""
     e = rules.detect_evidence_type("text")
     return p.withColumn("section_tag", rules.classify_section("text")).withColumn("evidence_level", e["level"])
 
 
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(passage_rows(spark, sf))
+
+
 PASSAGES = f"""
 passages AS (
   SELECT *, {sql_rules('text', rules.SECTION_RULES, 'unknown', 300)} AS section_tag,
@@ -252,7 +260,8 @@ def hits(spark: SparkSession, sf: str, k: int = 20, min_score: float | None = No
     """Passages found for the label queries."""
     from marginalia.operators.retrieval import topk_inner_product
     found = topk_inner_product(centroid_queries(spark, sf), vectors(spark, sf), k, min_score)
-    return found.join(passages(spark, sf), "vec_id")
+    # labels are computed on the hits, not on the corpus
+    return labelled(found.join(passage_rows(spark, sf), "vec_id"))
 
 
 def hits_sql(k: int = 20) -> str:

@@ -50,6 +50,15 @@ def document_coverage(spark, sf):
     return P.document_coverage(I.chunks(spark, sf), names)
 
 
+@query("document_exists", "WITH " + I.CHUNKS + """, f AS (SELECT DISTINCT CASE WHEN lang = 'en' THEN 'doc' ELSE 'paper' END || doc_id || '.pdf' AS file_name FROM documents),
+n AS (SELECT doc_name, count(*) AS n FROM chunks GROUP BY doc_name)
+SELECT file_name, replace(file_name, '.pdf', '') AS doc_name, n IS NOT NULL AS exists, coalesce(n, 0) AS chunk_count FROM f LEFT JOIN n ON n.doc_name = replace(file_name, '.pdf', '')""")
+def document_exists(spark, sf):
+    d = I.table(spark, sf, "documents")
+    stem = F.when(F.col("lang") == "en", "doc").otherwise("paper")
+    return P.document_exists(I.chunks(spark, sf), d.select(F.concat(stem, F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name")))
+
+
 @query("chunking_quality", "WITH " + I.CHUNKS + """, t AS (SELECT coalesce(section_tag, 'unknown') AS section_group, section_tag IS NOT NULL AS tg, length(text) AS n FROM chunks)
 SELECT section_group, count(*) AS total_chunks, sum(n)::BIGINT // count(*) AS avg_chunk_length, round(count(*) FILTER (tg) / count(*), 6) AS semantic_integrity,
   0.0::DOUBLE AS pico_completeness FROM t GROUP BY ROLLUP (section_group)""")

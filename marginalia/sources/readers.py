@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators.graph import build_edges, build_nodes
 from marginalia.sources import schemas as S
 
 
@@ -104,6 +106,26 @@ def read_kv_relations(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("v.chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
 
 
+def read_graph(spark: SparkSession, entities: str, relations: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and a one-row status ``(error)``.
+
+    A missing store gives empty tables and ``storage_not_found``, unreadable JSON leaves that
+    store empty and gives ``parse_error``; otherwise the error is null.
+    """
+    try:
+        n, e = read_kv_entities(spark, entities), read_kv_relations(spark, relations)
+        raw = read_whole_files(spark, entities).unionByName(read_whole_files(spark, relations))
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        n = spark.createDataFrame([], f"name string, {S.ENTITY}")
+        e = spark.createDataFrame([], f"source string, target string, {S.RELATION}")
+        return build_nodes(n), build_edges(e), spark.createDataFrame([("storage_not_found",)], "error string")
+    _, bad = split_corrupt(raw, is_array=False)
+    status = bad.agg(F.when(F.count(F.lit(1)) > 0, "parse_error").alias("error"))
+    return build_nodes(n), build_edges(e), status
+
+
 def read_doc_status(spark: SparkSession, path: str) -> DataFrame:
     return _kv_objects(spark, path, S.DOC_STATUS).select(F.col("key").alias("doc_key"), "v.*")
 
@@ -111,13 +133,13 @@ def read_doc_status(spark: SparkSession, path: str) -> DataFrame:
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a GraphML file as ``(…, attributes map)``; multi-values stay joined.
 
-    Attribute names come from the file's key declarations (a handful of rows, hence broadcast).
+    Attribute names come from the file's key declarations.
     """
     def rows(tag: str, schema: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
     keys = rows("key", S.XML_KEY).select(F.col("_id").alias("_key"), F.col("`_attr.name`").alias("name"))
-    keys = F.broadcast(keys.dropDuplicates(["_key"]))
+    keys = keys.dropDuplicates(["_key"])
 
     def attributed(df: DataFrame, ids: list[str]) -> DataFrame:
         flat = df.select(*ids, F.explode_outer("data").alias("d")).withColumn("_key", F.col("d._key"))

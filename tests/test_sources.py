@@ -132,6 +132,30 @@ def test_missing_store_and_bad_json(spark, tmp_path):
         R.read_kv_entities(spark, str(tmp_path / "none.json")).count()
 
 
+def test_graph_status(spark, tmp_path):
+    dump(tmp_path / "e.json", {"CT scan": {"count": 2}, "zzz": {}})
+    dump(tmp_path / "r.json", {"CT scan<SEP>zzz": {}})
+    dump(tmp_path / "bad.json", "{oops")
+    read = lambda e, r: R.read_graph(spark, str(tmp_path / e), str(tmp_path / r))
+    nodes, edges, status = read("e.json", "r.json")
+    assert {r.id: (r.grp, r.weight) for r in nodes.collect()} == {"CT scan": ("check", 2), "zzz": ("other", 1)}
+    assert (edges.count(), status.first().error) == (1, None)
+    nodes, edges, status = read("none.json", "r.json")
+    assert (nodes.count(), edges.count(), status.first().error) == (0, 0, "storage_not_found")
+    assert read("e.json", "bad.json")[2].first().error == "parse_error"
+
+
+def test_snapshot_and_delta(spark):
+    n = spark.createDataFrame([("a", 5), ("b", 9)], "id string, create_time bigint")
+    e = spark.createDataFrame([("a", "b", 7)], "source string, target string, create_time bigint")
+    snap = K.graph_snapshot(n, e)
+    assert snap.first().since == 9 and K.graph_delta(n, snap).count() == 0
+    later = n.union(spark.createDataFrame([("c", 10), ("d", 0)], n.schema))
+    assert [r.id for r in K.graph_delta(later, snap).collect()] == ["c"]
+    zero = K.graph_snapshot(n.limit(0), e.limit(0))
+    assert zero.first().since == 0 and K.graph_delta(later, zero).count() == 0
+
+
 def test_task_update_white_list(spark):
     tasks = spark.createDataFrame([("a", "received")], "task_uuid string, status string")
     with pytest.raises(ValueError, match="retry_count"):
