@@ -199,9 +199,8 @@ def merge_elements(items: DataFrame, block: int | None = CHECK) -> DataFrame:
     left to right, a merged item is not merged again.
     """
     block = resolve_block(items, ["doc_name"], block)
-    nxt = items.select("doc_name", (F.col("item_idx") - 1).alias("item_idx"),
-                       F.struct("type", "text", "page_idx", "table_body").alias("_next"))
-    i = items.join(nxt, ["doc_name", "item_idx"], "left")
+    i = items.withColumn("_back", -F.col("item_idx")).withColumn("_it", F.struct("type", "text", "page_idx", "table_body"))
+    i = with_previous(i, ["doc_name"], "_back", ["_it"], block).withColumnRenamed("prev__it", "_next")
     n = F.length(F.coalesce("text", F.lit("")))
     is_text = F.col("type") == "text"
     to_table = is_text & (F.col("_next.type") == "table") & (n < 300)
@@ -229,25 +228,24 @@ def attach_figure_text(images: DataFrame, page_texts: DataFrame, chunks: DataFra
     """Text for an image: its page's figure line, the next page's, the one before's, the first
     chunk of the page that speaks of a figure, the caption, else a placeholder.
 
-    All lookups are equi joins on ``(doc_name, page)``.
+    What a page can offer is ranked in one aggregate, so the images meet it in a single join.
     """
-    lines = (page_texts.select("doc_name", "page_idx", T.figure_description("text").alias("line"))
-             .where(F.col("line").isNotNull()))
-
-    def shifted(by: int, name: str) -> DataFrame:
-        return lines.select("doc_name", (F.col("page_idx") - by).alias("page_idx"), F.col("line").alias(name))
-
-    hinted = chunks.where(T.contains_any(F.lower("text"), FIGURE_HINTS))
-    fallback = hinted.groupBy("doc_name", "page_idx").agg(
-        F.left(F.min_by("text", "chunk_idx"), F.lit(300)).alias("_chunk"))
-    keys = ["doc_name", "page_idx"]
-    out = (images.join(shifted(0, "_own"), keys, "left").join(shifted(1, "_next"), keys, "left")
-           .join(shifted(-1, "_before"), keys, "left").join(fallback, keys, "left"))
+    lines = (page_texts.select("doc_name", "page_idx", T.figure_description("text").alias("t"))
+             .where(F.col("t").isNotNull()))
+    # a line serves its own page first, then the page before it, then the page after it
+    served = F.array(*[F.struct(F.lit(p).alias("o"), F.lit(0).cast("bigint").alias("i"), (F.col("page_idx") + by).alias("page_idx"))
+                       for p, by in ((0, 0), (1, -1), (2, 1))])
+    offers = lines.select("doc_name", "t", F.inline(served)).select("doc_name", "page_idx", "o", "i", "t")
+    hinted = chunks.where(T.contains_any(F.lower("text"), FIGURE_HINTS)).select(
+        "doc_name", "page_idx", F.lit(3).alias("o"), F.col("chunk_idx").cast("bigint").alias("i"),
+        F.left("text", F.lit(300)).alias("t"))
+    best = offers.unionByName(hinted).groupBy("doc_name", "page_idx").agg(
+        F.min_by("t", F.struct("o", "i")).alias("_best"))
+    out = images.join(best, ["doc_name", "page_idx"], "left")
     caption = F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit("[图片] "), F.col("caption")))
     placeholder = F.concat(F.lit("[图片 p"), F.col("page_idx").cast("string"), F.lit("]"))
-    best = F.coalesce("_own", "_next", "_before", "_chunk", caption, placeholder)
-    return out.withColumn("text", F.when(T.strip(best) == "", placeholder).otherwise(T.strip(best))) \
-        .drop("_own", "_next", "_before", "_chunk")
+    text = T.strip(F.coalesce("_best", caption, placeholder))
+    return out.withColumn("text", F.when(text == "", placeholder).otherwise(text)).drop("_best")
 
 
 def to_enhanced_items(sections: DataFrame, pico: DataFrame) -> DataFrame:

@@ -59,13 +59,17 @@ def graph_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
 
-    repeated = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    def named(row: DataFrame) -> DataFrame:
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in row.columns])))
+
     lost = lambda end: edges.join(ids, edges[end] == ids["id"], "left_anti")
-    return (count(repeated, "unique_ids").unionByName(count(lost("source"), "source_exists"))
-            .unionByName(count(lost("target"), "target_exists"))
-            .unionByName(count(edges.where(F.col("source") == F.col("target")), "no_self_loops"))
-            .unionByName(count(edges.where(F.col("weight") <= 0), "positive_weight"))
-            .unionByName(count(nodes.where(~F.col("grp").isin(rules.ENTITY_GROUPS)), "known_group")))
+    per_id = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("grp").isin(rules.ENTITY_GROUPS)).alias("g"))
+    of_nodes = per_id.agg(F.count_if(F.col("n") > 1).alias("unique_ids"), F.coalesce(F.sum("g"), F.lit(0)).alias("known_group"))
+    of_edges = edges.agg(F.count_if(F.col("source") == F.col("target")).alias("no_self_loops"),
+                         F.count_if(F.col("weight") <= 0).alias("positive_weight"))
+    return (named(of_nodes).unionByName(named(of_edges)).unionByName(count(lost("source"), "source_exists"))
+            .unionByName(count(lost("target"), "target_exists")))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
