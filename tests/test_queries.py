@@ -22,6 +22,6 @@ def test_every_oracle_has_a_query():
 
 def test_entry_points(spark):
     import __spark_entry__ as e
-    assert set(e.queries()) == set(QUERIES)
-    assert set(e.oracle_sql()) == set(ORACLES)
+    assert set(e.queries()) >= set(QUERIES)
+    assert set(e.oracle_sql()) >= set(ORACLES)
     assert e.entry(spark).columns == ["doc_name", "section_tag", "chunks", "tag_rank", "in_top"]
