@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import query, small_batches, table
 
-#: Distinct pre-tokens and token pairs a task remembers; a full memo is emptied, results do not change.
-MEMO = 300_000
+#: Distinct pre-tokens and token pairs a task remembers; results do not depend on it.
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,6 +28,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Memo(dict):
+    """A bounded memo: once full it takes nothing new, and starts afresh after as many misses again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.missed = most, 0
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.missed += 1
+            if self.missed < self.most:
+                return
+            self.clear()
+            self.missed = 0
+        self[key] = value
+
+
+def of_worker(key: tuple, make):
+    """``make()`` once in the life of a Python worker, which serves many tasks."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("marginalia_of_worker", types.ModuleType("marginalia_of_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class Backtracker:
     """Encoder of single pre-tokens."""
 
@@ -46,35 +74,31 @@ class Backtracker:
         for token, rank in ranks.items():
             self.trie.add_word(token.decode("latin-1"), rank)
         self.trie.make_automaton()
-        self.shorter: dict[int, int] = {}  # token -> its longest proper prefix token, -1 if none
-        self.parts: dict[int, tuple[int, int] | None] = {}  # token -> the pair its merge joins
+        self.sizes = [len(t) for t in self.bytes]
+        self.shorter = [self._prefix(t) for t in self.bytes]
+        parts = [self._split(t) if t else None for t in self.bytes]  # token -> the pair its merge joins
+        self.head = [p[0] if p else -1 for p in parts]
+        self.tail = [p[1] if p else -1 for p in parts]
+        self.joined = {p[0] * self.size + p[1]: t for t, p in enumerate(parts) if p}
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Memo(memo)
 
-    def prefix(self, token: int) -> int:
-        """The longest token that is a proper prefix."""
-        got = self.shorter.get(token)
-        if got is None:
-            whole = self.bytes[token]
-            got = next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), -1)
-            self.shorter[token] = got
-        return got
+    def _prefix(self, whole: bytes) -> int:
+        """The longest token that is a proper prefix, -1 if none."""
+        return next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), -1)
 
-    def split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes ``token`` when its bytes are merged by rank; None for single bytes."""
-        if token in self.parts:
-            return self.parts[token]
-        whole = self.bytes[token]
-        pieces = [bytes([b]) for b in whole]
+    def _split(self, whole: bytes) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``whole`` when its bytes are merged by rank; None for single bytes."""
+        ranks, limit = self.ranks, self.ranks[whole]
+        pieces = [whole[i:i + 1] for i in range(len(whole))]
         while len(pieces) > 2:
-            best = min(((self.ranks.get(a + b, self.size), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:]))))
-            if best[0] >= token:
-                break
-            i = best[1]
+            found = [ranks.get(a + b, limit) for a, b in zip(pieces, pieces[1:])]
+            best = min(found)
+            if best >= limit:
+                return None  # no merge makes this token
+            i = found.index(best)
             pieces[i:i + 2] = [pieces[i] + pieces[i + 1]]
-        got = (self.ranks[pieces[0]], self.ranks[pieces[1]]) if len(pieces) == 2 else None
-        self.parts[token] = got
-        return got
+        return (ranks[pieces[0]], ranks[pieces[1]]) if len(pieces) == 2 else None
 
     def fit(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both, by rank and from the left, ends in just these two."""
@@ -87,20 +111,26 @@ class Backtracker:
         return got
 
     def _fit(self, left: int, right: int) -> bool:
-        # walk the merge trees back from the last merge: a merge across the seam of rank lower than the
-        # merges that formed either side would have happened first
-        ranks, made, limit = self.ranks, self.bytes, self.size
+        # take the later merge of the two sides apart, again and again: a merge across the seam that ranks
+        # before it would have come first
+        joined, size, head, tail = self.joined.get, self.size, self.head, self.tail
+        limit = size
         while True:
-            across = ranks.get(made[left] + made[right])
-            if across is not None and across < limit:
+            if joined(left * size + right, limit) < limit:
                 return False
-            one, two = self.split(left), self.split(right)
-            if one is None and two is None:
-                return True
-            if two is None or one is not None and left > right:
-                limit, left = left, one[1]
+            if left > right:
+                if tail[left] >= 0:
+                    limit, left = left, tail[left]
+                elif head[right] >= 0:
+                    limit, right = right + 1, head[right]
+                else:
+                    return True
+            elif head[right] >= 0:
+                limit, right = right + 1, head[right]
+            elif tail[left] >= 0:
+                limit, left = left, tail[left]
             else:
-                limit, right = right + 1, two[0]
+                return True
 
     def encode(self, match: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -108,9 +138,7 @@ class Backtracker:
         if got is None:
             got = self._encode(match.encode("utf-8").decode("latin-1"))  # a character per byte, for the automaton
             if len(match) <= 64:
-                if len(self.known) >= self.memo:
-                    self.known.clear()
-                self.known[match] = got
+                self.known.keep(match, got)
         return got
 
     def _encode(self, word: str) -> tuple[int, ...]:
@@ -118,37 +146,95 @@ class Backtracker:
         rank = self.ranks.get(whole)
         if rank is not None:
             return (rank,)
-        longest, dead = self._longest(word), bytearray(len(whole) + 1)
-        out: list[int] = []
+        fits, fit, size, sizes, shorter = self.fits.get, self.fit, self.size, self.sizes, self.shorter
+        out, n = [token for _, token in self.trie.iter_long(word)], len(whole)
+        if sum([sizes[t] for t in out]) == n:  # no byte is skipped: longest matches that fit are the answer
+            last = out[0]
+            for token in out[1:]:
+                if not (fits(last * size + token) or fit(last, token)):
+                    break
+                last = token
+            else:
+                return tuple(out)
+        longest, dead, out, last = self._longest(word), bytearray(n + 1), [], -1
         at, token = 0, longest[0]
-        while at < len(whole):
-            end = at + len(self.bytes[token])
-            if not dead[end] and (not out or self.fit(out[-1], token)):
+        while at < n:
+            end = at + sizes[token]
+            if not dead[end] and (last < 0 or fits(last * size + token) or fit(last, token)):
                 out.append(token)
-                at = end
-                token = longest[at] if at < len(whole) else -1
+                last, at = token, end
+                if at < n:
+                    token = longest[at]
                 continue
-            token = self.prefix(token)
+            token = shorter[token]
             while token < 0:  # nothing fits here: take the last token back and shorten it
                 dead[at] = 1
                 if not out:
                     raise ValueError("the merges cannot spell this text")
-                token = out.pop()
-                at -= len(self.bytes[token])
-                token = self.prefix(token)
+                at -= sizes[last]
+                token = shorter[last]
+                out.pop()
+                last = out[-1] if out else -1
         return tuple(out)
 
     def _longest(self, word: str) -> list[int]:
         """The longest token starting at each place."""
-        out, size = [-1] * len(word), [0] * len(word)
-        for end, rank in self.trie.iter(word):
-            n = len(self.bytes[rank])
-            start = end - n + 1
-            if n > size[start]:
-                size[start], out[start] = n, rank
+        out, sizes = [-1] * len(word), self.sizes
+        for end, rank in self.trie.iter(word):  # ends rise, so a longer match comes later
+            out[end - sizes[rank] + 1] = rank
         return out
 
 
+def text_encoder(coder: Backtracker, pattern: str):
+    """``text -> ids`` as little-endian unsigned 32-bit bytes; each match of ``pattern`` on its own.
+
+    No match goes on over a blank after a non-blank, so a text may be cut before such blanks, and the
+    pieces remembered. Pieces with other white space in or around them are matched together. This
+    holds for patterns whose only optional first character is the blank, as in the public one.
+    """
+    import struct
+
+    import regex
+
+    find, known, pieces = regex.compile(pattern).findall, coder.encode, Memo(coder.memo)
+
+    def coded(part: str) -> bytes:
+        ids = [i for match in find(part) for i in known(match)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(text: str) -> bytes:
+        first, *rest = text.split(" ")
+        parts, done = list(map(pieces.get, rest)), 0
+
+        def together(start: int, lead: str) -> tuple[bytes, int]:
+            """Pieces from ``start`` on up to one that ends in no white space, coded as one."""
+            end = start
+            while end < len(rest) and (not rest[end] or rest[end][-1].isspace()):
+                end += 1
+            return coded(" ".join([lead, *rest[start:end + 1]])), end + 1
+
+        if first and not first[-1].isspace():
+            head = coded(first)
+        else:
+            head, done = together(0, first)
+            parts[:done] = [b""] * min(done, len(rest))
+        if None in parts:
+            for i, ids in enumerate(parts):
+                if ids is not None or i < done:
+                    continue
+                piece = rest[i]
+                if piece and not piece[-1].isspace():
+                    parts[i] = ids = coded(" " + piece)
+                    if len(piece) <= 64 and len(piece.split(None, 1)) == 1 and not piece[0].isspace():
+                        pieces.keep(piece, ids)
+                else:
+                    ids, done = together(i, "")
+                    parts[i:done] = [ids] + [b""] * (min(done, len(rest)) - i - 1)
+        return head + b"".join(parts)
+
+    return encode
+
+
 def codec(vocabulary: str, pattern: str, memo: int = MEMO):
     """Column functions ``(encode, decode)``: text to ids as little-endian unsigned 32-bit binary, and back to bytes.
 
@@ -158,20 +244,9 @@ def codec(vocabulary: str, pattern: str, memo: int = MEMO):
     """
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-        import regex
-
-        coder, find = Backtracker(read_ranks(vocabulary), memo), regex.compile(pattern).findall
-
-        def one(text) -> bytes:
-            out: list[int] = []
-            known, code = coder.known.get, coder.encode
-            for match in find(text or ""):
-                out.extend(known(match) or code(match))
-            return np.array(out, dtype="<u4").tobytes()
-
+        one = of_worker((vocabulary, pattern, memo), lambda: text_encoder(Backtracker(read_ranks(vocabulary), memo), pattern))
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
+            yield pd.Series([one(t or "") for t in texts], dtype=object)
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -29,6 +29,15 @@ def test_single_pieces_equal_the_merges(name):
         assert coder._encode(piece.decode("latin-1")) == tuple(lib._core_bpe.encode_single_piece(piece)), piece
 
 
+def test_texts_of_every_kind_of_white_space(library):
+    encode, rnd = bpe.text_encoder(bpe.Backtracker(bpe.read_ranks(PATH), memo=60), public.PATTERN), random.Random(9)
+    bits = [" ", " ", " ", "a", "the", "It's", "9", ",", "!!", "\n", "\n\n", "\t", "\u00a0", "\u2003", "é", "北", "🎉", "\x1c", "\x85", "'s", "_", "\u200b", "\x00"]
+    for _ in range(6000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
+        ids = library.encode_ordinary(text)
+        assert encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+
+
 def test_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         bpe.Backtracker({b"a": 0})
