@@ -1,6 +1,6 @@
 """All corpus queries; importing this module registers them."""
 
-from marginalia.llm import bpe, compression_quality, covering_dedup, kernel_toxicity  # noqa: F401  (imports register queries)
+from marginalia.llm import bpe, compression_quality, covering_dedup, curve_packing, kernel_toxicity  # noqa: F401  (imports register queries)
 from marginalia.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
