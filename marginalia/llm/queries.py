@@ -1,6 +1,8 @@
 """All corpus queries; importing this module registers them."""
 
-from marginalia.llm import bpe, compression_quality, covering_dedup, curve_packing, kernel_toxicity, pseudonyms  # noqa: F401  (imports register queries)
+from marginalia.llm import (  # noqa: F401  (imports register queries)
+    bpe, collision_search, compression_quality, covering_dedup, curve_packing, kernel_toxicity, pseudonyms, url_trust,
+)
 from marginalia.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
