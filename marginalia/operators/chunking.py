@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import rules, text as T
-from marginalia.operators.keyed import (
-    CHECK, pair_up, resolve_block, top_n_per_key, with_position, with_previous, with_run_start,
-)
+from marginalia.operators.keyed import pair_up, top_n_per_key, with_position, with_previous, with_run_start
 
 # ---- fixed values: lines that open a section, and lines that look like table rows ---------
 SECTION_HEADER = (
@@ -93,49 +92,47 @@ def _join_in_order(idx: str, text: str, joiner: str) -> Column:
     return F.array_join(F.transform(ordered, lambda x: x[text]), joiner)
 
 
-def section_islands(paragraphs: DataFrame, rule_set: rules.Rules = rules.SECTION_RULES,
-                    block: int | None = CHECK) -> DataFrame:
+def section_islands(paragraphs: DataFrame, rule_set: rules.Rules = rules.SECTION_RULES) -> DataFrame:
     """Runs of paragraphs with one section tag become sections.
 
     Input ``(doc_name, para_idx, page_idx, text)``. Paragraphs of 50 characters or less are
     ignored, the first section is always ``background``, the page is that of the paragraph
     that closed the section (the last page for the last one) and the parent is the tag before.
     """
-    block = resolve_block(paragraphs, ["doc_name"], block)
-    p = (paragraphs.where(F.length(T.strip("text")) > 50)
+    # ignored paragraphs count for the document's last page too: one window over all of them
+    whole = W.partitionBy("doc_name")
+    p = (paragraphs.withColumn("_last_page", F.max("page_idx").over(whole))
+         .where(F.length(T.strip("text")) > 50)
          .withColumn("tag", rules.classify_section(F.col("text"), rule_set)))
-    p = with_previous(p, ["doc_name"], "para_idx", ["tag"], block)
+    p = with_previous(p, ["doc_name"], "para_idx", ["tag"])
     first = F.col("para_idx") == F.col("first_para_idx")
     before = F.when(F.col("prev_para_idx") == F.col("first_para_idx"), F.lit("background")) \
         .otherwise(F.col("prev_tag"))
     p = p.withColumn("tag", F.when(first, F.lit("background")).otherwise(F.col("tag")))
-    p = with_run_start(p, ["doc_name"], "para_idx", first | (F.col("tag") != before), "island", block)
+    p = with_run_start(p, ["doc_name"], "para_idx", first | (F.col("tag") != before), "island")
     sections = p.groupBy("doc_name", "island").agg(
         F.first("tag").alias("section_tag"),
         F.count(F.lit(1)).alias("paragraphs"),
         T.strip(_join_in_order("para_idx", "text", "\n\n")).alias("content"),
-        F.min_by("page_idx", "para_idx").alias("first_page"))
-    last_page = paragraphs.groupBy("doc_name").agg(F.max("page_idx").alias("_last_page"))
-    sections = with_previous(sections, ["doc_name"], "island", ["section_tag"], block)
+        F.min_by("page_idx", "para_idx").alias("first_page"), F.first("_last_page").alias("_last_page"))
+    sections = with_previous(sections, ["doc_name"], "island", ["section_tag"])
     # the paragraph that closes a section opens the next one: look one section ahead
     sections = sections.withColumn("back", -F.col("island"))
-    sections = with_previous(sections, ["doc_name"], "back", ["first_page"], block)
-    return (with_position(sections, ["doc_name"], "island", "seq", block)
-            .join(last_page, "doc_name")
+    sections = with_previous(sections, ["doc_name"], "back", ["first_page"])
+    return (with_position(sections, ["doc_name"], "island", "seq")
             .select("doc_name", "seq", "section_tag", F.col("prev_section_tag").alias("parent_section"),
                     F.coalesce("prev_first_page", "_last_page").alias("page_idx"), "paragraphs", "content"))
 
 
-def merge_adjacent(chunks: DataFrame, block: int | None = CHECK) -> DataFrame:
+def merge_adjacent(chunks: DataFrame) -> DataFrame:
     """Neighbouring chunks of one document with the same tag and page become one chunk.
 
     A merged chunk lies on one page, so its text is bounded by that page.
     """
-    block = resolve_block(chunks, ["doc_name"], block)
-    c = with_previous(chunks, ["doc_name"], "chunk_idx", ["section_tag", "page_idx"], block)
+    c = with_previous(chunks, ["doc_name"], "chunk_idx", ["section_tag", "page_idx"])
     same = (F.equal_null("section_tag", "prev_section_tag") & F.equal_null("page_idx", "prev_page_idx")
             & F.col("prev_chunk_idx").isNotNull())
-    c = with_run_start(c, ["doc_name"], "chunk_idx", ~same, "run", block)
+    c = with_run_start(c, ["doc_name"], "chunk_idx", ~same, "run")
     merged = c.groupBy("doc_name", "run").agg(
         F.first("section_tag").alias("section_tag"), F.first("page_idx").alias("page_start"),
         F.first("page_idx").alias("page_end"), F.count(F.lit(1)).alias("merged"),
@@ -143,19 +140,20 @@ def merge_adjacent(chunks: DataFrame, block: int | None = CHECK) -> DataFrame:
         F.min_by("source", "chunk_idx").alias("_source"))
     spanned = F.concat(T.source_doc("_source"), F.lit(" [p."), F.col("page_start").cast("string"), F.lit("-"),
                        F.col("page_end").cast("string"), F.lit("]"))
-    return with_position(merged, ["doc_name"], "run", "chunk_idx", block).select(
+    return with_position(merged, ["doc_name"], "run", "chunk_idx").select(
         "doc_name", "chunk_idx", "section_tag", "page_start", "page_end", "merged", "text",
         F.when(F.col("merged") > 1, spanned).otherwise(F.col("_source")).alias("source"))
 
 
-def merge_candidates(merged: DataFrame, keep: int = 15, context: int = 150,
-                     block: int | None = CHECK) -> DataFrame:
+def merge_candidates(merged: DataFrame, keep: int = 15, context: int = 150) -> DataFrame:
     """Adjacent chunks worth a semantic look: same tag across pages, or other tag on one page.
 
     The first ``keep`` per document go to the model, with the text around the seam.
     """
-    block = resolve_block(merged, ["doc_name"], block)
-    c = with_previous(merged, ["doc_name"], "chunk_idx", ["section_tag", "page_end", "text"], block)
+    # only the ends of a text are looked at: cut them before rows are sorted
+    seams = merged.select("doc_name", "chunk_idx", "section_tag", "page_start", "page_end",
+                          F.left("text", F.lit(context)).alias("head"), F.right("text", F.lit(context)).alias("tail"))
+    c = with_previous(seams, ["doc_name"], "chunk_idx", ["section_tag", "page_end", "tail"])
     same_tag = F.equal_null("section_tag", "prev_section_tag")
     same_page = F.equal_null("page_start", "prev_page_end")
     reason = F.when(same_tag & ~same_page, "cross_page").when(~same_tag & same_page, "cross_tag")
@@ -164,20 +162,19 @@ def merge_candidates(merged: DataFrame, keep: int = 15, context: int = 150,
     return top_n_per_key(c, ["doc_name"], [F.col("chunk_idx").asc()], keep, "rank").select(
         "doc_name", F.col("prev_chunk_idx").alias("pair"), "reason",
         F.col("prev_section_tag").alias("tag_a"), F.col("section_tag").alias("tag_b"),
-        F.right("prev_text", F.lit(context)).alias("tail"), F.left("text", F.lit(context)).alias("head"))
+        F.col("prev_tail").alias("tail"), "head")
 
 
-def apply_merge_decisions(merged: DataFrame, decisions: DataFrame, block: int | None = CHECK) -> DataFrame:
+def apply_merge_decisions(merged: DataFrame, decisions: DataFrame) -> DataFrame:
     """Merge the pairs a model agreed to, left to right, no chunk in two pairs.
 
     ``decisions(doc_name, pair, merge, confidence)``: ``pair`` is the position of the left
     chunk; only high and medium confidence counts.
     """
-    block = resolve_block(merged, ["doc_name"], block)
     agreed = decisions.where(F.col("merge") & F.col("confidence").isin("high", "medium")) \
         .select("doc_name", F.col("pair").alias("chunk_idx"), F.lit(True).alias("_merge")).distinct()
     c = merged.join(agreed, ["doc_name", "chunk_idx"], "left")
-    c = pair_up(c, ["doc_name"], "chunk_idx", "_merge", block)
+    c = pair_up(c, ["doc_name"], "chunk_idx", "_merge")
     out = c.groupBy("doc_name", "head").agg(
         F.min_by("section_tag", "chunk_idx").alias("section_tag"),
         F.min_by("page_start", "chunk_idx").alias("page_start"),
@@ -186,21 +183,20 @@ def apply_merge_decisions(merged: DataFrame, decisions: DataFrame, block: int |
         F.min_by("source", "chunk_idx").alias("_source"))
     spanned = F.concat(T.source_doc("_source"), F.lit(" [p."), F.col("page_start").cast("string"), F.lit("-"),
                        F.col("page_end").cast("string"), F.lit("]"))
-    return with_position(out, ["doc_name"], "head", "chunk_idx", block).select(
+    return with_position(out, ["doc_name"], "head", "chunk_idx").select(
         "doc_name", "chunk_idx", "section_tag", "page_start", "page_end", "text",
         F.when(F.col("_n") > 1, spanned).otherwise(F.col("_source")).alias("source"),
         (F.col("_n") > 1).alias("model_merged"))
 
 
-def merge_elements(items: DataFrame, block: int | None = CHECK) -> DataFrame:
+def merge_elements(items: DataFrame) -> DataFrame:
     """Short text joins what follows: under 300 characters a table, under 80 text of its page.
 
     ``item_idx`` is dense within a document (as the reader delivers it). Pairs are consumed
     left to right, a merged item is not merged again.
     """
-    block = resolve_block(items, ["doc_name"], block)
     i = items.withColumn("_back", -F.col("item_idx")).withColumn("_it", F.struct("type", "text", "page_idx", "table_body"))
-    i = with_previous(i, ["doc_name"], "_back", ["_it"], block).withColumnRenamed("prev__it", "_next")
+    i = with_previous(i, ["doc_name"], "_back", ["_it"]).withColumnRenamed("prev__it", "_next")
     n = F.length(F.coalesce("text", F.lit("")))
     is_text = F.col("type") == "text"
     to_table = is_text & (F.col("_next.type") == "table") & (n < 300)
@@ -208,7 +204,7 @@ def merge_elements(items: DataFrame, block: int | None = CHECK) -> DataFrame:
                & F.equal_null("page_idx", F.col("_next.page_idx")) & (n < 80))
     i = i.withColumn("_kind", F.when(to_table, "table").when(to_text, "text"))
     i = i.withColumn("eligible", F.col("_kind").isNotNull())
-    i = pair_up(i, ["doc_name"], "item_idx", "eligible", block)
+    i = pair_up(i, ["doc_name"], "item_idx", "eligible")
     # a row is absorbed when its head is the row before; the head carries the joined content
     body = F.coalesce(F.col("_next.table_body"), F.lit(""))
     text = (F.when(F.col("_kind") == "table", F.concat(F.lit("[表] "), F.col("text"), F.lit("\n"), body))
@@ -277,11 +273,10 @@ def inject_evidence_metadata(items: DataFrame, evidence: DataFrame) -> DataFrame
             .drop("_level", "_type", "_title"))
 
 
-def build_segments(items: DataFrame, block: int | None = CHECK) -> DataFrame:
+def build_segments(items: DataFrame) -> DataFrame:
     """Text items as numbered article segments."""
-    block = resolve_block(items, ["doc_name"], block)
     t = items.where((F.col("type") == "text") & (F.coalesce("text", F.lit("")) != ""))
-    return with_position(t, ["doc_name"], "item_idx", "_pos", block).select(
+    return with_position(t, ["doc_name"], "item_idx", "_pos").select(
         "doc_name", (F.col("_pos") + 1).alias("sequence"), F.col("text").alias("content"),
         rules.segment_type("chunk_type").alias("segment_type"), F.col("section_tag").alias("section_title"),
         (F.col("page_idx") + 1).alias("page_number"), F.lit(0.9).alias("confidence"),
@@ -289,11 +284,10 @@ def build_segments(items: DataFrame, block: int | None = CHECK) -> DataFrame:
         F.coalesce(F.col("evidence_level").cast("string"), F.lit("")).alias("evidence_level"))
 
 
-def build_figures(items: DataFrame, block: int | None = CHECK) -> DataFrame:
+def build_figures(items: DataFrame) -> DataFrame:
     """Image and chart items as numbered article figures."""
-    block = resolve_block(items, ["doc_name"], block)
     f = items.where(F.col("type").isin("image", "chart"))
-    return with_position(f, ["doc_name"], "item_idx", "_pos", block).select(
+    return with_position(f, ["doc_name"], "item_idx", "_pos").select(
         "doc_name", (F.col("_pos") + 1).alias("sequence"),
         F.when(F.col("type") == "chart", "chart").otherwise("figure").alias("figure_type"),
         F.coalesce("one_liner", F.lit("")).alias("caption"), F.coalesce("text", F.lit("")).alias("description"),

@@ -67,12 +67,16 @@ def remove_documents(table: DataFrame, gone: DataFrame, key: str = "doc_name") -
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
 
+#: Columns that say where a chunk stands in its document.
+PLACE = ("chunk_idx", "page_idx", "source")
+
+
 def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None = None,
                      known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New state of the chunk table after (re-)ingesting documents, and counts per document.
 
-    Stored chunks of the given documents that no longer occur are dropped; new ones pass the
-    gate, must be unknown to the whole remaining table, are labelled and appended. Documents
+    Stored chunks of the given documents that no longer occur are dropped, kept ones take position,
+    page and source from the new version; new ones pass the gate, must be unknown to the whole remaining table, are labelled and appended. Documents
     not in ``items`` are untouched. Persist by overwriting the touched partitions; when ``stored``
     is only the touched part, ``known(content_md5)`` brings the hashes of the rest.
 
@@ -98,7 +102,9 @@ def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None =
     def rows(df: DataFrame, row: str) -> DataFrame:
         return df.select(*[F.col(row)[c].alias(c) for c in columns])
 
-    kept = rows(g.where(F.col("_stored").isNotNull() & F.col("_new").isNotNull()), "_stored")
+    both = g.where(F.col("_stored").isNotNull() & F.col("_new").isNotNull())
+    # a kept chunk stands where the new version has it
+    kept = both.select(*[F.col("_new" if c in PLACE else "_stored")[c].alias(c) for c in columns])
     fresh = ingest.quality_gate(rows(g.where(F.col("_stored").isNull()), "_new"))
     hashes = far.select("content_md5").unionByName(kept.select("content_md5"))
     if known is not None:

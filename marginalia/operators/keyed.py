@@ -1,11 +1,8 @@
-"""Per-key primitives, with a way out when one key does not fit a task.
-
-Order-dependent work (previous row, runs, positions, running sums) is a plain window over the
-key while every key is small: chained primitives then share one shuffle and one sort. Whether
-that holds is checked, not assumed (``block_for``, one counting job per flow). For larger keys
-the same results come from blocks of consecutive positions: windows run inside ``(key, block)``
-and a summary with one row per block carries state across block borders, so a key with a third
-of all rows is spread over as many tasks as it has blocks.
+"""Per-key primitives for order-dependent work: previous row, runs, positions, running sums.
+
+Each is a plain window over the key, whatever the key's size, so chained primitives share one
+shuffle and one sort and no job runs to look at the data first. A key is one document or one
+session: its rows come from one parsed file and pass a task in order, spilling where they must.
 """
 
 from __future__ import annotations
@@ -16,23 +13,6 @@ from pyspark.sql import functions as F
 
 from marginalia.session import ensure_checkpoint_dir
 
-BLOCK = 50_000  # rows of one key that a task takes on without cutting it up
-CHECK = -1  # the operator counts for itself
-
-
-def block_for(df: DataFrame, keys: list[str], limit: int = BLOCK) -> int | None:
-    """``None`` while the largest key has at most ``limit`` rows, else the block size to use.
-
-    Runs one job: a count per key that combines before its shuffle and reads only the keys.
-    Call it on the rawest input of a flow and hand the answer to the operators.
-    """
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return limit if (top or 0) > limit else None
-
-
-def resolve_block(df: DataFrame, keys: list[str], block: int | None) -> int | None:
-    return block_for(df, keys) if block == CHECK else block
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """First row per key by ``order``.
@@ -54,72 +34,30 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def _in_blocks(df: DataFrame, idx: str, block: int) -> DataFrame:
-    """Rows with their block. Two branches follow, so the lineage is cut here: what led to
-    ``df`` runs once, however many primitives are chained."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.withColumn("_block", F.floor(F.col(idx) / block)).checkpoint()
-
-
-def with_previous(df: DataFrame, keys: list[str], idx: str, cols: list[str],
-                  block: int | None = None) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], idx: str, cols: list[str]) -> DataFrame:
     """Add ``prev_<col>`` of the row before by ``idx`` and ``first_<idx>`` of the key."""
     names = list(dict.fromkeys([idx, *cols]))
-    held = F.struct(*[F.col(c) for c in names])
-    by_key = W.partitionBy(*keys)
-    if block is None:
-        w = by_key.orderBy(idx)
-        out = df.withColumn("_prev", F.lag(held).over(w)).withColumn(f"first_{idx}", F.first(idx).over(w))
-    else:
-        df = _in_blocks(df, idx, block)
-        blocks = (
-            df.groupBy(*keys, "_block")
-            .agg(F.max_by(held, F.col(idx)).alias("_last"), F.min(idx).alias("_first"))
-            .select(*keys, "_block", F.lag("_last").over(by_key.orderBy("_block")).alias("_carry"),
-                    F.min("_first").over(by_key).alias(f"first_{idx}")))
-        inside = W.partitionBy(*keys, "_block").orderBy(idx)
-        out = (df.withColumn("_prev", F.lag(held).over(inside)).join(blocks, [*keys, "_block"])
-               .withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry", "_block"))
+    w = W.partitionBy(*keys).orderBy(idx)
+    out = (df.withColumn("_prev", F.lag(F.struct(*[F.col(c) for c in names])).over(w))
+           .withColumn(f"first_{idx}", F.first(idx).over(w)))
     return out.withColumns({f"prev_{c}": F.col("_prev")[c] for c in names}).drop("_prev")
 
 
-def _with_carried(df: DataFrame, keys: list[str], idx: str, name: str, block: int | None, total, running,
-                  merge, upto: int) -> DataFrame:
-    """A running aggregate per key: whole-key window, or in-block window plus block carry."""
-    if block is None:
-        w = W.partitionBy(*keys).orderBy(idx).rowsBetween(W.unboundedPreceding, upto)
-        return df.withColumn(name, merge(running().over(w), None))
-    df = _in_blocks(df, idx, block)
-    ahead = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (df.groupBy(*keys, "_block").agg(running().alias("_top"))
-              .select(*keys, "_block", total(F.col("_top")).over(ahead).alias("_carry")))
-    inside = W.partitionBy(*keys, "_block").orderBy(idx).rowsBetween(W.unboundedPreceding, upto)
-    return (df.withColumn(name, running().over(inside)).join(blocks, [*keys, "_block"])
-            .withColumn(name, merge(F.col(name), F.col("_carry"))).drop("_carry", "_block"))
-
-
-def with_run_start(df: DataFrame, keys: list[str], idx: str, boundary: Column, name: str = "run_start",
-                   block: int | None = None) -> DataFrame:
+def with_run_start(df: DataFrame, keys: list[str], idx: str, boundary: Column, name: str = "run_start") -> DataFrame:
     """Add the ``idx`` of the latest row at or before this one where ``boundary`` holds."""
-    df = df.withColumn("_start", F.when(boundary, F.col(idx)))
-    return _with_carried(
-        df, keys, idx, name, block, F.max, lambda: F.max("_start"),
-        lambda here, carry: here if carry is None else F.coalesce(here, carry), 0).drop("_start")
+    w = W.partitionBy(*keys).orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("_start", F.when(boundary, F.col(idx))).withColumn(name, F.max("_start").over(w)).drop("_start")
 
 
-def with_running_sum(df: DataFrame, keys: list[str], idx: str, value: str, name: str,
-                     block: int | None = None) -> DataFrame:
+def with_running_sum(df: DataFrame, keys: list[str], idx: str, value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over the rows before this one (exclusive prefix sum)."""
-    zero = F.lit(0)
-    return _with_carried(
-        df, keys, idx, name, block, F.sum, lambda: F.sum(value),
-        lambda here, carry: F.coalesce(here, zero) + (zero if carry is None else F.coalesce(carry, zero)), -1)
+    w = W.partitionBy(*keys).orderBy(idx).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def with_position(df: DataFrame, keys: list[str], idx: str, name: str = "position",
-                  block: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, keys: list[str], idx: str, name: str = "position") -> DataFrame:
     """Add the dense 0-based place of a row inside its key."""
-    out = with_running_sum(df.withColumn("_one", F.lit(1)), keys, idx, "_one", name, block)
+    out = with_running_sum(df.withColumn("_one", F.lit(1)), keys, idx, "_one", name)
     return out.withColumn(name, F.col(name).cast("bigint")).drop("_one")
 
 
@@ -147,8 +85,7 @@ def global_row_number(df: DataFrame, order: list[str], start: int | Column = 0,
             .drop("_part", "_pos", "_before"))
 
 
-def pair_up(df: DataFrame, keys: list[str], position: str, eligible: str,
-            block: int | None = None) -> DataFrame:
+def pair_up(df: DataFrame, keys: list[str], position: str, eligible: str) -> DataFrame:
     """Choose non-overlapping adjacent pairs greedily from the left.
 
     ``eligible`` is true on a row that may absorb the next one; ``position`` is dense. Inside
@@ -157,9 +94,9 @@ def pair_up(df: DataFrame, keys: list[str], position: str, eligible: str,
     """
     flag = F.coalesce(F.col(eligible), F.lit(False))
     df = df.withColumn("_on", flag)
-    df = with_previous(df, keys, position, ["_on"], block)
+    df = with_previous(df, keys, position, ["_on"])
     opens = F.col("_on") & ~F.coalesce(F.col("prev__on"), F.lit(False))
-    df = with_run_start(df, keys, position, opens, "_run", block)
+    df = with_run_start(df, keys, position, opens, "_run")
     even = (F.col(position) - F.col("_run")) % 2 == 0
     # the row after a taken one is swallowed; it directly follows the run or sits inside it
     swallowed = F.coalesce(F.col("prev__on"), F.lit(False)) & ~even

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.operators.keyed import block_for, top_n_per_key, with_position
+from marginalia.operators.keyed import top_n_per_key, with_position
 
 
 def count(name: str = "n") -> Column:
@@ -124,11 +124,15 @@ def recent_operations(log: DataFrame, n: int = 5) -> DataFrame:
     return log.orderBy(F.col("created_at").desc(), F.col("log_id").desc()).limit(n)
 
 
-def feedback_stats(feedback: DataFrame, kept: int = 500) -> DataFrame:
-    """Helpful share of the latest 500 ratings; 500 rows are what the store holds."""
-    latest = feedback.orderBy(F.col("created_at").desc(), F.col("feedback_id").desc()).limit(kept)
+def latest_feedback(feedback: DataFrame, kept: int = 500) -> DataFrame:
+    """The newest ratings, for stores that hold no more than so many."""
+    return feedback.orderBy(F.col("created_at").desc(), F.col("feedback_id").desc()).limit(kept)
+
+
+def feedback_stats(feedback: DataFrame) -> DataFrame:
+    """Helpful share of all ratings."""
     good = F.count_if(F.col("rating") == "helpful")
-    s = latest.agg(count("total"), good.alias("helpful"))
+    s = feedback.agg(count("total"), good.alias("helpful"))
     return s.select("total", "helpful", (F.col("total") - F.col("helpful")).alias("not_helpful"),
                     F.when(F.col("total") > 0, F.round(F.col("helpful") / F.col("total") * 100, 1))
                     .otherwise(0.0).alias("rate"))
@@ -186,8 +190,7 @@ def session_message_counts(messages: DataFrame) -> DataFrame:
 
 def session_history(messages: DataFrame) -> DataFrame:
     """Messages in order with their place in the session."""
-    block = block_for(messages, ["session_id"])
-    return with_position(messages, ["session_id"], "message_no", "position", block)
+    return with_position(messages, ["session_id"], "message_no", "position")
 
 
 def latency_report(calls: DataFrame, keys: list[str], value: str = "duration_ms") -> DataFrame:

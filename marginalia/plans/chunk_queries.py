@@ -8,7 +8,6 @@ from marginalia.functions import rules as R
 from marginalia.operators import chunking as C
 from marginalia.operators import incremental as N
 from marginalia.operators import ingest
-from marginalia.operators.keyed import block_for
 from marginalia.plans import inputs as I
 from marginalia.plans.registry import query
 from marginalia.session import ensure_checkpoint_dir
@@ -102,18 +101,13 @@ merged AS (SELECT doc_name, (run - 1)::BIGINT AS chunk_idx, any_value(section_ta
    ELSE any_value(source) END AS source FROM mr GROUP BY doc_name, run)"""
 
 
-def block(spark, sf):
-    """Checked once on the items: how to window over documents from there on."""
-    return block_for(I.items(spark, sf), ["doc_name"])
-
-
-def merged(spark, sf, b=None):
-    return C.merge_adjacent(I.chunks(spark, sf), b)
+def merged(spark, sf):
+    return C.merge_adjacent(I.chunks(spark, sf))
 
 
 @query("merge_adjacent", "WITH " + MERGED + " SELECT * FROM merged")
 def merge_adjacent(spark, sf):
-    return merged(spark, sf, block(spark, sf))
+    return merged(spark, sf)
 
 
 @query("merge_candidates", "WITH " + MERGED + """,
@@ -124,8 +118,7 @@ c AS (SELECT *, CASE WHEN tag_a IS NOT DISTINCT FROM section_tag AND page_a <> p
 SELECT doc_name, pair, reason, tag_a, section_tag AS tag_b, right(text_a, 150) AS tail, left(text, 150) AS head FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_name ORDER BY chunk_idx) AS rn FROM c WHERE reason IS NOT NULL) WHERE rn <= 15""")
 def merge_candidates(spark, sf):
-    b = block(spark, sf)
-    return C.merge_candidates(merged(spark, sf, b), block=b)
+    return C.merge_candidates(merged(spark, sf))
 
 
 DECIDE = "length(text) % 3 > 0"
@@ -143,12 +136,11 @@ g AS (SELECT doc_name, head, first(section_tag ORDER BY chunk_idx) AS section_ta
 SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY head) - 1 AS chunk_idx, section_tag, page_start, page_end, text, model_merged,
   CASE WHEN model_merged THEN split_part(src, ' [p.', 1) || ' [p.' || page_start || '-' || page_end || ']' ELSE src END AS source FROM g""")
 def apply_merge_decisions(spark, sf):
-    b = block(spark, sf)
-    m = merged(spark, sf, b)
+    m = merged(spark, sf)
     last = m.groupBy("doc_name").agg(F.max("chunk_idx").alias("last"))
     decisions = m.join(last, "doc_name").where(F.col("chunk_idx") < F.col("last")).select(
         "doc_name", F.col("chunk_idx").alias("pair"), F.expr(DECIDE).alias("merge"), F.expr(CONFIDENCE).alias("confidence"))
-    return C.apply_merge_decisions(m, decisions, b)
+    return C.apply_merge_decisions(m, decisions)
 
 
 @query("merge_elements", "WITH RECURSIVE " + I.ITEMS + """,
@@ -236,7 +228,7 @@ SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY item_idx) AS
   {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in R.SEGMENT_TYPES.items())} ELSE 'other' END AS segment_type, 'x' AS section_title,
   page_idx + 1 AS page_number, 0.9::DOUBLE AS confidence, length(text) AS word_count, coalesce(lv, '') AS evidence_level FROM t""")
 def build_segments(spark, sf):
-    return C.build_segments(_typed_items(spark, sf), block(spark, sf))
+    return C.build_segments(_typed_items(spark, sf))
 
 
 @query("build_figures", "WITH " + I.ITEMS + """
@@ -244,7 +236,7 @@ SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY item_idx) AS
   text AS description, page_idx + 1 AS page_number, 0.85::DOUBLE AS confidence, '/data/img/' || doc_name || '_' || item_idx || '.png' AS img_path
 FROM items WHERE type = 'image'""")
 def build_figures(spark, sf):
-    return C.build_figures(_typed_items(spark, sf), block(spark, sf))
+    return C.build_figures(_typed_items(spark, sf))
 
 
 @query("replace_children", """
@@ -260,10 +252,14 @@ def replace_children(spark, sf):
 
 
 # ---- incremental maintenance --------------------------------------------------------------
-# the new version of a document changes some of its lines: those at positions divisible by 4
+# the new version of a document changes some of its lines (those at positions divisible by 4); every third
+# document loses its first item, every other third gets a new one in front, so positions shift both ways
+NUMBER = "CAST(substring(doc_name, 4) AS BIGINT)"
+SHIFT = f"(CASE {NUMBER} % 3 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END)"
 CHANGED = "(CASE WHEN item_idx % 4 = 0 AND type = 'text' THEN text || ' Revised.' ELSE text END)"
 VERSIONS = I.CHUNKS + f""",
-new_items AS (SELECT doc_name, item_idx, type, page_idx, cap, table_body, {CHANGED} AS text FROM items),
+new_items AS (SELECT doc_name, item_idx + {SHIFT} AS item_idx, type, page_idx, cap, table_body, {CHANGED} AS text FROM items WHERE item_idx + {SHIFT} >= 0
+  UNION ALL SELECT DISTINCT doc_name, 0, 'text', 0, '', '', 'A new first paragraph of ' || doc_name || ' for this version.' FROM items WHERE {NUMBER} % 3 = 2),
 new_candidates AS (
   SELECT doc_name, item_idx AS chunk_idx, type, page_idx,
          CASE WHEN type = 'text' AND length({I.sql_strip('text')}) > 30 THEN {I.sql_strip('text')}
@@ -283,7 +279,15 @@ def stored_chunks(spark, sf):
 
 
 def _new_items(spark, sf):
-    return I.items(spark, sf).withColumn("text", F.expr(CHANGED))
+    items = I.items(spark, sf)
+    text = F.expr(CHANGED)
+    first = items.where(F.expr(f"item_idx = 0 AND {NUMBER} % 3 = 2")).select("doc_name", F.lit(0).cast("bigint").alias("item_idx"))
+    given = {"type": F.lit("text"), "page_idx": F.lit(0).cast("bigint"), "text": F.concat(
+        F.lit("A new first paragraph of "), F.col("doc_name"), F.lit(" for this version."))}
+    front = first.select("doc_name", "item_idx", *[
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in items.schema.fields if f.name not in ("doc_name", "item_idx")])
+    moved = items.withColumn("text", text).withColumn("item_idx", F.expr(f"item_idx + {SHIFT}")).where("item_idx >= 0")
+    return moved.unionByName(front)
 
 
 @query("diff_document", "WITH " + VERSIONS + " SELECT * FROM status")
@@ -292,7 +296,10 @@ def diff_document(spark, sf):
 
 
 UPSERTED = VERSIONS + f""",
-remaining AS (SELECT c.* FROM chunks c JOIN status s USING (doc_name, content_md5) WHERE NOT (stale > 0 AND kept = 0)),
+placed AS (SELECT doc_name, content_md5, min(chunk_idx) AS at FROM new_hashed GROUP BY ALL),
+touched AS (SELECT DISTINCT doc_name FROM new_items),
+remaining AS (SELECT c.doc_name, p.at AS chunk_idx, c.type, c.content_md5, c.section_tag FROM chunks c JOIN placed p USING (doc_name, content_md5)
+  UNION ALL SELECT doc_name, chunk_idx, type, content_md5, section_tag FROM chunks WHERE doc_name NOT IN (SELECT doc_name FROM touched)),
 fresh AS (SELECT * EXCLUDE (rn) FROM (SELECT h.*, row_number() OVER (PARTITION BY content_md5 ORDER BY doc_name, chunk_idx) AS rn
   FROM new_hashed h JOIN status s USING (doc_name, content_md5) WHERE added = 1 AND length(text) >= 30 AND {I.sql_noise('text')} <= 0.5
   AND NOT {I.sql_loop('text')} AND content_md5 NOT IN (SELECT content_md5 FROM remaining)) WHERE rn = 1)"""
@@ -308,7 +315,7 @@ def upsert_document(spark, sf):
 
 @query("upsert_counts", "WITH " + UPSERTED + """, f AS (SELECT doc_name, count(*) AS added FROM fresh GROUP BY doc_name)
 SELECT doc_name, sum(kept)::BIGINT AS kept, sum(stale)::BIGINT AS stale, coalesce(any_value(f.added), 0) AS added
-FROM status LEFT JOIN f USING (doc_name) GROUP BY doc_name""")
+FROM status LEFT JOIN f USING (doc_name) WHERE doc_name IN (SELECT doc_name FROM touched) GROUP BY doc_name""")
 def upsert_counts(spark, sf):
     return N.upsert_documents(stored_chunks(spark, sf), _new_items(spark, sf))[1]
 

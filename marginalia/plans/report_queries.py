@@ -9,7 +9,6 @@ from marginalia.operators import lookups as L
 from marginalia.operators import mutate as M
 from marginalia.operators import reports as P
 from marginalia.plans import inputs as I
-from marginalia.plans.chunk_queries import block
 from marginalia.plans.registry import query
 from marginalia.plans.text_queries import SCORED
 
@@ -75,7 +74,7 @@ SELECT sum(k)::BIGINT AS semantic_chunks, round(sum(chars) / sum(k), 6) AS seman
   round(sum(chars) / sum(ceil(chars / 512)), 6) AS fixed_avg_length, any_value(crossing) AS crossing_chunks,
   round(any_value(crossing) / sum(ceil(chars / 512)), 6) AS crossing_share FROM d, c""")
 def chunking_comparison(spark, sf):
-    return V.chunking_comparison(I.chunks(spark, sf), block=block(spark, sf))
+    return V.chunking_comparison(I.chunks(spark, sf))
 
 
 ITEM_COUNTS = """count(*) AS items, count(DISTINCT page_idx) AS pages, count(*) FILTER (type = 'text') AS text_items, count(*) FILTER (type = 'table') AS table_items,
@@ -193,9 +192,9 @@ def _feedback(spark, sf):
         F.col("event_type").isin("error", "click"), "not_helpful").otherwise("helpful").alias("rating"))
 
 
-@query("feedback_stats", "WITH " + FEEDBACK + """, l AS (SELECT * FROM feedback ORDER BY created_at DESC, feedback_id DESC LIMIT 500)
+@query("feedback_stats", "WITH " + FEEDBACK + """
 SELECT count(*) AS total, count(*) FILTER (rating = 'helpful') AS helpful, count(*) FILTER (rating <> 'helpful') AS not_helpful,
- round(count(*) FILTER (rating = 'helpful') / count(*) * 100, 1) AS rate FROM l""")
+ round(count(*) FILTER (rating = 'helpful') / count(*) * 100, 1) AS rate FROM feedback""")
 def feedback_stats(spark, sf):
     return P.feedback_stats(_feedback(spark, sf))
 

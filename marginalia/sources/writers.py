@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.keyed import BLOCK
 from marginalia.sources import schemas as S
 
 BUCKETS = 256
+#: Tasks, and files, that the documents of one bucket are spread over.
+SPREAD = 16
 
 # ---- fixed values: audit events with their fields; text cut to the given length -----------
 AUDIT_EVENTS = {
@@ -53,13 +54,13 @@ def bucket_of(doc: str = "doc_name", buckets: int = BUCKETS) -> Column:
 def save_kb(chunks: DataFrame, folder: str, buckets: int = BUCKETS, touched: DataFrame | None = None) -> None:
     """Write the chunk table partitioned by document bucket.
 
-    A document larger than one block is spread over several files of its bucket. With
+    A second hash of the document spreads a bucket over ``SPREAD`` tasks and files. With
     ``touched(bucket)`` just those buckets are replaced (``chunks`` then holds all their rows);
     each gets an empty marker row, so that a bucket whose last chunk went is replaced too.
     """
     names = [f.split()[0] for f in S.CHUNKS.split(", ")]
     out = chunks.select(*names).withColumn("bucket", bucket_of(buckets=buckets)).withColumn(
-        "_part", F.floor(F.col("chunk_idx") / BLOCK)).repartition("bucket", "_part").drop("_part")
+        "_part", F.pmod(F.xxhash64("doc_name", F.lit(1)), F.lit(SPREAD))).repartition("bucket", "_part").drop("_part")
     if touched is not None:
         markers = touched.select("bucket").distinct().select(
             *[F.lit(None).cast(t).alias(n) for n, t in out.dtypes if n != "bucket"], "bucket")

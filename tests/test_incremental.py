@@ -71,3 +71,17 @@ def test_removal_leaves_other_ids(spark):
     gone = spark.createDataFrame([("a",), ("a",)], "doc_name string")
     assert [r.vec_id for r in N.remove_documents(v, gone).collect()] == [5]
     assert N.next_vector_id(v).first().next_id == 10 and N.next_vector_id(v.limit(0)).first().next_id == 0
+
+
+def test_kept_chunks_move_with_the_new_version(spark):
+    """Insertion and removal at the front: positions are those of the new version, each once."""
+    a, b, c, d = PHRASES[:4]
+    table = ingest.build_chunks(items_of(spark, {"x": [a, b, d]}))
+    state, counts = N.upsert_documents(table, items_of(spark, {"x": [c, a, b]}))
+    assert sorted((r.chunk_idx, r.text) for r in state.collect()) == [(0, c), (1, a), (2, b)]
+    assert [(r.kept, r.stale, r.added) for r in counts.collect()] == [(2, 1, 1)]
+    again, counts = N.upsert_documents(state, items_of(spark, {"x": [c, a, b]}))
+    assert sorted((r.chunk_idx, r.text) for r in again.collect()) == [(0, c), (1, a), (2, b)]
+    assert [(r.kept, r.stale, r.added) for r in counts.collect()] == [(3, 0, 0)]
+    less, _ = N.upsert_documents(state, items_of(spark, {"x": [b]}))
+    assert [(r.chunk_idx, r.text) for r in less.collect()] == [(0, b)]

@@ -1,4 +1,4 @@
-"""Block-wise primitives give what whole-key windows give, also on a key with most rows."""
+"""Per-key primitives against plain walks, also on a key with most rows."""
 
 import random
 
@@ -26,13 +26,20 @@ def same(a, b):
     assert sorted(map(repr, a.select(cols).collect())) == sorted(map(repr, b.select(cols).collect()))
 
 
-@pytest.mark.parametrize("block", [1, 3, 64])
-def test_blocks_equal_windows(rows, block):
+def test_windows_equal_a_walk(rows):
     keys = ["doc_name"]
-    same(K.with_previous(rows, keys, "idx", ["tag"]), K.with_previous(rows, keys, "idx", ["tag"], block))
-    same(K.with_run_start(rows, keys, "idx", F.col("flag")), K.with_run_start(rows, keys, "idx", F.col("flag"), block=block))
-    same(K.with_running_sum(rows, keys, "idx", "n", "s"), K.with_running_sum(rows, keys, "idx", "n", "s", block))
-    same(K.with_position(rows, keys, "idx"), K.with_position(rows, keys, "idx", block=block))
+    df = K.with_run_start(K.with_running_sum(K.with_previous(rows, keys, "idx", ["tag"]), keys, "idx", "n", "s"), keys, "idx", F.col("flag"))
+    got = {(r.doc_name, r.idx): r for r in K.with_position(df, keys, "idx").collect()}
+    data = rows.collect()
+    assert len(got) == len(data)
+    for key in {r.doc_name for r in data}:
+        total, before, start = 0, None, None
+        for i, r in enumerate(sorted((r for r in data if r.doc_name == key), key=lambda r: r.idx)):
+            g = got[key, r.idx]
+            start = r.idx if r.flag else start
+            assert (g.prev_tag, g.prev_idx) == ((before.tag, before.idx) if before else (None, None))
+            assert (g.s, g.run_start, g.position) == (total, start, i)
+            total, before = total + r.n, r
 
 
 def test_pairs_are_greedy_from_the_left(rows):
@@ -47,9 +54,7 @@ def test_pairs_are_greedy_from_the_left(rows):
                 want[key, i], taken = i, r.flag and i + 1 < len(items)
     last = dense.groupBy("doc_name").agg(F.max("p").alias("l"))
     flagged = dense.join(last, "doc_name").withColumn("flag", F.col("flag") & (F.col("p") < F.col("l"))).drop("l")
-    for block in (None, 5):
-        got = {(r.doc_name, r.p): r.head for r in K.pair_up(flagged, ["doc_name"], "p", "flag", block).collect()}
-        assert got == want
+    assert {(r.doc_name, r.p): r.head for r in K.pair_up(flagged, ["doc_name"], "p", "flag").collect()} == want
 
 
 def _by_key(rows):
@@ -59,22 +64,27 @@ def _by_key(rows):
     return out
 
 
-def test_block_is_chosen_by_the_largest_key(rows):
-    assert K.block_for(rows, ["doc_name"], 1000) is None
-    assert K.block_for(rows, ["doc_name"], 100) == 100
-
-
-def test_merges_do_not_depend_on_blocks(rows, spark):
-    chunks = rows.select("doc_name", F.col("idx").alias("chunk_idx"), F.col("tag").alias("section_tag"), (F.col("n") % 2).alias("page_idx"),
-                         F.concat(F.lit("t"), F.col("idx").cast("string")).alias("text"),
-                         F.concat("doc_name", F.lit(" [p."), (F.col("n") % 2).cast("string"), F.lit("]")).alias("source"))
-    plain = C.merge_adjacent(chunks, None)
-    same(plain, C.merge_adjacent(chunks, 4))
-    same(plain, C.merge_adjacent(chunks))
-    same(C.merge_candidates(plain, block=None), C.merge_candidates(plain, block=4))
-    paras = rows.select("doc_name", F.col("idx").alias("para_idx"), "n", F.floor(F.col("idx") / 10).alias("page_idx"), F.concat(
-        F.when(F.col("tag") == "x", "methods ").when(F.col("tag") == "y", "results ").otherwise(""), F.lit("w" * 60)).alias("text"))
-    same(C.section_islands(paras, block=None), C.section_islands(paras, block=6))
+def test_a_document_of_200000_rows_like_any_other(spark):
+    """The rows of one large document equal those of the same document cut into small ones at page borders."""
+    n, page = 200_000, 50
+    base = spark.range(n).select(F.col("id").alias("chunk_idx"), F.floor(F.col("id") / page).alias("page_idx"),
+                                 F.element_at(F.array(*map(F.lit, ["methods", "results", "safety"])), (F.floor(F.col("id") / 7) % 3 + 1).cast("int"))
+                                 .alias("section_tag"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    def merged(doc):
+        c = base.withColumn("doc_name", doc).withColumn("source", F.concat("doc_name", F.lit(" [p.0]")))
+        m = C.merge_adjacent(c)
+        return m, m.select("section_tag", "page_start", "merged", "text")
+    one, a = merged(F.lit("big"))
+    _, b = merged(F.concat(F.lit("d"), F.col("page_idx").cast("string")))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert one.agg(F.max("chunk_idx") + 1, F.count("*")).first()[0] == one.count()
+
+
+def test_one_scan_and_no_job_while_planning(spark, sf):
+    from marginalia.plans import QUERIES
+    for name in ("merge_adjacent", "section_islands"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") + plan.count("LogicalRDD") == 1, name
 
 
 def test_first_per_key_keeps_one_of_many_copies(spark):
