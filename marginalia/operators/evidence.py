@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import grading as G
@@ -114,25 +115,21 @@ def evidence_distribution(findings: DataFrame, topic: str = "query_id") -> DataF
 def compare_pairs(findings: DataFrame, topic: str = "query_id") -> DataFrame:
     """All pairs of a topic's findings, strongest evidence first.
 
-    A topic has at most eight findings (``hit_findings``), so its pairs, at most 28, are made
-    inside one row from a small array; nothing is joined.
+    Every finding given takes part; how many a topic has is decided where they are searched
+    (``hit_findings`` keeps eight). The pairs are the result, so they come from an equi join on the
+    topic and never stand in one row.
     """
     order = lookup(F.coalesce("evidence", F.lit("unknown")), rules.MATRIX_LABEL_ORDER, 6)
-    item = F.struct(order.alias("o"), F.col("rank"), F.col("source"), F.col("evidence"), F.col("direction"))
-    bounded = findings.where(F.col("rank") <= MATRIX_HITS)
-    g = bounded.groupBy(topic).agg(F.array_sort(F.collect_list(item)).alias("f")).where(F.size("f") >= 2)
-    pairs = F.flatten(F.transform(F.col("f"), lambda a, i: F.transform(
-        F.slice(F.col("f"), i + 2, F.size("f")), lambda b, j: F.struct(
-            (i + 1).alias("a_no"), (i + j + 2).alias("b_no"), a.alias("a"), b.alias("b")))))
-    p = g.select(topic, F.explode(pairs).alias("p"))
-    same = F.col("p.a.direction") == F.col("p.b.direction")
+    w = W.partitionBy(topic).orderBy(order, "rank", "source")
+    f = findings.select(topic, "source", "evidence", "direction", F.row_number().over(w).alias("no"))
+    a, b = (f.select(topic, *[F.col(c).alias(f"{side}_{c}") for c in ("no", "source", "evidence", "direction")]) for side in "ab")
+    p = a.join(b, topic).where(F.col("a_no") < F.col("b_no"))
+    same = F.col("a_direction") == F.col("b_direction")
     return p.select(
-        topic, F.concat(F.lit("文献"), F.col("p.a_no").cast("string"), F.lit(" vs 文献"),
-                        F.col("p.b_no").cast("string")).alias("pair"),
-        F.col("p.a.source").alias("doc_a"), F.col("p.b.source").alias("doc_b"), same.alias("direction_match"),
-        F.col("p.a.evidence").alias("evidence_a"), F.col("p.b.evidence").alias("evidence_b"),
-        F.when(same, AGREE).otherwise(F.format_string(DISAGREE, F.col("p.a.direction"), F.col("p.b.direction")))
-        .alias("conflict"))
+        topic, F.concat(F.lit("文献"), F.col("a_no").cast("string"), F.lit(" vs 文献"), F.col("b_no").cast("string")).alias("pair"),
+        F.col("a_source").alias("doc_a"), F.col("b_source").alias("doc_b"), same.alias("direction_match"),
+        F.col("a_evidence").alias("evidence_a"), F.col("b_evidence").alias("evidence_b"),
+        F.when(same, AGREE).otherwise(F.format_string(DISAGREE, F.col("a_direction"), F.col("b_direction"))).alias("conflict"))
 
 
 def estimate_grade(hits: DataFrame, key: str = "query_id", top: int = 3, keep: int = 1000,

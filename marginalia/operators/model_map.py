@@ -55,7 +55,7 @@ def model_map(df: DataFrame, prompt: str, key: str, models: Sequence[tuple[str,
     done = asked.mapInPandas(run, f"`{key}` {kind}, _prompt string, {RESULT_FIELDS}")
     if cache is not None:
         done = done.withColumn("prompt_md5", F.md5(F.left("_prompt", F.lit(CACHE_PREFIX)))).join(
-            cache.select("prompt_md5", F.col("data").alias("_cached")), "prompt_md5", "left")
+            cache.groupBy("prompt_md5").agg(F.min("data").alias("_cached")), "prompt_md5", "left")  # one answer per hash
         use = ~F.col("success") & F.col("_cached").isNotNull()
         done = (done.withColumn("data", F.when(use, F.col("_cached")).otherwise(F.col("data")))
                 .withColumn("model", F.when(use, "cache").otherwise(F.col("model")))

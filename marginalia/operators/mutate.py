@@ -22,9 +22,10 @@ TASK_COLUMNS = [
 
 
 def _latest(changes: DataFrame, key: str, at: str) -> DataFrame:
-    """One change per key, the latest; an aggregate, so repeated changes combine early."""
+    """One change per key, the latest, of equally late ones the largest row; an aggregate, so repeated
+    changes combine early."""
     rest = [c for c in changes.columns if c != key]
-    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("_c")).select(
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("_c")).select(
         key, *[F.col("_c")[c].alias(f"_{c}") for c in rest])
 
 

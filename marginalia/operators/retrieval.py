@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,9 +43,16 @@ def _scan(vectors: DataFrame, ids: pa.Array, matrix: np.ndarray, k: int, id_type
             m = batch.num_rows
             if m == 0 or not len(q):
                 continue
+            held = batch.column("embedding")
+            whole = pc.fill_null(pc.equal(pc.list_value_length(held), q.shape[1]), False)
+            batch = batch.filter(whole)  # null vectors and those of another length cannot be compared
             vec_id = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            v = v.astype(np.float64).reshape(m, -1)
+            v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec_id), -1)
+            sound = np.isfinite(v).all(axis=1)  # a null component reads as NaN
+            vec_id, v = vec_id[sound], v[sound]
+            m = len(vec_id)
+            if m == 0:
+                continue
             step = max(1, 4_000_000 // m)  # bounds the score block
             for at in range(0, len(q), step):
                 block = np.round(q[at:at + step] @ v.T, SCORE_DIGITS)
@@ -55,11 +63,11 @@ def _scan(vectors: DataFrame, ids: pa.Array, matrix: np.ndarray, k: int, id_type
                 rows = np.concatenate([rows, r + at])
                 found = np.concatenate([found, vec_id[c]])
                 scores = np.concatenate([scores, block[r, c]])
-            keep = _better(rows, found, scores, k)
-            rows, found, scores = rows[keep], found[keep], scores[keep]
+                keep = _better(rows, found, scores, k)  # many equal scores pass the floor: cut at once
+                rows, found, scores = rows[keep], found[keep], scores[keep]
             full = np.bincount(rows, minlength=len(q)) >= k
             last = np.searchsorted(rows, np.arange(len(q)), side="right") - 1
-            worst = np.where(full, scores[last], -np.inf)
+            worst = np.where(full, scores[np.maximum(last, 0)], -np.inf)
         if len(rows):
             yield pa.RecordBatch.from_arrays(
                 [query_ids.take(pa.array(rows)), pa.array(found, pa.int64()), pa.array(scores, pa.float64())],
@@ -75,7 +83,8 @@ def topk_inner_product(queries: DataFrame, vectors: DataFrame, k: int = 5, min_s
     """Exact flat search: the ``k`` best vectors per query, then the strict score threshold.
 
     ``queries(query_id, embedding)``, ``vectors(vec_id, embedding)``; gives
-    ``(query_id, vec_id, score, rank)``. Vectors are read once and never shuffled: each task
+    ``(query_id, vec_id, score, rank)``. Vectors that are null, hold nulls or non-finite numbers, or
+    differ in length from the queries (all of one length) take no part; neither do such queries. Vectors are read once and never shuffled: each task
     scores its batches as matrix products, keeps a running best ``k`` per query, and only those
     rows are ranked. The query matrix is shipped to the tasks after a check that it has at most
     ``max_rows`` rows; a larger batch is cut into hash slices below that bound, one pass each.
@@ -84,7 +93,8 @@ def topk_inner_product(queries: DataFrame, vectors: DataFrame, k: int = 5, min_s
     Runs a job to read the queries.
     """
     id_type = queries.schema["query_id"].dataType
-    asked = queries.select("query_id", "embedding")
+    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = queries.select("query_id", "embedding").where(sound & (F.size("embedding") > 0))
 
     def scan(t: pa.Table) -> DataFrame:
         ids = t.column("query_id").combine_chunks()
@@ -116,16 +126,17 @@ def doc_aware_retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame
     """Oversampled search, hard document filter, boost of filtered hits, threshold, cut to ``k``.
 
     ``chunks`` maps ``vec_id`` to at least ``source``; ``targets(query_id, target)``. The
-    filter deliberately comes after the oversampled top-k, as specified.
+    filter deliberately comes after the oversampled top-k, as specified. Hits stay in the order of the
+    search: boosted scores are capped at 1, so many of them tie.
     """
-    hits = topk_inner_product(queries, vectors, max(2 * k, 20), 0.2).drop("rank").join(chunks, "vec_id")
+    hits = topk_inner_product(queries, vectors, max(2 * k, 20), 0.2).withColumnRenamed("rank", "_search").join(chunks, "vec_id")
     filtered = filter_hits_by_doc(hits, targets)
     routed = targets.select("query_id").distinct().withColumn("_routed", F.lit(True))
     boosted = (filtered.join(routed, "query_id", "left")
                .withColumn("score", F.when(F.col("_routed"), F.least(F.lit(1.0), F.col("score") * 1.3))
                            .otherwise(F.col("score"))).drop("_routed")
                .where(F.col("score") > min_score))
-    return top_n_per_key(boosted, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], k)
+    return top_n_per_key(boosted, ["query_id"], [F.col("_search").asc()], k).drop("_search")
 
 
 def dedup_hits(hits: DataFrame, prefix: int = 100) -> DataFrame:
@@ -164,6 +175,7 @@ FALLBACK_CONNECTION = ("\n> ⚠️ AI 推理服务暂时无法连接，以下为
 FALLBACK_AUTH = "\n> ⚠️ AI 推理服务认证失败，请联系管理员检查 API 密钥配置。以下为知识库直接检索结果。"
 FALLBACK_RATE = "\n> ⚠️ AI 推理服务请求过于频繁，请稍后重试。以下为知识库直接检索结果。"
 FALLBACK_OTHER = "\n> ⚠️ Agent 推理引擎暂时不可用，以下为知识库直接检索结果。详情: "
+NOT_AVAILABLE = "抱歉，当前无法处理您的请求。Agent推理引擎和FAISS检索均不可用。\n错误: %s"
 CHART_QUERY_SUFFIX = " 表格 图表"
 # -------------------------------------------------------------------------------------------
 
@@ -177,7 +189,8 @@ def _ordered(value: Column, *order: str) -> Column:
 def assemble_context(hits: DataFrame, queries: DataFrame, keep: int = 10) -> DataFrame:
     """Prompt context per query: up to ten hits, strongest evidence first, with labels.
 
-    ``queries(query_id, text[, evidence_summary, consistency_report])``.
+    ``queries(query_id, text[, evidence_summary, consistency_report])``; a query without hits gets a
+    context of none.
     """
     level = F.coalesce("evidence_level", F.lit(7))
     head = F.concat(F.lit("["), rules.level_label(level), F.lit("] 来源: "), F.col("source"),
@@ -186,9 +199,9 @@ def assemble_context(hits: DataFrame, queries: DataFrame, keep: int = 10) -> Dat
     body = F.concat(head, F.lit("\n"), F.col("text"))
     per = hits.withColumn("_level", level).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("hits"), F.slice(_ordered(body, "_level", "rank"), 1, keep).alias("_items"))
-    items = F.flatten(F.transform(F.col("_items"), lambda x, i: F.array(
-        F.format_string(CONTEXT_ITEM, i + 1), x)))
-    q = queries.join(per, "query_id")
+    items = F.flatten(F.transform(F.col("_items"), lambda x, i: F.array(F.format_string(CONTEXT_ITEM, i + 1), x)))
+    q = queries.join(per, "query_id", "left")  # a query without hits gets a context that says so
+    q = q.withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
 
     def optional(name: str, title: str) -> Column:
         if name not in queries.columns:
@@ -265,7 +278,10 @@ def cross_check_levels(checked: DataFrame) -> DataFrame:
 
 
 def extractive_answer(hits: DataFrame, errors: DataFrame, shown: int = 5, keep: int = 400) -> DataFrame:
-    """Answer made of the first passages when no model is reachable; ``errors(query_id, error)``."""
+    """Answer made of the first passages when no model is reachable; ``errors(query_id, error)``.
+
+    A query without hits gets the fixed answer that nothing is available.
+    """
     quoted = F.concat(F.lit("**来源 "), F.col("rank").cast("string"), F.lit("**: "), F.col("source"),
                       F.lit("\n> "), F.left("text", F.lit(keep)), F.lit("\n"))
     per = hits.where(F.col("rank") <= shown).groupBy("query_id").agg(_ordered(quoted, "rank").alias("_lines"))
@@ -275,8 +291,9 @@ def extractive_answer(hits: DataFrame, errors: DataFrame, shown: int = 5, keep:
             .when(F.contains(F.lower(e), F.lit("auth")) | T.contains_any(e, ["401", "403"]), FALLBACK_AUTH)
             .when(F.contains(F.lower(e), F.lit("rate")) | F.contains(e, F.lit("429")), FALLBACK_RATE)
             .otherwise(F.concat(F.lit(FALLBACK_OTHER), F.left(e, F.lit(60)))))
-    return per.join(errors, "query_id").select("query_id", F.array_join(F.concat(
-        F.array(F.lit(FALLBACK_HEAD)), F.col("_lines"), F.array(note, F.lit(FALLBACK_TAIL))), "\n").alias("answer"))
+    answer = F.array_join(F.concat(F.array(F.lit(FALLBACK_HEAD)), F.col("_lines"), F.array(note, F.lit(FALLBACK_TAIL))), "\n")
+    return errors.join(per, "query_id", "left").select(
+        "query_id", F.when(F.col("_lines").isNotNull(), answer).otherwise(F.format_string(NOT_AVAILABLE, e)).alias("answer"))
 
 
 def numbered_sources(hits: DataFrame, preview: int = 200) -> DataFrame:

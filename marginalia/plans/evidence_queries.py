@@ -175,7 +175,7 @@ def evidence_distribution(spark, sf):
 
 
 @query("compare_pairs", FINDINGS + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE coalesce(evidence, 'unknown')
-  WHEN 'Meta-analysis' THEN 0 WHEN 'RCT' THEN 1 WHEN 'Cohort' THEN 2 WHEN 'Case-control' THEN 3 WHEN 'Case-series' THEN 4 WHEN 'Expert-opinion' THEN 5 ELSE 6 END, rank) AS i FROM findings)
+  WHEN 'Meta-analysis' THEN 0 WHEN 'RCT' THEN 1 WHEN 'Cohort' THEN 2 WHEN 'Case-control' THEN 3 WHEN 'Case-series' THEN 4 WHEN 'Expert-opinion' THEN 5 ELSE 6 END, rank, source) AS i FROM findings)
 SELECT a.query_id, '文献' || a.i || ' vs 文献' || b.i AS pair, a.source AS doc_a, b.source AS doc_b, a.direction = b.direction AS direction_match,
  a.evidence AS evidence_a, b.evidence AS evidence_b, CASE WHEN a.direction = b.direction THEN '一致' ELSE '方向不一致: ' || a.direction || ' vs ' || b.direction END AS conflict
 FROM o a JOIN o b ON a.query_id = b.query_id AND a.i < b.i""")

@@ -45,12 +45,12 @@ def filter_hits_by_doc(spark, sf):
 
 
 @query("doc_aware_retrieve", H + "," + TARGETS + """,
-f AS (SELECT h.query_id, vec_id, source, r.query_id IS NOT NULL AS routed, score FROM hits h
+f AS (SELECT h.query_id, vec_id, source, r.query_id IS NOT NULL AS routed, score, rank AS search FROM hits h
   LEFT JOIN (SELECT DISTINCT query_id FROM targets) r ON r.query_id = h.query_id
   WHERE score > 0.2 AND (r.query_id IS NULL OR EXISTS (SELECT 1 FROM targets t WHERE t.query_id = h.query_id
     AND (contains(h.source, t.target) OR contains(t.target, h.source))))),
-b AS (SELECT query_id, vec_id, CASE WHEN routed THEN least(1.0, score * 1.3) ELSE score END AS score FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b WHERE score > 0.3)
+b AS (SELECT query_id, vec_id, search, CASE WHEN routed THEN least(1.0, score * 1.3) ELSE score END AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY search) AS rank FROM b WHERE score > 0.3)
 SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def doc_aware_retrieve(spark, sf):
     return Q.doc_aware_retrieve(I.centroid_queries(spark, sf), I.vectors(spark, sf), I.passages(spark, sf),
@@ -85,16 +85,25 @@ LABEL_SQL = ("CASE evidence_level WHEN 1 THEN 'Meta分析/系统综述' WHEN 2 T
              "WHEN 5 THEN '病例报告' WHEN 6 THEN '专家共识' ELSE '未知证据' END")
 
 
-@query("assemble_context", H + f""", o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_level, rank) AS i,
-  count(*) OVER (PARTITION BY query_id) AS n FROM hits)
-SELECT query_id, any_value(n) AS hits, '## 检索上下文' || chr(10) || chr(10) || '查询: topic ' || query_id || chr(10) || chr(10) || chr(10) ||
-  '### 检索结果 (共 ' || any_value(n) || ' 条)' || chr(10) || string_agg(chr(10) || '--- 结果 ' || i || ' ---' || chr(10) || '[' || {LABEL_SQL} ||
-  '] 来源: ' || source || ', 章节: ' || section_tag || chr(10) || text, chr(10) ORDER BY i) FILTER (i <= 10) || chr(10) || chr(10) || chr(10) ||
+# some queries find nothing
+ASKED = "asked AS (SELECT query_id FROM queries UNION ALL SELECT query_id + 1000 FROM queries WHERE query_id % 3 = 0)"
+
+
+def _asked(spark, sf):
+    q = I.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("query_id")).distinct()
+    return q.unionByName(q.where("query_id % 3 = 0").select((F.col("query_id") + 1000).alias("query_id")))
+
+
+@query("assemble_context", H + f""", {ASKED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_level, rank) AS i,
+  count(*) OVER (PARTITION BY query_id) AS n FROM hits),
+t AS (SELECT query_id, any_value(n) AS n, chr(10) || string_agg(chr(10) || '--- 结果 ' || i || ' ---' || chr(10) || '[' || {LABEL_SQL} ||
+  '] 来源: ' || source || ', 章节: ' || section_tag || chr(10) || text, chr(10) ORDER BY i) FILTER (i <= 10) AS listed FROM o GROUP BY query_id)
+SELECT query_id, coalesce(n, 0) AS hits, '## 检索上下文' || chr(10) || chr(10) || '查询: topic ' || query_id || chr(10) || chr(10) || chr(10) ||
+  '### 检索结果 (共 ' || coalesce(n, 0) || ' 条)' || coalesce(listed, '') || chr(10) || chr(10) || chr(10) ||
   '## 回答要求' || chr(10) || '1. 请基于以上检索结果回答问题' || chr(10) || '2. 给出每个关键事实的来源引用（文献+页码+证据等级）' || chr(10) ||
-  '3. 如有多个来源，说明证据是否一致' || chr(10) || '4. 如检索结果不充分，明确指出不确定之处' AS context FROM o GROUP BY query_id""")
+  '3. 如有多个来源，说明证据是否一致' || chr(10) || '4. 如检索结果不充分，明确指出不确定之处' AS context FROM asked LEFT JOIN t USING (query_id)""")
 def assemble_context(spark, sf):
-    q = I.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("query_id")).distinct().withColumn(
-        "text", F.concat(F.lit("topic "), F.col("query_id").cast("string")))
+    q = _asked(spark, sf).withColumn("text", F.concat(F.lit("topic "), F.col("query_id").cast("string")))
     return Q.assemble_context(_hits(spark, sf), q)
 
 
@@ -156,15 +165,17 @@ def cross_check_levels(spark, sf):
 ERRORS = I.pick("query_id", ["Connection reset", "request timeout", "auth failed", "HTTP 403", "rate limited", "HTTP 429", "boom"])
 
 
-@query("extractive_answer", H + f""", e AS (SELECT query_id, {ERRORS} AS error FROM queries)
-SELECT query_id, '## 检索结果 (FAISS 直接检索，未经过 LLM 推理)' || chr(10) || chr(10) || string_agg('**来源 ' || rank || '**: ' || source || chr(10) || '> ' || left(text, 400) || chr(10), chr(10) ORDER BY rank) || chr(10) ||
- CASE any_value(error) WHEN 'Connection reset' THEN '{Q.FALLBACK_CONNECTION}' WHEN 'request timeout' THEN '{Q.FALLBACK_CONNECTION}'
+@query("extractive_answer", H + f""", {ASKED}, e AS (SELECT query_id, {ERRORS} AS error FROM asked),
+t AS (SELECT query_id, string_agg('**来源 ' || rank || '**: ' || source || chr(10) || '> ' || left(text, 400) || chr(10), chr(10) ORDER BY rank) AS quoted
+  FROM hits WHERE rank <= 5 GROUP BY query_id)
+SELECT query_id, CASE WHEN quoted IS NULL THEN '抱歉，当前无法处理您的请求。Agent推理引擎和FAISS检索均不可用。' || chr(10) || '错误: ' || error ELSE
+ '## 检索结果 (FAISS 直接检索，未经过 LLM 推理)' || chr(10) || chr(10) || quoted || chr(10) ||
+ CASE error WHEN 'Connection reset' THEN '{Q.FALLBACK_CONNECTION}' WHEN 'request timeout' THEN '{Q.FALLBACK_CONNECTION}'
  WHEN 'auth failed' THEN '{Q.FALLBACK_AUTH}' WHEN 'HTTP 403' THEN '{Q.FALLBACK_AUTH}' WHEN 'rate limited' THEN '{Q.FALLBACK_RATE}'
- WHEN 'HTTP 429' THEN '{Q.FALLBACK_RATE}' ELSE '{Q.FALLBACK_OTHER}boom' END || chr(10) || '{Q.FALLBACK_TAIL}' AS answer
-FROM hits JOIN e USING (query_id) WHERE rank <= 5 GROUP BY query_id""")
+ WHEN 'HTTP 429' THEN '{Q.FALLBACK_RATE}' ELSE '{Q.FALLBACK_OTHER}boom' END || chr(10) || '{Q.FALLBACK_TAIL}' END AS answer
+FROM e LEFT JOIN t USING (query_id)""")
 def extractive_answer(spark, sf):
-    e = I.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("query_id")).distinct().withColumn("error", F.expr(ERRORS))
-    return Q.extractive_answer(_hits(spark, sf), e)
+    return Q.extractive_answer(_hits(spark, sf), _asked(spark, sf).withColumn("error", F.expr(ERRORS)))
 
 
 @query("numbered_sources", H + """ SELECT query_id, rank AS ref, source, round(score, 3) AS score, left(text, 200) AS text_preview, image_url,
