@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +16,9 @@ from marginalia.streaming import jobs as J
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder next to the checkpoints: shared on a cluster, temporary in tests."""
+    """A fresh folder next to the checkpoints, in the shared folder."""
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    if base.startswith("file:"):
-        return tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file:"))
-    return f"{base}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,7 +75,9 @@ def stream_session_activity(spark, sf):
 @query("stream_graph_delta", "SELECT DISTINCT user_id AS source, event_type AS target FROM events")
 def stream_graph_delta(spark, sf):
     e = _stream(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("event_type").alias("target"), F.col("ts").cast("timestamp").alias("seen_at"))
-    return _drain(spark, J.graph_delta_stream(e, ["source", "target"])).select("source", "target")
+    folder = _scratch(spark)
+    J.graph_delta_stream(e, ["source", "target"], folder + "/rows", folder + "/state").awaitTermination()
+    return spark.read.schema(e.schema).parquet(folder + "/rows").select("source", "target")
 
 
 @query("stream_dedup", "SELECT md5(text) AS content_md5, arg_min('doc' || doc_id, 'doc' || doc_id) AS doc_name FROM documents GROUP BY 1")
@@ -94,11 +93,34 @@ TASK_EVENT = ("CASE event_type WHEN 'view' THEN 'parse_start' WHEN 'signup' THEN
               "WHEN 'purchase' THEN 'graph_ok' ELSE 'cancel' END")
 
 
-@query("stream_task_lifecycle")
+# one task's events in order, step by step: s is the state, since its start, out what the event changed
+LIMIT = "(CASE s WHEN 'parsing' THEN 600 WHEN 'chunking' THEN 300 WHEN 'indexing' THEN 300 END)"
+LIFECYCLE = f"""
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS task_uuid, {TASK_EVENT} AS event, ts,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, {TASK_EVENT}) AS i FROM events),
+walk AS (
+  SELECT task_uuid, 0::BIGINT AS i, 'received' AS s, NULL::TIMESTAMP AS since, NULL::VARCHAR AS was, NULL::VARCHAR AS reason, NULL::TIMESTAMP AS "at"
+  FROM (SELECT DISTINCT task_uuid FROM e)
+  UNION ALL
+  SELECT task_uuid, i, new, CASE WHEN new <> s THEN ts ELSE since END, CASE WHEN new <> s THEN s END,
+    CASE WHEN new = s OR new <> 'failed' THEN NULL WHEN late THEN 'timeout' ELSE 'cancelled' END, ts
+  FROM (SELECT *, CASE WHEN s IN ('done', 'partial', 'failed') THEN s WHEN late OR event = 'cancel' THEN 'failed'
+      WHEN s = 'received' AND event = 'parse_start' THEN 'parsing' WHEN s = 'parsing' AND event = 'parse_done' THEN 'chunking'
+      WHEN s = 'chunking' AND event = 'index_start' THEN 'indexing' WHEN s = 'indexing' AND event = 'graph_ok' THEN 'done' ELSE s END AS new
+    FROM (SELECT w.task_uuid, e.i, e.event, e.ts, w.s, w.since, coalesce(epoch(e.ts) - epoch(w.since) > {LIMIT}, false) AS late
+      FROM walk w JOIN e ON e.task_uuid = w.task_uuid AND e.i = w.i + 1))),
+final AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY task_uuid ORDER BY i DESC) = 1),
+mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS m FROM events)
+SELECT task_uuid, was AS from_state, s AS to_state, "at", reason FROM walk WHERE was IS NOT NULL
+UNION ALL SELECT task_uuid, s, 'failed', since + INTERVAL 1 SECOND * {LIMIT}, 'timeout' FROM final, mark
+WHERE {LIMIT} IS NOT NULL AND since + INTERVAL 1 SECOND * {LIMIT} < m"""
+
+
+@query("stream_task_lifecycle", LIFECYCLE)
 def stream_task_lifecycle(spark, sf):
     e = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("task_uuid"), F.expr(TASK_EVENT).alias("event"),
                                            F.col("ts").cast("timestamp").alias("ts"))
-    return _drain(spark, J.task_lifecycle(e))
+    return _drain(spark, J.task_lifecycle(e, retention_ms=365 * 86_400_000))
 
 
 @query("stream_ingest", "WITH " + I.ITEMS + f""", t AS (SELECT doc_name, item_idx AS chunk_idx, {I.sql_strip('text')} AS text FROM items WHERE type = 'text'),

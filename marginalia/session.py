@@ -37,14 +37,22 @@ def local_session(app: str = "marginalia", cores: str = "*", shuffle: int = 8) -
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
+    # one machine: any folder is shared; checkpoints go with what they hold
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-")).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a scratch one only where unset."""
+    """Use the shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in one process gets a scratch folder; on a cluster that
+    would scatter data over machines, so it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))

@@ -67,13 +67,13 @@ def stream_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def dedup_stream(chunks: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append only chunks whose hash was never stored: an anti join per batch, no growing state."""
+def _append_unseen(rows: DataFrame, fold: Callable[[DataFrame], DataFrame], key: list[str], folder: str, checkpoint: str,
+                   available_now: bool) -> StreamingQuery:
     def apply(batch: DataFrame, batch_id: int) -> None:
-        first = keep_first_copy(batch)
+        first = fold(batch)
         try:
             stored = batch.sparkSession.read.parquet(folder).where(F.col("batch_id") != batch_id)
-            first = first.join(stored.select("content_md5"), "content_md5", "left_anti")
+            first = first.join(stored.select(*key), key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -81,12 +81,17 @@ def dedup_stream(chunks: DataFrame, folder: str, checkpoint: str, available_now:
         first.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
 
-    w = chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def dedup_stream(chunks: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append only chunks whose hash was never stored: an anti join per batch, no growing state."""
+    return _append_unseen(chunks, keep_first_copy, ["content_md5"], folder, checkpoint, available_now)
+
+
 TASK_OUTPUT = "task_uuid string, from_state string, to_state string, at timestamp, reason string"
-TASK_STATE = "state string, since bigint"
+TASK_STATE = "state string, since bigint, last bigint"
 
 # ---- fixed values: what a life-cycle event does to a task ---------------------------------
 NEXT_STATE = {
@@ -109,36 +114,47 @@ def next_state(state: str, event: str) -> tuple[str, str | None]:
     return NEXT_STATE.get((state, event), state), None
 
 
-def task_lifecycle(events: DataFrame) -> DataFrame:
-    """State changes of upload tasks; a stage that overruns its time limit fails.
+#: How long the end of a task is remembered, so that late events cannot start it anew.
+RETENTION_MS = 7 * 86_400_000
+
+
+def task_lifecycle(events: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
+    """State changes of upload tasks; a stage that overruns its time limit fails, at the limit.
 
-    ``events(task_uuid, event, ts)``. A task has a handful of events, so its state is one small
-    row. A task that went partial stays partial.
+    ``events(task_uuid, event, ts)``; events of one time are taken by name. A task that went partial
+    stays partial. The state of a task is one small row. A task that ended, by an event or by a
+    timeout, is remembered for ``retention_ms`` of event time after its last event, then dropped; so
+    is one that never started. What arrives within that time changes nothing any more.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, since = state.get if state.exists else ("received", 0)
+        current, since, last = state.get if state.exists else ("received", 0, 0)
         rows = []
+
+        def limit() -> int | None:
+            return STAGE_TIMEOUT_MS.get(current)
+
         if state.hasTimedOut:
-            if current not in TERMINAL:
-                rows.append((key[0], current, "failed", pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"),
-                             "timeout"))
-            state.remove()
+            if not limit():  # ended, or never started, and remembered long enough
+                state.remove()
+                return
+            at = since + limit()
+            rows.append((key[0], current, "failed", pd.Timestamp(at, unit="ms"), "timeout"))
+            current, since = "failed", at
         else:
-            for pdf in batches:
-                for event, ts in pdf.sort_values("ts")[["event", "ts"]].itertuples(index=False):
-                    now = int(ts.timestamp() * 1000)
-                    limit = STAGE_TIMEOUT_MS.get(current)
-                    if limit and now - since > limit:
-                        new, reason = "failed", "timeout"
-                    else:
-                        new, reason = next_state(current, event)
-                    if new != current:
-                        rows.append((key[0], current, new, ts, reason))
-                        current, since = new, now
-            state.update((current, since))
-            limit = STAGE_TIMEOUT_MS.get(current)
-            if limit:
-                state.setTimeoutTimestamp(max(since + limit, state.getCurrentWatermarkMs() + 1))
+            held = pd.concat(list(batches))[["ts", "event"]].sort_values(["ts", "event"])
+            for ts, event in held.itertuples(index=False):
+                now = int(ts.timestamp() * 1000)
+                last = max(last, now)
+                if limit() and now - since > limit():
+                    new, reason = "failed", "timeout"
+                else:
+                    new, reason = next_state(current, event)
+                if new != current:
+                    rows.append((key[0], current, new, ts, reason))
+                    current, since = new, now
+        state.update((current, since, last))
+        due = since + limit() if limit() else max(since, last) + retention_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=["task_uuid", "from_state", "to_state", "at", "reason"])
 
@@ -154,9 +170,9 @@ def audit_counts(log: DataFrame, size: str = "1 hour", slide: str | None = None)
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "type", "events")
 
 
-def graph_delta_stream(rows: DataFrame, key: list[str]) -> DataFrame:
-    """New nodes or edges, each once, on first sight within the watermark."""
-    return rows.withWatermark("seen_at", WATERMARK).dropDuplicatesWithinWatermark(key)
+def graph_delta_stream(rows: DataFrame, key: list[str], folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append new nodes or edges, each once however the rows arrive: an anti join per batch with the stored keys."""
+    return _append_unseen(rows, lambda batch: batch.dropDuplicates(key), key, folder, checkpoint, available_now)
 
 
 def session_activity(turns: DataFrame, gap: str = SESSION_GAP) -> DataFrame:

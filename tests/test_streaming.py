@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import ingest
@@ -83,7 +84,23 @@ def walk(events):
     return out
 
 
-def test_lifecycle_equals_a_walk(spark, tmp_path):
+def lifecycle(spark, path, batches):
+    """Run the stream over one file per batch; (from, to, reason) per task in order."""
+    schema = "task_uuid string, event string, ts timestamp"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(path / "ev"))
+        src = spark.readStream.schema(schema).json(str(path / "ev"))
+        q = (J.task_lifecycle(src).writeStream.format("parquet").option("path", str(path / "out"))
+             .option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = {}
+    for r in spark.read.parquet(str(path / "out")).orderBy("task_uuid", "at").collect():
+        got.setdefault(r.task_uuid, []).append((r.from_state, r.to_state, r.reason))
+    return got
+
+
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_lifecycle_equals_a_walk(spark, tmp_path, cuts):
     rnd, start = random.Random(5), datetime(2024, 1, 1)
     kinds = ["parse_start", "parse_done", "index_start", "graph_ok", "graph_failed", "cancel", "error"]
     rows, want = [], {}
@@ -95,20 +112,33 @@ def test_lifecycle_equals_a_walk(spark, tmp_path):
             events.append((kind, at))
             rows.append((f"t{task}", kind, at))
         want[f"t{task}"] = walk(events)
-    spark.createDataFrame(pd.DataFrame(rows, columns=["task_uuid", "event", "ts"])).coalesce(1).write.json(str(tmp_path / "ev"))
-    src = spark.readStream.schema("task_uuid string, event string, ts timestamp").json(str(tmp_path / "ev"))
-    q = (J.task_lifecycle(src).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {}
-    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("task_uuid", "at").collect():
-        got.setdefault(r.task_uuid, []).append((r.from_state, r.to_state, r.reason))
+    rows.sort(key=lambda r: r[2])
+    size = -(-len(rows) // cuts)
+    got = lifecycle(spark, tmp_path, [rows[i:i + size] for i in range(0, len(rows), size)])
     for task, steps in want.items():
         extra = got.get(task, [])[len(steps):]
         assert got.get(task, [])[:len(steps)] == steps
         assert all(s[1:] == ("failed", "timeout") for s in extra)  # silent stages run out of time
 
 
+def test_a_task_that_timed_out_stays_so(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    got = lifecycle(spark, tmp_path, [[("a", "parse_start", at(0))], [("b", "parse_start", at(60))], [("c", "parse_start", at(61))],
+                                      [("a", "parse_done", at(62)), ("a", "parse_start", at(63))], [("d", "cancel", at(90))]])
+    assert got["a"] == [("received", "parsing", None), ("parsing", "failed", "timeout")]
+
+
+def test_graph_delta_is_once_per_key_over_any_batches(spark, tmp_path):
+    schema = "source string, target string, seen_at timestamp"
+    for day in range(1, 5):
+        spark.createDataFrame([("a", "b", datetime(2024, 1, day)), ("a", f"x{day}", datetime(2024, 1, day))] * 2, schema).coalesce(1) \
+            .write.mode("append").json(str(tmp_path / "src"))
+        J.graph_delta_stream(spark.readStream.schema(schema).json(str(tmp_path / "src")), ["source", "target"],
+                             str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r.source, r.target) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "b"), ("a", "x1"), ("a", "x2"), ("a", "x3"), ("a", "x4")]
+
+
 def test_lifecycle_transitions():
     assert J.next_state("indexing", "graph_failed") == ("partial", None)
     assert J.next_state("partial", "error") == ("partial", None)
