@@ -75,9 +75,13 @@ def read_content_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_name, page_idx, text)`` from ``*_pages.json`` arrays of strings."""
-    good, _ = split_corrupt(read_whole_files(spark, f"{folder}/*_pages.json"))
-    return good.select(F.regexp_replace("file_name", r"_pages\.json$", "").alias("doc_name"),
+    """``(doc_name, page_idx, text)`` of all readable ``*_pages.json`` files of a folder."""
+    return parse_pages(split_corrupt(read_whole_files(spark, f"{folder}/*_pages.json"))[0])
+
+
+def parse_pages(files: DataFrame) -> DataFrame:
+    """``(doc_name, page_idx, text)`` from arrays of page texts."""
+    return files.select(F.regexp_replace("file_name", r"_pages\.json$", "").alias("doc_name"),
                        F.posexplode(F.from_json("value", "array<string>")).alias("page_idx", "text")).select(
         "doc_name", F.col("page_idx").cast("bigint").alias("page_idx"), "text")
 
