@@ -25,22 +25,43 @@ def hits_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "vec_id")
 
 
-def match_files(files: DataFrame, docs: DataFrame, name: str = "file_name", doc: str = "doc_name") -> DataFrame:
-    """Files whose stem equals or occurs inside a document name.
+#: Characters of the pieces that a containment join is keyed by.
+GRAM = 6
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """All distinct pieces of ``n`` characters; none of a shorter text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - n + 1
+    at = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, n)))
+
 
-    Containment as an equi join: a name is expanded to its substrings of only those lengths
-    that some stem has, duplicates fold before the shuffle, and files semi join on the stem.
-    Work grows with files + names, not with their product.
+def containments(stems: DataFrame, names: DataFrame) -> DataFrame:
+    """``(_stem, _name)`` of every distinct name that contains a distinct stem; empty stems match nothing.
+
+    Names are cut into pieces of ``GRAM`` characters, as many as a name is long. A stem is looked up
+    by one of its pieces, the one that fewest names have, and only those names are searched. Stems
+    shorter than a piece are looked up whole among pieces of their own length.
     """
+    stems, names = stems.select("_stem").distinct(), names.select("_name").distinct()
+    size = F.least(F.length("_stem"), F.lit(GRAM))
+    used = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+    wanted = stems.where(F.length("_stem") > 0).select("_stem", F.explode(_grams(F.col("_stem"), size)).alias("_gram"))
+    lengths = wanted.select(F.length("_gram").alias("n")).distinct()  # at most GRAM rows
+    pieces = (names.select("_name", F.explode(used).alias("n")).join(F.broadcast(lengths), "n")
+              .select("_name", F.explode(_grams(F.col("_name"), F.col("n"))).alias("_gram")))
+    seen = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    keyed = wanted.join(seen, "_gram").groupBy("_stem").agg(
+        F.min_by("_gram", F.struct("_names", "_gram")).alias("_gram"))
+    return keyed.join(pieces, "_gram").where(F.contains("_name", F.col("_stem"))).select("_stem", "_name")
+
+
+def match_files(files: DataFrame, docs: DataFrame, name: str = "file_name", doc: str = "doc_name") -> DataFrame:
+    """Files whose stem equals or occurs inside a document name."""
     stems = files.withColumn("_stem", F.replace(F.col(name), F.lit(".pdf"), F.lit("")))
-    lengths = stems.select(F.array_sort(F.collect_set(F.length("_stem"))).alias("_lens")).scalar()
-    parts = (docs.select(F.col(doc).alias("_doc")).distinct()
-             .withColumn("_len", F.explode(lengths))
-             .where((F.col("_len") > 0) & (F.col("_len") <= F.length("_doc")))
-             .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_doc") - F.col("_len") + 1),
-                                           lambda i: F.substring(F.col("_doc"), i, F.col("_len"))))
-                     .alias("_stem")).distinct())
-    hit = stems.join(parts, "_stem", "left_semi").select(name).distinct().withColumn("_hit", F.lit(True))
+    found = containments(stems, docs.select(F.col(doc).alias("_name"))).select("_stem").distinct()
+    hit = stems.join(found, "_stem", "left_semi").select(name).distinct().withColumn("_hit", F.lit(True))
     return (files.join(hit, name, "left")
             .withColumn("status", F.when(F.col("_hit"), "indexed").otherwise("uploaded")).drop("_hit"))
 

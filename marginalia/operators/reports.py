@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.operators.keyed import top_n_per_key, with_position
+from marginalia.operators.lookups import containments
 
 
 def count(name: str = "n") -> Column:
@@ -45,19 +46,15 @@ def document_profile(chunks: DataFrame, top: int = 4) -> DataFrame:
 def document_coverage(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks, content types and pages of the documents matching each asked name (any case).
 
-    ``names(asked)``. Exact-name hits use an equi join; substring hits reuse the containment
-    join of ``lookups``. Names nobody matches are reported as not found.
+    ``names(asked)``; matches come from the containment join of ``lookups``. Names nobody matches are reported as not found.
     """
     per_doc = chunks.groupBy("doc_name").agg(
         count("chunks"), F.array_sort(F.collect_set("type")).alias("types"),
         F.count_distinct("page_idx").alias("pages"))
     asked = names.select("asked", F.lower("asked").alias("_stem")).distinct()
-    lengths = asked.select(F.array_sort(F.collect_set(F.length("_stem"))).alias("l")).scalar()
-    parts = (per_doc.withColumn("_low", F.lower("doc_name")).withColumn("_len", F.explode(lengths))
-             .where((F.col("_len") > 0) & (F.col("_len") <= F.length("_low")))
-             .withColumn("_stem", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("_low") - F.col("_len") + 1),
-                 lambda i: F.substring(F.col("_low"), i, F.col("_len")))))))
+    low = per_doc.withColumn("_name", F.lower("doc_name"))
+    pairs = containments(asked, low)
+    parts = low.join(pairs, "_name")
     found = parts.join(asked, "_stem").groupBy("asked").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("chunks").alias("chunks"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
