@@ -191,6 +191,7 @@ def apply_merge_decisions(merged: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def merge_elements(items: DataFrame) -> DataFrame:
     """Short text joins what follows: under 300 characters a table, under 80 text of its page.
+    Text that carries a table caption of its own joins no table.
 
     ``item_idx`` is dense within a document (as the reader delivers it). Pairs are consumed
     left to right, a merged item is not merged again.
@@ -199,7 +200,8 @@ def merge_elements(items: DataFrame) -> DataFrame:
     i = with_previous(i, ["doc_name"], "_back", ["_it"]).withColumnRenamed("prev__it", "_next")
     n = F.length(F.coalesce("text", F.lit("")))
     is_text = F.col("type") == "text"
-    to_table = is_text & (F.col("_next.type") == "table") & (n < 300)
+    captioned = F.col("table_caption").isNotNull() if "table_caption" in items.columns else F.lit(False)
+    to_table = is_text & ~captioned & (F.col("_next.type") == "table") & (n < 300)
     to_text = (is_text & (F.col("_next.type") == "text")
                & F.equal_null("page_idx", F.col("_next.page_idx")) & (n < 80))
     i = i.withColumn("_kind", F.when(to_table, "table").when(to_text, "text"))

@@ -156,6 +156,11 @@ def evidence_summary(evidence: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("documents"))
 
 
+def documents_by_level(evidence: DataFrame) -> DataFrame:
+    """Titles under each evidence level name, a row per document."""
+    return evidence.select(rules.level_name("evidence_level").alias("level"), "doc_title")
+
+
 def relation_summary(relations: DataFrame) -> DataFrame:
     """Relations per type."""
     return relations.groupBy("relation_type").agg(F.count(F.lit(1)).alias("relations"))

@@ -199,6 +199,13 @@ def evidence_summary(spark, sf):
     return E.evidence_summary(_evidence(spark, sf))
 
 
+@query("documents_by_level", f"""SELECT CASE {_LV} WHEN 1 THEN 'META_ANALYSIS' WHEN 2 THEN 'RCT' WHEN 3 THEN 'COHORT' WHEN 4 THEN 'CASE_CONTROL' WHEN 5 THEN 'CASE_REPORT'
+ WHEN 6 THEN 'EXPERT_CONSENSUS' ELSE 'UNKNOWN' END AS level, doc_id::VARCHAR AS doc_title FROM documents""")
+def documents_by_level(spark, sf):
+    e = _evidence(spark, sf)
+    return E.documents_by_level(e.withColumn("doc_title", F.substring("doc_name", 4, 20)))
+
+
 @query("relation_summary", "WITH " + I.EDGES + " SELECT relation_type, count(*) AS relations FROM edges GROUP BY relation_type")
 def relation_summary(spark, sf):
     return E.relation_summary(I.edges(spark, sf))
