@@ -130,43 +130,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 #: Near copies: words per shingle, and the least share of common shingles.
 SHINGLE, SIMILAR = 5, 0.8
-#: Bits of a words' fingerprint that may differ between near copies, out of 128.
-WIDE_RADIUS = 5
+#: Fingerprints of single words: how many, of how many bits each, and bits in which near copies may differ in one.
+#: More bits leave fewer unlike candidates in a larger corpus, more fingerprints find more of the like ones.
+WORD_PRINTS, WORD_BITS, WORD_RADIUS = 3, 80, 4
+#: 64-bit parts of a fingerprint.
+PARTS = 4
 
 
 def wide_simhash():
-    """Column function ``text -> (w0, w1, s0, s1)``: 128-bit SimHashes of single words and of five-word shingles.
+    """Column function ``text -> struct``: 256-bit SimHashes of single words (w0..w3) and of five-word shingles (s0..s3).
 
     Words as in :func:`simhash`; a text with fewer words than a shingle is one shingle, and one
     without words has zeros.
     """
-    @F.pandas_udf("w0 long, w1 long, s0 long, s1 long")
+    names = [f"{side}{i}" for side in "ws" for i in range(PARTS)]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
         from xxhash import xxh3_128_digest
 
         def majority(items, n: int) -> list[int]:
-            counts = np.zeros(128, dtype=np.int64)
+            counts = np.zeros(256, dtype=np.int64)
             for start in range(0, n, 8192):
-                raw = np.frombuffer(b"".join([xxh3_128_digest(x) for x in items(start, min(start + 8192, n))]), dtype=np.uint8)
-                counts += np.add.reduce(np.unpackbits(raw.reshape(-1, 16), axis=1), axis=0, dtype=np.uint16)
+                part = items(start, min(start + 8192, n))
+                raw = np.frombuffer(b"".join([xxh3_128_digest(x, seed) for x in part for seed in (0, 1)]), dtype=np.uint8)
+                counts += np.add.reduce(np.unpackbits(raw.reshape(-1, 32), axis=1), axis=0, dtype=np.uint16)
             return np.packbits(2 * counts > n).view(">i8").tolist()
 
         def one(text) -> list[int]:
             words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
             if not words:
-                return [0, 0, 0, 0]
+                return [0] * len(names)
             k = min(SHINGLE, len(words))
             shingles = lambda a, b: [b" ".join(s) for s in zip(*(words[a + i:b + i] for i in range(k)))]
             return majority(lambda a, b: words[a:b], len(words)) + majority(shingles, len(words) - k + 1)
 
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["w0", "w1", "s0", "s1"], dtype="int64")
+            yield pd.DataFrame([one(t) for t in texts], columns=names, dtype="int64")
 
     return prints
 
 
-def far_bits(similar: float = SIMILAR, bits: int = 128) -> int:
+def far_bits(similar: float = SIMILAR, bits: int = 64 * PARTS) -> int:
     """Differing bits up to which shingle fingerprints count as similar: what ``similar`` makes likely, and 1.5 deviations."""
     import math
 
@@ -174,34 +180,44 @@ def far_bits(similar: float = SIMILAR, bits: int = 128) -> int:
     return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
 
 
+def word_masks() -> list[tuple[int, ...]]:
+    """Masks as in :func:`masks` for each fingerprint of words, over the four 64-bit parts."""
+    spread, out = _vectors(WORD_RADIUS, WORD_BITS), []
+    for print_ in range(WORD_PRINTS):
+        for v in range(1, 1 << (WORD_RADIUS + 1)):
+            m = sum(1 << (print_ * WORD_BITS + b) for b, x in enumerate(spread) if bin(x & v).count("1") % 2)
+            parts = [m >> (64 * i) & (2 ** 64 - 1) for i in range(PARTS)]
+            out.append(tuple(p - (1 << 64) if p >> 63 else p for p in parts))
+    return out
+
+
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """``(doc_id, component_id)``, a row per row of ``docs``: groups of copies that share most five-word shingles.
 
-    The words' fingerprints of near copies differ in few of 128 bits, so covering masks of radius
-    ``WIDE_RADIUS`` bring them into a common bucket; candidates link when their shingle fingerprints
-    say that at least ``similar`` of the shingles are common. In a bucket everyone is compared with
-    its first and last member, and what these links leave apart is then compared across the parts,
-    all but the largest part with everyone: large groups of copies cost a multiple of their size, and
-    no link between parts is lost. Equal fingerprints fold before any join.
+    The words' fingerprints of near copies differ in few bits, so covering masks bring them into a
+    common bucket; candidates link when their shingle fingerprints say that at least ``similar`` of
+    the shingles are common. In a bucket everyone is compared with its first and last member, and
+    what these links leave apart is then compared across the parts, all but the largest part with
+    everyone: large groups of copies cost a multiple of their size, and no link between parts is
+    lost. Equal fingerprints fold before any join.
     """
     small_batches(docs.sparkSession)
     rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), wide_simhash()(F.col(text)).alias("x")).select("doc_id", "x.*"))
-    sides = ["w0", "w1", "s0", "s1"]
-    groups = checkpointed(rows.groupBy(*sides).agg(F.min("doc_id").alias("id")))
-    every = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(a).alias("m0"), F.lit(b).alias("m1"))
-                      for i, (a, b) in enumerate(wide_masks(WIDE_RADIUS))])
-    placed = groups.select("id", "w0", "w1", F.explode(every).alias("x")).select("id", F.xxhash64(
-        "x.t", F.col("w0").bitwiseAND(F.col("x.m0")), F.col("w1").bitwiseAND(F.col("x.m1"))).alias("key"))
+    words, shingles = [f"w{i}" for i in range(PARTS)], [f"s{i}" for i in range(PARTS)]
+    groups = checkpointed(rows.groupBy(*words, *shingles).agg(F.min("doc_id").alias("id")))
+    every = F.array(*[F.struct(F.lit(i).alias("t"), *[F.lit(p).alias(f"m{n}") for n, p in enumerate(m)]) for i, m in enumerate(word_masks())])
+    placed = groups.select("id", *words, F.explode(every).alias("x")).select("id", F.xxhash64(
+        "x.t", *[F.col(f"w{n}").bitwiseAND(F.col(f"x.m{n}")) for n in range(PARTS)]).alias("key"))
     ends = placed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     met = checkpointed(placed.join(ends, "key"))
-    signs = groups.select("id", "s0", "s1")
+    signs = groups.select("id", *shingles)
     most = far_bits(similar)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = signs.select(F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-        two = signs.select(F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
+        one, two = (signs.select(F.col("id").alias(side), *[F.col(f"s{n}").alias(f"{side}{n}") for n in range(PARTS)]) for side in "ab")
+        far = sum((hamming(f"a{n}", f"b{n}") for n in range(1, PARTS)), hamming("a0", "b0"))
         return (pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(one, "a").join(two, "b").where(hamming("a0", "b0") + hamming("a1", "b1") <= most).select("a", "b"))
+                .join(one, "a").join(two, "b").where(far <= most).select("a", "b"))
 
     first = checkpointed(verified(met.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))))
     parts = checkpointed(components(first))
@@ -213,18 +229,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     across = (apart.where("part != largest").select("key", F.col("id").alias("a"), F.col("part").alias("p"))
               .join(apart.select("key", F.col("id").alias("b"), F.col("part").alias("q")), "key").where("p != q").select("a", "b"))
     linked = components(first.unionAll(verified(across)))
-    named = groups.join(linked, groups["id"] == linked["node"], "left").select(*sides, F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, sides).select("doc_id", "component_id")
-
-
-def wide_masks(radius: int, bits: int = 128) -> list[tuple[int, int]]:
-    """Masks as in :func:`masks` over two 64-bit halves."""
-    spread = _vectors(radius, bits)
-    out = []
-    for v in range(1, 1 << (radius + 1)):
-        m = sum(1 << b for b, x in enumerate(spread) if bin(x & v).count("1") % 2)
-        out.append(tuple(h - (1 << 64) if h >> 63 else h for h in (m & (2 ** 64 - 1), m >> 64)))
-    return out
+    named = groups.join(linked, groups["id"] == linked["node"], "left").select(*words, *shingles, F.coalesce("component", "id").alias("component_id"))
+    return rows.join(named, [*words, *shingles]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -135,9 +135,12 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len(near) > 250 and found >= 0.98 * len(near)
 
 
-def test_wide_masks_cover():
-    masks = [a & (2 ** 64 - 1) | (b & (2 ** 64 - 1)) << 64 for a, b in C.wide_masks(5)]
+def test_word_masks_cover_each_fingerprint():
+    masks = [sum((p & (2 ** 64 - 1)) << (64 * i) for i, p in enumerate(m)) for m in C.word_masks()]
+    assert len(masks) == C.WORD_PRINTS * (2 ** (C.WORD_RADIUS + 1) - 1)
     rnd = random.Random(1)
-    for _ in range(3000):
-        x = sum(1 << b for b in rnd.sample(range(128), 5))
-        assert any(not x & m for m in masks)
+    for _ in range(2000):
+        n = rnd.randrange(C.WORD_PRINTS)
+        x = sum(1 << (n * C.WORD_BITS + b) for b in rnd.sample(range(C.WORD_BITS), C.WORD_RADIUS))
+        own = [m for m in masks if m >> (n * C.WORD_BITS) & (2 ** C.WORD_BITS - 1)]
+        assert any(not x & m for m in own)
