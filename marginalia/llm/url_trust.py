@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import checkpointed, query, table
+from marginalia.llm.common import ORACLES, checkpointed, query, table  # noqa: F401
 
 #: The contract's rules: (host and path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -112,6 +112,39 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, page
                        F.round(distrust, 6).alias("distrust"))
 
 
-@query("op1_url_trust")
+def _oracle(rules: Sequence[tuple[str, str]] = RULES) -> str:
+    """The same in SQL, every propagation step a CTE of its own."""
+    def case(pick) -> str:
+        out = []
+        for text, told in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+            domain, slash, rest = text.partition("/")
+            out.append(f"WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash + rest}') THEN '{pick(text, told)}'")
+        return "CASE " + " ".join(out) + " END"
+
+    low = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
+    link = LINK.replace("'", "''")
+    steps = "".join(f""",
+s{k} AS MATERIALIZED (SELECT host, kind, sum(score) AS score FROM (SELECT host, kind, score FROM s0
+  UNION ALL SELECT w.b, s.kind, {DAMPING} * s.score * w.w FROM s{k - 1} s JOIN ways w ON w.kind = s.kind AND w.a = s.host) GROUP BY host, kind)"""
+                    for k in range(1, STEPS + 1))
+    return f"""
+WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*', 0) AS raw, rest FROM u),
+p AS (SELECT page_id, html, {low('raw')} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM h),
+r AS (SELECT *, {case(lambda text, told: text)} AS rule, {case(lambda text, told: told)} AS told FROM p),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src,
+  {low("regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)")} AS dst FROM links) WHERE dst <> '' AND dst <> src GROUP BY src, dst),
+ways AS MATERIALIZED (SELECT 'trust' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS w FROM edges
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+shares AS (SELECT host, avg((coalesce(told, '') = 'allow')::INT) AS good, avg((coalesce(told, '') = 'block')::INT) AS bad FROM r WHERE host <> '' GROUP BY host),
+s0 AS MATERIALIZED (SELECT host, 'trust' AS kind, good AS score FROM shares WHERE good > 0 UNION ALL SELECT host, 'distrust', bad FROM shares WHERE bad > 0){steps},
+scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM s{STEPS} GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(told, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0)::DOUBLE, 6) AS trust, round(coalesce(distrust, 0)::DOUBLE, 6) AS distrust FROM r LEFT JOIN scores ON scores.host = r.host"""
+
+
+@query("op1_url_trust", _oracle())
 def op1(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
