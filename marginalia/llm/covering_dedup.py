@@ -207,28 +207,28 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     groups = checkpointed(rows.groupBy(*words, *shingles).agg(F.min("doc_id").alias("id")))
     every = F.array(*[F.struct(F.lit(i).alias("t"), *[F.lit(p).alias(f"m{n}") for n, p in enumerate(m)]) for i, m in enumerate(word_masks())])
     placed = groups.select("id", *words, F.explode(every).alias("x")).select("id", F.xxhash64(
-        "x.t", *[F.col(f"w{n}").bitwiseAND(F.col(f"x.m{n}")) for n in range(PARTS)]).alias("key"))
+        "x.t", *[F.col(f"w{n}").bitwiseAND(F.col(f"x.m{n}")) for n in range(PARTS)]).alias("key")).repartition("key")  # one shuffle for the next two steps
     ends = placed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     met = checkpointed(placed.join(ends, "key"))
     signs = groups.select("id", *shingles)
     most = far_bits(similar)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = (signs.select(F.col("id").alias(side), *[F.col(f"s{n}").alias(f"{side}{n}") for n in range(PARTS)]) for side in "ab")
-        far = sum((hamming(f"a{n}", f"b{n}") for n in range(1, PARTS)), hamming("a0", "b0"))
-        return (pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(one, "a").join(two, "b").where(far <= most).select("a", "b"))
+    def sided(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumnsRenamed({"id": side, "part": f"{side}_part", **{f"s{n}": f"{side}{n}" for n in range(PARTS)}})
 
-    first = checkpointed(verified(met.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))))
+    far = sum((hamming(f"a{n}", f"b{n}") for n in range(1, PARTS)), hamming("a0", "b0"))
+    to_ends = met.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a != b").distinct()
+    first = checkpointed(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(far <= most).select("a", "b"))
     parts = checkpointed(components(first))
     in_part = met.select("key", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left") \
         .select("key", "id", F.coalesce("component", "id").alias("part"))
     sizes = in_part.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1")
-    apart = checkpointed(in_part.join(split.select("key", "largest"), "key"))
-    across = (apart.where("part != largest").select("key", F.col("id").alias("a"), F.col("part").alias("p"))
-              .join(apart.select("key", F.col("id").alias("b"), F.col("part").alias("q")), "key").where("p != q").select("a", "b"))
-    linked = components(first.unionAll(verified(across)))
+    # fingerprints go along, so that only links leave the comparison and never its candidates
+    apart = checkpointed(in_part.join(split.select("key", "largest"), "key").join(signs, "id"))
+    across = (sided(apart.where("part != largest").drop("largest"), "a").join(sided(apart.drop("largest"), "b"), "key")
+              .where((F.col("a_part") != F.col("b_part")) & (far <= most)).select("a", "b").distinct())
+    linked = components(first.unionAll(across))
     named = groups.join(linked, groups["id"] == linked["node"], "left").select(*words, *shingles, F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, [*words, *shingles]).select("doc_id", "component_id")
 
