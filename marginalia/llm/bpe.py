@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import query, small_batches, table
 
 #: Distinct pre-tokens and token pairs a task remembers; results do not depend on it.
-MEMO = 400_000
+MEMO = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,11 +136,15 @@ class Backtracker:
         """Ids of one pre-token."""
         got = self.known.get(match)
         if got is None:
-            got = self._encode(match.encode("utf-8").decode("latin-1"))  # a character per byte, for the automaton
+            got = self.fresh(match)
             if len(match) <= 64:
                 self.known.keep(match, got)
         return got
 
+    def fresh(self, match: str) -> tuple[int, ...]:
+        """Like :meth:`encode`, not remembered."""
+        return self._encode(match.encode("utf-8").decode("latin-1"))  # a character per byte, for the automaton
+
     def _encode(self, word: str) -> tuple[int, ...]:
         whole = word.encode("latin-1")
         rank = self.ranks.get(whole)
@@ -190,7 +194,8 @@ def text_encoder(coder: Backtracker, pattern: str):
 
     No match goes on over a blank after a non-blank, so a text may be cut before such blanks, and the
     pieces remembered. Pieces with other white space in or around them are matched together. This
-    holds for patterns whose only optional first character is the blank, as in the public one.
+    holds for patterns whose only optional first character is the blank, as in the public one. Where
+    letters are one match of the pattern, a piece of letters, or of letters and a sign, needs no matching.
     """
     import struct
 
@@ -198,9 +203,21 @@ def text_encoder(coder: Backtracker, pattern: str):
 
     find, known, pieces = regex.compile(pattern).findall, coder.encode, Memo(coder.memo)
 
+    letters, fresh, pack = r" ?\p{L}+" in pattern, coder.fresh, struct.pack
+
     def coded(part: str) -> bytes:
         ids = [i for match in find(part) for i in known(match)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def word(piece: str) -> bytes:
+        """A piece of letters, with the blank before it."""
+        got = pieces.get(piece)
+        if got is None:
+            ids = fresh(" " + piece)
+            got = pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= 64:
+                pieces.keep(piece, got)
+        return got
 
     def encode(text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -223,7 +240,13 @@ def text_encoder(coder: Backtracker, pattern: str):
                 if ids is not None or i < done:
                     continue
                 piece = rest[i]
-                if piece and not piece[-1].isspace():
+                if letters and piece.isalpha():
+                    parts[i] = word(piece)
+                elif letters and piece[:-1].isalpha() and piece[-1] in ".,":
+                    parts[i] = ids = word(piece[:-1]) + coded(piece[-1])
+                    if len(piece) <= 64:
+                        pieces.keep(piece, ids)
+                elif piece and not piece[-1].isspace():
                     parts[i] = ids = coded(" " + piece)
                     if len(piece) <= 64 and len(piece.split(None, 1)) == 1 and not piece[0].isspace():
                         pieces.keep(piece, ids)

@@ -41,12 +41,15 @@ class LibraryWords:
     def encode(self, match: str) -> tuple[int, ...]:
         got = self.known.get(match)
         if got is None:
-            spelled = match.encode("utf-8").decode("latin-1").translate(self.written)
-            got = tuple([token.id for token in self.model.tokenize(spelled)])
+            got = self.fresh(match)
             if len(match) <= 64:
                 self.known.keep(match, got)
         return got
 
+    def fresh(self, match: str) -> tuple[int, ...]:
+        spelled = match.encode("utf-8").decode("latin-1").translate(self.written)
+        return tuple([token.id for token in self.model.tokenize(spelled)])
+
 
 def hilbert_key(points, depth: int):
     """Places on the Hilbert curve of integer points (rows) below ``2 ** depth``, as 64-bit numbers.
@@ -78,15 +81,15 @@ def hilbert_key(points, depth: int):
     return key
 
 
-def curve_places(batch: list[bytes]):
-    """Hilbert keys of documents given as ids (little-endian unsigned 32-bit)."""
+def curve_places(batch: list):
+    """Hilbert keys of documents given as arrays of ids."""
     import numpy as np
 
     rnd = np.random.default_rng(20)
     project = rnd.standard_normal((BUCKETS, DIMENSIONS))
     rows = np.zeros((len(batch), BUCKETS))
     for i, ids in enumerate(batch):
-        hashed = np.frombuffer(ids, dtype="<u4").astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # wraps around
+        hashed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # wraps around
         sign = np.where((hashed >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
         rows[i] = np.bincount((hashed >> np.uint64(56)).astype(np.int64) % BUCKETS, sign, BUCKETS)
     rows = np.sign(rows) * np.log1p(np.abs(rows))
@@ -95,17 +98,23 @@ def curve_places(batch: list[bytes]):
     return hilbert_key(cells, DEPTH)
 
 
-def tokens_on_curve(vocabulary: str, pattern: str, end: int = END):
-    """Column function ``text -> (ids, place)``: ids as binary, ``end`` last, and the place on the curve."""
+def id_bytes(vocabulary: str) -> int:
+    """Bytes that an id of the vocabulary needs: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else 4
+
+
+def tokens_on_curve(vocabulary: str, pattern: str, width: int = 4, end: int = END):
+    """Column function ``text -> (ids, place)``: ids of ``width`` bytes each, ``end`` last, and the place on the curve."""
     @F.pandas_udf("ids binary, place long")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import struct
+        import numpy as np
 
-        last = struct.pack("<I", end)
         encode = of_worker(("words", vocabulary, pattern), lambda: text_encoder(LibraryWords(vocabulary), pattern))
         for texts in batches:
-            ids = [encode(t or "") + last for t in texts]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "place": pd.Series(curve_places(ids), dtype="int64")})
+            ids = [np.append(np.frombuffer(encode(t or ""), dtype="<u4"), np.uint32(end)).astype(f"<u{width}") for t in texts]
+            yield pd.DataFrame({"ids": pd.Series([x.tobytes() for x in ids], dtype=object), "place": pd.Series(curve_places(ids), dtype="int64")})
 
     return coded
 
@@ -127,17 +136,19 @@ def stream_starts(narrow: DataFrame, ranges: int) -> DataFrame:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(size: int):
+def _cut(size: int, width: int):
     def cut(batches):
         import zlib
 
+        import numpy as np
         import pyarrow as pa
 
         names = [f.split()[0] for f in PIECES.split(", ")]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, begin, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "begin", "ids"))):
-                n, at = len(ids) // 4, 0
+                n, at = len(ids) // width, 0
+                ids = memoryview(np.frombuffer(ids, dtype=f"<u{width}").astype("<u4").tobytes())
                 while at < n:
                     sequence, offset = divmod(begin + at, size)
                     length = min(size - offset, n - at)
@@ -159,13 +170,14 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tokens_on_curve(vocabulary, pattern)(F.col(text)).alias("x"))
+    width = id_bytes(vocabulary)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tokens_on_curve(vocabulary, pattern, width)(F.col(text)).alias("x"))
     coded = written(rows.select("doc_id", "x.ids", "x.place", F.monotonically_increasing_id().alias("row")))
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = coded.select("row", "doc_id", "place", (F.length("ids") / 4).cast("long").alias("n"))
+    narrow = coded.select("row", "doc_id", "place", (F.length("ids") / width).cast("long").alias("n"))
     starts = stream_starts(narrow, ranges)
     joined = coded.select("row", "doc_id", "ids").join(starts, "row").select("doc_id", F.col("start").alias("begin"), "ids")
-    return joined.mapInArrow(_cut(size), PIECES)
+    return joined.mapInArrow(_cut(size, width), PIECES)
 
 
 @query("op5_curve_packing")
