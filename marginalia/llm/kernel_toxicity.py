@@ -178,8 +178,10 @@ def _evidence(bags: list[set[str]], signs: list[int]) -> dict[str, float]:
 
     seen = {0: Counter(), 1: Counter()}
     grams = lambda u: {f"\x02{u}\x03"[i:i + 5] for i in range(max(1, len(u) - 2))}
-    for bag, y in zip(bags, signs):
-        seen[y].update({g for u in bag for g in grams(u)})
+    for y in (1, 0):
+        for bag in (b for b, sign in zip(bags, signs) if sign == y):
+            found = {g for u in bag for g in grams(u)}
+            seen[y].update(found if y else found & seen[1].keys())  # others say nothing of toxic text
     n = Counter(signs)
 
     def sure(g: str) -> float:
