@@ -135,53 +135,103 @@ SHINGLE, SIMILAR = 5, 0.8
 WORD_PRINTS, WORD_BITS, WORD_RADIUS = 3, 80, 4
 #: 64-bit parts of a fingerprint.
 PARTS = 4
+#: Bands of least hashes: two documents that share 0.8 of their shingles agree on one of the 50 bands of six with a
+#: probability of 1 - (1 - 0.8^6)^50, so that 3 pairs in 10 million are missed there and fewer above.
+BANDS, DEEP = 50, 6
+#: Bits of a sketch that may differ: a pair at 0.8 differs in 25.6 of 256, with a deviation of 4.8.
+NEAR_BITS = 56
+#: Bits of the filter that leaves out most documents without candidates; it has no false negatives.
+FILTER_BITS = 1 << 23
 
 
-def wide_simhash():
-    """Column function ``text -> struct``: 256-bit SimHashes of single words (w0..w3) and of five-word shingles (s0..s3).
+def shingle_set(text):
+    """The distinct hashes of a text's five-word shingles, in order. Words as in :func:`simhash`; fewer words than a
+    shingle are one shingle, and no words none."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
 
-    Words as in :func:`simhash`; a text with fewer words than a shingle is one shingle, and one
-    without words has zeros.
-    """
-    names = [f"{side}{i}" for side in "ws" for i in range(PARTS)]
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.array([], dtype=np.uint64)
+    k = min(SHINGLE, len(words))
+    return np.array(sorted({xxh3_64_intdigest(b" ".join(s)) for s in zip(*(words[i:] for i in range(k)))}), dtype=np.uint64)
+
+
+def _set_name(hashes) -> int:
+    """A signed number for a set of shingles."""
+    from xxhash import xxh3_64_intdigest
+
+    x = xxh3_64_intdigest(hashes.tobytes()) if len(hashes) else 0
+    return x - (1 << 64) if x >> 63 else x
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def shingle_sketch():
+    """Column function ``text -> struct``: set of shingles by name (node) and size (n), one bit of 256 least hashes
+    (s0..s3), a key per band."""
+    import random
+
+    rnd = random.Random(7)
+    turns = [(rnd.getrandbits(64) | 1, rnd.getrandbits(64)) for _ in range(BANDS * DEEP)]
+    names = ["node", "n", *[f"s{i}" for i in range(PARTS)], "bands"]
+
+    @F.pandas_udf("node long, n int, " + ", ".join(f"s{i} long" for i in range(PARTS)) + ", bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
-        def majority(items, n: int) -> list[int]:
-            counts = np.zeros(256, dtype=np.int64)
-            for start in range(0, n, 8192):
-                part = items(start, min(start + 8192, n))
-                raw = np.frombuffer(b"".join([xxh3_128_digest(x, seed) for x in part for seed in (0, 1)]), dtype=np.uint8)
-                counts += np.add.reduce(np.unpackbits(raw.reshape(-1, 32), axis=1), axis=0, dtype=np.uint16)
-            return np.packbits(2 * counts > n).view(">i8").tolist()
+        by, plus = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*turns))
 
-        def one(text) -> list[int]:
-            words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            if not words:
-                return [0] * len(names)
-            k = min(SHINGLE, len(words))
-            shingles = lambda a, b: [b" ".join(s) for s in zip(*(words[a + i:b + i] for i in range(k)))]
-            return majority(lambda a, b: words[a:b], len(words)) + majority(shingles, len(words) - k + 1)
+        def one(text) -> list:
+            found = shingle_set(text)
+            if not len(found):
+                return [0, 0, *[0] * PARTS, []]
+            least = np.full(len(turns), 2 ** 64 - 1, dtype=np.uint64)
+            for start in range(0, len(found), 512):
+                np.minimum(least, (by * found[start:start + 512] + plus).min(axis=1), out=least)
+            bits = np.packbits(((least[:64 * PARTS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8))
+            keys = [xxh3_64_intdigest(least[i:i + DEEP].tobytes(), i) for i in range(0, len(turns), DEEP)]
+            return [_set_name(found), len(found), *bits.view(">i8").tolist(), np.array(keys, dtype=np.uint64).view(np.int64)]
 
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=names, dtype="int64")
+            yield pd.DataFrame([one(t) for t in texts], columns=names)
 
-    return prints
+    return sketch
 
 
-def far_bits(similar: float = SIMILAR, bits: int = 64 * PARTS) -> int:
-    """Differing bits up to which shingle fingerprints count as similar: what ``similar`` makes likely, and 1.5 deviations."""
-    import math
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``(node, h)``: the shingle hashes of the sets in ``wanted(node, least)``, read again from the documents ``least``.
 
-    p = math.acos(2 * similar / (1 + similar)) / math.pi
-    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    A filter of bounded size is shipped first, so that few texts without candidates enter the join.
+    """
+    import numpy as np
+
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    found = (wanted.select(place("least").alias("p"))
+             .select(F.shiftright("p", 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int")).alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).collect())  # at most FILTER_BITS / 32 rows
+    bits = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    bits[[r.w for r in found]] = [r.b for r in found]
+    shipped = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((np.frombuffer(shipped.value, dtype=np.uint32)[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    @F.pandas_udf("node long, h array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            each = [shingle_set(t) for t in texts]
+            yield pd.DataFrame({"node": [_set_name(x) for x in each], "h": [x.view(np.int64) for x in each]})
+
+    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(maybe(place("_id")))
+    asked = wanted.select(F.col("node").alias("_node"), "least")
+    read = some.join(asked, F.col("_id").eqNullSafe(F.col("least"))).select("_node", sets("_text").alias("x"))
+    return checkpointed(read.where("x.node = _node").select("x.*").dropDuplicates(["node"]))  # an id may repeat with other texts
 
 
 def word_masks() -> list[tuple[int, ...]]:
-    """Masks as in :func:`masks` for each fingerprint of words, over the four 64-bit parts."""
+    """Masks as in :func:`masks` for fingerprints of words, over four 64-bit parts; near copies no longer meet by them."""
     spread, out = _vectors(WORD_RADIUS, WORD_BITS), []
     for print_ in range(WORD_PRINTS):
         for v in range(1, 1 << (WORD_RADIUS + 1)):
@@ -194,43 +244,55 @@ def word_masks() -> list[tuple[int, ...]]:
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """``(doc_id, component_id)``, a row per row of ``docs``: groups of copies that share most five-word shingles.
 
-    The words' fingerprints of near copies differ in few bits, so covering masks bring them into a
-    common bucket; candidates link when their shingle fingerprints say that at least ``similar`` of
-    the shingles are common. In a bucket everyone is compared with its first and last member, and
+    Candidates agree on a band of least hashes (:data:`BANDS`) and differ in few bits of a sketch; they
+    link when the exact share of common shingles, of both sets' hashes, is at least ``similar`` (0.8 or
+    more). In a bucket everyone is compared with its first and last member, and
     what these links leave apart is then compared across the parts, all but the largest part with
     everyone: large groups of copies cost a multiple of their size, and no link between parts is
-    lost. Equal fingerprints fold before any join.
+    lost. Equal sets fold before any join.
     """
+    if similar < SIMILAR:
+        raise ValueError(f"bands and sketches are made for similarities from {SIMILAR}")
     small_batches(docs.sparkSession)
-    rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), wide_simhash()(F.col(text)).alias("x")).select("doc_id", "x.*"))
-    words, shingles = [f"w{i}" for i in range(PARTS)], [f"s{i}" for i in range(PARTS)]
-    groups = checkpointed(rows.groupBy(*words, *shingles).agg(F.min("doc_id").alias("id")))
-    every = F.array(*[F.struct(F.lit(i).alias("t"), *[F.lit(p).alias(f"m{n}") for n, p in enumerate(m)]) for i, m in enumerate(word_masks())])
-    placed = groups.select("id", *words, F.explode(every).alias("x")).select("id", F.xxhash64(
-        "x.t", *[F.col(f"w{n}").bitwiseAND(F.col(f"x.m{n}")) for n in range(PARTS)]).alias("key")).repartition("key")  # one shuffle for the next two steps
-    ends = placed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"))
+    signs_ = ["n", *[f"s{i}" for i in range(PARTS)]]
+    groups = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*signs_, "bands")]))
+    placed = groups.select("node", F.explode("bands").alias("key")).repartition("key")  # one shuffle for the next two steps
+    ends = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     met = checkpointed(placed.join(ends, "key"))
-    signs = groups.select("id", *shingles)
-    most = far_bits(similar)
+    signs = groups.select("node", *signs_)
 
     def sided(df: DataFrame, side: str) -> DataFrame:
-        return df.withColumnsRenamed({"id": side, "part": f"{side}_part", **{f"s{n}": f"{side}{n}" for n in range(PARTS)}})
-
-    far = sum((hamming(f"a{n}", f"b{n}") for n in range(1, PARTS)), hamming("a0", "b0"))
-    to_ends = met.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a != b").distinct()
-    first = checkpointed(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(far <= most).select("a", "b"))
+        return df.withColumnsRenamed({"node": side, **{c: f"{side}_{c}" for c in ("part", "h", *signs_)}})
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return shingle_sets(docs, checkpointed(groups.select("node", "least").join(nodes.distinct(), "node", "left_semi")), text, doc_id)
+
+    maybe = (sum((hamming(f"a_s{n}", f"b_s{n}") for n in range(1, PARTS)), hamming("a_s0", "b_s0")) <= NEAR_BITS) \
+        & (F.least("a_n", "b_n") >= F.lit(similar) * F.greatest("a_n", "b_n") - 1e-6)
+    common = F.size(F.array_intersect("a_h", "b_h"))
+    like = common / (F.col("a_n") + F.col("b_n") - common) >= similar
+    to_ends = met.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node != end") \
+        .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    tried = checkpointed(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"))
+    sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
+    first = checkpointed(tried.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b").where(like).select("a", "b"))
     parts = checkpointed(components(first))
-    in_part = met.select("key", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left") \
-        .select("key", "id", F.coalesce("component", "id").alias("part"))
+    in_part = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     sizes = in_part.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1")
-    # fingerprints go along, so that only links leave the comparison and never its candidates
-    apart = checkpointed(in_part.join(split.select("key", "largest"), "key").join(signs, "id"))
-    across = (sided(apart.where("part != largest").drop("largest"), "a").join(sided(apart.drop("largest"), "b"), "key")
-              .where((F.col("a_part") != F.col("b_part")) & (far <= most)).select("a", "b").distinct())
+    apart = checkpointed(in_part.join(split.select("key", "largest"), "key").join(signs, "node"))
+    left, right = sided(apart.where("part != largest").drop("largest"), "a"), sided(apart.drop("largest"), "b")
+    across_parts = (left["key"] == right["key"]) & (F.col("a_part") != F.col("b_part")) & maybe
+    # first who has a candidate at all; then sets go along, so that only links leave the comparison and never its candidates
+    left_, right_ = checkpointed(left.join(right, across_parts, "left_semi")), checkpointed(right.join(left, across_parts, "left_semi"))
+    sets = sets_of(left_.select(F.col("a").alias("node")).unionAll(right_.select("b")))
+    left_, right_ = left_.join(sided(sets, "a"), "a"), right_.join(sided(sets, "b"), "b")
+    across = left_.join(right_, (left_["key"] == right_["key"]) & (F.col("a_part") != F.col("b_part")) & maybe & like).select("a", "b").distinct()
     linked = components(first.unionAll(across))
-    named = groups.join(linked, groups["id"] == linked["node"], "left").select(*words, *shingles, F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, [*words, *shingles]).select("doc_id", "component_id")
+    roots = groups.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    low = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(roots.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

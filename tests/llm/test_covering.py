@@ -144,3 +144,45 @@ def test_word_masks_cover_each_fingerprint():
         x = sum(1 << (n * C.WORD_BITS + b) for b in rnd.sample(range(C.WORD_BITS), C.WORD_RADIUS))
         own = [m for m in masks if m >> (n * C.WORD_BITS) & (2 ** C.WORD_BITS - 1)]
         assert any(not x & m for m in own)
+
+
+def test_passages_added_cut_and_put_in(spark):
+    """Near copies by a passage of foreign words, and pairs just below 0.8: joined exactly by the share of shingles."""
+    rnd = random.Random(11)
+    word = lambda v: f"{v}{rnd.randrange(400)}"
+    rows, pairs = [], []
+    for i in range(240):
+        base = [word("a") for _ in range(rnd.randint(100, 600))]
+        extra = [word(rnd.choice("ab")) for _ in range(int(len(base) * rnd.uniform(0.1, 0.34)))]
+        at = rnd.randrange(len(base))
+        other = [base + extra, extra + base, base[:at] + extra + base[at:], base[:len(base) - len(extra)]][i % 4]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, 2 * i + 1, similarity(rows[-2][1], rows[-1][1])))
+    got = {r.doc_id: r.component_id for r in C.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(0.8 <= s < 0.85 for *_, s in pairs) > 20 and sum(0.7 < s < 0.8 for *_, s in pairs) > 20
+    assert [(a, b, s) for a, b, s in pairs if (got[a] == got[b]) != (s >= 0.8)] == []
+
+
+def test_parts_of_a_group_meet(spark):
+    """Chains whose ends are unlike, and a hub of copies around them: the components of all pairs from 0.8 on."""
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(12):
+        w = [f"w{rnd.randrange(10_000)}" for _ in range(200)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(w)))
+            w = w[rnd.choice([15, 18, 24, 30]):] + [f"w{rnd.randrange(10_000)}" for _ in range(rnd.choice([5, 15, 18]))]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if similarity(rows[a][1], rows[b][1]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: r.component_id for r in C.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert 12 < len(set(got.values())) < len(rows)
