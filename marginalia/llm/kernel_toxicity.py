@@ -2,10 +2,11 @@
 
 The kernel counts common letter subsequences of length 3, each weighted by ``DECAY`` to the power of
 the letters it spans, up to ``GAPS`` letters skipped: ``idiot`` still shares most of its
-subsequences with ``idxiot`` or ``i.d.i.o.t``. A sentence is a bag of units (words, and runs of
-single letters taken together); it is as toxic as its worst unit, and a document as its worst
-sentence. Training is that of a multiple-instance machine: labels belong to documents, and rounds of
-fitting decide which unit of a toxic document carries its label.
+subsequences with ``idxiot`` or ``i.d.i.o.t``. A document is a bag of units (words, runs of single
+letters taken together, windows of long words); it is as toxic as its worst unit. Units are single
+words, never sentences: an insult made of several ordinary words is not seen. Training is that of a
+multiple-instance machine: labels belong to documents, and rounds of fitting decide which unit of a
+toxic document carries its label.
 
 In Nyström space a unit's decision is a weighted sum of its kernel values to the landmarks, thus of
 its own subsequences: scoring needs one weight per subsequence, whatever the number of landmarks.
@@ -35,6 +36,8 @@ WITNESSES = 3
 COST = 2000.0
 #: Letters of a unit that count; longer ones are cut into overlapping units, so whole texts are read.
 UNIT = 40
+#: Long unbroken words are also read through windows of so many letters, from this many letters on.
+WINDOW, LONG = 7, 16
 #: Units whose decision a task remembers; a full memo is emptied, results do not change.
 MEMO = 200_000
 THRESHOLD = 0.5
@@ -49,6 +52,8 @@ def units(words: list[str]) -> Iterator[str]:
     run: list[str] = []
     for word in words:
         w = word.strip(EDGES)
+        if not w:
+            continue  # signs standing alone part no letters
         if len(w) == 1:
             run.append(w)
             continue
@@ -56,13 +61,15 @@ def units(words: list[str]) -> Iterator[str]:
             yield "".join(run)
             run = []
         if len(w) <= UNIT:
-            if w:
-                yield w
-                if not w.isalnum() and len(bare := "".join(filter(str.isalpha, w))) > 1:
-                    yield bare  # signs between letters are left out in a second reading
+            yield w
+            if not w.isalnum() and len(bare := "".join(filter(str.isalpha, w))) > 1:
+                yield bare  # signs between letters are left out in a second reading
         else:
             for i in range(0, len(w) - UNIT // 2, UNIT // 2):
                 yield w[i:i + UNIT]
+        if len(w) >= LONG:
+            for i in range(len(w) - WINDOW + 1):
+                yield w[i:i + WINDOW]
     for i in range(0, max(0, len(run) - UNIT // 2) or bool(run), UNIT // 2):
         yield "".join(run[i:i + UNIT])
 

@@ -127,3 +127,27 @@ def test_query(spark, module, query, label, cut):
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert {r.doc_id for r in rows if r.held_out} == {r.doc_id for r in rows if common.is_held_out(r.doc_id)}
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.85 * len(held)
+
+
+def insulting(rnd, wrong, n=600, insults=("wazzock", "numpty")):
+    """Labelled texts, every other one with an insult; a share of the clean ones has one too."""
+    out = []
+    for i in range(n):
+        words = prose(rnd, rnd.randint(20, 60)).split()
+        if i % 2 or rnd.random() < wrong:
+            words.insert(rnd.randrange(len(words)), rnd.choice(insults))
+        out.append((i % 2, " ".join(words)))
+    rnd.shuffle(out)
+    return out
+
+
+def test_insults_between_signs_and_in_long_words():
+    assert "idiot" in K.units("an i - d - i - o - t".split())
+    rnd = random.Random(9)
+    model = K.train(insulting(rnd, 0.0))
+    score = lambda t: calibrate.probability(K.worst(model, t, {}), model.slope, model.intercept)
+    clean = prose(rnd, 40)
+    assert score(clean) < 0.5
+    for insult in ("w - a - z - z - o - c - k", "thehat" * 5 + "wazzock" + "inger" * 5):
+        assert score(f"{clean} {insult} {clean}") >= 0.5, insult
+    assert score("thehat" * 5 + "inger" * 5) < 0.5
