@@ -38,6 +38,10 @@ COST = 2000.0
 UNIT = 40
 #: Long unbroken words are also read through windows of so many letters, from this many letters on.
 WINDOW, LONG = 7, 16
+#: Bounds of a fit: units of either side, and units among which landmarks are sought.
+TOXIC_UNITS, CLEAN_UNITS, SOUGHT = 4000, 8000, 1200
+#: A unit that clean documents hold too can stand for a toxic one when it is more usual there by so many deviations.
+SURELY = 3.0
 #: Units whose decision a task remembers; a full memo is emptied, results do not change.
 MEMO = 200_000
 THRESHOLD = 0.5
@@ -168,7 +172,7 @@ def _diverse(batch: list[str], most: int) -> list[str]:
 
     if len(batch) <= most:
         return batch
-    batch = batch[:1200]
+    batch = batch[:SOUGHT]
     k = kernel(batch, batch)
     near, picked = k[0].copy(), [0]
     while len(picked) < most:
@@ -217,6 +221,7 @@ def _machine(toxic: dict[str, int], clean: dict[str, int]) -> Model:
 
 def train(sample: list[tuple[int, str]]) -> Model:
     """A model of labelled texts ``(toxic 0/1, text)``; without both classes every score is the share of label 1."""
+    import math
     from collections import Counter
 
     import numpy as np
@@ -229,9 +234,22 @@ def train(sample: list[tuple[int, str]]) -> Model:
     fitted = [i for i in range(len(sample)) if i % 4]
     rest = [i for i in range(len(sample)) if not i % 4] if len(sample) >= 400 else fitted
     guess = _evidence([bags[i] for i in fitted], [signs[i] for i in fitted])
-    in_clean = set().union(*(bags[i] for i in fitted if not signs[i]))
+    said = Counter(u for i in fitted if signs[i] for u in bags[i])
+    said_clean = Counter(u for i in fitted if not signs[i] for u in bags[i] if u in said)
+    n = Counter(signs[i] for i in fitted)
+    # how much more usual a unit is in toxic documents than in clean ones: wrong labels do not decide alone
+    odds = {u: (k + 0.5) * (n[0] + 1) / ((said_clean[u] + 0.5) * (n[1] + 1)) for u, k in said.items()}
+    share = lambda u: odds.get(u, 0.0) / (1 + odds.get(u, 0.0))
     good = [bags[i] for i in fitted if not signs[i] and bags[i]]
-    bad = [bag for i in fitted if signs[i] and (bag := bags[i] - in_clean)]  # what clean documents say too is no insult
+
+    def surely(u: str) -> bool:
+        """By the likelihood ratio against being as usual in both; few clean occurrences weigh little."""
+        a, b = said[u], said_clean[u]
+        even = (a + b) / (n[0] + n[1])
+        return odds[u] > 1 and 2 * (a * math.log(a / (even * n[1])) + b * math.log(b / (even * n[0]))) >= SURELY ** 2
+
+    telling = {u for u in said if not said_clean[u] or surely(u)}
+    bad = [bags[i] & telling or bags[i] for i in fitted if signs[i] and bags[i]]
     if not good or not bad:
         return nothing
     value, least = guess.get, 3.0
@@ -245,11 +263,15 @@ def train(sample: list[tuple[int, str]]) -> Model:
             toxic = Counter(found[0] for found in worst_units)
         clean = Counter(u for bag in good for u in order(bag)[:WITNESSES])
         clean.update(u for bag in good for u in sorted(bag, key=lambda u: (hash_of(u), u))[:WITNESSES])
-        for u, n in list(toxic.items()):  # spellings with a letter put in stand for the word too
-            if n >= 3 and len(u) >= 4:
+        for u, times in list(toxic.items()):  # spellings with a letter put in stand for the word too
+            if times >= 3 and len(u) >= 4:
                 for k in range(2, len(u) - 1):
-                    toxic[f"{u[:k]}x{u[k:]}"] += max(1, n // 10)
-        model = _machine(dict(toxic.most_common(4000)), dict(clean.most_common(8000)))
+                    toxic[f"{u[:k]}x{u[k:]}"] += max(1, times // 10)
+        for u in toxic.keys() & odds.keys():
+            toxic[u] *= share(u)
+        for u in clean.keys() & odds.keys():
+            clean[u] *= 1 - share(u)
+        model = _machine(dict(toxic.most_common(TOXIC_UNITS)), dict(clean.most_common(CLEAN_UNITS)))
         value = dict(zip(every, np.concatenate([decisions(model, every[i:i + 8192]) for i in range(0, len(every), 8192)]).tolist())).get
         least = 0.0
     top = [max((value(u, model.bias) for u in bags[i]), default=model.bias) for i in rest]

@@ -141,6 +141,15 @@ def insulting(rnd, wrong, n=600, insults=("wazzock", "numpty")):
     return out
 
 
+def test_insults_in_some_clean_documents_are_learned():
+    rnd = random.Random(8)
+    for wrong in (0.01, 0.04):
+        model = K.train(insulting(rnd, wrong))
+        score = lambda t: calibrate.probability(K.worst(model, t, {}), model.slope, model.intercept)
+        right = [(score(t) >= 0.5) == bool(y) for y, t in insulting(rnd, 0.0, 200)]
+        assert sum(right) >= 0.95 * len(right)
+
+
 def test_insults_between_signs_and_in_long_words():
     assert "idiot" in K.units("an i - d - i - o - t".split())
     rnd = random.Random(9)
