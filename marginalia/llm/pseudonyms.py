@@ -33,9 +33,19 @@ ROUNDS = 8
 KEY = b"an example key; pass your own"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = (r"(?<![0-9A-Za-z.:/-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})"
-        r"(?![0-9A-Za-z/-]|\.[0-9])")
+#: Characters of an account number by country; elsewhere all lengths are tried.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_BOUND = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                  for n, names in IBAN_LENGTHS.items())
+IBAN = (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_BOUND})(?![A-Za-z0-9])"
+        r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))")
+DATE = (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})"
+        r"(?!(?!T[0-9]{2})[0-9A-Za-z/-]|\.[0-9])")
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
@@ -156,6 +166,18 @@ def _email(key: bytes, m: Column) -> Column:
 
 
 def _iban(key: bytes, m: Column) -> Column:
+    """The longest beginning of ``m``, cut at a blank, whose check digits hold is replaced."""
+    def valid(x: Column) -> Column:
+        plain = _only(x, "A-Z0-9")
+        return (F.length(plain) >= 12) & (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1)
+
+    words = F.split(m, " ")
+    begun = F.transform(F.sequence(F.size(words), F.lit(1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    one = lambda x: F.concat(_one_iban(key, x), F.substr(m, F.length(x) + 1))
+    return F.coalesce(F.get(F.transform(F.slice(F.filter(begun, valid), 1, 1), one), F.lit(0)), m)
+
+
+def _one_iban(key: bytes, m: Column) -> Column:
     def made(plain: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substr(plain, F.lit(5))
         new = _refilled(account, permuted(key, "iban", _only(account, "0-9"), 10, 48),
@@ -163,8 +185,7 @@ def _iban(key: bytes, m: Column) -> Column:
         fresh = _let(new, lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
         spaced = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(
             F.substr(m, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substr(x, F.length(_only(F.substr(m, F.lit(1), i), "A-Z0-9")), F.lit(1)))), "")
-        valid = _mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1
-        return F.when(valid, _let(fresh, spaced)).otherwise(m)
+        return _let(fresh, spaced)
 
     return _let(_only(m, "A-Z0-9"), made)
 

@@ -154,3 +154,26 @@ def test_query(spark, sf):
         if not any(c.isdigit() or c == "@" for c in text or ""):
             assert got[d].text == text and got[d].changed == 0
     assert seen > 5
+
+
+def test_values_beside_other_words(spark):
+    """Account numbers before upper-case words, other numbers and cards; dates after colons and before times."""
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t))
+    mod97 = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    cases = [("BE68539007547034", " EUR"), ("ES9121000418450200051332", " IBAN"), ("AT611904300234573201", " BIC"), ("BE68 5390 0754 7034", " 2024"),
+             ("PL61109010140000071219812874", " A"), ("DE89370400440532013000", " TO BE68")]
+    check = 98 - int("".join(str(int(c, 36)) for c in "539007547034ZZ00")) % 97  # no country of this name
+    cases += [(f"ZZ{check:02d}539007547034", " EUR"), (f"ZZ{check:02d} 5390 0754 7034", " NEXT ABCD")]
+    dates = [("DOB:1985-03-02", "1985-03-02"), ("1985-03-02T10:00", "1985-03-02"), ("born:02.03.1985.", "02.03.1985"), ("at 1985-03-02T10:00:00Z", "1985-03-02")]
+    other = ["1985-03-02", "02.03.1985", "BE68539007547034 4111 1111 1111 1111", "BE68539007547035 EUR", "1985-03-02Tx", "v1985-03-02"]
+    got = run(spark, [f"to {iban}{after}" for iban, after in cases] + [t for t, _ in dates] + other)
+    for k, (iban, after) in enumerate(cases):
+        new = got[k][0][3:3 + len(iban)]
+        assert got[k] == (f"to {new}{after}", 1) and new != iban and shape(new) == shape(iban)
+        assert new[:2] == iban[:2] and mod97(new.replace(" ", ""))
+    first = len(cases) + len(dates)
+    plain = {"1985-03-02": got[first][0], "02.03.1985": got[first + 1][0]}
+    for k, (text, date) in enumerate(dates, len(cases)):
+        assert plain[date] != date and got[k] == (text.replace(date, plain[date]), 1)
+    assert got[first + 2][1] == 2 and "BE68539007547034" not in got[first + 2][0] and "4111 1111 1111 1111" not in got[first + 2][0]
+    assert [got[k] for k in range(first + 3, first + 6)] == [(t, 0) for t in other[3:]]
