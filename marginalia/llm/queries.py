@@ -2,7 +2,7 @@
 
 from marginalia.llm import (  # noqa: F401  (imports register queries)
     bpe, collision_search, compression_quality, covering_dedup, curve_packing, importance, kernel_toxicity, licenses,
-    pseudonyms, syncmers, url_trust,
+    periodic, pseudonyms, syncmers, url_trust,
 )
 from marginalia.llm.common import ORACLES, QUERIES
 
