@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import ingest
 from marginalia.operators.keyed import first_per_key, global_row_number
+from marginalia.session import written
 
 
 def diff_document(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -71,57 +72,89 @@ def remove_documents(table: DataFrame, gone: DataFrame, key: str = "doc_name") -
 PLACE = ("chunk_idx", "page_idx", "source")
 
 
-def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None = None,
-                     known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """New state of the chunk table after (re-)ingesting documents, and counts per document.
+def upsert_changes(stored: DataFrame, items: DataFrame, analysis: str | None = None,
+                   known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What (re-)ingesting documents changes, as narrow rows, and the chunks that the items offer.
 
-    Stored chunks of the given documents that no longer occur are dropped, kept ones take position,
-    page and source from the new version; new ones pass the gate, must be unknown to the whole remaining table, are labelled and appended. Documents
-    not in ``items`` are untouched. Persist by overwriting the touched partitions; when ``stored``
-    is only the touched part, ``known(content_md5)`` brings the hashes of the rest.
+    Rows of ``(kind, doc_name, content_md5, chunk_idx, page_idx, source, stays, kept, stale)``:
+    ``change`` for a stored hash of the documents whose chunk goes (``stays`` null) or moves (the
+    stored chunk at ``stays`` takes the place given), ``add`` for a chunk to be added if it passes
+    the gate, ``document`` with the counts of each document. Chunks that stay as they are give no
+    row. Texts take no part: old and new places meet in one aggregate per (document, hash), new
+    ones and all stored hashes in one per hash; both combine before their shuffle, so neither a
+    document nor a hash with a third of the rows lands in one task.
 
-    Old and new rows meet in one aggregate per (document, hash), and new rows meet all stored
-    hashes in one aggregate per hash; both combine before their shuffle, so neither a document
-    nor a hash with a third of the rows lands in one task.
+    Runs one job: the rows are written to the shared folder, so their size is known where they are
+    joined, and few changes are sent to the texts instead of the texts to them.
     """
-    columns = stored.columns
+    spark = stored.sparkSession
+    candidates = ingest.items_to_chunks(items, analysis).withColumn("section_tag", F.lit(None).cast("string"))
     touched = items.select("doc_name").distinct()
-    far = stored.join(touched, "doc_name", "left_anti")
     near = stored.join(touched, "doc_name", "left_semi")
-    candidates = ingest.items_to_chunks(items, analysis).withColumn("section_tag", F.lit(None).cast("string"))
+    far = stored.join(touched, "doc_name", "left_anti").select("content_md5")
 
     def side(df: DataFrame, old: bool) -> DataFrame:
-        return df.select("doc_name", "content_md5", "chunk_idx", F.lit(old).alias("_old"),
-                         F.struct(*[F.col(c) for c in columns]).alias("_row"))
+        return df.select("doc_name", "content_md5", "chunk_idx", F.struct(*PLACE).alias("_at"), F.lit(old).alias("_old"))
 
     old = F.col("_old")
     g = side(near, True).unionByName(side(candidates, False)).groupBy("doc_name", "content_md5").agg(
-        F.min_by("_row", F.when(old, F.col("chunk_idx"))).alias("_stored"),
-        F.min_by("_row", F.when(~old, F.col("chunk_idx"))).alias("_new"), F.count_if(old).alias("_copies"))
-
-    def rows(df: DataFrame, row: str) -> DataFrame:
-        return df.select(*[F.col(row)[c].alias(c) for c in columns])
-
-    both = g.where(F.col("_stored").isNotNull() & F.col("_new").isNotNull())
-    # a kept chunk stands where the new version has it
-    kept = both.select(*[F.col("_new" if c in PLACE else "_stored")[c].alias(c) for c in columns])
-    fresh = ingest.quality_gate(rows(g.where(F.col("_stored").isNull()), "_new"))
-    hashes = far.select("content_md5").unionByName(kept.select("content_md5"))
+        F.min_by("_at", F.when(old, F.col("chunk_idx"))).alias("was"),
+        F.min_by("_at", F.when(~old, F.col("chunk_idx"))).alias("now"), F.count_if(old).alias("copies"))
+    was, now = F.col("was"), F.col("now")
+    both = was.isNotNull() & now.isNotNull()
+    hashes = far.unionByName(g.where(both).select("content_md5"))
     if known is not None:
         hashes = hashes.unionByName(known.select("content_md5"))
-    offered = fresh.select("content_md5", F.struct(F.lit(1).alias("k"), "doc_name", "chunk_idx").alias("_o"),
-                           F.struct(*columns).alias("_row"))
-    taken = hashes.select("content_md5", F.struct(F.lit(0).alias("k"), F.lit("").alias("doc_name"),
-                                                 F.lit(0).cast("bigint").alias("chunk_idx")).alias("_o"),
-                         F.lit(None).cast(offered.schema["_row"].dataType).alias("_row"))
-    won = offered.unionByName(taken).groupBy("content_md5").agg(
-        F.min("_o").alias("_o"), F.min_by("_row", "_o").alias("_row")).where(F.col("_o.k") == 1)
-    fresh = ingest.tag_sections(rows(won, "_row"))
-    state = far.unionByName(kept).unionByName(fresh.select(*columns))
-
-    matched = F.col("_stored").isNotNull() & F.col("_new").isNotNull()
-    counts = g.groupBy("doc_name").agg(
-        F.count_if(matched).alias("kept"),
-        (F.sum("_copies") - F.count_if(matched)).alias("stale")).join(
+
+    def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        empty = {"content_md5": "string", "chunk_idx": "bigint", "page_idx": "bigint", "source": "string", "stays": "bigint",
+                 "kept": "bigint", "stale": "bigint"}
+        return df.select(F.lit(kind).alias("kind"), "doc_name", *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in empty.items()])
+
+    changed = rows(g.where(was.isNotNull() & (now.isNull() | (F.col("copies") > 1) | ~was.eqNullSafe(now))), "change",
+                   content_md5=F.col("content_md5"), stays=F.when(now.isNotNull(), was["chunk_idx"]), **{c: now[c] for c in PLACE})
+    offer = F.struct(F.lit(1).alias("k"), F.col("doc_name").alias("doc_name"), now["chunk_idx"].alias("chunk_idx"))
+    taken = F.struct(F.lit(0).alias("k"), F.lit("").alias("doc_name"), F.lit(0).cast("bigint").alias("chunk_idx"))
+    won = g.where(was.isNull()).select("content_md5", offer.alias("_o")).unionByName(
+        hashes.select("content_md5", taken.alias("_o"))).groupBy("content_md5").agg(F.min("_o").alias("_o")).where(F.col("_o.k") == 1)
+    added = rows(won.select("content_md5", "_o.doc_name", "_o.chunk_idx"), "add", content_md5=F.col("content_md5"), chunk_idx=F.col("chunk_idx"))
+    per = g.groupBy("doc_name").agg(F.count_if(both).alias("kept"), (F.sum("copies") - F.count_if(both)).alias("stale"))
+    counts = rows(per, "document", kept=F.col("kept"), stale=F.col("stale"))
+    return written(changed.unionByName(added).unionByName(counts)), candidates
+
+
+def changed_rows(stored: DataFrame, changes: DataFrame, only: bool = False) -> DataFrame:
+    """The stored rows after the changes: gone ones left out, moved ones at their new place.
+
+    ``only`` gives just those that the changes name.
+    """
+    keys = ["doc_name", "content_md5"]
+    named = changes.where(F.col("kind") == "change").select(*keys, F.struct("stays", *PLACE).alias("_new"))
+    new = F.col("_new")
+    stays = new["stays"] == F.col("chunk_idx")
+    met = stored.join(named, keys, "inner" if only else "left").where(stays if only else new.isNull() | stays)
+    return met.select(*[F.when(new.isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in PLACE else F.col(c) for c in stored.columns])
+
+
+def added_rows(candidates: DataFrame, changes: DataFrame) -> DataFrame:
+    """The chunks to be added, with their texts: gated and labelled."""
+    chosen = changes.where(F.col("kind") == "add").select("doc_name", "content_md5", "chunk_idx")
+    return ingest.tag_sections(ingest.quality_gate(candidates.join(chosen, ["doc_name", "content_md5", "chunk_idx"], "left_semi")))
+
+
+def upsert_documents(stored: DataFrame, items: DataFrame, analysis: str | None = None,
+                     known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """New state of the chunk table after (re-)ingesting documents, and counts per document.
+
+    Stored chunks of the given documents that no longer occur are dropped, kept ones take position,
+    page and source from the new version; new ones pass the gate, must be unknown to the whole
+    remaining table, are labelled and appended. Documents not in ``items`` are untouched. When
+    ``stored`` is only a part of the table, ``known(content_md5)`` brings the hashes of the rest.
+    Runs one job over narrow rows, see ``upsert_changes``; what does not change is not shuffled.
+    """
+    changes, candidates = upsert_changes(stored, items, analysis, known)
+    fresh = added_rows(candidates, changes)
+    state = changed_rows(stored, changes).unionByName(fresh.select(*stored.columns))
+    counts = changes.where(F.col("kind") == "document").select("doc_name", "kept", "stale").join(
         fresh.groupBy("doc_name").agg(F.count(F.lit(1)).alias("added")), "doc_name", "left")
     return state, counts.withColumn("added", F.coalesce("added", F.lit(0)).cast("bigint"))

@@ -257,9 +257,11 @@ def replace_children(spark, sf):
 NUMBER = "CAST(substring(doc_name, 4) AS BIGINT)"
 SHIFT = f"(CASE {NUMBER} % 3 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END)"
 CHANGED = "(CASE WHEN item_idx % 4 = 0 AND type = 'text' THEN text || ' Revised.' ELSE text END)"
-VERSIONS = I.CHUNKS + f""",
-new_items AS (SELECT doc_name, item_idx + {SHIFT} AS item_idx, type, page_idx, cap, table_body, {CHANGED} AS text FROM items WHERE item_idx + {SHIFT} >= 0
-  UNION ALL SELECT DISTINCT doc_name, 0, 'text', 0, '', '', 'A new first paragraph of ' || doc_name || ' for this version.' FROM items WHERE {NUMBER} % 3 = 2),
+def versions(stored: str = I.CHUNKS, only: str = "true") -> str:
+    """Stored chunks and the new versions of the documents that ``only`` names, met by document and hash."""
+    return stored + f""",
+new_items AS (SELECT doc_name, item_idx + {SHIFT} AS item_idx, type, page_idx, cap, table_body, {CHANGED} AS text FROM items WHERE {only} AND item_idx + {SHIFT} >= 0
+  UNION ALL SELECT DISTINCT doc_name, 0, 'text', 0, '', '', 'A new first paragraph of ' || doc_name || ' for this version.' FROM items WHERE {only} AND {NUMBER} % 3 = 2),
 new_candidates AS (
   SELECT doc_name, item_idx AS chunk_idx, type, page_idx,
          CASE WHEN type = 'text' AND length({I.sql_strip('text')}) > 30 THEN {I.sql_strip('text')}
@@ -272,13 +274,16 @@ counted AS (SELECT doc_name, content_md5, sum(o)::BIGINT AS o, sum(n)::BIGINT AS
 status AS (SELECT doc_name, content_md5, (o > 0 AND n > 0)::BIGINT AS kept, o - (o > 0 AND n > 0)::BIGINT AS stale, (o = 0 AND n > 0)::BIGINT AS added FROM counted)"""
 
 
+VERSIONS = versions()
+
+
 def stored_chunks(spark, sf):
     """The chunk table as it lies in storage: written once, then read by the update."""
     ensure_checkpoint_dir(spark)
     return I.chunks(spark, sf).checkpoint()
 
 
-def _new_items(spark, sf):
+def new_items(spark, sf):
     items = I.items(spark, sf)
     text = F.expr(CHANGED)
     first = items.where(F.expr(f"item_idx = 0 AND {NUMBER} % 3 = 2")).select("doc_name", F.lit(0).cast("bigint").alias("item_idx"))
@@ -292,10 +297,12 @@ def _new_items(spark, sf):
 
 @query("diff_document", "WITH " + VERSIONS + " SELECT * FROM status")
 def diff_document(spark, sf):
-    return N.diff_document(I.chunks(spark, sf), ingest.items_to_chunks(_new_items(spark, sf)))
+    return N.diff_document(I.chunks(spark, sf), ingest.items_to_chunks(new_items(spark, sf)))
 
 
-UPSERTED = VERSIONS + f""",
+def upserted(met: str = VERSIONS) -> str:
+    """What remains of the stored chunks, and the fresh ones."""
+    return met + f""",
 placed AS (SELECT doc_name, content_md5, min(chunk_idx) AS at FROM new_hashed GROUP BY ALL),
 touched AS (SELECT DISTINCT doc_name FROM new_items),
 remaining AS (SELECT c.doc_name, p.at AS chunk_idx, c.type, c.content_md5, c.section_tag FROM chunks c JOIN placed p USING (doc_name, content_md5)
@@ -305,11 +312,15 @@ fresh AS (SELECT * EXCLUDE (rn) FROM (SELECT h.*, row_number() OVER (PARTITION B
   AND NOT {I.sql_loop('text')} AND content_md5 NOT IN (SELECT content_md5 FROM remaining)) WHERE rn = 1)"""
 
 
-@query("upsert_document", "WITH " + UPSERTED + f"""
+UPSERTED = upserted()
+STATE = f"""
 SELECT doc_name, chunk_idx, type, content_md5, section_tag FROM remaining UNION ALL
-SELECT doc_name, chunk_idx, type, content_md5, CASE WHEN type = 'text' THEN {I.sql_rules('text', R.SECTION_RULES, 'unknown', 300)} END FROM fresh""")
+SELECT doc_name, chunk_idx, type, content_md5, CASE WHEN type = 'text' THEN {I.sql_rules('text', R.SECTION_RULES, 'unknown', 300)} END FROM fresh"""
+
+
+@query("upsert_document", "WITH " + UPSERTED + STATE)
 def upsert_document(spark, sf):
-    state, _ = N.upsert_documents(stored_chunks(spark, sf), _new_items(spark, sf))
+    state, _ = N.upsert_documents(stored_chunks(spark, sf), new_items(spark, sf))
     return state.select("doc_name", "chunk_idx", "type", "content_md5", "section_tag")
 
 
@@ -317,7 +328,7 @@ def upsert_document(spark, sf):
 SELECT doc_name, sum(kept)::BIGINT AS kept, sum(stale)::BIGINT AS stale, coalesce(any_value(f.added), 0) AS added
 FROM status LEFT JOIN f USING (doc_name) WHERE doc_name IN (SELECT doc_name FROM touched) GROUP BY doc_name""")
 def upsert_counts(spark, sf):
-    return N.upsert_documents(stored_chunks(spark, sf), _new_items(spark, sf))[1]
+    return N.upsert_documents(stored_chunks(spark, sf), new_items(spark, sf))[1]
 
 
 @query("document_hash", "WITH " + I.ITEMS + """

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import model_map as MM
 from marginalia.plans import inputs as I
+from marginalia.plans.chunk_queries import NUMBER, STATE, new_items, upserted, versions
 from marginalia.plans.registry import query
 from marginalia.session import ensure_checkpoint_dir
+from marginalia.sources.readers import load_kb
 from marginalia.streaming import jobs as J
 
 
@@ -140,12 +142,64 @@ def stream_ingest(spark, sf):
     q = source.writeStream.foreachBatch(J.ingest_batch(folder + "/kb", 8)).option("checkpointLocation", folder + "/state").trigger(
         availableNow=True).start()
     q.awaitTermination()
-    from marginalia.sources.readers import load_kb
     order = listed.select("doc_name", F.posexplode("a").alias("pos", "x")).select("doc_name", F.col("pos").cast("bigint").alias("chunk_idx"), "x.item_idx")
     kb = load_kb(spark, folder + "/kb").select("doc_name", "chunk_idx", "content_md5")
     return kb.join(order, ["doc_name", "chunk_idx"]).select("doc_name", F.col("item_idx").alias("chunk_idx"), "content_md5")
 
 
+def _in_waves(spark: SparkSession, waves: list[DataFrame], run) -> None:
+    """Each wave of rows arrives as files of its own, then ``run(stream)`` works up what is new."""
+    folder = _scratch(spark)
+    for wave in waves:
+        wave.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(wave.schema).parquet(folder)).awaitTermination()
+
+
+def _content_lists(items: DataFrame) -> DataFrame:
+    """One file of a document's items, all kinds, in their order; a document's items are one cell already in the table."""
+    fields = ["type", "text", "page_idx", "image_caption", "table_caption", "table_body", "img_path"]
+    listed = F.array_sort(F.collect_list(F.struct("item_idx", F.struct(*fields).alias("x"))))
+    return items.groupBy("doc_name").agg(F.to_json(F.transform(listed, lambda i: i["x"])).alias("value")).select(
+        F.concat(F.col("doc_name"), F.lit("_content_list.json")).alias("file_name"), "value")
+
+
+# documents arrive by two waves; new versions of four documents in five by a third
+IN_TURN = I.CHUNKS.replace("PARTITION BY content_md5 ORDER BY doc_name", f"PARTITION BY content_md5 ORDER BY {NUMBER} % 2, doc_name")
+
+
+@query("stream_ingest_batches", "WITH " + upserted(versions(IN_TURN, f"{NUMBER} % 5 <> 0")) + STATE)
+def stream_ingest_batches(spark, sf):
+    """Texts, images and tables through three batches of one stream, versions that replace stored ones included."""
+    items, new, number = I.items(spark, sf), new_items(spark, sf), F.expr(NUMBER)
+    waves = [_content_lists(x) for x in (items.where(number % 2 == 0), items.where(number % 2 == 1), new.where(number % 5 != 0))]
+    folder = _scratch(spark)
+    _in_waves(spark, waves, lambda files: files.writeStream.foreachBatch(J.ingest_batch(folder + "/kb", 8)).option(
+        "checkpointLocation", folder + "/state").trigger(availableNow=True).start())
+    return load_kb(spark, folder + "/kb").select("doc_name", "chunk_idx", "type", "content_md5", "section_tag")
+
+
+@query("stream_dedup_batches", """
+SELECT md5(text) AS content_md5, arg_min('doc' || doc_id, struct_pack(a := doc_id % 4, b := 'doc' || doc_id)) AS doc_name FROM documents GROUP BY 1""")
+def stream_dedup_batches(spark, sf):
+    d = I.table(spark, sf, "documents")
+    rows = d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit(0).cast("bigint").alias("chunk_idx"),
+                    F.md5("text").alias("content_md5"))
+    folder = _scratch(spark)
+    waves = [rows.where(d["doc_id"] % 4 == w) for w in range(4)]
+    _in_waves(spark, waves, lambda chunks: J.dedup_stream(chunks, folder + "/rows", folder + "/state", parts=16))
+    return spark.read.parquet(folder + "/rows").select("content_md5", "doc_name")
+
+
+@query("stream_graph_delta_batches", "SELECT user_id AS source, event_type AS target, min(event_id % 5) AS wave FROM events GROUP BY ALL")
+def stream_graph_delta_batches(spark, sf):
+    """An edge comes out of the first wave that holds it."""
+    e = I.table(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("event_type").alias("target"), (F.col("event_id") % 5).alias("wave"))
+    folder = _scratch(spark)
+    _in_waves(spark, [e.where(F.col("wave") == w) for w in range(5)],
+              lambda rows: J.graph_delta_stream(rows, ["source", "target"], folder + "/rows", folder + "/state"))
+    return spark.read.schema(e.schema).parquet(folder + "/rows")
+
+
 def _flaky(prompt: str) -> str:
     if "a" in prompt[:1].lower():
         raise RuntimeError("model down")

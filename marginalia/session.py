@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # state of streams lies on disk and is saved by its changes
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # sessions of one user merge inside each task before the shuffle
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -32,8 +35,6 @@ def local_session(app: str = "marginalia", cores: str = "*", shuffle: int = 8) -
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
@@ -56,3 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if shared is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder as Parquet, read back with their size known."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.operators.graph import build_edges, build_nodes
 from marginalia.sources import schemas as S
+from marginalia.sources.writers import kb_log
 
 
 def read_whole_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -191,5 +192,5 @@ def read_table(spark: SparkSession, name: str, folder: str | None = None, jdbc:
 
 
 def load_kb(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunk table written by ``save_kb``."""
-    return spark.read.schema(S.CHUNKS + ", bucket int").parquet(folder).where(F.col("doc_name").isNotNull())
+    """The stored chunk table as its committed batches leave it; empty where nothing was stored."""
+    return kb_log(spark, folder).live("chunks")

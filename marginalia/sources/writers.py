@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators import incremental
+from marginalia.operators.ingest import items_to_chunks
 from marginalia.sources import schemas as S
-
-BUCKETS = 256
-#: Tasks, and files, that the documents of one bucket are spread over.
-SPREAD = 16
+from marginalia.sources.batch_log import PARTS, BatchLog, Table
 
 # ---- fixed values: audit events with their fields; text cut to the given length -----------
 AUDIT_EVENTS = {
@@ -47,26 +46,39 @@ PLACEHOLDER = "[解析失败] "
 # -------------------------------------------------------------------------------------------
 
 
-def bucket_of(doc: str = "doc_name", buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")
+def kb_log(spark: SparkSession, folder: str, parts: int = PARTS) -> BatchLog:
+    """The stored knowledge base: chunks by document, and an index of their hashes by hash."""
+    return BatchLog(spark, folder, [
+        Table("chunks", S.CHUNKS, ("doc_name", "content_md5"), ("doc_name",)),
+        Table("hashes", "content_md5 string, doc_name string", ("content_md5", "doc_name"), ("content_md5",))], parts)
+
+
+def save_kb(chunks: DataFrame, folder: str, buckets: int = PARTS) -> None:
+    """Make ``chunks`` the whole stored table; readers see the old one until the new one is complete."""
+    log = kb_log(chunks.sparkSession, folder, buckets)
+    rows = chunks.select(*[f.split()[0] for f in S.CHUNKS.split(", ")])
+    log.replace({"chunks": rows, "hashes": rows.select("content_md5", "doc_name")})
 
 
-def save_kb(chunks: DataFrame, folder: str, buckets: int = BUCKETS, touched: DataFrame | None = None) -> None:
-    """Write the chunk table partitioned by document bucket.
+def upsert_kb(log: BatchLog, items: DataFrame, stream: str = "", batch_id: int = 0) -> None:
+    """(Re-)ingest documents into the stored table as one batch: what changes is appended, nothing rewritten.
 
-    A second hash of the document spreads a bucket over ``SPREAD`` tasks and files. With
-    ``touched(bucket)`` just those buckets are replaced (``chunks`` then holds all their rows);
-    each gets an empty marker row, so that a bucket whose last chunk went is replaced too.
+    Reads the partitions of the documents, and of the hash index those of the hashes offered. A batch
+    that is committed already is left alone; one that was cut short is written anew.
     """
-    names = [f.split()[0] for f in S.CHUNKS.split(", ")]
-    out = chunks.select(*names).withColumn("bucket", bucket_of(buckets=buckets)).withColumn(
-        "_part", F.pmod(F.xxhash64("doc_name", F.lit(1)), F.lit(SPREAD))).repartition("bucket", "_part").drop("_part")
-    if touched is not None:
-        markers = touched.select("bucket").distinct().select(
-            *[F.lit(None).cast(t).alias(n) for n, t in out.dtypes if n != "bucket"], "bucket")
-        out = out.unionByName(markers)
-    mode = "static" if touched is None else "dynamic"
-    out.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(folder)
+    if log.holds(stream, batch_id):
+        return
+    near = log.live("chunks", log.parts_of(items, "doc_name"))
+    arriving = items_to_chunks(items).select("content_md5").distinct()
+    known = log.live("hashes", log.parts_of(arriving, "content_md5")).join(arriving, "content_md5", "left_semi").join(
+        items.select("doc_name").distinct(), "doc_name", "left_anti")
+    changes, candidates = incremental.upsert_changes(near, items, known=known)
+    columns = near.columns
+    added = incremental.added_rows(candidates, changes).select(*columns).unionByName(incremental.changed_rows(near, changes, only=True))
+    log.write("chunks", added, changes.where(F.col("kind") == "change"))
+    new = log.written("chunks")
+    log.write("hashes", new.where("_alive"), new.where("NOT _alive"))
+    log.commit(stream, batch_id)
 
 
 def write_items(items: DataFrame, folder: str) -> None:

@@ -12,85 +12,92 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from marginalia.operators import incremental
-from marginalia.operators.ingest import items_to_chunks, keep_first_copy
-from marginalia.session import ensure_checkpoint_dir
-from marginalia.sources import schemas as S
-from marginalia.sources.readers import load_kb, parse_content_lists, read_whole_files, split_corrupt
-from marginalia.sources.writers import bucket_of, save_kb, write_dead_letters
+from marginalia.operators.ingest import keep_first_copy
+from marginalia.sources.batch_log import PARTS, BatchLog, Table
+from marginalia.sources.readers import parse_content_lists, read_whole_files, split_corrupt
+from marginalia.sources.writers import kb_log, upsert_kb, write_dead_letters
 
 WATERMARK = "10 minutes"
 SESSION_GAP = "30 minutes"
 STAGE_TIMEOUT_MS = {"parsing": 600_000, "chunking": 300_000, "indexing": 300_000}
 
 
-def ingest_batch(folder: str, buckets: int = 256, dead_letters: str | None = None) -> Callable[[DataFrame, int], None]:
+#: A log is compacted after so many batches, so that readers merge few.
+COMPACT_EVERY = 64
+
+
+def ingest_batch(folder: str, buckets: int = PARTS, dead_letters: str | None = None, stream: str = "",
+                 compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` body that upserts newly arrived content lists into the chunk table.
 
-    Only the buckets of arriving documents are rewritten; of the others the hash column is
-    scanned for arriving hashes. Replaying a batch leaves the same table.
+    A batch appends what it adds and ends, and reads the partitions its documents and hashes fall in.
+    ``stream`` names the stream that counts the batches, so that a replayed one is known.
     """
     def apply(files: DataFrame, batch_id: int) -> None:
-        spark = files.sparkSession
-        good, bad = split_corrupt(files)
-        if dead_letters:
-            write_dead_letters(bad, dead_letters)
-        items = parse_content_lists(good)
-        # at most one row per bucket
-        touched = F.broadcast(items.select(bucket_of(buckets=buckets).alias("bucket")).distinct())
+        files = files.persist()
         try:
-            stored = load_kb(spark, folder)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = spark.createDataFrame([], S.CHUNKS + ", bucket int")
-        near = stored.join(touched, "bucket", "left_semi").drop("bucket")
-        arriving = items_to_chunks(items).select("content_md5").distinct()
-        elsewhere = stored.join(touched, "bucket", "left_anti").select("content_md5").join(
-            arriving, "content_md5", "left_semi").distinct()
-        state, _ = incremental.upsert_documents(near, items, known=elsewhere)
-        # the files being replaced are an input: cut the lineage in the shared folder first
-        ensure_checkpoint_dir(spark)
-        save_kb(state.checkpoint(), folder, buckets, touched)
+            good, bad = split_corrupt(files)
+            log = kb_log(files.sparkSession, folder, buckets)
+            if dead_letters and not log.holds(stream, batch_id):
+                write_dead_letters(bad, dead_letters)
+            upsert_kb(log, parse_content_lists(good), stream, batch_id)
+            if log.last - log.base >= compact_every:
+                log.compact()
+        finally:
+            files.unpersist()
 
     return apply
 
 
-def stream_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str, buckets: int = 256,
+def stream_ingest(spark: SparkSession, source: str, folder: str, checkpoint: str, buckets: int = PARTS,
                   available_now: bool = True, dead_letters: str | None = None) -> StreamingQuery:
     """Watch a folder for content lists and keep the chunk table current."""
     files = read_whole_files(spark, f"{source}/*_content_list.json", stream=True)
-    writer = files.writeStream.foreachBatch(ingest_batch(folder, buckets, dead_letters)).option(
+    writer = files.writeStream.foreachBatch(ingest_batch(folder, buckets, dead_letters, checkpoint)).option(
         "checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _append_unseen(rows: DataFrame, fold: Callable[[DataFrame], DataFrame], key: list[str], folder: str, checkpoint: str,
-                   available_now: bool) -> StreamingQuery:
+SEEN = Table("seen", "content_md5 string", ("content_md5",), ("content_md5",))
+
+
+def unseen(log: BatchLog, chunks: DataFrame) -> DataFrame:
+    """The first copy of each hash that the log has not seen, read from the partitions of these hashes only."""
+    first = keep_first_copy(chunks)
+    return first.join(log.live("seen", log.parts_of(first, "content_md5")), "content_md5", "left_anti")
+
+
+def dedup_stream(chunks: DataFrame, folder: str, checkpoint: str, available_now: bool = True, parts: int = PARTS,
+                 compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Append only chunks whose hash was never stored, of equal ones in a batch the first by document and position.
+
+    The hashes seen lie beside the checkpoint, by hash; a batch reads those partitions that its own
+    hashes fall in and appends its new ones.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        first = fold(batch)
+        batch = batch.persist()
         try:
-            stored = batch.sparkSession.read.parquet(folder).where(F.col("batch_id") != batch_id)
-            first = first.join(stored.select(*key), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        # one folder per batch: replaying a batch overwrites its own output
-        first.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
-
-    w = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            log = BatchLog(batch.sparkSession, f"{checkpoint}-seen", [SEEN], parts)
+            if log.holds("", batch_id):
+                return
+            # one folder per batch: replaying a batch overwrites its own output
+            out = f"{folder}/batch_id={batch_id}"
+            unseen(log, batch).write.mode("overwrite").parquet(out)
+            log.write("seen", batch.sparkSession.read.schema(batch.schema).parquet(out))
+            log.commit("", batch_id)
+            if log.last - log.base >= compact_every:
+                log.compact()
+        finally:
+            batch.unpersist()
+
+    w = chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def dedup_stream(chunks: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append only chunks whose hash was never stored: an anti join per batch, no growing state."""
-    return _append_unseen(chunks, keep_first_copy, ["content_md5"], folder, checkpoint, available_now)
-
-
 TASK_OUTPUT = "task_uuid string, from_state string, to_state string, at timestamp, reason string"
+TASK_COLUMNS = ["task_uuid", "from_state", "to_state", "at", "reason"]
 TASK_STATE = "state string, since bigint, last bigint"
 
 # ---- fixed values: what a life-cycle event does to a task ---------------------------------
@@ -118,48 +125,81 @@ def next_state(state: str, event: str) -> tuple[str, str | None]:
 RETENTION_MS = 7 * 86_400_000
 
 
-def task_lifecycle(events: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
-    """State changes of upload tasks; a stage that overruns its time limit fails, at the limit.
+class TaskLife(StatefulProcessor):
+    """One task's life: its state in a value, the events of a batch in a list, both in the state store.
 
-    ``events(task_uuid, event, ts)``; events of one time are taken by name. A task that went partial
-    stays partial. The state of a task is one small row. A task that ended, by an event or by a
-    timeout, is remembered for ``retention_ms`` of event time after its last event, then dropped; so
-    is one that never started. What arrives within that time changes nothing any more.
+    A batch's events come unordered and may be many: they go to the list as they arrive, and each
+    step looks for the first event that changes the state, so memory holds one event at a time.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, since, last = state.get if state.exists else ("received", 0, 0)
-        rows = []
 
-        def limit() -> int | None:
-            return STAGE_TIMEOUT_MS.get(current)
+    def __init__(self, retention_ms: int):
+        self.retention_ms = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", TASK_STATE)
+        self.waiting = handle.getListState("waiting", "at bigint, event string")
+
+    def _first(self, state: str, since: int, after: tuple[int, str]) -> tuple[int, str] | None:
+        """The earliest waiting event after the given one that ends the state, or comes past its limit."""
+        limit, best = STAGE_TIMEOUT_MS.get(state), None
+        for at, event in self.waiting.get():
+            if after < (at, event) and (best is None or (at, event) < best):
+                if next_state(state, event)[0] != state or limit and at // 1000 - since > limit:
+                    best = (at, event)
+        return best
+
+    def _remember(self, state: str, since: int, last: int, watermark: int) -> None:
+        self.now.update((state, since, last))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        limit = STAGE_TIMEOUT_MS.get(state)
+        self.handle.registerTimer(max(since + limit if limit else max(since, last) + self.retention_ms, watermark + 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, since, last = self.now.get() or ("received", 0, 0)
+        for chunk in rows:
+            held = pd.DataFrame({"at": chunk["ts"].astype("datetime64[us]").astype("int64"), "event": chunk["event"].fillna("")}).drop_duplicates()
+            last = max(last, int(held["at"].max()) // 1000)
+            if state not in TERMINAL:
+                self.waiting.appendList([(int(at), event) for at, event in held.itertuples(index=False)])
+        steps, place = [], (-1 << 63, "")
+        while state not in TERMINAL and (found := self._first(state, since, place)):
+            place, limit = found, STAGE_TIMEOUT_MS.get(state)
+            late = limit and place[0] // 1000 - since > limit
+            new, reason = ("failed", "timeout") if late else next_state(state, place[1])
+            steps.append((key[0], state, new, pd.Timestamp(place[0], unit="us"), reason))
+            state, since = new, place[0] // 1000
+        self.waiting.clear()
+        self._remember(state, since, last, timerValues.getCurrentWatermarkInMs())
+        if steps:
+            yield pd.DataFrame(steps, columns=TASK_COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, since, last = self.now.get()
+        limit = STAGE_TIMEOUT_MS.get(state)
+        if not limit:  # ended, or never started, and remembered long enough
+            self.now.clear()
+            return
+        at = since + limit
+        self._remember("failed", at, last, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame([(key[0], state, "failed", pd.Timestamp(at, unit="ms"), "timeout")], columns=TASK_COLUMNS)
+
+    def close(self) -> None:
+        pass
 
-        if state.hasTimedOut:
-            if not limit():  # ended, or never started, and remembered long enough
-                state.remove()
-                return
-            at = since + limit()
-            rows.append((key[0], current, "failed", pd.Timestamp(at, unit="ms"), "timeout"))
-            current, since = "failed", at
-        else:
-            held = pd.concat(list(batches))[["ts", "event"]].sort_values(["ts", "event"])
-            for ts, event in held.itertuples(index=False):
-                now = int(ts.timestamp() * 1000)
-                last = max(last, now)
-                if limit() and now - since > limit():
-                    new, reason = "failed", "timeout"
-                else:
-                    new, reason = next_state(current, event)
-                if new != current:
-                    rows.append((key[0], current, new, ts, reason))
-                    current, since = new, now
-        state.update((current, since, last))
-        due = since + limit() if limit() else max(since, last) + retention_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["task_uuid", "from_state", "to_state", "at", "reason"])
-
-    return (events.withWatermark("ts", WATERMARK).groupBy("task_uuid")
-            .applyInPandasWithState(step, TASK_OUTPUT, TASK_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+def task_lifecycle(events: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
+    """State changes of upload tasks; a stage that overruns its time limit fails, at the limit.
+
+    ``events(task_uuid, event, ts)``; events of one time are taken by name, those without a time are
+    left out. A task that went partial stays partial. The state of a task is one small row. A task
+    that ended, by an event or by a timeout, is remembered for ``retention_ms`` of event time after
+    its last event, then dropped; so is one that never started. What arrives within that time changes
+    nothing any more. Needs the RocksDB state store (``session.RECOMMENDED``).
+    """
+    return (events.where(F.col("ts").isNotNull()).withWatermark("ts", WATERMARK).groupBy("task_uuid")
+            .transformWithStateInPandas(TaskLife(retention_ms), TASK_OUTPUT, "Append", "EventTime"))
 
 
 def audit_counts(log: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -171,8 +211,13 @@ def audit_counts(log: DataFrame, size: str = "1 hour", slide: str | None = None)
 
 
 def graph_delta_stream(rows: DataFrame, key: list[str], folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append new nodes or edges, each once however the rows arrive: an anti join per batch with the stored keys."""
-    return _append_unseen(rows, lambda batch: batch.dropDuplicates(key), key, folder, checkpoint, available_now)
+    """Append new nodes or edges, each once however the rows arrive.
+
+    The keys seen are the state of the stream: a batch looks up and saves its own keys only, in the
+    state store, and the sink's log shows readers whole batches.
+    """
+    w = rows.dropDuplicates(key).writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def session_activity(turns: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
