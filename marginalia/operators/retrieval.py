@@ -18,6 +18,7 @@ from marginalia.operators.keyed import first_per_key, top_n_per_key
 from marginalia.operators.lookups import filter_hits_by_doc
 
 MAX_QUERY_ROWS = 4_096  # query vectors shipped to every task: 32 MB at 1024 dimensions
+GROUP_VECTORS = 65_536  # vectors that one task holds while queries pass: 512 MB at 1024 dimensions
 MAX_HIT_ROWS = 1_000_000  # hits that may be broadcast to the chunk table: about 32 MB
 SCORE_DIGITS = 12  # scores closer than this are a tie, broken by vec_id
 
@@ -78,47 +79,89 @@ def _scan(vectors: DataFrame, ids: pa.Array, matrix: np.ndarray, k: int, id_type
                              ST.StructField("score", ST.DoubleType())]))
 
 
+def _best_of(q: np.ndarray, v: np.ndarray, vec_id: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, vec_id, score) of the best ``k`` vectors of every query, block by block."""
+    step = max(1, 4_000_000 // max(1, len(v)))  # bounds the score block
+    for at in range(0, len(q), step):
+        block = np.round(q[at:at + step] @ v.T, SCORE_DIGITS)
+        floor = np.partition(block, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(block), -np.inf)
+        r, c = np.nonzero(block >= floor[:, None])
+        keep = _better(r, vec_id[c], block[r, c], k)
+        yield r[keep] + at, vec_id[c[keep]], block[r[keep], c[keep]]
+
+
+def _meet(queries: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
+    """Best ``k`` vectors per query within each group of vectors, as hit rows; for any number of queries.
+
+    Vectors are dealt out into groups of bounded size, every query visits every group, and a task
+    reads the vectors of a group, then its queries batch by batch: one group and one batch are in
+    memory, and no query passes the driver.
+    """
+    spark = vectors.sparkSession
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // GROUP_VECTORS))
+    whole = F.size("embedding") == width
+    id_field = queries.schema["query_id"]
+    sides = (vectors.where(whole).select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group"), F.col("vec_id").cast("bigint").alias("vec_id"),
+                                         F.lit(None).cast(id_field.dataType).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+                                         F.lit(False).alias("asks")),
+             queries.where(whole).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"), F.lit(None).cast("bigint").alias("vec_id"),
+                                         "query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(True).alias("asks")))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, ids = None, [], []  # the vectors of the group that is being read
+        for batch in batches:
+            of = batch.column("group").to_numpy(zero_copy_only=False)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            matrix = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (asks[1:] != asks[:-1])])
+            for at, end in zip(cuts, np.r_[cuts[1:], len(of)]):
+                if of[at] != group:
+                    group, held, ids = of[at], [], []
+                if not asks[at]:
+                    held.append(matrix[at:end][np.isfinite(matrix[at:end]).all(axis=1)])
+                    ids.append(batch.column("vec_id").slice(at, end - at).to_numpy(zero_copy_only=False)[np.isfinite(matrix[at:end]).all(axis=1)])
+                elif held:
+                    held, ids = [np.concatenate(held)], [np.concatenate(ids)]
+                    for r, found, scores in _best_of(matrix[at:end], held[0], ids[0], k):
+                        yield pa.RecordBatch.from_arrays([batch.column("query_id").slice(at, end - at).take(pa.array(r)), pa.array(found.astype(np.int64)),
+                                                          pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    # groups of one task follow one another, vectors before queries
+    return sides[0].unionByName(sides[1]).repartition(groups, "group").sortWithinPartitions("group", "asks").mapInArrow(
+        best, ST.StructType([ST.StructField("query_id", id_field.dataType), ST.StructField("vec_id", ST.LongType()), ST.StructField("score", ST.DoubleType())]))
+
+
 def topk_inner_product(queries: DataFrame, vectors: DataFrame, k: int = 5, min_score: float | None = 0.3,
                        max_rows: int = MAX_QUERY_ROWS) -> DataFrame:
     """Exact flat search: the ``k`` best vectors per query, then the strict score threshold.
 
     ``queries(query_id, embedding)``, ``vectors(vec_id, embedding)``; gives
-    ``(query_id, vec_id, score, rank)``. Vectors that are null, hold nulls or non-finite numbers, or
-    differ in length from the queries (all of one length) take no part; neither do such queries. Vectors are read once and never shuffled: each task
-    scores its batches as matrix products, keeps a running best ``k`` per query, and only those
-    rows are ranked. The query matrix is shipped to the tasks after a check that it has at most
-    ``max_rows`` rows; a larger batch is cut into hash slices below that bound, one pass each.
-    With the number of queries known, the hits are at most queries times ``k``; below a million
-    they are marked for broadcast, so that looking up their chunks does not shuffle the corpus.
-    Runs a job to read the queries.
+    ``(query_id, vec_id, score, rank)``. Rows of one ``query_id`` are one query that asks with several
+    vectors: a vector found counts once, with its best score. Vectors that are null, hold nulls or
+    non-finite numbers, or differ in length from the queries (all of one length) take no part; neither
+    do such queries. A batch of at most ``max_rows`` queries is shipped to the vectors, which are then
+    read once and never shuffled: each task scores its batches as matrix products and keeps a running
+    best ``k`` per query. A larger batch meets groups of vectors, see ``_meet``. Either way a task
+    hands on ``k`` rows per query, and those are ranked. With few queries the hits are at most queries
+    times ``k``; below a million they are marked for broadcast, so that looking up their chunks does
+    not shuffle the corpus. Runs a job to read the first ``max_rows`` queries.
     """
     id_type = queries.schema["query_id"].dataType
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = queries.select("query_id", "embedding").where(sound & (F.size("embedding") > 0))
-
-    def scan(t: pa.Table) -> DataFrame:
-        ids = t.column("query_id").combine_chunks()
-        flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        width = len(flat) // len(ids) if len(ids) else 1
-        return _scan(vectors, ids, flat.astype(np.float64).reshape(len(ids), width), k, id_type)
-
     table = asked.limit(max_rows + 1).toArrow()
-    bounded = table.num_rows <= max_rows and table.num_rows * k <= MAX_HIT_ROWS
-    if table.num_rows <= max_rows:
-        hits = scan(table)
+    ids = table.column("query_id").combine_chunks()
+    flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    width = len(flat) // len(ids) if len(ids) else 1
+    few = table.num_rows <= max_rows
+    if few:
+        hits = _scan(vectors, ids, flat.astype(np.float64).reshape(len(ids), width), k, id_type)
     else:
-        slices = int(asked.count() / max_rows * 1.5) + 1
-        hits = None
-        for s in range(slices):
-            part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-            table = part.limit(2 * max_rows + 1).toArrow()
-            if table.num_rows > 2 * max_rows:
-                raise ValueError("query ids repeat too often to be cut into slices of bounded size")
-            if table.num_rows:
-                hits = scan(table) if hits is None else hits.unionByName(scan(table))
-    top = top_n_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], k)
+        hits = _meet(asked, vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())), k, width)
+    once = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    top = top_n_per_key(once, ["query_id"], [F.col("score").desc(), F.col("vec_id").asc()], k)
     top = top if min_score is None else top.where(F.col("score") > min_score)
-    return F.broadcast(top) if bounded else top
+    return F.broadcast(top) if few and table.num_rows * k <= MAX_HIT_ROWS else top
 
 
 def doc_aware_retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, targets: DataFrame,
@@ -353,29 +396,34 @@ def conversation_context(turns: DataFrame, n: int = 3, keep: int = 500) -> DataF
         F.max("turn").alias("current_turn"), F.flatten(_ordered(message, "turn")).alias("messages"))
 
 
-def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
-    """Deterministic stand-in for an embedding model: hashed word counts."""
-    def encode(texts: pd.Series) -> np.ndarray:
-        import hashlib
-        from functools import lru_cache
+def hashed_terms(text: Column | str, dim: int = 64) -> Column:
+    """L2-normalised word counts, each word counted in one of ``dim`` places that its hash picks.
 
-        @lru_cache(maxsize=200_000)
-        def bucket(word: str) -> int:
-            return int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
+    A stand-in for an embedding model without a model. Null and empty texts give zeros.
+    """
+    def place(word: Column) -> Column:
+        return F.pmod(F.conv(F.left(F.md5(word), F.lit(6)), 16, 10).cast("int"), F.lit(dim))
 
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                out[i, bucket(w)] += 1.0
-        return out
+    def counts(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.size(places) - F.size(F.array_remove(places, d))).cast("double"))
 
-    return encode
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x / n)))[0]
+
+    # lists of one bind what is used several times
+    places = F.transform(T.words(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), place)
+    return F.transform(F.transform(F.array(places), counts), unit)[0]
 
 
 def batch_embed(df: DataFrame, text: str, encoder: Callable[[pd.Series], np.ndarray] | None = None,
-                batch: int = 16, out: str = "embedding") -> DataFrame:
-    """Add L2-normalised vectors from a user encoder called on batches of 16 texts."""
-    encoder = encoder or hashing_encoder()
+                batch: int = 16, out: str = "embedding", dim: int = 64) -> DataFrame:
+    """Add L2-normalised vectors from a user encoder called on batches of 16 texts.
+
+    Without an encoder they are hashed word counts of ``dim`` places, computed without Python.
+    """
+    if encoder is None:
+        return df.withColumn(out, hashed_terms(text, dim))
 
     @F.pandas_udf("array<double>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

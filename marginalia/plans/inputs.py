@@ -8,6 +8,8 @@ portable SQL shared by both sides; operators are written once in Spark and once
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,10 +236,8 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def centroid_queries(spark: SparkSession, sf: str) -> DataFrame:
     """One query per label: the normalised mean of its vectors."""
     e = table(spark, sf, "embeddings")
-    mean = (e.select("label", F.posexplode("embedding").alias("pos", "v"))
-            .groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m")))
-    q = mean.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c"))
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    q = e.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(vector_to_array(mean).alias("c"))
     norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
     return q.select("query_id", F.transform("c", lambda x: x / norm).alias("embedding"))
 

@@ -44,6 +44,42 @@ def test_topk_in_slices(data):
     assert ranked(Q.topk_inner_product(queries, vectors, 6, None, max_rows=3)) == want
 
 
+def test_any_number_of_queries_in_one_plan(data, spark):
+    """Beyond the bound, in small Arrow batches, with many groups, unsound rows left out."""
+    queries, vectors, want = data
+    odd = spark.createDataFrame([(9001, [1.0] * 15), (9002, [float("nan")] * 16), (9003, None), (9004, [float("inf")] * 16), (9005, [None] * 16)],
+                                "vec_id bigint, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 23)
+    try:
+        got = ranked(Q.topk_inner_product(queries, vectors.unionByName(odd), 6, None, max_rows=2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_repeated_ids_mean_the_same_at_every_size(data, spark):
+    """Rows of one id ask together: a vector found counts once, with its best score."""
+    queries, vectors, _ = data
+    one = queries.withColumn("query_id", F.when(F.col("query_id") < "q6", "hot").otherwise(F.col("query_id")))
+    rows = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
+    asked = {}
+    for r in one.collect():
+        asked.setdefault(r.query_id, []).append(np.array(r.embedding))
+    want = {}
+    for q, many in asked.items():
+        score = {v: max(round(float(x @ e), 12) for x in many) for v, e in rows.items()}
+        want[q] = [(v, round(s, 9)) for v, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:6]]
+    assert ranked(Q.topk_inner_product(one, vectors, 6, None)) == want
+    assert ranked(Q.topk_inner_product(one, vectors, 6, None, max_rows=3)) == want
+
+
+def test_a_hot_id_in_a_large_batch(data, spark):
+    queries, vectors, want = data
+    first = queries.where("query_id = 'q0'").select(F.lit("q0").alias("query_id"), "embedding")
+    many = first.join(spark.range(9000), F.lit(True)).select("query_id", "embedding")
+    assert ranked(Q.topk_inner_product(many, vectors, 6, None)) == {"q0": want["q0"]}
+
+
 def test_topk_with_small_batches(data, spark):
     queries, vectors, want = data
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
