@@ -27,6 +27,7 @@ BIAS_WORDS = {
 INCONSISTENCY_WORDS = ["heterogeneity", "异质性", "I²", "I2", "inconsistent", "不一致",
                        "contradictory", "矛盾", "conflicting"]
 I2_MARKS = ["i²=", "i2=", "i² =", "i2 ="]
+SAMPLE_SIZE = r"n\.*=?\.*(\d+)"
 SAMPLE_MARKS = ["n=", "n =", "纳入", "enrolled"]
 PUBLICATION_BIAS_WORDS = ["funnel plot", "漏斗图", "egger", "egger's", "publication bias",
                           "发表偏倚", "文件抽屉"]
@@ -102,7 +103,7 @@ def imprecision(text: Column, effects: Column) -> tuple[Column, Column]:
         .when(crosses(e), F.format_string(DETAIL_NULL, e["ci_lower"], e["ci_upper"]))),
         lambda d: d.isNotNull())
     low = F.lower(text)
-    n = F.regexp_extract(low, r"n\.*=?\.*(\d+)", 1)
+    n = F.regexp_extract(low, SAMPLE_SIZE, 1)
     small = contains_any(low, SAMPLE_MARKS) & (n.try_cast("double") < 100)
     sample = F.when(small, F.array(F.format_string(DETAIL_SAMPLE, n.try_cast("bigint").cast("string")))) \
         .otherwise(F.array().cast("array<string>"))

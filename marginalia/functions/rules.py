@@ -232,7 +232,7 @@ def classify(text: Column | str, rules: Rules, default: str | None = None,
     table never fire, which is how the entity groups behave.
     """
     if sum(len(k) for _, k in rules) > MAX_KEYWORDS:
-        raise ValueError(f"a rule set holds at most {MAX_KEYWORDS} keywords; split it by label")
+        raise ValueError(f"more than {MAX_KEYWORDS} keywords do not fit an expression; give them as rows to operators.lookups.classify_by_table")
     text = F.col(text) if isinstance(text, str) else text
     low = F.lower(F.left(text, F.lit(prefix)) if prefix else text)
     priority: dict[str, int] = {}

@@ -53,6 +53,12 @@ ENTITY_VOCABULARY = [
     "cardiac index", "cardiac power", "lactate", "hemolysis", "vasopressor",
     "revascularization", "TIMI", "angioplasty", "stent", "bypass",
 ]
+# ---- fixed values: what is read out of texts -----------------------------------------------
+PERCENT = r"(\d+\.?\d*)\s*[%％]"
+EFFECT_NAMED = r"(?i)(HR|RR|OR)\s*[=＝]\s*([\d.]+)\s*\(\s*([\d.]+)\s*[-–]\s*([\d.]+)\s*\)"
+EFFECT_TRAILING = r"(?i)([\d.]+)\s*\(\s*([\d.]+)\s*[-–]\s*([\d.]+)\s*\).*?(HR|RR|OR)"
+YEAR = r"(?U)\b(?:19|20)\d{2}\b"
+CODE_BLOCK, CODE_SPAN, WIKI_LINK = r"(?s)```.*?```", r"`[^`]*`", r"\[\[([^\]]+)\]\]"
 # -------------------------------------------------------------------------------------------
 
 
@@ -218,7 +224,7 @@ def doc_meta(page0: Column | str, doc: Column | str) -> Column:
     return F.struct(
         F.coalesce(F.left(title, F.lit(200)), doc).alias("title"),
         F.coalesce(F.left(journal, F.lit(100)), F.lit("")).alias("journal"),
-        F.regexp_extract(F.left(page0, F.lit(500)), r"(?U)\b(?:19|20)\d{2}\b", 0).alias("year"),
+        F.regexp_extract(F.left(page0, F.lit(500)), YEAR, 0).alias("year"),
         F.coalesce(F.left(authors, F.lit(200)), F.lit("")).alias("authors"),
     )
 
@@ -273,29 +279,25 @@ def parse_fenced_json(c: Column | str, schema: str) -> Column:
 
 
 def percents(c: Column | str, keep: int = 5) -> Column:
-    return F.slice(F.regexp_extract_all(_col(c), F.lit(r"(\d+\.?\d*)\s*[%％]"), F.lit(1)), 1, keep)
+    return F.slice(F.regexp_extract_all(_col(c), F.lit(PERCENT), F.lit(1)), 1, keep)
 
 
 def effect(c: Column | str) -> Column:
     """First ratio with its interval: ``HR = v (lo-hi)`` or ``v (lo-hi) ... HR``."""
     c = _col(c)
-    number, dash = r"([\d.]+)", "[-–]"
-    named = rf"(?i)(HR|RR|OR)\s*[=＝]\s*{number}\s*\(\s*{number}\s*{dash}\s*{number}\s*\)"
-    trailing = rf"(?i){number}\s*\(\s*{number}\s*{dash}\s*{number}\s*\).*?(HR|RR|OR)"
-
     def parts(pattern, order):
         g = [F.regexp_extract(c, pattern, i) for i in order]
         return F.struct(F.upper(g[0]).alias("measure"), g[1].try_cast("double").alias("value"),
                         g[2].try_cast("double").alias("lower"), g[3].try_cast("double").alias("upper"))
 
-    return (F.when(c.rlike(named), parts(named, (1, 2, 3, 4)))
-            .when(c.rlike(trailing), parts(trailing, (4, 1, 2, 3))))
+    return (F.when(c.rlike(EFFECT_NAMED), parts(EFFECT_NAMED, (1, 2, 3, 4)))
+            .when(c.rlike(EFFECT_TRAILING), parts(EFFECT_TRAILING, (4, 1, 2, 3))))
 
 
 def wiki_links(c: Column | str) -> Column:
     """Distinct ``[[targets]]`` outside code, in order of first use."""
-    plain = F.regexp_replace(F.regexp_replace(_col(c), r"(?s)```.*?```", ""), r"`[^`]*`", "")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)))
+    plain = F.regexp_replace(F.regexp_replace(_col(c), CODE_BLOCK, ""), CODE_SPAN, "")
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit(WIKI_LINK), F.lit(1)))
 
 
 def refine_query(c: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -222,6 +224,44 @@ def merge_elements(items: DataFrame) -> DataFrame:
                     F.col("_kind").isNotNull().alias("merged")))
 
 
+# ---- fixed values: marks of tables and figures written out by a model ----------------------
+TABLE_WRITTEN, FIGURE_WRITTEN, TABLE_MARK = "[表格序列化] ", "[图表序列化] ", "[表] "
+# -------------------------------------------------------------------------------------------
+MIN_TABLE_BODY, SHOWN_BODY = 50, 500
+
+
+def postprocess_items(items: DataFrame, written_out: DataFrame | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Parsed items made ready for chunking: artefacts cleaned, short elements merged, tables written out.
+
+    ``written_out(doc_name, item_idx, text)`` holds what a model made of tables and figures: its text
+    takes the item's place; where the model failed (null text) a table keeps its caption and the
+    start of its body. Tables with a body under 50 characters and items without a row stay.
+    Gives the items with ``merged`` and ``serialized``, and a function that tells how many were
+    cleaned, merged and serialized: the counts are observed in the one pass that any action makes
+    (they wait for it; retried tasks of a shuffle may count twice).
+    """
+    text = F.col("text")
+    cleaned = F.when(F.col("type") == "text", T.clean_ocr("text")).otherwise(text)
+    seen, done = Observation(), Observation()
+    rows = items.withColumns({"text": cleaned, "_cleaned": ~F.equal_null(cleaned, text)}).observe(
+        seen, F.count_if("_cleaned").alias("cleaned")).drop("_cleaned")
+    rows = merge_elements(rows)
+    if written_out is None:
+        rows = rows.withColumn("serialized", F.lit(False))
+    else:
+        made = written_out.select("doc_name", "item_idx", F.struct(F.col("text").alias("text")).alias("_made"))
+        body, by = F.coalesce("table_body", F.lit("")), F.col("_made.text")
+        table = (F.col("type") == "table") & (F.length(body) >= MIN_TABLE_BODY) & F.col("_made").isNotNull()
+        figure = F.col("type").isin("image", "chart") & by.isNotNull()
+        failed = F.concat(F.lit(TABLE_MARK), F.coalesce("table_caption", F.lit("")), F.lit("\n"), F.left(body, F.lit(SHOWN_BODY)))
+        new = (F.when(table & by.isNotNull(), F.concat(F.lit(TABLE_WRITTEN), T.strip(by))).when(table, failed)
+               .when(figure, F.concat(F.lit(FIGURE_WRITTEN), T.strip(by))).otherwise(text))
+        rows = rows.join(made, ["doc_name", "item_idx"], "left").withColumns(
+            {"text": new, "serialized": F.coalesce((table | figure) & by.isNotNull(), F.lit(False))}).drop("_made")
+    rows = rows.observe(done, F.count_if("merged").alias("merged"), F.count_if("serialized").alias("serialized"))
+    return rows, lambda: {**seen.get, **done.get}
+
+
 def attach_figure_text(images: DataFrame, page_texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """Text for an image: its page's figure line, the next page's, the one before's, the first
     chunk of the page that speaks of a figure, the caption, else a placeholder.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from marginalia.functions import grading as G
 from marginalia.functions import rules, text as T
 from marginalia.functions.rules import lookup
 from marginalia.operators.keyed import top_n_per_key
+from marginalia.operators.retrieval import topk_inner_product
+from marginalia.session import written
 
 # ---- fixed values: report wording ---------------------------------------------------------
 OVERALL_GOOD = "整体证据质量较好，可基于此做出临床推荐"
@@ -141,8 +145,13 @@ def estimate_grade(hits: DataFrame, key: str = "query_id", top: int = 3, keep: i
     rows = F.array_sort(F.collect_list(F.struct("rank", F.left("text", F.lit(keep)).alias("t"))))
     per = hits.where(F.col("rank") <= top).groupBy(key).agg(
         F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("_text"))
-    docs = per.select(
-        F.col(key).alias("doc_id"), F.col(key).cast("string").alias("title"),
+    return assess_texts(per.withColumnRenamed(key, "_key"), unlabelled)
+
+
+def assess_texts(texts: DataFrame, unlabelled: str) -> DataFrame:
+    """Grade of each ``(_key, _text)`` by its text alone: label by rule, no PICO, no effects."""
+    docs = texts.select(
+        F.col("_key").alias("doc_id"), F.col("_key").cast("string").alias("title"),
         F.coalesce(rules.evidence_label("_text"), F.lit(unlabelled)).alias("evidence_type"),
         F.array("_text").alias("findings"), F.create_map().cast("map<string,string>").alias("pico"),
         F.array().cast(G.EFFECT_TYPE).alias("effects"))
@@ -150,6 +159,57 @@ def estimate_grade(hits: DataFrame, key: str = "query_id", top: int = 3, keep: i
     return assess_documents(docs, strict=True)
 
 
+# ---- fixed values: name of an assessment over a whole topic --------------------------------
+WHOLE_TOPIC = "综合"
+# -------------------------------------------------------------------------------------------
+
+
+def grade_requests(requests: DataFrame, encode: Callable[[DataFrame, str], DataFrame], vectors: DataFrame,
+                   chunks: DataFrame) -> DataFrame:
+    """Grades asked for by topic: of the documents named, or of the topic where none of them gives hits.
+
+    ``requests(request_id, topic, doc_names array<string>)``; ``encode`` turns ``(query_id, text)`` into
+    vectors. Each name is searched once, however many requests name it (three passages). Only topics
+    of requests without any assessed document are searched, in a second pass (five passages); a topic
+    without hits is graded on no text. Gives ``(request_id, doc_id, ...)`` with the factors, levels and
+    recommendation of ``assess_documents``; profiles come from ``grade_profile(..., ["request_id"])``.
+    The first pass is written to the shared folder, since both the result and the choice read it.
+    """
+    def graded(asked: DataFrame, k: int, **form) -> DataFrame:
+        hits = topk_inner_product(encode(asked.select(F.col("query").alias("query_id"), F.col("query").alias("text")), "text"), vectors, k)
+        found = hits.join(chunks.select("vec_id", "text"), "vec_id").select("query_id", "rank", "text")
+        return estimate_grade(found, top=k, **form)
+
+    names = requests.select("request_id", F.explode("doc_names").alias("query"))
+    of_names = graded(names.select("query").distinct(), 3)
+    first = written(names.distinct().join(of_names, F.col("query") == F.col("doc_id")).select("request_id", *of_names.columns))
+    without = requests.join(first.select("request_id").distinct(), "request_id", "left_anti").select(
+        "request_id", F.coalesce("topic", F.lit("")).alias("query"))
+    of_topics = graded(without.select("query").distinct(), 5, keep=600, unlabelled="mixed")
+    nothing = assess_texts(without.select(F.col("query").alias("_key"), F.lit("").alias("_text")).distinct(), "mixed")
+    topics = nothing.join(of_topics, "doc_id", "left_anti").unionByName(of_topics)
+    second = without.join(topics, F.col("query") == F.col("doc_id")).select("request_id", *of_names.columns).withColumns(
+        {"doc_id": F.lit(WHOLE_TOPIC), "title": F.lit(WHOLE_TOPIC)})
+    return first.unionByName(second)
+
+
+def grade_corpus(documents: DataFrame, encode: Callable[[DataFrame, str], DataFrame], vectors: DataFrame, chunks: DataFrame,
+                 top: int = 3, keep: int = 800) -> DataFrame:
+    """Grade of every stored document from the passages that its own name finds.
+
+    ``documents(doc_name, evidence_type)``, one row per document; one without hits is graded on no
+    findings.
+    """
+    asked = documents.select(F.col("doc_name").alias("query_id"), F.col("doc_name").alias("text"))
+    hits = topk_inner_product(encode(asked, "text"), vectors, top).join(chunks.select("vec_id", "text"), "vec_id")
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.left("text", F.lit(keep)).alias("t"))))  # top rows
+    per = hits.groupBy(F.col("query_id").alias("doc_name")).agg(F.transform(rows, lambda r: r["t"]).alias("findings"))
+    return assess_documents(documents.join(per, "doc_name", "left").select(
+        F.col("doc_name").alias("doc_id"), F.col("doc_name").alias("title"), "evidence_type",
+        F.coalesce("findings", F.array().cast("array<string>")).alias("findings"),
+        F.create_map().cast("map<string,string>").alias("pico"), F.array().cast(G.EFFECT_TYPE).alias("effects")))
+
+
 def evidence_summary(evidence: DataFrame) -> DataFrame:
     """Documents per evidence level name."""
     return evidence.groupBy(rules.level_name("evidence_level").alias("level")).agg(

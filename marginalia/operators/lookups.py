@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.functions.rules import upload_outcome
 from marginalia.operators.keyed import first_per_key
+from marginalia.session import written
 
 MAX_LITERAL_TERMS = 2_000
 
@@ -57,6 +58,43 @@ def containments(stems: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.join(pieces, "_gram").where(F.contains("_name", F.col("_stem"))).select("_stem", "_name")
 
 
+def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term") -> DataFrame:
+    """``(*keys, term)`` for every row of ``texts`` and every distinct term that its text contains; for any number of terms.
+
+    Texts are cut into pieces of ``GRAM`` characters, shorter ones where terms are shorter; only pieces
+    that some term has are kept, with the keys of their rows. A term is looked up by the piece of it
+    that fewest rows have, and what it meets is searched. ``keys`` identify a row; terms and texts are
+    compared as they are; empty and null ones match nothing. The pieces that terms share with texts are
+    written to the shared folder.
+    """
+    words = terms.select(F.col(term).alias("_term")).where(F.length("_term") > 0).distinct()
+    wanted = words.select("_term", F.explode(_grams(F.col("_term"), F.least(F.length("_term"), F.lit(GRAM)))).alias("_gram"))
+    lengths = wanted.select(F.length("_gram").alias("n")).distinct()  # at most GRAM rows
+    cut = texts.select(*keys, F.col(text).alias("_text"), F.explode(F.array(*[F.lit(n) for n in range(1, GRAM + 1)])).alias("n"))
+    pieces = cut.join(F.broadcast(lengths), "n").select(*keys, F.explode(_grams(F.col("_text"), F.col("n"))).alias("_gram"))
+    near = written(pieces.join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
+    seen = near.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
+    keyed = wanted.join(seen, "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram"))
+    offered = keyed.join(near, "_gram").drop("_gram")
+    found = offered.join(texts.select(*keys, F.col(text).alias("_text")), keys).where(F.contains("_text", F.col("_term")))
+    return found.select(*keys, F.col("_term").alias(term))
+
+
+def classify_by_table(rows: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", default: str | None = None,
+                      prefix: int | None = None, fold_keywords: bool = True, out: str = "label") -> DataFrame:
+    """Like ``rules.classify`` with the rules as rows ``(place, label, keyword)``, for any number of keywords.
+
+    Adds the label of the rule with the smallest place that has a keyword inside the lower-cased
+    (prefix of the) text, else ``default``; of equal places the smaller label. ``keys`` identify a row.
+    """
+    low = F.lower(F.left(text, F.lit(prefix)) if prefix else F.col(text))
+    known = rules.select((F.lower("keyword") if fold_keywords else F.col("keyword")).alias("_keyword"), F.struct("place", "label").alias("_rule"))
+    first = known.groupBy("_keyword").agg(F.min("_rule").alias("_rule"))  # a keyword of several rules counts for the first
+    met = match_terms(rows.select(*keys, low.alias("_low")), first, keys, "_low", "_keyword")
+    best = met.join(first, "_keyword").groupBy(*keys).agg(F.min("_rule")["label"].alias("_label"))
+    return rows.join(best, keys, "left").withColumn(out, F.coalesce("_label", F.lit(default).cast("string"))).drop("_label")
+
+
 def match_files(files: DataFrame, docs: DataFrame, name: str = "file_name", doc: str = "doc_name") -> DataFrame:
     """Files whose stem equals or occurs inside a document name."""
     stems = files.withColumn("_stem", F.replace(F.col(name), F.lit(".pdf"), F.lit("")))
@@ -188,20 +226,25 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, search: str = "", group
             .join(ids, F.col("target") == F.col("_id"), "left_semi"))
 
 
-def topic_evidence(evidence: DataFrame, topics: list[str]) -> DataFrame:
+def topic_evidence(evidence: DataFrame, topics: list[str] | DataFrame) -> DataFrame:
     """Documents that mention a topic in their PICO parts or findings, one row per match.
 
-    ``evidence(doc_name, doc_title, evidence_level, pico map, findings array)``. Topics are tested
-    inside the row, so only matches are ever emitted; long topic lists go in slices.
+    ``evidence(doc_name, doc_title, evidence_level, pico map, findings array)``, a row per document.
+    A short list of topics is tested inside the row, so only matches are ever emitted; longer lists,
+    and topics given as rows ``(topic)``, are looked up by their rarest pieces, see ``match_terms``.
+    The empty topic is in every document.
     """
     hay = F.lower(F.concat(F.to_json("pico"), F.lit("\n"), F.array_join("findings", " ")))
-    base = evidence.withColumn("_hay", hay)
-    out = None
-    for at in range(0, max(len(topics), 1), MAX_LITERAL_TERMS):
-        terms = F.array(*[F.lit(t) for t in topics[at:at + MAX_LITERAL_TERMS]]).cast("array<string>")
-        part = base.withColumn("topic", F.explode(F.filter(terms, lambda t: F.contains(F.col("_hay"), F.lower(t)))))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("_hay")
+    if not isinstance(topics, DataFrame) and len(topics) <= MAX_LITERAL_TERMS:
+        terms = F.array(*[F.lit(t) for t in topics]).cast("array<string>")
+        found = F.explode(F.filter(terms, lambda t: F.contains(F.col("_hay"), F.lower(t))))
+        return evidence.withColumn("_hay", hay).withColumn("topic", found).drop("_hay")
+    if not isinstance(topics, DataFrame):
+        topics = evidence.sparkSession.createDataFrame([(t,) for t in topics], "topic string")
+    asked = topics.select("topic", F.lower("topic").alias("_term"))
+    met = match_terms(evidence.select("doc_name", hay.alias("_hay")), asked, ["doc_name"], "_hay", "_term")
+    whole = evidence.withColumn("_term", F.lit("")).join(asked.where(F.col("_term") == ""), "_term").select(*evidence.columns, "topic")
+    return evidence.join(met.join(asked, "_term").select("doc_name", "topic"), "doc_name").select(*evidence.columns, "topic").unionByName(whole)
 
 
 def best_topic_evidence(matches: DataFrame) -> DataFrame:

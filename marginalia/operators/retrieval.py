@@ -182,6 +182,32 @@ def doc_aware_retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame
     return top_n_per_key(boosted, ["query_id"], [F.col("_search").asc()], k).drop("_search")
 
 
+def search_again(asked: DataFrame, answers: DataFrame, encode: Callable[[DataFrame, str], DataFrame], vectors: DataFrame,
+                 chunks: DataFrame, targets: DataFrame, k: int = 10, k_again: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Hits of all queries, with a second search for those whose answer is weak, and the judgement of the answers.
+
+    ``asked(query_id, text)``, ``answers(query_id, answer, steps)``: an answer is judged by
+    ``rules.critique``; where its confidence is low, the shortened question is searched too, and both
+    searches' hits merge by best score (ties to the search that came first, then its order), cut to
+    ``k``. A query without an answer, or with an empty question, is searched once. Hits carry
+    ``search`` (1 or 2), where they were found best. The queries of the second search come from a
+    filter, so what is not weak is not embedded again.
+    """
+    judged = asked.join(answers, "query_id").select("query_id", rules.critique(F.col("text"), F.col("answer"), F.col("steps")).alias("_c")).select(
+        "query_id", "_c.*")
+    weak = judged.where((F.col("confidence") == "low") & (F.coalesce("refined_query", F.lit("")) != "")).select(
+        "query_id", F.col("refined_query").alias("text"))
+
+    def hits(rows: DataFrame, n: int, search: int) -> DataFrame:
+        return doc_aware_retrieve(encode(rows, "text"), vectors, chunks, targets, n).withColumn("search", F.lit(search))
+
+    both = hits(asked.select("query_id", "text"), k, 1).unionByName(hits(weak, k_again, 2))
+    best = first_per_key(both, ["query_id", "vec_id"], [-F.col("score"), F.col("search")])
+    order = [F.col("score").desc(), F.col("search"), F.col("_rank"), F.col("vec_id")]
+    merged = top_n_per_key(best.withColumnRenamed("rank", "_rank"), ["query_id"], order, k).drop("_rank")
+    return merged, judged
+
+
 def dedup_hits(hits: DataFrame, prefix: int = 100) -> DataFrame:
     """Of hits of one query that start with the same 100 characters the best ranked stays."""
     return first_per_key(hits.withColumn("_head", F.left("text", F.lit(prefix))),

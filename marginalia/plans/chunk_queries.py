@@ -10,7 +10,7 @@ from marginalia.operators import incremental as N
 from marginalia.operators import ingest
 from marginalia.plans import inputs as I
 from marginalia.plans.registry import query
-from marginalia.session import ensure_checkpoint_dir
+from marginalia.session import ensure_checkpoint_dir, written
 
 # ---- paragraph packing --------------------------------------------------------------------
 # a page for the splitter: every line of a document is a paragraph
@@ -143,23 +143,52 @@ def apply_merge_decisions(spark, sf):
     return C.apply_merge_decisions(m, decisions)
 
 
-@query("merge_elements", "WITH RECURSIVE " + I.ITEMS + """,
+def merged_sql(rows: str) -> str:
+    """Elements of ``rows`` merged left to right, document by document."""
+    return f""",
 n AS (SELECT *, lead(type) OVER w AS nt, lead(text) OVER w AS nx, lead(page_idx) OVER w AS np, lead(table_body) OVER w AS nb
-  FROM items WINDOW w AS (PARTITION BY doc_name ORDER BY item_idx)),
+  FROM {rows} WINDOW w AS (PARTITION BY doc_name ORDER BY item_idx)),
 k AS (SELECT *, CASE WHEN type = 'text' AND nt = 'table' AND length(text) < 300 THEN 'table'
   WHEN type = 'text' AND nt = 'text' AND page_idx = np AND length(text) < 80 THEN 'text' END AS kind FROM n),
 walk AS (SELECT doc_name, item_idx, false AS gone, kind IS NOT NULL AS absorbs FROM k WHERE item_idx = 0
   UNION ALL SELECT k.doc_name, k.item_idx, w.absorbs, NOT w.absorbs AND k.kind IS NOT NULL
-  FROM walk w JOIN k ON k.doc_name = w.doc_name AND k.item_idx = w.item_idx + 1)
-SELECT doc_name, item_idx, coalesce(CASE WHEN kind = 'table' THEN 'table' END, type) AS type, page_idx,
+  FROM walk w JOIN k ON k.doc_name = w.doc_name AND k.item_idx = w.item_idx + 1),
+joined AS (SELECT doc_name, item_idx, coalesce(CASE WHEN kind = 'table' THEN 'table' END, type) AS type, page_idx,
   CASE kind WHEN 'table' THEN '[表] ' || text || chr(10) || nb WHEN 'text' THEN text || ' ' || nx ELSE text END AS text,
   CASE WHEN kind = 'table' THEN text END AS table_caption,
   CASE WHEN kind = 'table' THEN nb WHEN type = 'table' THEN table_body END AS table_body, kind IS NOT NULL AS merged
-FROM k JOIN walk USING (doc_name, item_idx) WHERE NOT gone""")
+FROM k JOIN walk USING (doc_name, item_idx) WHERE NOT gone)"""
+
+
+@query("merge_elements", "WITH RECURSIVE " + I.ITEMS + merged_sql("items") + " SELECT * FROM joined")
 def merge_elements(spark, sf):
     return C.merge_elements(I.items(spark, sf))
 
 
+# one line in seven holds artefacts; a model wrote out every other item and failed at some
+SPOILED = "(CASE WHEN (doc_id + item_idx) % 7 = 2 THEN 'p/zero.pl.tnum/one.case ' ELSE '' END || text)"
+MENDED = "(CASE WHEN (doc_id + item_idx) % 7 = 2 THEN 'p01 ' ELSE '' END || text)"
+MADE = "(CASE WHEN item_idx % 6 <> 4 THEN ' written out: ' || doc_name || ' ' || item_idx || ' ' END)"
+
+
+@query("postprocess_items", "WITH RECURSIVE " + I.ITEMS + f""",
+mended AS (SELECT * REPLACE (CASE WHEN type = 'text' THEN {MENDED} ELSE {SPOILED} END AS text) FROM items)""" + merged_sql("mended") + f""",
+m AS (SELECT *, {MADE} AS made, item_idx % 2 = 0 AS tried, type = 'table' AND length(coalesce(table_body, '')) >= 50 AS is_table, type = 'image' AS is_figure FROM joined),
+s AS (SELECT doc_name, item_idx, type, page_idx, merged, tried AND made IS NOT NULL AND (is_table OR is_figure) AS serialized,
+  CASE WHEN NOT tried THEN text WHEN is_table AND made IS NOT NULL THEN '[表格序列化] ' || trim(made)
+    WHEN is_table THEN '[表] ' || coalesce(table_caption, '') || chr(10) || left(table_body, 500)
+    WHEN is_figure AND made IS NOT NULL THEN '[图表序列化] ' || trim(made) ELSE text END AS text FROM m)
+SELECT *, (SELECT count(*) FROM items WHERE type = 'text' AND (doc_id + item_idx) % 7 = 2) AS all_cleaned,
+  (SELECT count(*) FROM s WHERE merged) AS all_merged, (SELECT count(*) FROM s WHERE serialized) AS all_serialized FROM s""")
+def postprocess_items(spark, sf):
+    """Items and the counts of what was done to them, from one pass: the items are written, the counts observed."""
+    items = I.items(spark, sf).withColumn("text", F.expr(SPOILED)).drop("table_caption")
+    made = I.items(spark, sf).where("item_idx % 2 = 0").select("doc_name", "item_idx", F.expr(MADE).alias("text"))
+    rows, counts = C.postprocess_items(items, made)
+    rows = written(rows.select("doc_name", "item_idx", "type", "page_idx", "text", "merged", "serialized"))
+    return rows.withColumns({f"all_{k}": F.lit(n).cast("bigint") for k, n in counts().items()})
+
+
 def sql_figure(x: str) -> str:
     ls = f"list_transform(string_split({x}, chr(10)), lambda q: {I.sql_strip('q')})"
     pos = (f"list_position(list_transform({ls}, lambda q: contains(lower(q), 'figure ') OR contains(lower(q), 'fig. ') OR "

@@ -12,7 +12,7 @@ from marginalia.operators import graph as K
 from marginalia.operators import lookups as L
 from marginalia.plans import inputs as I
 from marginalia.plans.registry import query
-from marginalia.plans.retrieval_queries import H
+from marginalia.plans.retrieval_queries import H, encode, passage_vectors, sql_text_query
 
 # ---- grading ------------------------------------------------------------------------------
 LOW = "lower(body)"
@@ -103,15 +103,20 @@ def grade_profile(spark, sf):
     return E.grade_profile(E.assess_documents(I.studies(spark, sf), keep=("topic",)), ["topic"])
 
 
-def _estimate_sql(top: int, keep: int) -> str:
-    text = "lower(body)"
-    return H + f""", b AS (SELECT query_id, string_agg(left(text, {keep}), ' ' ORDER BY rank) AS body FROM hits WHERE rank <= {top} GROUP BY query_id),
+_TEXT_LOW = "lower(body)"
+#: Levels of texts ``b(..., body)`` that are graded by their words alone.
+LEVELS_OF_TEXTS = f""",
 l AS (SELECT *, {I.sql_rules('body', R.EVIDENCE_LABEL_RULES, None)} AS label FROM b),
-f AS (SELECT query_id, CASE WHEN lower(replace(label, '-', '_')) IN ('meta_analysis', 'rct') THEN 4 ELSE 2 END AS lv, label,
-  greatest(-2, -{_case_sum(G.BIAS_WORDS)}) + greatest(-2, -({I.sql_any(text, G.INCONSISTENCY_WORDS)}::BIGINT + {I.sql_any(text, G.I2_MARKS)}::BIGINT)) - 1 AS down,
-  {I.sql_any(text, G.DOSE_WORDS)}::BIGINT + {I.sql_any(text, G.ADJUSTMENT_WORDS)}::BIGINT AS up FROM l)
-SELECT query_id AS doc_id, lv::BIGINT AS initial_level, down::BIGINT AS total_downgrade,
-  greatest(1, least(4, lv + down + CASE WHEN lv = 2 THEN up ELSE 0 END))::BIGINT AS final_level FROM f"""
+f AS (SELECT * EXCLUDE (body), CASE WHEN lower(replace(label, '-', '_')) IN ('meta_analysis', 'rct') THEN 4 ELSE 2 END AS lv,
+  greatest(-2, -{_case_sum(G.BIAS_WORDS)}) + greatest(-2, -({I.sql_any(_TEXT_LOW, G.INCONSISTENCY_WORDS)}::BIGINT + {I.sql_any(_TEXT_LOW, G.I2_MARKS)}::BIGINT)) - 1 AS down,
+  {I.sql_any(_TEXT_LOW, G.DOSE_WORDS)}::BIGINT + {I.sql_any(_TEXT_LOW, G.ADJUSTMENT_WORDS)}::BIGINT AS up FROM l),
+leveled AS (SELECT *, lv::BIGINT AS initial_level, down::BIGINT AS total_downgrade,
+  greatest(1, least(4, lv + down + CASE WHEN lv = 2 THEN up ELSE 0 END))::BIGINT AS final_level FROM f)"""
+
+
+def _estimate_sql(top: int, keep: int) -> str:
+    return H + f""", b AS (SELECT query_id, string_agg(left(text, {keep}), ' ' ORDER BY rank) AS body FROM hits WHERE rank <= {top} GROUP BY query_id)
+{LEVELS_OF_TEXTS} SELECT query_id AS doc_id, initial_level, total_downgrade, final_level FROM leveled"""
 
 
 @query("estimate_grade", _estimate_sql(3, 1000))
@@ -125,6 +130,57 @@ def estimate_grade_topic(spark, sf):
         "doc_id", "initial_level", "total_downgrade", "final_level")
 
 
+# what is asked for: no document, two names of which one is a passage's words, a name that finds nothing
+NAMES_ASKED = """(CASE item_id % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['doc' || item_id, array_to_string(string_split(text, ' ')[1:4], ' ')]
+  ELSE [repeat(' ', (item_id % 5)::INT)] END)"""
+GRADE_REQUESTS = sql_text_query("asked", f"""SELECT text AS query_id, text FROM (SELECT DISTINCT unnest({NAMES_ASKED}) AS text FROM benchmark
+  UNION SELECT text FROM benchmark)""", 5) + f""",
+wanted AS (SELECT DISTINCT item_id AS request_id, unnest({NAMES_ASKED}) AS name FROM benchmark),
+one AS (SELECT query_id AS name, string_agg(left(text, 1000), ' ' ORDER BY rank) AS body FROM thits WHERE rank <= 3 GROUP BY 1),
+five AS (SELECT query_id AS topic, string_agg(left(text, 600), ' ' ORDER BY rank) AS body FROM thits GROUP BY 1),
+named AS (SELECT request_id, name AS doc, body FROM wanted JOIN one USING (name)),
+b AS (SELECT * FROM named UNION ALL
+  SELECT item_id, '{E.WHOLE_TOPIC}', coalesce(body, '') FROM benchmark LEFT JOIN five ON topic = text WHERE item_id NOT IN (SELECT request_id FROM named))
+{LEVELS_OF_TEXTS}"""
+
+
+def _grade_requests(spark, sf):
+    t, i = F.col("text"), F.col("item_id").cast("string")
+    names = (F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>"))
+             .when(F.col("item_id") % 3 == 1, F.array(F.concat(F.lit("doc"), i), F.array_join(F.slice(F.split(t, " "), 1, 4), " ")))
+             .otherwise(F.array(F.repeat(F.lit(" "), (F.col("item_id") % 5).cast("int")))))
+    requests = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), t.alias("topic"), names.alias("doc_names"))
+    return E.grade_requests(requests, encode, passage_vectors(spark, sf), I.passage_rows(spark, sf))
+
+
+@query("estimate_grade_requests", GRADE_REQUESTS + """
+SELECT request_id, doc, initial_level, total_downgrade, final_level FROM leveled""")
+def estimate_grade_requests(spark, sf):
+    return _grade_requests(spark, sf).select("request_id", F.col("doc_id").alias("doc"), "initial_level", "total_downgrade", "final_level")
+
+
+@query("estimate_grade_profile", GRADE_REQUESTS + f""", p AS (SELECT request_id, count(*) AS total_assessed, count(*) FILTER (final_level = 4) AS high,
+  count(*) FILTER (final_level = 3) AS moderate, count(*) FILTER (final_level = 2) AS low, count(*) FILTER (final_level = 1) AS very_low FROM leveled GROUP BY 1)
+SELECT *, CASE WHEN high + moderate >= total_assessed * 0.5 THEN '{E.OVERALL_GOOD}' WHEN low > 0 THEN '{E.OVERALL_LIMITED}' ELSE '{E.OVERALL_LOW}' END AS overall FROM p""")
+def estimate_grade_profile(spark, sf):
+    return E.grade_profile(_grade_requests(spark, sf), ["request_id"])
+
+
+@query("grade_corpus", sql_text_query("asked", "SELECT 'doc' || doc_id AS query_id, 'doc' || doc_id AS text FROM documents", 3) + f""",
+per AS (SELECT query_id AS name, string_agg(left(text, 800), ' ' ORDER BY rank) AS body FROM thits GROUP BY 1),
+b AS (SELECT 'doc' || doc_id AS doc, {I.STUDY_TYPE} AS et, coalesce(body, '') AS body FROM documents LEFT JOIN per ON name = 'doc' || doc_id),
+pub AS (SELECT doc, CASE WHEN lower(replace(et, '-', '_')) IN ('meta_analysis', 'systematic_review', 'meta分析', '系统综述') AND NOT {I.sql_any('lower(body)', _PUB)}
+  THEN -1 ELSE 0 END AS pub FROM b)
+{LEVELS_OF_TEXTS},
+g AS (SELECT *, CASE WHEN lower(replace(et, '-', '_')) IN ('meta_analysis', 'systematic_review', 'rct', 'randomized_controlled_trial') THEN 4 ELSE 2 END AS il, down + pub AS d
+  FROM f JOIN pub USING (doc))
+SELECT doc, il::BIGINT AS initial_level, d::BIGINT AS total_downgrade, greatest(1, least(4, il + d + CASE WHEN il = 2 THEN up ELSE 0 END))::BIGINT AS final_level FROM g""")
+def grade_corpus(spark, sf):
+    d = I.table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("doc_name"), F.expr(I.STUDY_TYPE).alias("evidence_type"))
+    return E.grade_corpus(d, encode, passage_vectors(spark, sf), I.passage_rows(spark, sf)).select(
+        F.col("doc_id").alias("doc"), "initial_level", "total_downgrade", "final_level")
+
+
 # ---- consistency --------------------------------------------------------------------------
 _T = "left(text, 500)"
 _LEADS = f"({I.sql_count('lower(' + _T + ')', R.SUPPORT_WORDS)} - {I.sql_count('lower(' + _T + ')', R.AGAINST_WORDS)})"
@@ -235,6 +291,32 @@ def topic_evidence(spark, sf):
     return L.topic_evidence(_evidence(spark, sf), TOPICS).select("doc_name", "topic", "evidence_level")
 
 
+# keywords and topics as rows: pieces of the documents' own lines, tens of thousands of them
+PIECE = "lower(substr(line, CAST(1 + (doc_id + line_no) % 9 AS INT), CAST(5 + line_no % 9 AS INT)))"
+
+
+def _pieces(spark, sf):
+    return I.lines(spark, sf).select((F.col("doc_id") * 100_000 + F.col("line_no")).alias("place"), F.concat(
+        F.lit("L"), ((F.col("doc_id") + F.col("line_no")) % 7).cast("string")).alias("label"), F.expr(PIECE).alias("keyword"))
+
+
+@query("classify_by_table", "WITH " + I.LINES + f""", p AS (SELECT doc_id * 100000 + line_no AS place, 'L' || ((doc_id + line_no) % 7) AS label, {PIECE} AS keyword FROM lines),
+u AS (SELECT keyword, min(place) AS place FROM p WHERE keyword <> '' GROUP BY keyword),
+d AS (SELECT doc_id, {I.DOC_SENTENCE} || reverse(text) || text AS t FROM documents),
+m AS (SELECT doc_id, min(place) AS place FROM d JOIN u ON contains(lower(left(t, 300)), keyword) GROUP BY doc_id)
+SELECT doc_id, coalesce(p.label, 'none') AS label FROM d LEFT JOIN m USING (doc_id) LEFT JOIN p ON p.place = m.place""")
+def classify_by_table(spark, sf):
+    d = I.text_table(spark, sf, "documents").select("doc_id", F.concat(F.expr(I.DOC_SENTENCE), F.reverse("text"), "text").alias("t"))
+    return L.classify_by_table(d, _pieces(spark, sf), ["doc_id"], "t", "none", 300).select("doc_id", "label")
+
+
+@query("topic_evidence_table", "WITH " + I.STUDIES + "," + I.LINES + f""", topics AS (SELECT DISTINCT {PIECE} AS topic FROM lines WHERE line_no = 0),
+hay""" + TOPIC_MATCH.split("hay", 1)[1] + " SELECT * FROM matches")
+def topic_evidence_table(spark, sf):
+    topics = I.lines(spark, sf).where("line_no = 0").select(F.expr(PIECE).alias("topic")).distinct()
+    return L.topic_evidence(_evidence(spark, sf), topics).select("doc_name", "topic", "evidence_level")
+
+
 @query("best_topic_evidence", "WITH " + I.STUDIES + "," + TOPIC_MATCH + """
 SELECT topic, doc_name, evidence_level FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY evidence_level, doc_name) AS rn FROM matches) WHERE rn = 1""")
 def best_topic_evidence(spark, sf):

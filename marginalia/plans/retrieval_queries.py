@@ -364,3 +364,35 @@ def compare_tables(spark, sf):
     from marginalia.operators.evidence import compare_tables as compare
     h = text_hits(spark, sf).withColumnRenamed("query_id", "doc")
     return compare(h, cases(spark, sf).select(F.col("query_id").alias("doc")))
+
+
+# ---- weak answers are searched again ------------------------------------------------------
+QUESTION = "(" + I.pick("item_id", I.SENTENCES) + " || text)"
+SAID = "(CASE item_id % 4 WHEN 0 THEN '[1] 来源 ' || text || text || text WHEN 1 THEN text || ' tool_call' WHEN 2 THEN text ELSE '来源 ' || text || text || text END)"
+STEPS_TAKEN = "(item_id % 5)"
+STEP_TOOL = I.pick("item_id", ["search_rag", "deep_retrieve", "search_rag", "list_docs"])
+STEP_FOUND = "(CASE WHEN item_id % 7 = 0 THEN '未找到' ELSE 'ok' END)"
+ROUTED = "(CASE WHEN item_id % 6 = 0 THEN 'doc' || (item_id % 10) END)"
+_REFINED = f"array_to_string(list_filter(string_split_regex(replace(replace({QUESTION}, '？', ''), '?', ''), '\\s+'), lambda w: w <> '')[1:5], ' ')"
+SECOND_SEARCH = sql_text_query("asked", f"""SELECT 'a' || item_id AS query_id, {QUESTION} AS text FROM benchmark UNION ALL
+  SELECT 'b' || item_id, {_REFINED} FROM benchmark WHERE ({STEPS_TAKEN} = 0 OR {STEP_TOOL} = 'list_docs' OR {STEP_FOUND} = '未找到'
+    OR contains({SAID}, '<｜') OR contains({SAID}, 'tool_call')) AND {_REFINED} <> ''""", 20).replace("score > 0.3", "score > 0.2") + f""",
+aims AS (SELECT item_id::VARCHAR AS id, {ROUTED} AS target FROM benchmark WHERE {ROUTED} IS NOT NULL),
+kept AS (SELECT substring(query_id, 2) AS id, CASE left(query_id, 1) WHEN 'a' THEN 1 ELSE 2 END AS search, vec_id, rank AS place,
+  CASE WHEN target IS NULL THEN score ELSE least(1.0, score * 1.3) END AS score
+  FROM thits LEFT JOIN aims ON id = substring(query_id, 2) WHERE target IS NULL OR contains(source, target) OR contains(target, source)),
+per AS (SELECT *, row_number() OVER (PARTITION BY id, search ORDER BY place) AS no FROM kept WHERE score > 0.3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, vec_id ORDER BY score DESC, search) AS i FROM per
+  WHERE no <= CASE search WHEN 1 THEN 10 ELSE 8 END) WHERE i = 1),
+merged AS (SELECT id::BIGINT AS query_id, vec_id, search, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, search, no, vec_id) AS rank FROM best)"""
+
+
+@query("search_again", SECOND_SEARCH + " SELECT query_id, vec_id, search::BIGINT AS search, round(score, 6) AS score, rank FROM merged WHERE rank <= 10")
+def search_again(spark, sf):
+    b = I.table(spark, sf, "benchmark")
+    step = F.struct(F.expr(STEP_TOOL).alias("tool"), F.expr(STEP_FOUND).alias("result_preview"))
+    answers = b.select(F.col("item_id").alias("query_id"), F.expr(SAID).alias("answer"), F.array_repeat(step, F.expr(STEPS_TAKEN).cast("int")).alias("steps"))
+    targets = b.select(F.col("item_id").alias("query_id"), F.expr(ROUTED).alias("target")).where("target IS NOT NULL")
+    hits, _ = Q.search_again(b.select(F.col("item_id").alias("query_id"), F.expr(QUESTION).alias("text")), answers, encode, passage_vectors(spark, sf),
+                             I.passages(spark, sf), targets)
+    return hits.select("query_id", "vec_id", "search", "score", "rank")

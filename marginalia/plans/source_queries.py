@@ -95,6 +95,50 @@ def audit_round_trip(spark, sf):
     return R.audit_fields(R.read_audit(spark, folder), "parse_start", "uuid string, filename string, engine string").drop("ts")
 
 
+# ---- all audit events: a payload with every field any of them has -------------------------
+_NUMBERS = ["size", "page", "chars", "duration_ms", "chunks", "hallucinated", "images", "vectors_before", "vectors_added", "vectors_after",
+            "article_id", "segments", "figures", "entities", "relations", "nodes", "edges", "step", "steps", "citations", "status", "pid"]
+_KINDS = list(W.AUDIT_EVENTS)
+_FIELDS = list(dict.fromkeys(f for fields in W.AUDIT_EVENTS.values() for f in fields))
+_LONG = "repeat(event_type || '-' || event_id || ' ', 60)"
+
+
+def _field_sql(field: str) -> str:
+    """The value of a field, as SQL of both sides where they agree."""
+    if field in _NUMBERS:
+        return f"(event_id % {89 + len(field)})"
+    return {"elapsed": "(CAST(event_id % 50 AS DOUBLE) + 0.5)", "success": "(event_id % 2 = 0)", "uuid": "md5(CAST(event_id AS VARCHAR(20)))"}.get(field, _LONG)
+
+
+def _line_sql(kind: str) -> str:
+    parts = [f"'ts', strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'type', '{kind}'"]
+    for f in W.AUDIT_EVENTS[kind]:
+        cut = W._cut(kind, f)
+        value = {"pico_types": "json_object('P', event_id, 'list', json_array(1, NULL))"}.get(f, f"left({_field_sql(f)}, {cut})" if cut else _field_sql(f))
+        if (default := W.AUDIT_DEFAULTS.get((kind, f))) is not None:  # every other payload lacks what has a default
+            value = f"CASE WHEN event_id % 2 = 1 THEN '{default}'::JSON ELSE to_json({value}) END"
+        parts.append(f"'{f}', {value}")
+    return f"json_object({', '.join(parts)})::VARCHAR"
+
+
+@query("audit_all_events", "SELECT event_id, CASE event_id % 25 " + " ".join(f"WHEN {i} THEN {_line_sql(k)}" for i, k in enumerate(_KINDS)) + """ END AS value
+FROM events""")
+def audit_all_events(spark, sf):
+    """All kinds of events through one projection; payloads carry fields of other kinds too, which stay out."""
+    e = I.table(spark, sf, "events")
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("event_id") % 25).cast("int"))
+
+    def value(f: str) -> Column:
+        if f == "pico_types":
+            return F.struct(F.col("event_id").alias("P"), F.expr("array(1, CAST(NULL AS INT))").alias("list"))
+        lacking = [k for k, g in W.AUDIT_DEFAULTS if g == f]
+        return F.when((F.col("event_id") % 2 == 0) | ~kind.isin(lacking), F.expr(_field_sql(f))) if lacking else F.expr(_field_sql(f))
+
+    given = [value(f).alias(f) for f in _FIELDS]
+    log = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), F.to_json(F.struct(*given)).alias("payload"))
+    return W.audit_lines(log.unionByName(log.withColumn("type", F.lit("not an event"))))
+
+
 @query("read_table", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def read_table(spark, sf):
     return R.read_table(spark, "nation", sf).select("n_nationkey", "n_name")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators.graph import build_edges, build_nodes
+from marginalia.session import folder_exists
 from marginalia.sources import schemas as S
 from marginalia.sources.writers import kb_log
 
@@ -117,15 +117,12 @@ def read_graph(spark: SparkSession, entities: str, relations: str) -> tuple[Data
     A missing store gives empty tables and ``storage_not_found``, unreadable JSON leaves that
     store empty and gives ``parse_error``; otherwise the error is null.
     """
-    try:
-        n, e = read_kv_entities(spark, entities), read_kv_relations(spark, relations)
-        raw = read_whole_files(spark, entities).unionByName(read_whole_files(spark, relations))
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    if not (folder_exists(spark, entities) and folder_exists(spark, relations)):
         n = spark.createDataFrame([], f"name string, {S.ENTITY}")
         e = spark.createDataFrame([], f"source string, target string, {S.RELATION}")
         return build_nodes(n), build_edges(e), spark.createDataFrame([("storage_not_found",)], "error string")
+    n, e = read_kv_entities(spark, entities), read_kv_relations(spark, relations)
+    raw = read_whole_files(spark, entities).unionByName(read_whole_files(spark, relations))
     _, bad = split_corrupt(raw, is_array=False)
     status = bad.agg(F.when(F.count(F.lit(1)) > 0, "parse_error").alias("error"))
     return build_nodes(n), build_edges(e), status

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from marginalia.operators import incremental
 from marginalia.operators.ingest import items_to_chunks
@@ -41,7 +42,8 @@ AUDIT_EVENTS = {
 AUDIT_CUT = {("agent_query", "question"): 120, ("agent_step", "preview"): 200,
              ("agent_fallback", "reason"): 200, ("agent_error", "error"): 300, ("error", "error"): 500}
 UUID_CUT = 12
-AUDIT_DEFAULTS = {("parse_start", "engine"): "mineru25pro"}
+AUDIT_DEFAULTS = {("parse_start", "engine"): '"mineru25pro"', ("agent_step", "preview"): '""',
+                  ("agent_error", "step"): "0", ("error", "context"): "{}"}  # as JSON
 PLACEHOLDER = "[解析失败] "
 # -------------------------------------------------------------------------------------------
 
@@ -116,14 +118,47 @@ def audit_rows(events: DataFrame, event_type: str, at: Column | None = None) ->
 
     def value(f: str) -> Column:
         if f not in events.columns:
-            return F.lit(AUDIT_DEFAULTS[event_type, f]).alias(f)
-        cut = UUID_CUT if f == "uuid" else AUDIT_CUT.get((event_type, f))
+            return F.parse_json(F.lit(AUDIT_DEFAULTS[event_type, f])).alias(f)
+        cut = _cut(event_type, f)
         return (F.left(F.col(f), F.lit(cut)) if cut else F.col(f)).alias(f)
 
-    ts = F.date_format(at if at is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    return events.select(F.to_json(F.struct(ts.alias("ts"), F.lit(event_type).alias("type"),
+    return events.select(F.to_json(F.struct(_audit_time(at if at is not None else F.current_timestamp()), F.lit(event_type).alias("type"),
                                             *[value(f) for f in fields])).alias("value"))
 
 
+def _cut(event_type: str, field: str) -> int | None:
+    return UUID_CUT if field == "uuid" else AUDIT_CUT.get((event_type, field))
+
+
+def _audit_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts")
+
+
+def audit_lines(log: DataFrame) -> DataFrame:
+    """JSON lines of a log of mixed events, batch or stream: ``(ts, type, payload)``, the payload JSON text or a variant.
+
+    Each type takes its own fields from the payload, in order, with their JSON types; long texts are
+    cut, missing fields take their default or stay out. Rows of other types are left out. ``log``'s
+    other columns are kept.
+    """
+    given = F.col("payload")
+    payload = given if isinstance(log.schema["payload"].dataType, ST.VariantType) else F.try_parse_json(given)
+
+    def value(kind: str, f: str) -> Column:
+        path, cut = f"$.{f}", _cut(kind, f)
+        found = F.try_variant_get(F.col("_v"), path, "string" if cut else "variant")
+        if cut:
+            found = F.to_variant_object(F.array(F.left(found, F.lit(cut))))
+            found = F.when(F.try_variant_get(F.col("_v"), path, "string").isNotNull(), F.try_variant_get(found, "$[0]", "variant"))
+        default = AUDIT_DEFAULTS.get((kind, f))
+        return (F.coalesce(found, F.parse_json(F.lit(default))) if default else found).alias(f)
+
+    line = None
+    for kind, fields in AUDIT_EVENTS.items():
+        whole = F.to_json(F.struct(_audit_time(F.col("ts")), F.col("type"), *[value(kind, f) for f in fields]))
+        line = F.when(F.col("type") == kind, whole) if line is None else line.when(F.col("type") == kind, whole)
+    return log.where(F.col("type").isin(*AUDIT_EVENTS)).withColumn("_v", payload).withColumn("value", line).drop("_v", "payload", "ts", "type")
+
+
 def append_audit(events: DataFrame, event_type: str, folder: str) -> None:
     audit_rows(events, event_type).write.mode("append").text(folder)

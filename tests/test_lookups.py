@@ -19,3 +19,44 @@ def test_a_long_name_gives_as_many_pieces_as_it_is_long(spark):
     n = spark.createDataFrame([("ab" * 500 + "needle",)], "_name string")
     assert L.containments(spark.createDataFrame([("bneedle",)], "_stem string"), n).count() == 1
     assert n.select(L._grams(n["_name"], L.GRAM).alias("g")).first().g.__len__() <= 1006
+
+
+def test_terms_equal_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    texts = [(i, i % 2, word(rnd.randint(0, 60))) for i in range(120)] + [(900, 0, None), (901, 0, "")]
+    terms = [word(rnd.randint(0, 9)) for _ in range(150)] + [None, "", "zzz", "a"] * 2
+    got = L.match_terms(spark.createDataFrame(texts, "a int, b int, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), ["a", "b"])
+    want = sorted((a, b, t) for a, b, x in texts for t in set(terms) if t and x and t in x)
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_fifty_thousand_keywords(spark):
+    """Rules as rows: the first rule with a keyword in the lower-cased start of the text."""
+    rnd = random.Random(2)
+    rules = [(i, f"L{i % 11}", f"Key{i * 7919 % 50_000:05d}") for i in range(50_000)] + [(60_000, "late", "key00000"), (-1, "never", "")]
+    texts = [(i, " ".join(rnd.choice(["filler", "kEy%05d" % rnd.randrange(50_000), "key"]) for _ in range(rnd.randint(0, 12)))) for i in range(300)]
+    place = {}
+    for p, label, k in rules:
+        if k:
+            place[k.lower()] = min(place.get(k.lower(), (p, label)), (p, label))
+    want = []
+    for i, t in texts:
+        low = t[:60].lower()
+        hits = [place[low[j:j + 8]] for j in range(len(low)) if low[j:j + 8] in place]
+        want.append((i, min(hits)[1] if hits else "none"))
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = L.classify_by_table(df, spark.createDataFrame(rules, "place int, label string, keyword string"), ["id"], default="none", prefix=60)
+    assert sorted((r.id, r.label) for r in got.collect()) == want and len({w for _, w in want}) > 5
+
+
+def test_topics_as_rows_and_as_a_list_agree(spark):
+    e = spark.createDataFrame([(f"d{i}", "T", i % 7, {"population": f"group {i}"}, [f"finding {i} about Asthma" if i % 3 else "other", "x" * i])
+                               for i in range(40)], "doc_name string, doc_title string, evidence_level int, pico map<string,string>, findings array<string>")
+    topics = ["asthma", "GROUP 3", "xxxxxxxx", "", "none of them"]
+    few = L.topic_evidence(e, topics)
+    rows = L.topic_evidence(e, spark.createDataFrame([(t,) for t in topics], "topic string"))
+    many = L.topic_evidence(e, topics + [f"no such topic {i}" for i in range(L.MAX_LITERAL_TERMS)])
+    want = sorted((r.doc_name, r.topic) for r in few.collect())
+    assert sorted((r.doc_name, r.topic) for r in rows.collect()) == want == sorted((r.doc_name, r.topic) for r in many.collect())
+    assert len(want) > 60
