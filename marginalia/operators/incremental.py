@@ -80,26 +80,25 @@ def upsert_changes(stored: DataFrame, items: DataFrame, analysis: str | None = N
     ``change`` for a stored hash of the documents whose chunk goes (``stays`` null) or moves (the
     stored chunk at ``stays`` takes the place given), ``add`` for a chunk to be added if it passes
     the gate, ``document`` with the counts of each document. Chunks that stay as they are give no
-    row. Texts take no part: old and new places meet in one aggregate per (document, hash), new
-    ones and all stored hashes in one per hash; both combine before their shuffle, so neither a
-    document nor a hash with a third of the rows lands in one task.
+    row. Texts take no part: places are aggregated per (document, hash) on either side and meet in
+    one join, new hashes and all stored ones in one aggregate per hash; all combine before their
+    shuffle, so neither a document nor a hash with a third of the rows lands in one task.
 
-    Runs one job: the rows are written to the shared folder, so their size is known where they are
+    Runs two jobs, one over the items, whose hashes and places are written to the shared folder, and
+    one over narrow rows only; its result is written too, so that its size is known where it is
     joined, and few changes are sent to the texts instead of the texts to them.
     """
-    spark = stored.sparkSession
-    candidates = ingest.items_to_chunks(items, analysis).withColumn("section_tag", F.lit(None).cast("string"))
-    touched = items.select("doc_name").distinct()
+    offered = ingest.offered_chunks(items, analysis)
+    at = F.struct(*PLACE)
+    new = written(offered.groupBy("doc_name", "content_md5").agg(F.min_by(at, "chunk_idx").alias("now")))
+    candidates = offered.where(F.col("text").isNotNull()).withColumn("section_tag", F.lit(None).cast("string"))
+    touched = new.select("doc_name").distinct()
     near = stored.join(touched, "doc_name", "left_semi")
     far = stored.join(touched, "doc_name", "left_anti").select("content_md5")
-
-    def side(df: DataFrame, old: bool) -> DataFrame:
-        return df.select("doc_name", "content_md5", "chunk_idx", F.struct(*PLACE).alias("_at"), F.lit(old).alias("_old"))
-
-    old = F.col("_old")
-    g = side(near, True).unionByName(side(candidates, False)).groupBy("doc_name", "content_md5").agg(
-        F.min_by("_at", F.when(old, F.col("chunk_idx"))).alias("was"),
-        F.min_by("_at", F.when(~old, F.col("chunk_idx"))).alias("now"), F.count_if(old).alias("copies"))
+    was = near.groupBy("doc_name", "content_md5").agg(F.min_by(at, "chunk_idx").alias("was"), F.count(F.lit(1)).alias("copies"))
+    # items that are not searchable have no hash: they only tell that their document is touched
+    g = was.join(new.where(F.col("content_md5").isNotNull()), ["doc_name", "content_md5"], "full").withColumn(
+        "copies", F.coalesce("copies", F.lit(0)).cast("bigint"))
     was, now = F.col("was"), F.col("now")
     both = was.isNotNull() & now.isNotNull()
     hashes = far.unionByName(g.where(both).select("content_md5"))

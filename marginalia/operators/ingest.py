@@ -51,8 +51,8 @@ def chunk_text(kind: Column, text: Column, caption: Column, body: Column,
             .when((kind == "table") & (T.strip(body) != "") & (F.length(table) > MIN_TEXT), table))
 
 
-def items_to_chunks(items: DataFrame, analysis: str | None = None) -> DataFrame:
-    """One chunk per searchable item, in item order, with its source label and content hash."""
+def offered_chunks(items: DataFrame, analysis: str | None = None) -> DataFrame:
+    """One row per item, in item order, with its source label and content hash; text and hash are null where it is not searchable."""
     caption = F.when(F.col("type") == "table", F.col("table_caption")).otherwise(F.col("image_caption"))
     content = chunk_text(F.col("type"), F.col("text"),
                          F.coalesce(caption, F.array().cast("array<string>")),
@@ -61,14 +61,19 @@ def items_to_chunks(items: DataFrame, analysis: str | None = None) -> DataFrame:
     analysed = F.col(analysis).isNotNull() if analysis else F.lit(False)
     path = F.coalesce(F.col("img_path"), F.lit(""))
     name = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    return (items.withColumn("_text", content).where(F.col("_text").isNotNull())
-            .select("doc_name", F.col("item_idx").alias("chunk_idx"), "type",
-                    F.col("page_idx"), F.col("_text").alias("text"),
-                    T.format_source("doc_name", "page_idx", "type").alias("source"),
-                    T.content_md5("_text").alias("content_md5"),
-                    F.when(F.col("type").isin("image", "chart") & (name != ""),
-                           F.concat(F.lit("/images/"), name)).alias("image_url"),
-                    (F.col("type").isin("image", "chart") & analysed).alias("vlm_analyzed")))
+    return items.withColumn("_text", content).select(
+        "doc_name", F.col("item_idx").alias("chunk_idx"), "type",
+        F.col("page_idx"), F.col("_text").alias("text"),
+        T.format_source("doc_name", "page_idx", "type").alias("source"),
+        T.content_md5("_text").alias("content_md5"),
+        F.when(F.col("type").isin("image", "chart") & (name != ""),
+               F.concat(F.lit("/images/"), name)).alias("image_url"),
+        (F.col("type").isin("image", "chart") & analysed).alias("vlm_analyzed"))
+
+
+def items_to_chunks(items: DataFrame, analysis: str | None = None) -> DataFrame:
+    """One chunk per searchable item, in item order, with its source label and content hash."""
+    return offered_chunks(items, analysis).where(F.col("text").isNotNull())
 
 
 def quality_gate(chunks: DataFrame, text: str = "text") -> DataFrame:
