@@ -29,6 +29,33 @@ def logistic(values, labels, steps: int = 60, ridge: float = 1e-6) -> tuple[floa
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
+def logistic_many(rows, labels, steps: int = 80) -> tuple[list[float], float]:
+    """``(weights, intercept)`` of P(label 1) from several numbers, by damped Newton steps.
+
+    Columns are standardised; the weights are held back the more, the fewer rows there are (a ridge of
+    one over their number). With one class only the weights are 0 and the intercept is its smoothed
+    log odds.
+    """
+    import numpy as np
+
+    x, y = np.asarray(rows, dtype=float), np.asarray(labels, dtype=float)
+    ones = float(y.sum())
+    if len(y) == 0 or y.min() == y.max():
+        return [0.0] * (x.shape[1] if x.ndim == 2 else 0), math.log((ones + 0.5) / (len(y) - ones + 0.5))
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    held, w = np.r_[np.full(x.shape[1], 1 / len(y)), 1e-9], np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(held), z.T @ (p - y) / len(y) + held * w)
+        w = w - step / max(1.0, float(np.abs(step).max()) / 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    weights = w[:-1] / scale
+    return weights.tolist(), float(w[-1] - weights @ mean)
+
+
 def probability(value: float, slope: float, intercept: float) -> float:
     z = slope * value + intercept
     return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))

@@ -1,15 +1,20 @@
-"""Quality by compression: dictionaries of good and of bad labelled text, and which of them helps a text more."""
+"""Quality by compression: dictionaries of good and of bad labelled text, and which of them helps a text more.
+
+Text that repeats itself is small under any dictionary, so their difference says little of it: the
+score weighs the difference together with the compressed size and the length.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import mul
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.calibrate import logistic, probability
+from marginalia.llm.calibrate import logistic_many, probability
 from marginalia.llm.common import held_out, labelled_sample, query, small_batches, table
 
 #: Bound of the labelled sample: documents per class.
@@ -28,7 +33,7 @@ class Model:
     good: bytes
     bad: bytes
     average: float
-    slope: float
+    weights: list[float]
     intercept: float
 
 
@@ -57,13 +62,22 @@ def _compressor(dictionary: bytes):
     return zs.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def difference(good, bad, text: str | None, average: float) -> float:
-    """Compressed bytes with the bad dictionary less those with the good one, per byte of text."""
-    gain = size = 0
-    for part in _segments(text):
-        gain += len(bad.compress(part)) - len(good.compress(part))
-        size += len(part)
-    return (gain + average * PRIOR_BYTES) / (size + PRIOR_BYTES)
+def sizes(good, bad, text: str | None) -> tuple[int, int, int]:
+    """Bytes of the text compressed with either dictionary, and its own bytes."""
+    parts = _segments(text)
+    return sum(len(good.compress(p)) for p in parts), sum(len(bad.compress(p)) for p in parts), sum(map(len, parts))
+
+
+def measures(good: int, bad: int, size: int, average: float) -> list[float]:
+    """What a score weighs: bytes that the good dictionary saves per byte of text, the compressed share, the length, and products.
+
+    Little text counts as average in the first; an empty text as not compressible.
+    """
+    import math
+
+    gain = (bad - good + average * PRIOR_BYTES) / (size + PRIOR_BYTES)
+    share, length = good / size if size else 1.0, math.log(size + 1)
+    return [gain, share, length, gain * share, gain * length, share * length]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -78,17 +92,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     rest = [(y, t) for y, texts in by_class.items() for t in texts[1::2]]
     good, bad = _dictionaries(fitted[1], fitted[0])
     if not good or not bad:
-        return Model(b"", b"", 0.0, *logistic([], [y for y, _ in sample]))
+        return Model(b"", b"", 0.0, [], logistic_many([], [y for y, _ in sample])[1])
     one, two = _compressor(good), _compressor(bad)
-    clean = [difference(one, two, t, 0.0) for y, t in rest if y == 1] or [0.0]
-    average = sorted(clean)[len(clean) // 2]
-    slope, intercept = logistic([difference(one, two, t, average) for _, t in rest], [y for y, _ in rest])
+    sized = [(y, sizes(one, two, t)) for y, t in rest]
+    clean = sorted((b - a) / (n + PRIOR_BYTES) for y, (a, b, n) in sized if y == 1) or [0.0]
+    average = clean[len(clean) // 2]
+    weights, intercept = logistic_many([measures(*n, average) for _, n in sized], [y for y, _ in sized])
     total = {y: labels.where(F.col(label) == y).where(~held_out()).count() for y in (0, 1)}
     taken = {y: sum(k == y for k, _ in rest) for y in (0, 1)}
-    if slope and all(total.values()):  # the sample holds the classes evenly, the corpus does not
+    if any(weights) and all(total.values()):  # the sample holds the classes evenly, the corpus does not
         import math
         intercept += math.log(total[1] / total[0]) - math.log(taken[1] / taken[0])
-    return Model(good, bad, average, slope, intercept)
+    return Model(good, bad, average, weights, intercept)
 
 
 def scorer(model: Model):
@@ -97,8 +112,8 @@ def scorer(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         good, bad = _compressor(model.good), _compressor(model.bad)
         for texts in batches:
-            yield pd.Series([probability(difference(good, bad, t, model.average), model.slope, model.intercept) for t in texts],
-                            dtype="float64")
+            values = (sum(map(mul, model.weights, measures(*sizes(good, bad, t), model.average))) for t in texts)
+            yield pd.Series([probability(v, 1.0, model.intercept) for v in values], dtype="float64")
 
     return score
 

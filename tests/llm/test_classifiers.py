@@ -103,6 +103,15 @@ def test_kernel_equals_listing():
     assert K.kernel(["idxiot"], ["idiot"])[0, 0] > 3 * K.kernel(["other"], ["idiot"])[0, 0]
 
 
+def test_a_large_kernel_is_worked_out_in_blocks():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 40))) for _ in range(300)]
+    whole = K.kernel(words, words)
+    assert whole.shape == (300, 300)
+    for i, j in ((0, 299), (130, 5), (299, 131), (127, 128)):
+        assert whole[i, j] == pytest.approx(brute_kernel(words[i], words[j]), abs=1e-9)
+
+
 def test_units_read_whole_texts():
     assert list(K.units("The i d i o t s-c-u-m!".lower().split())) == ["the", "idiot", "s-c-u-m", "scum"]
     long = "".join(chr(97 + i % 26) for i in range(1000))
@@ -129,6 +138,35 @@ def test_query(spark, module, query, label, cut):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.85 * len(held)
 
 
+def test_quality_weighs_what_zstandard_gives(spark, made):
+    """Scores from plain compressor calls and the formula, part by part."""
+    import zstandard as zs
+    docs, labels, _, _ = made
+    model = Q.fit(docs, labels)
+    texts = [r.text for r in docs.limit(40).collect()] + ["", None, "repeat. " * 900, "ü" * 5000, "a|b|c " * 3]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in rows.select("text", Q.scorer(model)("text").alias("s")).collect():
+        raw = (r.text or "").encode()
+        parts = [raw[i:i + 2048] for i in range(0, len(raw), 2048)]
+        sizes = [sum(len(zs.ZstdCompressor(level=3, dict_data=zs.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(p))
+                     for p in parts) for d in (model.good, model.bad)]
+        n = len(raw)
+        gain = (sizes[1] - sizes[0] + model.average * 96) / (n + 96)
+        share, length = sizes[0] / n if n else 1.0, math.log(n + 1)
+        z = model.intercept + sum(w * x for w, x in zip(model.weights, (gain, share, length, gain * share, gain * length, share * length)))
+        assert r.s == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_bad_documents_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").where(common.held_out())
+    model = Q.fit(docs, labels)
+    got = held.select("quality", (Q.scorer(model)("text") >= Q.THRESHOLD).alias("good")).collect()
+    bad, good = [r.good for r in got if r.quality == 0], [r.good for r in got if r.quality == 1]
+    assert sum(bad) <= 0.08 * len(bad) and sum(good) >= 0.99 * len(good) and len(bad) > 100
+
+
 def insulting(rnd, wrong, n=600, insults=("wazzock", "numpty")):
     """Labelled texts, every other one with an insult; a share of the clean ones has one too."""
     out = []
