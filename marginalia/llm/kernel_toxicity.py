@@ -44,6 +44,8 @@ TOXIC_UNITS, CLEAN_UNITS, SOUGHT = 4000, 8000, 1200
 SURELY = 3.0
 #: Units whose decision a task remembers; a full memo is emptied, results do not change.
 MEMO = 200_000
+#: Units of either side of a kernel matrix that are worked out at a time.
+BLOCK = 128
 THRESHOLD = 0.5
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -109,8 +111,10 @@ def kernel(left: list[str], right: list[str]):
     """Normalised kernel matrix of two lists of units."""
     import numpy as np
 
-    if len(left) > 256:  # bounded memory
-        return np.vstack([kernel(left[i:i + 256], right) for i in range(0, len(left), 256)])
+    if len(left) > BLOCK:  # bounded memory, also for many long units on either side
+        return np.vstack([kernel(left[i:i + BLOCK], right) for i in range(0, len(left), BLOCK)])
+    if len(right) > BLOCK:
+        return np.hstack([kernel(left, right[i:i + BLOCK]) for i in range(0, len(right), BLOCK)])
     r1, c1, w1, n1 = _subsequences(left)
     r2, c2, w2, n2 = _subsequences(right)
     named, at = np.unique(c2, return_inverse=True)
