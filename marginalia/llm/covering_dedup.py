@@ -8,13 +8,14 @@ positions leave some ``v`` orthogonal to all of those positions' vectors, so the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import checkpointed, query, small_batches, table
+from marginalia.llm.common import checkpointed, query, small_batches, table, written
 from marginalia.llm.components import components
 
 BITS, RADIUS = 64, 2
@@ -130,18 +131,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 #: Near copies: words per shingle, and the least share of common shingles.
 SHINGLE, SIMILAR = 5, 0.8
-#: Fingerprints of single words: how many, of how many bits each, and bits in which near copies may differ in one.
-#: More bits leave fewer unlike candidates in a larger corpus, more fingerprints find more of the like ones.
-WORD_PRINTS, WORD_BITS, WORD_RADIUS = 3, 80, 4
-#: 64-bit parts of a fingerprint.
+#: 64-bit parts of a sketch.
 PARTS = 4
 #: Bands of least hashes: two documents that share 0.8 of their shingles agree on one of the 50 bands of six with a
 #: probability of 1 - (1 - 0.8^6)^50, so that 3 pairs in 10 million are missed there and fewer above.
 BANDS, DEEP = 50, 6
-#: Bits of a sketch that may differ: a pair at 0.8 differs in 25.6 of 256, with a deviation of 4.8.
-NEAR_BITS = 56
+#: Bits of a sketch that may differ: a pair at 0.8 differs in 25.6 of 256, with a deviation of 4.8; 2 in a million differ in more.
+NEAR_BITS = 48
 #: Bits of the filter that leaves out most documents without candidates; it has no false negatives.
-FILTER_BITS = 1 << 23
+FILTER_BITS, BLOCK_BITS = 1 << 23, 1 << 15
 
 
 def shingle_set(text):
@@ -198,51 +196,51 @@ def shingle_sketch():
     return sketch
 
 
+def set_names():
+    """Column function ``text -> long``: the name of the text's set of shingles."""
+    @F.pandas_udf("long")
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_set_name(shingle_set(t)) for t in texts], dtype="int64")
+
+    return named
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``(node, h)``: the shingle hashes of the sets in ``wanted(node, least)``, read again from the documents ``least``.
+    """``(node, h)``: 32 bits of each shingle hash of the sets in ``wanted(node, least)``, read again from the documents ``least``.
 
     A filter of bounded size is shipped first, so that few texts without candidates enter the join.
     """
     import numpy as np
 
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    found = (wanted.select(place("least").alias("p"))
-             .select(F.shiftright("p", 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int")).alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).collect())  # at most FILTER_BITS / 32 rows
-    bits = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    bits[[r.w for r in found]] = [r.b for r in found]
-    shipped = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    marked = wanted.select((place("least") + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("block")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    whole = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
+    for r in marked.collect():  # a row per block, however many documents are wanted
+        whole[r.block - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+    shipped = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
 
     @F.pandas_udf("boolean")
     def maybe(p: pd.Series) -> pd.Series:
         at = p.to_numpy()
-        return pd.Series((np.frombuffer(shipped.value, dtype=np.uint32)[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+        return pd.Series((np.frombuffer(shipped.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    @F.pandas_udf("node long, h array<long>")
+    @F.pandas_udf("node long, h array<int>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             each = [shingle_set(t) for t in texts]
-            yield pd.DataFrame({"node": [_set_name(x) for x in each], "h": [x.view(np.int64) for x in each]})
+            yield pd.DataFrame({"node": [_set_name(x) for x in each], "h": [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in each]})
 
-    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(maybe(place("_id")))
+    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(maybe(place("_id"))).select("_id", sets("_text").alias("x"))
     asked = wanted.select(F.col("node").alias("_node"), "least")
-    read = some.join(asked, F.col("_id").eqNullSafe(F.col("least"))).select("_node", sets("_text").alias("x"))
-    return checkpointed(read.where("x.node = _node").select("x.*").dropDuplicates(["node"]))  # an id may repeat with other texts
-
-
-def word_masks() -> list[tuple[int, ...]]:
-    """Masks as in :func:`masks` for fingerprints of words, over four 64-bit parts; near copies no longer meet by them."""
-    spread, out = _vectors(WORD_RADIUS, WORD_BITS), []
-    for print_ in range(WORD_PRINTS):
-        for v in range(1, 1 << (WORD_RADIUS + 1)):
-            m = sum(1 << (print_ * WORD_BITS + b) for b, x in enumerate(spread) if bin(x & v).count("1") % 2)
-            parts = [m >> (64 * i) & (2 ** 64 - 1) for i in range(PARTS)]
-            out.append(tuple(p - (1 << 64) if p >> 63 else p for p in parts))
-    return out
+    # an id may repeat with other texts, so the set's name is compared too
+    read = some.select("_id", "x.*").join(asked, F.col("_id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("_node")), "left_semi")
+    return written(read.select("node", "h").dropDuplicates(["node"]))
 
 
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """``(doc_id, component_id)``, a row per row of ``docs``: groups of copies that share most five-word shingles.
+def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, node)`` of every row, a node for each set of shingles, and ``(node, least, root)``: nodes of a group share a root.
 
     Candidates agree on a band of least hashes (:data:`BANDS`) and differ in few bits of a sketch; they
     link when the exact share of common shingles, of both sets' hashes, is at least ``similar`` (0.8 or
@@ -254,19 +252,19 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     if similar < SIMILAR:
         raise ValueError(f"bands and sketches are made for similarities from {SIMILAR}")
     small_batches(docs.sparkSession)
-    rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"))
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"))
     signs_ = ["n", *[f"s{i}" for i in range(PARTS)]]
-    groups = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*signs_, "bands")]))
+    groups = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*signs_, "bands")]))
     placed = groups.select("node", F.explode("bands").alias("key")).repartition("key")  # one shuffle for the next two steps
     ends = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    met = checkpointed(placed.join(ends, "key"))
+    met = written(placed.join(ends, "key"))
     signs = groups.select("node", *signs_)
 
     def sided(df: DataFrame, side: str) -> DataFrame:
         return df.withColumnsRenamed({"node": side, **{c: f"{side}_{c}" for c in ("part", "h", *signs_)}})
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return shingle_sets(docs, checkpointed(groups.select("node", "least").join(nodes.distinct(), "node", "left_semi")), text, doc_id)
+        return shingle_sets(docs, written(groups.select("node", "least").join(nodes.distinct(), "node", "left_semi")), text, doc_id)
 
     maybe = (sum((hamming(f"a_s{n}", f"b_s{n}") for n in range(1, PARTS)), hamming("a_s0", "b_s0")) <= NEAR_BITS) \
         & (F.least("a_n", "b_n") >= F.lit(similar) * F.greatest("a_n", "b_n") - 1e-6)
@@ -274,37 +272,56 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     like = common / (F.col("a_n") + F.col("b_n") - common) >= similar
     to_ends = met.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node != end") \
         .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    tried = checkpointed(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"))
+    tried = written(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"))
     sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
-    first = checkpointed(tried.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b").where(like).select("a", "b"))
-    parts = checkpointed(components(first))
+    first = written(tried.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b").where(like).select("a", "b"))
+    parts = written(components(first))
     in_part = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     sizes = in_part.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1")
-    apart = checkpointed(in_part.join(split.select("key", "largest"), "key").join(signs, "node"))
+    apart = written(in_part.join(split.select("key", "largest"), "key").join(signs, "node"))
     left, right = sided(apart.where("part != largest").drop("largest"), "a"), sided(apart.drop("largest"), "b")
     across_parts = (left["key"] == right["key"]) & (F.col("a_part") != F.col("b_part")) & maybe
     # first who has a candidate at all; then sets go along, so that only links leave the comparison and never its candidates
-    left_, right_ = checkpointed(left.join(right, across_parts, "left_semi")), checkpointed(right.join(left, across_parts, "left_semi"))
+    left_, right_ = written(left.join(right, across_parts, "left_semi")), written(right.join(left, across_parts, "left_semi"))
     sets = sets_of(left_.select(F.col("a").alias("node")).unionAll(right_.select("b")))
     left_, right_ = left_.join(sided(sets, "a"), "a"), right_.join(sided(sets, "b"), "b")
     across = left_.join(right_, (left_["key"] == right_["key"]) & (F.col("a_part") != F.col("b_part")) & maybe & like).select("a", "b").distinct()
     linked = components(first.unionAll(across))
     roots = groups.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    return rows.select("doc_id", "node"), roots
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """``(doc_id, component_id)``, a row per row of ``docs``: groups of copies that share most five-word shingles.
+
+    See :func:`_grouped`; the component is the smallest id of the group, null where none has one.
+    """
+    rows, roots = _grouped(docs, text, doc_id, similar)
     low = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(roots.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.join(roots.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each group of near copies; all columns as they were.
+    """One document of each group of near copies, the one with the smallest id (a null id comes last); all columns as they were.
 
-    Rows that repeat the kept id fold to the one whose text comes first; rows without an id count as
-    one document.
+    Different texts stay, also where they share an id or have none. Of rows with the same id and the same
+    shingles the one whose text comes first stays.
     """
-    kept = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return out.select(docs.columns)
+    rows, roots = _grouped(docs, "text", "doc_id", SIMILAR)
+    held = rows.join(roots.select("node", "root"), "node")
+    first = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
+    kept = written(first.select("x.doc_id", "x.node"))
+    # where ids repeat or lack, the text tells which row is meant; elsewhere the id does
+    special = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
+    plain = kept.where("doc_id IS NOT NULL").join(special, "doc_id", "left_anti").select("doc_id")
+    place, name, node = (f"_{x}_{uuid.uuid4().hex}" for x in ("place", "name", "node"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
+    unsure = docs.join(special, same(docs, special), "left_semi").withColumn(name, set_names()("text"))
+    meant = kept.join(special, same(kept, special), "left_semi").select(F.col("doc_id").alias(node), F.col("node").alias(place))
+    found = unsure.join(meant, unsure["doc_id"].eqNullSafe(meant[node]) & (unsure[name] == meant[place]), "left_semi")
+    one = found.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", name).orderBy("text"))).where(F.col(place) == 1)
+    return docs.join(plain, "doc_id", "left_semi").select(docs.columns).unionAll(one.select(docs.columns))
 
 
 @query("op7_covering_dedup")
