@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-Texts that hold an anchor word are cut into lines and sentences (headers) and also taken whole
-(licence files). Weights are term counts times inverse document frequency, counted over all documents. A header is
+Texts that hold an anchor word are cut into lines and sentences, and, as notices are wrapped over
+lines and set in comments, into unwrapped sentences, paragraphs and runs of paragraphs (headers); they
+are also taken whole (licence files). Weights are term counts times inverse document frequency, counted over all documents. A header is
 compared in the space of template terms, so words around a notice cost nothing; a whole text is
 compared with all its words, so only a text that is a licence passes. What has no licence of its own
 takes that of the nearest directory above it that holds a licence file.
@@ -26,6 +27,11 @@ TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 ANCHOR = (r"(?i)licen[cs]|copyright|spdx|warrant|creative commons|\bcc[ -]?(?:by|0)|public domain|redistribut|permission|liable|"
           r"free software")
 CUT = r"\n+|(?<=[.!?;])\s+"
+#: What a comment line starts with, and what may end it.
+COMMENT = r"[ \t]*(?:/\*+!?|\*+/?|//+!?|#+|;+|--+|%+|<!--|-->|(?:dnl|DNL|rem|REM|Rem)(?![A-Za-z0-9]))"
+COMMENT_END = r"[ \t]*(?:\*+/|-->)[ \t]*$"
+#: Paragraphs of a run, and characters of one: no notice is longer. Lines and sentences have no bound.
+RUN, RUN_CHARS = 5, 6000
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)[^/]*$"
 
 # ---- fixed values: notices and texts of common licences ----
@@ -81,6 +87,28 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def unwrapped(text: Column) -> Column:
+    """The paragraphs of a text, comment signs and line ends taken out. Comments and what is around them are apart."""
+    own = F.regexp_replace(text, r"\r\n?", "\n")
+    apart = F.regexp_replace(own, rf"(?md)^({COMMENT}[^\n]*\n)(?!{COMMENT})", "$1\n")
+    apart = F.regexp_replace(apart, rf"(?md)^(?!{COMMENT})([^\n]+\n)(?={COMMENT})", "$1\n")
+    bare = F.regexp_replace(F.regexp_replace(apart, rf"(?md)^{COMMENT}", ""), f"(?md){COMMENT_END}", "")
+    blocks = F.split(bare, r"\n[ \t]*(?:\n[ \t]*)+")
+    return F.transform(blocks, lambda b: F.regexp_replace(b, r"[ \t]*\n[ \t]*", " "))
+
+
+def wrapped_units(text: Column) -> Column:
+    """Sentences of the unwrapped paragraphs, and runs of up to ``RUN`` paragraphs from one with an anchor word on."""
+    def cut(blocks: Column) -> Column:
+        sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, CUT)))
+        runs = F.flatten(F.transform(blocks, lambda b, i: F.when(b.rlike(ANCHOR), F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(blocks) - i)), lambda n: F.array_join(F.slice(blocks, i + 1, n), " "))).otherwise(
+            F.array().cast("array<string>"))))
+        return F.concat(sentences, F.filter(runs, lambda r: F.length(r) <= RUN_CHARS))
+
+    return F.get(F.transform(F.array(unwrapped(text)), cut), F.lit(0))  # a list of one binds the paragraphs
+
+
 def document_frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> tuple[int, dict[str, int]]:
     """Documents, and documents that hold each of the templates' terms (bounded by ``MOST_TERMS``), over all texts."""
     known = F.array(*map(F.lit, sorted(vocabulary)))
@@ -125,7 +153,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
     """``(doc_id, path, license, score, origin, directory)`` for every row.
 
     ``origin`` is ``file`` (the text is a licence, or its name says so and it holds one), ``header``
-    (a line or sentence is one), ``inherited`` from ``directory``, or null. Null and empty texts have
+    (a line, a sentence or a run of paragraphs is one, wrapped or not), ``inherited`` from ``directory``, or null. Null and empty texts have
     no licence of their own; a null path is in no directory; repeated rows get equal results; an empty
     table gives no rows; other columns are ignored.
     """
@@ -141,7 +169,10 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
     named = docs.withColumn("key", key)
     marked = named.where(F.col("text").rlike(ANCHOR)).select("key", "text")
     lines = marked.select("key", F.posexplode(F.split("text", CUT)).alias("pos", "text")).where(F.col("text").rlike(ANCHOR))
-    units = lines.unionAll(marked.select("key", F.lit(-1), "text"))
+    # what the lines did not give already
+    more = F.filter(F.array_except(wrapped_units(F.col("text")), F.split("text", CUT)), lambda x: x.rlike(ANCHOR))
+    wrapped = marked.select("key", F.posexplode(more).alias("pos", "text")).withColumn("pos", F.col("pos") + (1 << 30))
+    units = lines.unionAll(wrapped).unionAll(marked.select("key", F.lit(-1), "text"))
     best = similar_units(units, templates, n, seen)
     own = checkpointed(best.groupBy("key").agg(
         F.min(F.when((F.col("pos") >= 0) & (F.col("score") >= header_at), F.struct((-F.col("score")).alias("s"), "license"))).alias("header"),

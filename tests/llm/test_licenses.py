@@ -7,6 +7,32 @@ import pytest
 from marginalia.llm import licenses as L
 
 
+def paragraphs(text):
+    """Line by line: comment lines and others apart, signs off, lines of a paragraph joined."""
+    out, now, kind = [], [], None
+    for line in re.sub(r"\r\n?", "\n", text).split("\n"):
+        m = re.match(L.COMMENT, line)
+        if now and line and bool(m) != kind or m and kind is False and not now:
+            out.append(now)
+            now = []
+        kind = bool(m)
+        bare = re.sub(L.COMMENT_END, "", line[m.end():] if m else line)
+        if bare.strip(" \t"):
+            now.append(bare)
+        elif now:
+            out.append(now)
+            now = []
+    return [" ".join(x.strip(" \t") if 0 < i else x.rstrip(" \t") for i, x in enumerate(p)) for p in [*out, now] if p]
+
+
+def wrapped(text):
+    blocks = paragraphs(text)
+    units = {s for b in blocks for s in re.split(L.CUT, b)}
+    units |= {r for i, b in enumerate(blocks) if re.search(L.ANCHOR, b) for n in range(1, L.RUN + 1)
+              if i + n <= len(blocks) and len(r := " ".join(blocks[i:i + n])) <= L.RUN_CHARS}
+    return units
+
+
 def brute(rows, templates=L.TEMPLATES):
     """{(doc_id, path): (license, score, origin, directory)} by plain loops."""
     words = lambda t: re.findall(L.TERM, (t or "").lower())
@@ -33,7 +59,7 @@ def brute(rows, templates=L.TEMPLATES):
     for d, p, t in rows:
         file = header = None
         if t and re.search(L.ANCHOR, t):
-            parts = [best(s, 0.0) for s in re.split(L.CUT, t) if re.search(L.ANCHOR, s)]
+            parts = [best(s, 0.0) for s in {*re.split(L.CUT, t), *wrapped(t)} if re.search(L.ANCHOR, s)]
             header = min((b for b in parts if b and -b[0] >= L.HEADER_AT), default=None)
             w = best(t, math.log(1 + n) + 1)
             file = w if w and -w[0] >= L.FILE_AT else header if p and re.search(L.FILE_NAME, p) else None
@@ -83,6 +109,42 @@ def test_headers_files_and_directories(spark):
     assert got[12].license == "BSD-3-Clause" and got[13].license is None and got[16].license == "LGPL-3.0" and got[15].license == "GPL-2.0"
 
 
+def folded(text, width, sign, end="", gap=None):
+    """A notice wrapped into comment lines; ``gap`` sets a blank comment line after every so many sentences."""
+    import textwrap
+    parts = [text] if gap is None else [" ".join(x) for x in (lambda s: [s[i:i + gap] for i in range(0, len(s), gap)])(re.split(r"(?<=[.:])\s+", text))]
+    return f"\n{sign}\n".join("\n".join(f"{sign} {x}{end}" for x in textwrap.wrap(p, width)) for p in parts)
+
+
+def test_wrapped_notices_in_longer_files(spark):
+    code = "\n".join(f"def f{i}(the, of, to):\n    return the + of * to  # and {i}" for i in range(60))
+    prose = "\n".join(f"The work of the {i} people and the rest of them is to be found in the house." for i in range(40))
+    notices = {"MIT": L._MIT, "BSD-2-Clause": L._BSD2, "BSD-3-Clause": L._BSD3, "ISC": L._ISC, "GPL-3.0": L._GPL.format("", "3"), "LGPL-2.1": L._GPL.format("Lesser ", "2.1")}
+    rows, want = [], {}
+    for name, text in notices.items():
+        for head, tail, sign, end in (("#!/bin/sh\n", "\n" + code, "#", ""), ("/*\n", "\n */\n" + code, " *", ""), (prose + "\n\n", "\n\n" + prose, "", ""),
+                                      (code + "\n", "\n" + code, "//", ""), ("<!--\n", "\n-->\n" + prose, "", "  "), (";; x\n;;\n", "\n(defun x ())", ";;", "")):
+            for width, gap in ((60, None), (72, 2)):
+                want[len(rows)] = name
+                rows.append((len(rows), f"p{len(rows)}/f.c", head + folded(text, width, sign, end, gap) + tail))
+    for text in (code, prose, "# the copyright of this code\n# belongs to the authors, all rights\n# reserved\n" + code, "/* no license here */\n" + prose):
+        rows.append((len(rows), f"p{len(rows)}/f.c", text))
+    got = compare(L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)), rows)
+    assert {d: got[d].license for d in range(len(rows))} == {d: want.get(d) for d in range(len(rows))}
+
+
+def test_paragraphs_equal_the_plain_reading(spark):
+    import random
+    rnd = random.Random(3)
+    bits = ["/* ", " * ", " */", "// ", "# ", "", "", " ", "\t", "text here. ", "more; ", "license", "-- ", "<!-- ", "-->", "dnl ", "dnlx ", "remark", ";; ", "* "]
+    texts = ["\n".join("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 3))) for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    texts += ["a\r\nb\r\r\nc", "", "\n\n", "# only"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    clean = lambda ps: [p.strip(" \t") for p in ps if p.strip(" \t\n")]
+    for r in df.select("i", "text", L.unwrapped(df.text).alias("p")).collect():
+        assert clean(r.p) == clean(paragraphs(r.text)), r.text
+
+
 def test_empty_table_and_bad_templates(spark):
     df = spark.createDataFrame([], "doc_id long, path string, text string")
     assert L.scan(df).collect() == []
