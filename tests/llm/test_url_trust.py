@@ -14,6 +14,10 @@ def split(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host):]).group()
 
 
+def site(host):
+    return re.sub(r":[0-9]*$", "", re.sub(r"^[^@]*@", "", host))
+
+
 def brute(pages, rules=U.RULES):
     """Scores by plain loops until nothing moves."""
     rows, links = [], Counter()
@@ -24,22 +28,22 @@ def brute(pages, rules=U.RULES):
         rows.append((pid, host, path, max(fit, key=lambda r: len(r[0])) if fit else (None, None)))
         for to in re.findall(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)""", html or ""):
             m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", to)
-            if host and m and m.group(1).lower() != host:
-                links[host, m.group(1).lower()] += 1
-    count = Counter(h for _, h, _, _ in rows if h)
-    seed = {k: {h: sum(1 for _, g, _, r in rows if g == h and r[1] == k) / n for h, n in count.items()} for k in ("allow", "block")}
-    out, into = Counter(), Counter()
-    for (a, b), n in links.items():
+            if site(host) and m and m.group(1).lower() != site(host):
+                links[site(host), m.group(1).lower()] += 1
+    count = Counter(site(h) for _, h, _, _ in rows if site(h))
+    seed = {k: {h: sum(1 for _, g, _, r in rows if site(g) == h and r[1] == k) / n for h, n in count.items()} for k in ("allow", "block")}
+    out = Counter()
+    for (a, _), n in links.items():
         out[a] += n
-        into[b] += n
     trust, bad = dict(seed["allow"]), dict(seed["block"])
     for _ in range(U.STEPS):
         t, d = Counter(seed["allow"]), Counter(seed["block"])
         for (a, b), n in links.items():
             t[b] += U.DAMPING * trust.get(a, 0) * n / out[a]
-            d[a] += U.DAMPING * bad.get(b, 0) * n / into[b]
+            d[a] += U.DAMPING * bad.get(b, 0) * n / out[a]
         trust, bad = t, d
-    return {pid: (h, p, r[0], r[1] or ("block" if bad.get(h, 0) - trust.get(h, 0) > U.BLOCK_AT else "allow"), trust.get(h, 0), bad.get(h, 0))
+    score = lambda of, h: of.get(site(h), 0)
+    return {pid: (h, p, r[0], r[1] or ("block" if score(bad, h) - score(trust, h) > U.BLOCK_AT else "allow"), score(trust, h), score(bad, h))
             for pid, h, p, r in rows}
 
 
@@ -68,12 +72,25 @@ def test_links_rules_and_odd_urls(spark):
     assert {r.verdict for r in U.filter_urls(df, rules=()).collect()} == {"allow"}
 
 
+def test_who_links_to_blocked_hosts_only_is_blocked(spark):
+    """However many others link there, on whatever port; a host with other links too is not."""
+    a = lambda *to: "".join(f'<a href="{t}">' for t in to)
+    pages = [(i, f"http://farm{i}.info:8080/", a("http://spam.net:81/x")) for i in range(12)]
+    pages += [(100 + i, f"http://ring{i}.info/", a(f"http://u@farm{i}.info:9/")) for i in range(12)]
+    pages += [(200, "http://mixed.info/", a("http://spam.net/", "http://fine.info/", "http://also.info/")), (201, "http://shop.net:8080/", ""),
+              (202, "http://fan.info/", a("http://shop.net:8080/y")), (204, "http://spam.net/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = compare(U.filter_urls(df), pages)
+    assert {i: got[i].verdict for i in (*range(12), *range(100, 112))} == {i: "block" for i in (*range(12), *range(100, 112))}
+    assert got[200].verdict == "allow" and got[201].host == "shop.net:8080"
+
+
 def test_sql_gives_the_same_rows(spark, tmp_path):
     import duckdb
 
     a = lambda *to: "".join(f'<a href="{t}">' for t in to)
     pages = [(1, "https://Spam.NET/x", a("http://x.org/fr/")), (2, "http://farm.info/a", a("https://spam.net/1", "//spam.net/2")), (3, None, None),
-             (4, "http://ring.info/", a("http://farm.info/")), (5, "http://x.org/fr/1", a("http://fine.info/")), (6, "http://fine.info", "")]
+             (4, "http://ring.info:80/", a("http://farm.info/")), (5, "http://x.org/fr/1", a("http://fine.info/")), (6, "http://fine.info", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
