@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +59,55 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like :func:`checkpointed`, as compressed Parquet; for wide intermediates."""
+def written(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Like :func:`checkpointed`, as compressed Parquet; for wide intermediates.
+
+    ``paths`` gets the folder, for :func:`forget`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediates that no result reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    paths.clear()
+
+
+#: Bits of a filter of ids, and of a row of it.
+FILTER_BITS, BLOCK_BITS = 1 << 23, 1 << 15
+
+
+def id_filter(ids: DataFrame, column: str):
+    """Column function ``id -> boolean``, true for all of ``ids`` and few others; a null is an id too.
+
+    A bitmap of bounded size (1 MB) that tasks build and the driver ships, however many ids there
+    are. Where it fills up it is true for more others, so what it lets through is to be compared.
+    """
+    import numpy as np
+
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    marked = ids.select((place(column) + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("block")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    whole = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
+    for r in marked.collect():  # a row per block
+        whole[r.block - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+    shipped = ids.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((np.frombuffer(shipped.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: maybe(place(c))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the fifth of the documents whose labels are never learned from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

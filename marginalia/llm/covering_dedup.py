@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import checkpointed, query, small_batches, table, written
+from marginalia.llm.common import checkpointed, forget, id_filter, query, small_batches, table, written
 from marginalia.llm.components import components
 
 BITS, RADIUS = 64, 2
@@ -138,8 +138,6 @@ PARTS = 4
 BANDS, DEEP = 50, 6
 #: Bits of a sketch that may differ: a pair at 0.8 differs in 25.6 of 256, with a deviation of 4.8; 2 in a million differ in more.
 NEAR_BITS = 48
-#: Bits of the filter that leaves out most documents without candidates; it has no false negatives.
-FILTER_BITS, BLOCK_BITS = 1 << 23, 1 << 15
 
 
 def shingle_set(text):
@@ -206,25 +204,14 @@ def set_names():
     return named
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, paths: list[str]) -> DataFrame:
     """``(node, h)``: 32 bits of each shingle hash of the sets in ``wanted(node, least)``, read again from the documents ``least``.
 
     A filter of bounded size is shipped first, so that few texts without candidates enter the join.
     """
     import numpy as np
 
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    marked = wanted.select((place("least") + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("block")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    whole = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
-    for r in marked.collect():  # a row per block, however many documents are wanted
-        whole[r.block - 1] = np.frombuffer(r.bits, dtype=np.uint8)
-    shipped = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
-
-    @F.pandas_udf("boolean")
-    def maybe(p: pd.Series) -> pd.Series:
-        at = p.to_numpy()
-        return pd.Series((np.frombuffer(shipped.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+    maybe = id_filter(wanted, "least")
 
     @F.pandas_udf("node long, h array<int>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -232,15 +219,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
             each = [shingle_set(t) for t in texts]
             yield pd.DataFrame({"node": [_set_name(x) for x in each], "h": [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in each]})
 
-    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(maybe(place("_id"))).select("_id", sets("_text").alias("x"))
+    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(maybe("_id")).select("_id", sets("_text").alias("x"))
     asked = wanted.select(F.col("node").alias("_node"), "least")
     # an id may repeat with other texts, so the set's name is compared too
     read = some.select("_id", "x.*").join(asked, F.col("_id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("_node")), "left_semi")
-    return written(read.select("node", "h").dropDuplicates(["node"]))
+    return written(read.select("node", "h").dropDuplicates(["node"]), paths)
 
 
-def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, node)`` of every row, a node for each set of shingles, and ``(node, least, root)``: nodes of a group share a root.
+    ``paths`` gets the folders that both are read from.
 
     Candidates agree on a band of least hashes (:data:`BANDS`) and differ in few bits of a sketch; they
     link when the exact share of common shingles, of both sets' hashes, is at least ``similar`` (0.8 or
@@ -252,19 +240,19 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[D
     if similar < SIMILAR:
         raise ValueError(f"bands and sketches are made for similarities from {SIMILAR}")
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"))
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"), paths)
     signs_ = ["n", *[f"s{i}" for i in range(PARTS)]]
-    groups = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*signs_, "bands")]))
+    groups = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*signs_, "bands")]), paths)
     placed = groups.select("node", F.explode("bands").alias("key")).repartition("key")  # one shuffle for the next two steps
     ends = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    met = written(placed.join(ends, "key"))
+    met = written(placed.join(ends, "key"), paths)
     signs = groups.select("node", *signs_)
 
     def sided(df: DataFrame, side: str) -> DataFrame:
         return df.withColumnsRenamed({"node": side, **{c: f"{side}_{c}" for c in ("part", "h", *signs_)}})
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return shingle_sets(docs, written(groups.select("node", "least").join(nodes.distinct(), "node", "left_semi")), text, doc_id)
+        return shingle_sets(docs, written(groups.select("node", "least").join(nodes.distinct(), "node", "left_semi"), paths), text, doc_id, paths)
 
     maybe = (sum((hamming(f"a_s{n}", f"b_s{n}") for n in range(1, PARTS)), hamming("a_s0", "b_s0")) <= NEAR_BITS) \
         & (F.least("a_n", "b_n") >= F.lit(similar) * F.greatest("a_n", "b_n") - 1e-6)
@@ -272,18 +260,18 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float) -> tuple[D
     like = common / (F.col("a_n") + F.col("b_n") - common) >= similar
     to_ends = met.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node != end") \
         .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    tried = written(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"))
+    tried = written(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"), paths)
     sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
-    first = written(tried.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b").where(like).select("a", "b"))
-    parts = written(components(first))
+    first = written(tried.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b").where(like).select("a", "b"), paths)
+    parts = written(components(first), paths)
     in_part = met.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     sizes = in_part.groupBy("key", "part").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1")
-    apart = written(in_part.join(split.select("key", "largest"), "key").join(signs, "node"))
+    apart = written(in_part.join(split.select("key", "largest"), "key").join(signs, "node"), paths)
     left, right = sided(apart.where("part != largest").drop("largest"), "a"), sided(apart.drop("largest"), "b")
     across_parts = (left["key"] == right["key"]) & (F.col("a_part") != F.col("b_part")) & maybe
     # first who has a candidate at all; then sets go along, so that only links leave the comparison and never its candidates
-    left_, right_ = written(left.join(right, across_parts, "left_semi")), written(right.join(left, across_parts, "left_semi"))
+    left_, right_ = written(left.join(right, across_parts, "left_semi"), paths), written(right.join(left, across_parts, "left_semi"), paths)
     sets = sets_of(left_.select(F.col("a").alias("node")).unionAll(right_.select("b")))
     left_, right_ = left_.join(sided(sets, "a"), "a"), right_.join(sided(sets, "b"), "b")
     across = left_.join(right_, (left_["key"] == right_["key"]) & (F.col("a_part") != F.col("b_part")) & maybe & like).select("a", "b").distinct()
@@ -297,7 +285,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
 
     See :func:`_grouped`; the component is the smallest id of the group, null where none has one.
     """
-    rows, roots = _grouped(docs, text, doc_id, similar)
+    rows, roots = _grouped(docs, text, doc_id, similar, [])
     low = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(roots.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
@@ -308,20 +296,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Different texts stay, also where they share an id or have none. Of rows with the same id and the same
     shingles the one whose text comes first stays.
     """
-    rows, roots = _grouped(docs, "text", "doc_id", SIMILAR)
+    rows, roots = _grouped(docs, "text", "doc_id", SIMILAR, paths := [])
     held = rows.join(roots.select("node", "root"), "node")
     first = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
     kept = written(first.select("x.doc_id", "x.node"))
     # where ids repeat or lack, the text tells which row is meant; elsewhere the id does
     special = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"))
-    plain = kept.where("doc_id IS NOT NULL").join(special, "doc_id", "left_anti").select("doc_id")
+    doubtful = written(rows.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti").unionAll(special).distinct())
+    forget(docs.sparkSession, paths)
     place, name, node = (f"_{x}_{uuid.uuid4().hex}" for x in ("place", "name", "node"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
-    unsure = docs.join(special, same(docs, special), "left_semi").withColumn(name, set_names()("text"))
+    # most documents stay and are passed on where they are; only those that may go are looked up
+    maybe = id_filter(doubtful, "doc_id")
+    plain = docs.where(~maybe("doc_id"))
+    asked = docs.where(maybe("doc_id"))
+    plain = plain.unionAll(asked.join(doubtful, same(asked, doubtful), "left_anti"))
+    unsure = asked.join(special, same(asked, special), "left_semi").withColumn(name, set_names()("text"))
     meant = kept.join(special, same(kept, special), "left_semi").select(F.col("doc_id").alias(node), F.col("node").alias(place))
     found = unsure.join(meant, unsure["doc_id"].eqNullSafe(meant[node]) & (unsure[name] == meant[place]), "left_semi")
     one = found.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", name).orderBy("text"))).where(F.col(place) == 1)
-    return docs.join(plain, "doc_id", "left_semi").select(docs.columns).unionAll(one.select(docs.columns))
+    return plain.select(docs.columns).unionAll(one.select(docs.columns))
 
 
 @query("op7_covering_dedup")
