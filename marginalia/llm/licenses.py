@@ -32,6 +32,8 @@ COMMENT = r"[ \t]*(?:/\*+!?|\*+/?|//+!?|#+|;+|--+|%+|<!--|-->|(?:dnl|DNL|rem|REM
 COMMENT_END = r"[ \t]*(?:\*+/|-->)[ \t]*$"
 #: Paragraphs of a run, and characters of one: no notice is longer. Lines and sentences have no bound.
 RUN, RUN_CHARS = 5, 6000
+#: Tasks that the files of one directory are spread over.
+SALTS = 16
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)[^/]*$"
 
 # ---- fixed values: notices and texts of common licences ----
@@ -187,7 +189,9 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("directory")))
     dirs = narrow.where("dir is not null and header is null and file is null").select("dir").distinct().select("dir", F.explode(above).alias("x")).select("dir", "x.*")
     near = dirs.join(given, "directory").groupBy("dir").agg(F.max_by(F.struct("directory", "given"), "depth").alias("near"))
-    rows = narrow.join(near, "dir", "left")  # one row per directory on the right: a hot directory's files can be split
+    # a directory's one row is repeated, so that the files of a hot directory meet it in several tasks
+    spread = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = narrow.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["dir", "salt"], "left")
     mine = F.coalesce("file", "header")
     told = F.coalesce(mine, F.col("near.given"))
     origin = F.when(F.col("file").isNotNull(), "file").when(F.col("header").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited")
