@@ -200,10 +200,15 @@ def stream_graph_delta_batches(spark, sf):
     return spark.read.schema(e.schema).parquet(folder + "/rows")
 
 
+def _upper(c: str) -> str:
+    """Upper case of one character by one character, as SQL has it: ``str.upper`` makes two of some, such as SS."""
+    return next((u for u in (c.upper(), c.title()) if len(u) == 1), "\u1e9e" if c == "\u00df" else c)
+
+
 def _flaky(prompt: str) -> str:
     if "a" in prompt[:1].lower():
         raise RuntimeError("model down")
-    return prompt[:5].upper()
+    return "".join(map(_upper, prompt[:5]))
 
 
 @query("model_map", """

@@ -180,3 +180,12 @@ def test_nodes_of_wiki_without_links_have_zero(spark):
     notes = spark.createDataFrame([(1, "A", "[[b]] [[B]] [[A]]"), (2, "B", "[[a]]"), (3, "C", "[[none]]")], "id int, title string, content string")
     assert {r.id: r.link_count for r in L.wiki_graph(notes).collect()} == {1: 1, 2: 1, 3: 0}
     assert [tuple(r) for r in L.backlinks(notes, notes.where("id = 2").select("title")).collect()] == [("B", 1)]
+
+
+def test_query_model_upper_cases_like_sql():
+    import duckdb
+
+    from marginalia.plans.stream_queries import _flaky
+    texts = ["erßie", "ŉab", "ᾳx", "ﬁn", "ǆabc", "und so weiter"]
+    want = [duckdb.execute("SELECT upper(left(?, 5))", [t]).fetchone()[0] for t in texts]
+    assert [_flaky(t) for t in texts] == want
