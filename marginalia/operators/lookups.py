@@ -26,58 +26,83 @@ def hits_to_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "vec_id")
 
 
-#: Characters of the pieces that a containment join is keyed by.
-GRAM = 6
+#: Terms of up to as many characters are looked up whole, longer ones by pieces of this size.
+GRAM = 16
+#: Characters of terms, and 16 a term, that may be broadcast.
+SHIPPED = 8_000_000
+#: Rules that every text meets first in ``classify_by_table``.
+EARLY_RULES = 20_000
+_BLOCK = 128
 
 
-def _grams(text: Column, n: Column | int) -> Column:
-    """All distinct pieces of ``n`` characters; none of a shorter text."""
-    n = F.lit(n) if isinstance(n, int) else n
-    last = F.length(text) - n + 1
-    at = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, n)))
+def _grams(text: Column, n: int) -> Column:
+    """All distinct pieces of ``n`` characters; none of a shorter text. Cut from blocks, as finding a place counts from the start."""
+    def cut(blocks: Column) -> Column:
+        wide = F.transform(blocks, lambda b, i: F.concat(b, F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(n - 1))))
+        return F.flatten(F.transform(wide, lambda w: F.transform(
+            F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(w, i, n))))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0))
+    return F.array_distinct(F.transform(F.array(blocks), cut)[0])  # a list of one binds the blocks
+
+
+def _sided(small: DataFrame, text: str) -> DataFrame:
+    """A written table for a join with exploded pieces: broadcast when small, else sort-merge.
+
+    Left to Spark, the pieces would be broadcast: their estimated size is that of the texts or less.
+    """
+    size = small.agg(F.sum(F.length(text) + 16)).first()[0] or 0
+    return F.broadcast(small) if size <= SHIPPED else small.hint("merge")
+
+
+def _met(texts: DataFrame, terms: DataFrame, keys: list[str], keep: list[str], text: str) -> DataFrame:
+    """``(*keys, *keep, *terms)`` for every row of ``texts`` and every row of ``terms(_term, ...)`` that its text contains.
+
+    A term of up to ``GRAM`` characters is a piece of the texts that contain it: one equi join gives
+    exactly the result. A longer one is looked up by the piece of it that fewest rows have, and
+    what it meets is searched. Empty and null terms and texts match nothing.
+    """
+    terms = written(terms.where(F.length("_term") > 0))
+    lengths = sorted(r[0] for r in terms.select(F.least(F.length("_term"), F.lit(GRAM + 1))).distinct().collect())  # at most GRAM + 1 numbers
+    columns = [*keys, *keep, *terms.columns]
+    out = None
+    if short := [n for n in lengths if n <= GRAM]:
+        pieces = F.concat(*[_grams(F.col(text), n) for n in short])
+        out = (texts.select(*keys, *keep, F.explode(pieces).alias("_term"))
+               .join(_sided(terms.where(F.length("_term") <= GRAM), "_term"), "_term").select(columns))
+    if lengths and lengths[-1] > GRAM:
+        long = terms.where(F.length("_term") > GRAM)
+        wanted = written(long.select("_term").distinct().select("_term", F.explode(_grams(F.col("_term"), GRAM)).alias("_gram")))
+        pieces = texts.select(*keys, F.explode(_grams(F.col(text), GRAM)).alias("_gram"))
+        near = written(pieces.join(_sided(wanted.select("_gram").distinct(), "_gram"), "_gram", "left_semi"))
+        seen = near.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
+        keyed = written(wanted.join(seen.hint("merge"), "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram")))
+        offered = near.join(_sided(keyed, "_term"), "_gram").drop("_gram")
+        if text not in keys:
+            offered = offered.join(texts.select(*keys, *keep, text).hint("merge"), keys)
+        found = offered.where(F.contains(text, F.col("_term"))).join(_sided(long, "_term"), "_term").select(columns)
+        out = found if out is None else out.unionByName(found)
+    return texts.join(terms, F.lit(False)).select(columns) if out is None else out
 
 
 def containments(stems: DataFrame, names: DataFrame) -> DataFrame:
     """``(_stem, _name)`` of every distinct name that contains a distinct stem; empty stems match nothing.
 
-    Names are cut into pieces of ``GRAM`` characters, as many as a name is long. A stem is looked up
-    by one of its pieces, the one that fewest names have, and only those names are searched. Stems
-    shorter than a piece are looked up whole among pieces of their own length.
+    Names are cut into pieces, as many of each length as a name is long; see ``_met``.
     """
-    stems, names = stems.select("_stem").distinct(), names.select("_name").distinct()
-    size = F.least(F.length("_stem"), F.lit(GRAM))
-    used = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
-    wanted = stems.where(F.length("_stem") > 0).select("_stem", F.explode(_grams(F.col("_stem"), size)).alias("_gram"))
-    lengths = wanted.select(F.length("_gram").alias("n")).distinct()  # at most GRAM rows
-    pieces = (names.select("_name", F.explode(used).alias("n")).join(F.broadcast(lengths), "n")
-              .select("_name", F.explode(_grams(F.col("_name"), F.col("n"))).alias("_gram")))
-    seen = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
-    keyed = wanted.join(seen, "_gram").groupBy("_stem").agg(
-        F.min_by("_gram", F.struct("_names", "_gram")).alias("_gram"))
-    return keyed.join(pieces, "_gram").where(F.contains("_name", F.col("_stem"))).select("_stem", "_name")
+    found = _met(names.select("_name").distinct(), stems.select(F.col("_stem").alias("_term")).distinct(), ["_name"], [], "_name")
+    return found.select(F.col("_term").alias("_stem"), "_name")
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", term: str = "term") -> DataFrame:
     """``(*keys, term)`` for every row of ``texts`` and every distinct term that its text contains; for any number of terms.
 
-    Texts are cut into pieces of ``GRAM`` characters, shorter ones where terms are shorter; only pieces
-    that some term has are kept, with the keys of their rows. A term is looked up by the piece of it
-    that fewest rows have, and what it meets is searched. ``keys`` identify a row; terms and texts are
-    compared as they are; empty and null ones match nothing. The pieces that terms share with texts are
-    written to the shared folder.
+    Texts are cut into pieces of the lengths that terms have, up to ``GRAM`` characters; see ``_met``.
+    ``keys`` identify a row; terms and texts are compared as they are; empty and null ones match
+    nothing. The terms, and the pieces that long ones share with texts, are written to the shared folder.
     """
-    words = terms.select(F.col(term).alias("_term")).where(F.length("_term") > 0).distinct()
-    wanted = words.select("_term", F.explode(_grams(F.col("_term"), F.least(F.length("_term"), F.lit(GRAM)))).alias("_gram"))
-    lengths = wanted.select(F.length("_gram").alias("n")).distinct()  # at most GRAM rows
-    cut = texts.select(*keys, F.col(text).alias("_text"), F.explode(F.array(*[F.lit(n) for n in range(1, GRAM + 1)])).alias("n"))
-    pieces = cut.join(F.broadcast(lengths), "n").select(*keys, F.explode(_grams(F.col("_text"), F.col("n"))).alias("_gram"))
-    near = written(pieces.join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
-    seen = near.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
-    keyed = wanted.join(seen, "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram"))
-    offered = keyed.join(near, "_gram").drop("_gram")
-    found = offered.join(texts.select(*keys, F.col(text).alias("_text")), keys).where(F.contains("_text", F.col("_term")))
-    return found.select(*keys, F.col("_term").alias(term))
+    words = terms.select(F.col(term).alias("_term")).distinct()
+    return _met(texts.select(*keys, F.col(text).alias("_text")), words, keys, [], "_text").withColumnRenamed("_term", term)
 
 
 def classify_by_table(rows: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", default: str | None = None,
@@ -86,13 +111,23 @@ def classify_by_table(rows: DataFrame, rules: DataFrame, keys: list[str], text:
 
     Adds the label of the rule with the smallest place that has a keyword inside the lower-cased
     (prefix of the) text, else ``default``; of equal places the smaller label. ``keys`` identify a row.
+    The first ``EARLY_RULES`` rules meet all texts; a text that has one of them needs no later one, so
+    only the others meet the rest.
     """
     low = F.lower(F.left(text, F.lit(prefix)) if prefix else F.col(text))
-    known = rules.select((F.lower("keyword") if fold_keywords else F.col("keyword")).alias("_keyword"), F.struct("place", "label").alias("_rule"))
-    first = known.groupBy("_keyword").agg(F.min("_rule").alias("_rule"))  # a keyword of several rules counts for the first
-    met = match_terms(rows.select(*keys, low.alias("_low")), first, keys, "_low", "_keyword")
-    best = met.join(first, "_keyword").groupBy(*keys).agg(F.min("_rule")["label"].alias("_label"))
-    return rows.join(best, keys, "left").withColumn(out, F.coalesce("_label", F.lit(default).cast("string"))).drop("_label")
+    known = rules.select((F.lower("keyword") if fold_keywords else F.col("keyword")).alias("_term"), F.struct("place", "label").alias("_rule"))
+    # a keyword of several rules counts for the first
+    first = written(known.where(F.length("_term") > 0).groupBy("_term").agg(F.min("_rule").alias("_rule")))
+    early = written(first.orderBy("_rule", "_term").limit(EARLY_RULES))
+    texts = rows.select(*keys, low.alias("_low"))
+
+    def best(some: DataFrame, of: DataFrame) -> DataFrame:
+        return written(_met(some, of, keys, [], "_low").groupBy(*keys).agg(F.min("_rule").alias("_rule")))
+
+    sooner = best(texts, early)
+    later = best(texts.join(sooner.select(keys), keys, "left_anti"), first.join(early.select("_term"), "_term", "left_anti"))
+    label = sooner.unionByName(later).select(*keys, F.col("_rule.label").alias("_label"))
+    return rows.join(label, keys, "left").withColumn(out, F.coalesce("_label", F.lit(default).cast("string"))).drop("_label")
 
 
 def match_files(files: DataFrame, docs: DataFrame, name: str = "file_name", doc: str = "doc_name") -> DataFrame:
@@ -231,7 +266,7 @@ def topic_evidence(evidence: DataFrame, topics: list[str] | DataFrame) -> DataFr
 
     ``evidence(doc_name, doc_title, evidence_level, pico map, findings array)``, a row per document.
     A short list of topics is tested inside the row, so only matches are ever emitted; longer lists,
-    and topics given as rows ``(topic)``, are looked up by their rarest pieces, see ``match_terms``.
+    and topics given as rows ``(topic)``, are looked up by pieces of the documents, see ``_met``.
     The empty topic is in every document.
     """
     hay = F.lower(F.concat(F.to_json("pico"), F.lit("\n"), F.array_join("findings", " ")))
@@ -242,9 +277,10 @@ def topic_evidence(evidence: DataFrame, topics: list[str] | DataFrame) -> DataFr
     if not isinstance(topics, DataFrame):
         topics = evidence.sparkSession.createDataFrame([(t,) for t in topics], "topic string")
     asked = topics.select("topic", F.lower("topic").alias("_term"))
-    met = match_terms(evidence.select("doc_name", hay.alias("_hay")), asked, ["doc_name"], "_hay", "_term")
-    whole = evidence.withColumn("_term", F.lit("")).join(asked.where(F.col("_term") == ""), "_term").select(*evidence.columns, "topic")
-    return evidence.join(met.join(asked, "_term").select("doc_name", "topic"), "doc_name").select(*evidence.columns, "topic").unionByName(whole)
+    rest = [c for c in evidence.columns if c != "doc_name"]
+    met = _met(evidence.withColumn("_hay", hay), asked, ["doc_name"], rest, "_hay")
+    whole = evidence.withColumn("_term", F.lit("")).join(asked.where(F.col("_term") == ""), "_term")
+    return met.select(*evidence.columns, "topic").unionByName(whole.select(*evidence.columns, "topic"))
 
 
 def best_topic_evidence(matches: DataFrame) -> DataFrame:

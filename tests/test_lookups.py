@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from marginalia.operators import lookups as L
 
 
@@ -60,3 +62,48 @@ def test_topics_as_rows_and_as_a_list_agree(spark):
     want = sorted((r.doc_name, r.topic) for r in few.collect())
     assert sorted((r.doc_name, r.topic) for r in rows.collect()) == want == sorted((r.doc_name, r.topic) for r in many.collect())
     assert len(want) > 60
+
+
+def test_long_terms_equal_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("aß😀") for _ in range(n))
+    texts = [(i, word(rnd.randint(0, 600))) for i in range(60)]
+    cut = lambda t, n: t[(at := rnd.randrange(max(1, len(t) - n))):at + n]
+    terms = {cut(rnd.choice(texts)[1], rnd.choice([1, 3, 15, 16, 17, 40, 200])) for _ in range(200)} | {word(30)}
+    got = L.match_terms(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), ["id"])
+    want = sorted((i, t) for i, x in texts for t in terms if t and t in x)
+    assert sorted(map(tuple, got.collect())) == want and any(len(t) > 100 for _, t in want)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_pieces_of_names_are_not_broadcast(spark):
+    """A file of names is small, its pieces are many times as large."""
+    names = spark.range(20_000).select(F.format_string("Customer#%09d", "id").alias("_name"))
+    for length in (12, 18):
+        stems = names.limit(50).select(F.left("_name", F.lit(length)).alias("_stem"))
+        lines = _plan(L.containments(stems, names))
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                depth = line.index("BroadcastExchange")
+                below = [x for x in lines[at + 1:]]
+                end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))
+                assert not any("Generate explode" in x for x in below[:end])
+
+
+def test_short_terms_are_not_searched_again(spark):
+    """Each piece of a text that is a term is a result: no second look at the texts."""
+    texts = spark.createDataFrame([(i, "some words") for i in range(10)], "id int, text string")
+    terms = spark.createDataFrame([("some",), ("word",)], "term string")
+    lines = _plan(L.match_terms(texts, terms, ["id"]))
+    assert not any("Contains(" in x for x in lines) and sum("Join" in x for x in lines) == 1
+
+
+def test_early_rules_decide_alone(spark, monkeypatch):
+    monkeypatch.setattr(L, "EARLY_RULES", 2)
+    rules = spark.createDataFrame([(5, "e", "word"), (1, "a", "none"), (2, "b", "some"), (2, "a", "other"), (9, "z", "last")], "place int, label string, keyword string")
+    texts = spark.createDataFrame([(1, "some word"), (2, "word last"), (3, "last"), (4, "nil"), (5, "other some"), (6, None)], "id int, text string")
+    got = L.classify_by_table(texts, rules, ["id"], default="-")
+    assert sorted((r.id, r.label) for r in got.collect()) == [(1, "b"), (2, "e"), (3, "z"), (4, "-"), (5, "a"), (6, "-")]
