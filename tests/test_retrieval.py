@@ -189,3 +189,32 @@ def test_query_model_upper_cases_like_sql():
     texts = ["erßie", "ŉab", "ᾳx", "ﬁn", "ǆabc", "und so weiter"]
     want = [duckdb.execute("SELECT upper(left(?, 5))", [t]).fetchone()[0] for t in texts]
     assert [_flaky(t) for t in texts] == want
+
+
+def test_equal_query_vectors_are_searched_once(spark, monkeypatch):
+    """More queries than are shipped, with three vectors between them: no groups are needed."""
+    monkeypatch.setattr(Q, "_meet", None)
+    rnd = np.random.default_rng(4)
+    v, few = rnd.normal(size=(300, 8)), rnd.normal(size=(3, 8))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = [(f"q{i}", i % 3) for i in range(40)] + [("q0", 1), ("both", 0), ("both", 2)]
+    queries = spark.createDataFrame([(q, few[x].tolist()) for q, x in asked], "query_id string, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in Q.topk_inner_product(queries, vectors, 4, None, max_rows=10).collect())
+    want = []
+    for q in {q for q, _ in asked}:
+        best = np.round(np.max([few[x] @ v.T for n, x in asked if n == q], axis=0), Q.SCORE_DIGITS)
+        want += [(q, place + 1, int(i)) for place, i in enumerate(np.lexsort((np.arange(300), -best))[:4])]
+    assert got == sorted(want)
+
+
+def test_hashed_terms_count_words_by_place(spark):
+    from hashlib import md5
+    texts = ["The the cat sat\x1csat", "", None, "ein Straßenfest 　 ÄÖ ﬁn 😀"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plan = Q.batch_embed(rows, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan  # a text is split and counted once, not once a place
+    for r in Q.batch_embed(rows, "t").collect():
+        want = np.zeros(64)
+        for w in (r.t or "").lower().split():
+            want[int(md5(w.encode()).hexdigest()[:6], 16) % 64] += 1
+        assert r.embedding == (want / max(1.0, np.sqrt((want * want).sum()))).tolist()
