@@ -226,11 +226,24 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, pat
     return written(read.select("node", "h").dropDuplicates(["node"]), paths)
 
 
+def covered_pairs(groups: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)``, ``a < b``, among the nodes of ``groups(node, f)``: those whose fingerprints the covering masks link.
+
+    Nodes of one fingerprint hang onto their smallest, and the smallest ones of linked fingerprints meet.
+    """
+    first = groups.where("n > 0").groupBy("f").agg(F.min("node").alias("first"))
+    same = groups.where("n > 0").select("f", "node").join(first, "f").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a != b")
+    linked = near_links(first).join(first.select(F.col("f").alias("a"), F.col("first").alias("x")), "a") \
+        .join(first.select(F.col("f").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionAll(linked)
+
+
 def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, node)`` of every row, a node for each set of shingles, and ``(node, least, root)``: nodes of a group share a root.
     ``paths`` gets the folders that both are read from.
 
-    Candidates agree on a band of least hashes (:data:`BANDS`) and differ in few bits of a sketch; they
+    Candidates come from the covering masks over SimHashes of the shingles (:func:`near_links`), and, as 0.8 is farther
+    than the masks reach, from agreeing on a band of least hashes (:data:`BANDS`) at few differing bits of a sketch; they
     link when the exact share of common shingles, of both sets' hashes, is at least ``similar`` (0.8 or
     more). In a bucket everyone is compared with its first and last member, and
     what these links leave apart is then compared across the parts, all but the largest part with
@@ -240,9 +253,11 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float, paths: lis
     if similar < SIMILAR:
         raise ValueError(f"bands and sketches are made for similarities from {SIMILAR}")
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"), paths)
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x"), simhash(SHINGLE)(F.col(text)).alias("f"))
+                   .select("doc_id", "x.*", "f"), paths)
     signs_ = ["n", *[f"s{i}" for i in range(PARTS)]]
-    groups = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in (*signs_, "bands")]), paths)
+    # texts of one set of shingles may repeat them differently: one of their fingerprints stands for the set
+    groups = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("f").alias("f"), *[F.first(c).alias(c) for c in (*signs_, "bands")]), paths)
     placed = groups.select("node", F.explode("bands").alias("key")).repartition("key")  # one shuffle for the next two steps
     ends = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     met = written(placed.join(ends, "key"), paths)
@@ -260,7 +275,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float, paths: lis
     like = common / (F.col("a_n") + F.col("b_n") - common) >= similar
     to_ends = met.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node != end") \
         .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    tried = written(to_ends.join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"), paths)
+    tried = written(to_ends.unionAll(covered_pairs(groups)).distinct().join(sided(signs, "a"), "a").join(sided(signs, "b"), "b").where(maybe).select("a", "b", "a_n", "b_n"), paths)
     sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("node")))
     first = written(tried.join(sided(sets, "a"), "a").join(sided(sets, "b"), "b").where(like).select("a", "b"), paths)
     parts = written(components(first), paths)

@@ -191,3 +191,18 @@ def test_parts_of_a_group_meet(spark):
     got = {r.doc_id: r.component_id for r in C.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in range(len(rows))}
     assert 12 < len(set(got.values())) < len(rows)
+
+
+def test_near_copies_go_through_the_covering_masks(spark, monkeypatch):
+    """With no band to agree on, copies within two bits of a fingerprint still meet; what is not alike stays apart."""
+    import random
+
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(1500)]
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join(f"v{rnd.randrange(5000)}" for _ in range(1500))]
+    prints = [r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.simhash(C.SHINGLE)("t").alias("f")).collect()]
+    assert bin((prints[0] ^ prints[1]) & (2 ** 64 - 1)).count("1") <= C.RADIUS
+    plain = C.shingle_sketch
+    monkeypatch.setattr(C, "shingle_sketch", lambda: lambda c: plain()(c).withField("bands", C.F.array().cast("array<long>")))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, C.near_copies(docs).collect())) == [(0, 0), (1, 0), (2, 2)]
