@@ -141,3 +141,12 @@ def test_publication_bias_strict(spark):
 def test_i2_counts_twice_at_most(spark):
     g = grade(spark, text="Heterogeneity with I²= 40")
     assert g["inconsistency"] == -2
+
+
+def test_few_needles_need_no_regex(spark):
+    from marginalia.functions import text as T
+    rows = spark.createDataFrame([("a.b",), ("axb",), ("",), (None,)], "t string")
+    few = rows.select(T.contains_any(rows.t, [".", "zz"]).alias("x"))
+    many = rows.select(T.contains_any(rows.t, [".", *[f"z{i}" for i in range(T.FEW_NEEDLES)]]).alias("x"))
+    assert "RLIKE" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.x for r in few.collect()] == [r.x for r in many.collect()] == [True, False, False, None]
