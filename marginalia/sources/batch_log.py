@@ -89,7 +89,8 @@ class BatchLog:
         rows = added.select(*columns).withColumn("_alive", F.lit(True))
         if ended is not None:
             rows = rows.unionByName(ended.select(*t.key).withColumn("_alive", F.lit(False)), allowMissingColumns=True)
-        rows.withColumn("part", self.part(*t.by)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(
+        # a partition goes to as many tasks as its size takes, small ones share a task
+        rows.withColumn("part", self.part(*t.by)).hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(
             f"{self.folder}/{table}/seq={self.last + 1}")
 
     def written(self, table: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from marginalia.operators import incremental
-from marginalia.operators.ingest import items_to_chunks
+from marginalia.operators.ingest import offered_chunks
 from marginalia.sources import schemas as S
 from marginalia.sources.batch_log import PARTS, BatchLog, Table
 
@@ -70,17 +70,22 @@ def upsert_kb(log: BatchLog, items: DataFrame, stream: str = "", batch_id: int =
     """
     if log.holds(stream, batch_id):
         return
-    near = log.live("chunks", log.parts_of(items, "doc_name"))
-    arriving = items_to_chunks(items).select("content_md5").distinct()
-    known = log.live("hashes", log.parts_of(arriving, "content_md5")).join(arriving, "content_md5", "left_semi").join(
-        items.select("doc_name").distinct(), "doc_name", "left_anti")
-    changes, candidates = incremental.upsert_changes(near, items, known=known)
-    columns = near.columns
-    added = incremental.added_rows(candidates, changes).select(*columns).unionByName(incremental.changed_rows(near, changes, only=True))
-    log.write("chunks", added, changes.where(F.col("kind") == "change"))
-    new = log.written("chunks")
-    log.write("hashes", new.where("_alive"), new.where("NOT _alive"))
-    log.commit(stream, batch_id)
+    # parsed once: hashes, places and the texts of what is added all come from here
+    offered = offered_chunks(items).persist()
+    try:
+        near = log.live("chunks", log.parts_of(offered, "doc_name"))
+        arriving = offered.where(F.col("text").isNotNull()).select("content_md5").distinct()
+        known = log.live("hashes", log.parts_of(arriving, "content_md5")).join(arriving, "content_md5", "left_semi").join(
+            offered.select("doc_name").distinct(), "doc_name", "left_anti")
+        changes, candidates = incremental.offered_changes(near, offered, known)
+        columns = near.columns
+        added = incremental.added_rows(candidates, changes).select(*columns).unionByName(incremental.changed_rows(near, changes, only=True))
+        log.write("chunks", added, changes.where(F.col("kind") == "change"))
+        new = log.written("chunks")
+        log.write("hashes", new.where("_alive"), new.where("NOT _alive"))
+        log.commit(stream, batch_id)
+    finally:
+        offered.unpersist()
 
 
 def write_items(items: DataFrame, folder: str) -> None:

@@ -136,3 +136,31 @@ def test_a_task_with_most_events_of_a_batch(spark, tmp_path):
     steps = walk([(kind, at) for _, kind, at in sorted(hot, key=lambda r: (r[2], r[1]))])
     assert len(steps) == 4 and got["hot"] == steps  # the last one by a late event
     assert all(got[f"t{i}"][0] == ("received", "parsing", None) for i in range(30))
+
+
+def test_a_large_partition_is_written_by_many_tasks(spark, tmp_path):
+    """As many as its size takes; small partitions share a task and still get a folder each."""
+    log = B.BatchLog(spark, str(tmp_path / "seen"), [J.SEEN], 2)
+    rows = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("content_md5"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        log.write("seen", rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    log.commit("", 0)
+    files = log.rows("seen").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 4 and log.live("seen").distinct().count() == 20_000
+
+
+def test_a_batch_parses_its_files_once(spark, tmp_path):
+    from marginalia.sources import writers as W
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def parsed(text):
+        seen.add(1)
+        return text
+
+    items = items_of(spark, {"a": PHRASES[:5], "b": PHRASES[5:9]}).withColumn("text", parsed("text"))
+    W.upsert_kb(W.kb_log(spark, str(tmp_path / "kb"), 4), items)
+    assert seen.value == 9 and W.kb_log(spark, str(tmp_path / "kb")).live("chunks").count() == 9
