@@ -150,3 +150,23 @@ def test_few_needles_need_no_regex(spark):
     many = rows.select(T.contains_any(rows.t, [".", *[f"z{i}" for i in range(T.FEW_NEEDLES)]]).alias("x"))
     assert "RLIKE" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert [r.x for r in few.collect()] == [r.x for r in many.collect()] == [True, False, False, None]
+
+
+def test_keywords_are_searched_without_a_regex(spark):
+    rows = spark.createDataFrame([("Safety of the TREATMENT",), ("primary endpoint and safety",), ("none",), ("",), (None,)], "t string")
+    few = rows.select(R.classify_section("t").alias("x"))
+    more = [(f"l{i}", [f"zz{i}y"]) for i in range(R.SEARCHED_SINGLY)]
+    many = rows.select(R.classify("t", R.SECTION_RULES + more, "unknown", R.SECTION_PREFIX).alias("x"))
+    assert "regexp" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.x for r in few.collect()] == [r.x for r in many.collect()] == ["safety", "primary_outcome", "unknown", "unknown", "unknown"]
+    assert rows.select(R.classify("t", [("a", ["TREAT"])], fold_keywords=False).alias("x")).where("x IS NOT NULL").count() == 0
+
+
+def test_words_are_split_without_a_regex(spark):
+    from pyspark.sql import Row
+    df = spark.createDataFrame([Row(t="A" + T.SPACE_CHARS + "b\u200bc" + T.SPACE_CHARS)]).select(T.words("t").alias("x"))
+    assert df.first().x == ["a", "b\u200bc"]
+    assert T.SPACE not in df._jdf.queryExecution().optimizedPlan().toString()
+    # empty pieces are no words
+    assert one(spark, T.is_generation_loop("t"), t=" " * 200 + "loop  " * 31 + "a b c") is True
+    assert one(spark, T.is_generation_loop("t"), t=" " * 200 + "a b c d") is False
