@@ -105,3 +105,9 @@ def test_top_n_is_cut_before_the_shuffle(spark):
     top = K.top_n_per_key(df, ["k"], [F.col("v").desc()], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.v for r in top.collect()) == [994, 995, 996, 997, 998, 999]
+
+
+def test_decisions_build_the_chunks_once(spark):
+    from marginalia.plans import QUERIES
+    plan = QUERIES["apply_merge_decisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "md5(" not in plan  # what is left reads the written chunks
