@@ -135,3 +135,20 @@ def test_every_kind_of_event_has_its_fields(spark, tmp_path):
         availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(r.value for r in W.audit_lines(log).collect())
+
+
+def test_passages_are_embedded_once_for_both_searches(spark, sf):
+    from marginalia.plans import QUERIES
+    plan = QUERIES["search_again"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    read = [line for line in plan.splitlines() if "FileScan" in line and "documents.parquet" in line]
+    assert read and not [line for line in read if "text:string" in line.split("ReadSchema")[1]]  # texts were read before, to be embedded
+
+
+def test_empty_words_at_the_ends_of_texts_do_not_count(spark):
+    import numpy as np
+    from marginalia.operators.retrieval import _word_counts
+    import pyarrow as pa
+    texts = ["  cat sat ", "", " \t ", "cat", "x" * 200 + " cat　"]
+    assert _word_counts(pa.array(texts), 64).sum(axis=1).tolist() == [len(t.split()) for t in texts]
+    assert np.array_equal(_word_counts(pa.array(["cat sat"]), 64), _word_counts(pa.array(["  sat cat"]), 64))
+    assert _word_counts(pa.array([], pa.string()), 64).shape == (0, 64)
