@@ -152,3 +152,10 @@ def test_empty_words_at_the_ends_of_texts_do_not_count(spark):
     assert _word_counts(pa.array(texts), 64).sum(axis=1).tolist() == [len(t.split()) for t in texts]
     assert np.array_equal(_word_counts(pa.array(["cat sat"]), 64), _word_counts(pa.array(["  sat cat"]), 64))
     assert _word_counts(pa.array([], pa.string()), 64).shape == (0, 64)
+
+
+def test_passages_are_embedded_and_read_once_for_topics(spark, sf):
+    from marginalia.plans import QUERIES
+    for name in ("estimate_grade_requests", "estimate_grade_profile"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert sum("FileScan" in line and "documents.parquet" in line for line in plan.splitlines()) == 1  # four before: two searches, embedded
