@@ -120,12 +120,16 @@ def next_state(state: str, event: str) -> tuple[str, str | None]:
 #: How long the end of a task is remembered, so that late events cannot start it anew.
 RETENTION_MS = 7 * 86_400_000
 
+#: Events of one task in one batch that are held in memory: about 1 MB; more go to the state store.
+HELD_EVENTS = 10_000
+
 
 class TaskLife(StatefulProcessor):
-    """One task's life: its state in a value, the events of a batch in a list, both in the state store.
+    """One task's life: its state in a value, the events of a large batch in a list, both in the state store.
 
-    A batch's events come unordered and may be many: they go to the list as they arrive, and each
-    step looks for the first event that changes the state, so memory holds one event at a time.
+    A batch's events come unordered. Up to ``HELD_EVENTS`` are sorted in memory and walked once, since every
+    call to the state store is a round trip. More go to the list as they arrive, and each step looks
+    there for the first event that changes the state, so memory holds few at a time.
     """
 
     def __init__(self, retention_ms: int):
@@ -145,29 +149,43 @@ class TaskLife(StatefulProcessor):
                     best = (at, event)
         return best
 
-    def _remember(self, state: str, since: int, last: int, watermark: int) -> None:
+    def _remember(self, state: str, since: int, last: int, watermark: int, known: bool = True) -> None:
         self.now.update((state, since, last))
-        for due in list(self.handle.listTimers()):
+        for due in list(self.handle.listTimers()) if known else []:  # a new task has none
             self.handle.deleteTimer(due)
         limit = STAGE_TIMEOUT_MS.get(state)
         self.handle.registerTimer(max(since + limit if limit else max(since, last) + self.retention_ms, watermark + 1))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, since, last = self.now.get() or ("received", 0, 0)
+        known = self.now.get()
+        state, since, last = known or ("received", 0, 0)
+        held, stored = set(), False
         for chunk in rows:
-            held = pd.DataFrame({"at": chunk["ts"].astype("datetime64[us]").astype("int64"), "event": chunk["event"].fillna("")}).drop_duplicates()
-            last = max(last, int(held["at"].max()) // 1000)
+            at = chunk["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            last = max(last, int(at.max()) // 1000)
             if state not in TERMINAL:
-                self.waiting.appendList([(int(at), event) for at, event in held.itertuples(index=False)])
+                held.update(zip(at.tolist(), chunk["event"].fillna("").tolist()))
+            if len(held) > HELD_EVENTS:
+                self.waiting.appendList(list(held))
+                held, stored = set(), True
+        if stored and held:
+            self.waiting.appendList(list(held))
+        in_order = iter(sorted(held))
         steps, place = [], (-1 << 63, "")
-        while state not in TERMINAL and (found := self._first(state, since, place)):
-            place, limit = found, STAGE_TIMEOUT_MS.get(state)
+        while state not in TERMINAL:
+            limit = STAGE_TIMEOUT_MS.get(state)
+            found = self._first(state, since, place) if stored else next(
+                (e for e in in_order if next_state(state, e[1])[0] != state or limit and e[0] // 1000 - since > limit), None)
+            if not found:
+                break
+            place = found
             late = limit and place[0] // 1000 - since > limit
             new, reason = ("failed", "timeout") if late else next_state(state, place[1])
             steps.append((key[0], state, new, pd.Timestamp(place[0], unit="us"), reason))
             state, since = new, place[0] // 1000
-        self.waiting.clear()
-        self._remember(state, since, last, timerValues.getCurrentWatermarkInMs())
+        if stored:
+            self.waiting.clear()
+        self._remember(state, since, last, timerValues.getCurrentWatermarkInMs(), known is not None)
         if steps:
             yield pd.DataFrame(steps, columns=TASK_COLUMNS)
 

@@ -121,6 +121,63 @@ def test_lifecycle_equals_a_walk(spark, tmp_path, cuts):
         assert all(s[1:] == ("failed", "timeout") for s in extra)  # silent stages run out of time
 
 
+class Store:
+    """A state store's value, list and timers; counts the round trips."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.calls = None, [], [], []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("get", "listTimers"):
+                return iter(self.timers) if name == "listTimers" else self.value
+            if name == "update":
+                self.value = args[0]
+            elif name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+        return call
+
+
+class Waiting(Store):
+    def appendList(self, rows):
+        self.calls.append("appendList")
+        self.rows += rows
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.rows)
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+
+def test_few_events_of_a_task_are_not_put_into_the_store(monkeypatch):
+    import pandas as pd
+    from types import SimpleNamespace
+    rnd, start, got = random.Random(7), pd.Timestamp("2024-01-01"), []
+    kinds = ["parse_start", "parse_done", "index_start", "graph_ok", "graph_failed", None]
+    tasks = [[(start + pd.Timedelta(seconds=rnd.choice([0, 60, 200, 700]) + 90 * i), rnd.choice(kinds[:i % 6 + 1])) for i in range(12)] for _ in range(60)]
+    for most in (10_000, 3):
+        monkeypatch.setattr(J, "HELD_EVENTS", most)
+        rows, used = [], 0
+        for n, events in enumerate(tasks):
+            life, now, waiting = J.TaskLife(1000), Store(), Waiting()
+            life.handle, life.now, life.waiting = now, now, waiting
+            for part in (events[:8], events[8:]):
+                chunks = [pd.DataFrame(part[i:i + 2], columns=["ts", "event"]) for i in range(0, len(part), 2)]
+                for out in life.handleInputRows((f"t{n}",), iter(chunks), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)):
+                    rows += out.itertuples(index=False, name=None)
+            assert len(now.timers) == 1
+            used += len(waiting.calls)
+        got.append(rows)
+        assert (used == 0) == (most == 10_000)
+    assert got[0] == got[1] and len(got[0]) > 60
+
+
 def test_a_task_that_timed_out_stays_so(spark, tmp_path):
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     got = lifecycle(spark, tmp_path, [[("a", "parse_start", at(0))], [("b", "parse_start", at(60))], [("c", "parse_start", at(61))],
