@@ -159,3 +159,8 @@ def test_passages_are_embedded_and_read_once_for_topics(spark, sf):
     for name in ("estimate_grade_requests", "estimate_grade_profile"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert sum("FileScan" in line and "documents.parquet" in line for line in plan.splitlines()) == 1  # four before: two searches, embedded
+
+
+def test_events_are_dealt_over_the_cores_before_payloads_are_made(spark, sf):
+    from marginalia.plans import QUERIES
+    assert QUERIES["audit_all_events"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
