@@ -218,3 +218,22 @@ def test_hashed_terms_count_words_by_place(spark):
         for w in (r.t or "").lower().split():
             want[int(md5(w.encode()).hexdigest()[:6], 16) % 64] += 1
         assert r.embedding == (want / max(1.0, np.sqrt((want * want).sum()))).tolist()
+
+
+def test_queries_that_meet_groups_are_copied_by_the_root_of_the_tasks(spark):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(90, 4))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    asked = vectors.withColumnRenamed("vec_id", "query_id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 36)
+    try:
+        found = Q._meet(asked, vectors, 2, 4)
+        assert found.count() <= 90 * 6 * 2  # each query meets six groups in one of six parts; 36 groups gave up to 72 hits a query before
+        assert found.groupBy("query_id", "vec_id").count().where("count > 1").count() == 0
+        top = Q.topk_inner_product(asked, vectors, 2, None, max_rows=8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in top.collect()}
+    order = np.argsort(-(v @ v.T), axis=1)
+    assert got == {(q, n + 1): int(order[q, n]) for q in range(90) for n in range(2)}
