@@ -14,16 +14,48 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from marginalia.llm.common import checkpointed, forget, id_filter, query, small_batches, table, written
+from marginalia.llm.common import checkpointed, forget, id_bitmap, id_filter, query, small_batches, table, written
 from marginalia.llm.components import components
 
 BITS, RADIUS = 64, 2
+SEED = 42
 #: Buckets with more fingerprints than this meet through neighbour points instead of pairs; both are exact.
 PAIR_BUCKET = 24
 
 
-def simhash(words_per_shingle: int = 3, seed: int = 42):
+def words_of(text) -> list[bytes]:
+    """Runs without ASCII white space, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def _hashes(words: list[bytes], k: int, hashed) -> Iterator:
+    """Hashes of all runs of ``k`` of the words, in slices of bounded memory."""
+    import numpy as np
+
+    n = len(words) - k + 1
+    for start in range(0, n, 8192):
+        part = words[start:min(start + 8192, n) + k - 1]
+        yield np.array([hashed(b" ".join(s)) for s in zip(*(part[i:] for i in range(k)))], dtype="<u8")
+
+
+def fingerprint_of(words: list[bytes], words_per_shingle: int, seed: int) -> int:
+    """The signed fingerprint of :func:`simhash`."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return 0
+    k = min(words_per_shingle, len(words))
+    counts = np.zeros(64, dtype=np.int64)
+    for hashes in _hashes(words, k, lambda s: xxh64_intdigest(s, seed)):
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(words) - k + 1, bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
+def simhash(words_per_shingle: int = 3, seed: int = SEED):
     """Column function ``text -> long``: bit b is set when over half of the shingle hashes have it.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles keep their repeats; fewer
@@ -32,25 +64,8 @@ def simhash(words_per_shingle: int = 3, seed: int = 42):
     """
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        def one(text) -> int:
-            words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            if not words:
-                return 0
-            k = min(words_per_shingle, len(words))
-            n = len(words) - k + 1
-            counts = np.zeros(64, dtype=np.int64)
-            for start in range(0, n, 8192):
-                part = words[start:min(start + 8192, n) + k - 1]
-                hashes = np.array([xxh64_intdigest(b" ".join(s), seed) for s in zip(*(part[i:] for i in range(k)))], dtype="<u8")
-                counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            bits = np.packbits(2 * counts > n, bitorder="little")
-            return int(bits.view("<i8")[0])
-
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype="int64")
+            yield pd.Series([fingerprint_of(words_of(t), words_per_shingle, seed) for t in texts], dtype="int64")
 
     return fingerprint
 
@@ -140,17 +155,14 @@ BANDS, DEEP = 50, 6
 NEAR_BITS = 48
 
 
-def shingle_set(text):
-    """The distinct hashes of a text's five-word shingles, in order. Words as in :func:`simhash`; fewer words than a
-    shingle are one shingle, and no words none."""
+def shingle_set(words: list[bytes]):
+    """The distinct hashes of a text's five-word shingles, in order. Fewer words than a shingle are one shingle, and no words none."""
     import numpy as np
     from xxhash import xxh3_64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.array([], dtype=np.uint64)
-    k = min(SHINGLE, len(words))
-    return np.array(sorted({xxh3_64_intdigest(b" ".join(s)) for s in zip(*(words[i:] for i in range(k)))}), dtype=np.uint64)
+    return np.unique(np.concatenate(list(_hashes(words, min(SHINGLE, len(words)), xxh3_64_intdigest))))
 
 
 def _set_name(hashes) -> int:
@@ -163,14 +175,16 @@ def _set_name(hashes) -> int:
 
 def shingle_sketch():
     """Column function ``text -> struct``: set of shingles by name (node) and size (n), one bit of 256 least hashes
-    (s0..s3), a key per band."""
+    (s0..s3), a key per band, the SimHash of the shingles (f).
+
+    One function for all, so that a task needs a single Python worker."""
     import random
 
     rnd = random.Random(7)
     turns = [(rnd.getrandbits(64) | 1, rnd.getrandbits(64)) for _ in range(BANDS * DEEP)]
-    names = ["node", "n", *[f"s{i}" for i in range(PARTS)], "bands"]
+    names = ["node", "n", *[f"s{i}" for i in range(PARTS)], "bands", "f"]
 
-    @F.pandas_udf("node long, n int, " + ", ".join(f"s{i} long" for i in range(PARTS)) + ", bands array<long>")
+    @F.pandas_udf("node long, n int, " + ", ".join(f"s{i} long" for i in range(PARTS)) + ", bands array<long>, f long")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
         from xxhash import xxh3_64_intdigest
@@ -178,15 +192,17 @@ def shingle_sketch():
         by, plus = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*turns))
 
         def one(text) -> list:
-            found = shingle_set(text)
+            words = words_of(text)
+            found = shingle_set(words)
             if not len(found):
-                return [0, 0, *[0] * PARTS, []]
+                return [0, 0, *[0] * PARTS, [], 0]
             least = np.full(len(turns), 2 ** 64 - 1, dtype=np.uint64)
             for start in range(0, len(found), 512):
                 np.minimum(least, (by * found[start:start + 512] + plus).min(axis=1), out=least)
             bits = np.packbits(((least[:64 * PARTS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8))
             keys = [xxh3_64_intdigest(least[i:i + DEEP].tobytes(), i) for i in range(0, len(turns), DEEP)]
-            return [_set_name(found), len(found), *bits.view(">i8").tolist(), np.array(keys, dtype=np.uint64).view(np.int64)]
+            return [_set_name(found), len(found), *bits.view(">i8").tolist(), np.array(keys, dtype=np.uint64).view(np.int64),
+                    fingerprint_of(words, SHINGLE, SEED)]
 
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=names)
@@ -199,7 +215,7 @@ def set_names():
     @F.pandas_udf("long")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([_set_name(shingle_set(t)) for t in texts], dtype="int64")
+            yield pd.Series([_set_name(shingle_set(words_of(t))) for t in texts], dtype="int64")
 
     return named
 
@@ -207,22 +223,28 @@ def set_names():
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, paths: list[str]) -> DataFrame:
     """``(node, h)``: 32 bits of each shingle hash of the sets in ``wanted(node, least)``, read again from the documents ``least``.
 
-    A filter of bounded size is shipped first, so that few texts without candidates enter the join.
+    A filter of bounded size is shipped first, so that few texts without candidates enter the join. It is looked up in
+    the worker that hashes the texts: a task with a worker for each would hold twice their memory.
     """
-    import numpy as np
+    place, marked = id_bitmap(wanted, "least")
 
-    maybe = id_filter(wanted, "least")
-
-    @F.pandas_udf("node long, h array<int>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            each = [shingle_set(t) for t in texts]
-            yield pd.DataFrame({"node": [_set_name(x) for x in each], "h": [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in each]})
-
-    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(maybe("_id")).select("_id", sets("_text").alias("x"))
+    def sets(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = batch.filter(pa.array(marked(batch.column("_place").to_numpy())))
+            each = [shingle_set(words_of(t)) for t in kept.column("_text").to_pylist()]
+            low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in each]
+            ends = pa.array(np.cumsum([0, *map(len, low)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.array([], dtype=np.int32), *low])))
+            yield pa.RecordBatch.from_arrays([kept.column("_id"), pa.array([_set_name(x) for x in each], pa.int64()), lists], names=["_id", "node", "h"])
+
+    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), place(doc_id).alias("_place"))
+    some = read.mapInArrow(sets, read.select("_id").schema.add("node", "long").add("h", ArrayType(IntegerType())))
     asked = wanted.select(F.col("node").alias("_node"), "least")
     # an id may repeat with other texts, so the set's name is compared too
-    read = some.select("_id", "x.*").join(asked, F.col("_id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("_node")), "left_semi")
+    read = some.join(asked, F.col("_id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("_node")), "left_semi")
     return written(read.select("node", "h").dropDuplicates(["node"]), paths)
 
 
@@ -253,8 +275,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, similar: float, paths: lis
     if similar < SIMILAR:
         raise ValueError(f"bands and sketches are made for similarities from {SIMILAR}")
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x"), simhash(SHINGLE)(F.col(text)).alias("f"))
-                   .select("doc_id", "x.*", "f"), paths)
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), shingle_sketch()(F.col(text)).alias("x")).select("doc_id", "x.*"), paths)
     signs_ = ["n", *[f"s{i}" for i in range(PARTS)]]
     # texts of one set of shingles may repeat them differently: one of their fingerprints stands for the set
     groups = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("f").alias("f"), *[F.first(c).alias(c) for c in (*signs_, "bands")]), paths)
@@ -326,9 +347,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     plain = docs.where(~maybe("doc_id"))
     asked = docs.where(maybe("doc_id"))
     plain = plain.unionAll(asked.join(doubtful, same(asked, doubtful), "left_anti"))
-    unsure = asked.join(special, same(asked, special), "left_semi").withColumn(name, set_names()("text"))
+    # dealt out first, so that no task holds the filter's worker and the names' at a time
+    unsure = asked.join(special, same(asked, special), "left_semi").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    unsure = unsure.withColumn(name, set_names()("text"))
     meant = kept.join(special, same(kept, special), "left_semi").select(F.col("doc_id").alias(node), F.col("node").alias(place))
-    found = unsure.join(meant, unsure["doc_id"].eqNullSafe(meant[node]) & (unsure[name] == meant[place]), "left_semi")
+    # null-safe, else Spark asks each name whether it is null, in a worker of its own before the texts are dealt out
+    found = unsure.join(meant, unsure["doc_id"].eqNullSafe(meant[node]) & unsure[name].eqNullSafe(meant[place]), "left_semi")
     one = found.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", name).orderBy("text"))).where(F.col(place) == 1)
     return plain.select(docs.columns).unionAll(one.select(docs.columns))
 

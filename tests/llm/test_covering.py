@@ -206,3 +206,32 @@ def test_near_copies_go_through_the_covering_masks(spark, monkeypatch):
     monkeypatch.setattr(C, "shingle_sketch", lambda: lambda c: plain()(c).withField("bands", C.F.array().cast("array<long>")))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(map(tuple, C.near_copies(docs).collect())) == [(0, 0), (1, 0), (2, 2)]
+
+
+def python_workers(plan):
+    """The most Python workers that a task of the plan holds at a time; those of the plan's last stage."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return python_workers(plan.initialPlan())
+    below = [python_workers(plan.children().apply(i)) for i in range(plan.children().size())]
+    most, here = max((m for m, _ in below), default=0), [n for _, n in below]
+    own = (max if kind == "Union" else sum)(here or [0]) + any(x in kind for x in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas"))
+    return (max(most, own), 0) if "Exchange" in kind else (max(most, own), own)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_a_task_of_keep_one_holds_one_python_worker(spark, monkeypatch, repeated):
+    """Each worker beside it is kept by the executor to the end and takes its memory."""
+    plans, plain = [], C.written
+
+    def noted(df, *paths):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return plain(df, *paths)
+
+    monkeypatch.setattr(C, "written", noted)
+    rnd = random.Random(4)
+    rows = [(i // 2 if repeated else i, " ".join(f"w{rnd.randrange(900)}" for _ in range(40))) for i in range(40)]
+    kept = C.keep_one(spark.createDataFrame(rows + [(100 + i, t) for i, t in rows[:9]], "doc_id long, text string"))
+    assert kept.count() == 40
+    found = [python_workers(p)[0] for p in (*plans, kept._jdf.queryExecution().executedPlan())]
+    assert max(found) == 1 and found.count(1) >= 4
