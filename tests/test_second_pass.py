@@ -57,6 +57,20 @@ def test_documents_are_graded_by_what_their_names_find(spark):
     assert got == {"heart failure": (4, True), "  ": (2, False)}
 
 
+def test_documents_are_graded_by_whole_passages(spark):
+    vectors, chunks = stored(spark)
+    late = "x" * 900 + " no blinding, i2=75"
+    longer = chunks.withColumn("text", F.concat("text", F.lit(late)))
+    # two names and two designs share what they find, one name comes twice, one without a design, one is no name
+    docs = spark.createDataFrame([("heart failure", "rct"), ("heart failure", "rct"), ("heart failure", "cohort"), ("heart failure heart failure", None),
+                                  ("  ", "cohort"), (None, "rct")], "doc_name string, evidence_type string")
+    encode = lambda df, text: Q.batch_embed(df, text).select("query_id", "embedding")
+    got = sorted(((r.doc_id or "", r.initial_level, r.inconsistency) for r in E.grade_corpus(docs, encode, vectors, longer).collect()))
+    assert got == [("", 4, 0), ("  ", 2, 0), ("heart failure", 2, -1), ("heart failure", 4, -1), ("heart failure", 4, -1), ("heart failure heart failure", 2, -1)]
+    cut = {r.doc_id: r.inconsistency for r in E.grade_corpus(docs, encode, vectors, longer, keep=800).collect()}
+    assert set(cut.values()) == {0}
+
+
 def test_only_weak_answers_are_searched_again(spark):
     vectors, chunks = stored(spark)
     asked = spark.createDataFrame([(1, "liver transplant case of a child with more words ?"), (2, "heart failure"), (3, "heart valve guideline and so on"),
