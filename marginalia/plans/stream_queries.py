@@ -12,7 +12,7 @@ from marginalia.operators import model_map as MM
 from marginalia.plans import inputs as I
 from marginalia.plans.chunk_queries import NUMBER, STATE, new_items, upserted, versions
 from marginalia.plans.registry import query
-from marginalia.session import ensure_checkpoint_dir
+from marginalia.session import ensure_checkpoint_dir, forget, free_shuffles
 from marginalia.sources.readers import load_kb
 from marginalia.streaming import jobs as J
 
@@ -148,11 +148,14 @@ def stream_ingest(spark, sf):
 
 
 def _in_waves(spark: SparkSession, waves: list[DataFrame], run) -> None:
-    """Each wave of rows arrives as files of its own, then ``run(stream)`` works up what is new."""
+    """Each wave of rows arrives as files of its own, then ``run(stream)`` works up what is new; its files go when it is done."""
     folder = _scratch(spark)
     for wave in waves:
-        wave.write.mode("append").parquet(folder)
+        wave.write.mode("append").option("compression", "zstd").parquet(folder)
+        free_shuffles(spark)
         run(spark.readStream.schema(wave.schema).parquet(folder)).awaitTermination()
+        forget(spark, [folder])
+        free_shuffles(spark)
 
 
 def _content_lists(items: DataFrame) -> DataFrame:

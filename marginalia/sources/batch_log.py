@@ -82,16 +82,16 @@ class BatchLog:
             alive = alive.join(ended, reduce(Column.__and__, same, F.col("_ended") > F.col("seq")), "left_anti")
         return alive.drop("seq", "part")
 
-    def write(self, table: str, added: DataFrame, ended: DataFrame | None = None) -> None:
-        """Write what the next batch adds to and ends in a table; a try that was not committed is overwritten."""
+    def write(self, table: str, added: DataFrame, ended: DataFrame | None = None, more: bool = False) -> None:
+        """Write what the next batch adds to and ends in a table, or more of it; a try that was not committed is overwritten."""
         t = self.tables[table]
         columns = self.spark.createDataFrame([], t.schema).columns
         rows = added.select(*columns).withColumn("_alive", F.lit(True))
         if ended is not None:
             rows = rows.unionByName(ended.select(*t.key).withColumn("_alive", F.lit(False)), allowMissingColumns=True)
         # a partition goes to as many tasks as its size takes, small ones share a task
-        rows.withColumn("part", self.part(*t.by)).hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(
-            f"{self.folder}/{table}/seq={self.last + 1}")
+        rows.withColumn("part", self.part(*t.by)).hint("rebalance", F.col("part")).write.mode("append" if more else "overwrite").option(
+            "compression", "zstd").partitionBy("part").parquet(f"{self.folder}/{table}/seq={self.last + 1}")
 
     def written(self, table: str) -> DataFrame:
         """What ``write`` has written of a table for the next batch."""
@@ -110,7 +110,7 @@ class BatchLog:
         t = self.tables[table]
         spread = F.pmod(F.xxhash64(*t.key, F.lit(1)), F.lit(SPREAD))
         rows.withColumns({"part": self.part(*t.by), "_spread": spread}).repartition("part", "_spread").drop("_spread").write.mode(
-            "overwrite").partitionBy("part").parquet(f"{self.folder}/{table}_base/upto={upto}")
+            "overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{self.folder}/{table}_base/upto={upto}")
 
     def compact(self) -> None:
         """Write the live rows of all tables as a new base, then point readers to it; batches of meanwhile stay on top."""

@@ -8,6 +8,7 @@ from pyspark.sql import types as ST
 
 from marginalia.operators import incremental
 from marginalia.operators.ingest import offered_chunks
+from marginalia.session import folder_bytes, forget, free_shuffles, written
 from marginalia.sources import schemas as S
 from marginalia.sources.batch_log import PARTS, BatchLog, Table
 
@@ -47,6 +48,9 @@ AUDIT_DEFAULTS = {("parse_start", "engine"): '"mineru25pro"', ("agent_step", "pr
 PLACEHOLDER = "[解析失败] "
 # -------------------------------------------------------------------------------------------
 
+#: A batch of more bytes, as its parsed items lie on disk, is written in slices of about as many.
+SLICE_BYTES = 16_000_000
+
 
 def kb_log(spark: SparkSession, folder: str, parts: int = PARTS) -> BatchLog:
     """The stored knowledge base: chunks by document, and an index of their hashes by hash."""
@@ -70,22 +74,34 @@ def upsert_kb(log: BatchLog, items: DataFrame, stream: str = "", batch_id: int =
     """
     if log.holds(stream, batch_id):
         return
-    # parsed once: hashes, places and the texts of what is added all come from here
-    offered = offered_chunks(items).persist()
+    spark, paths = items.sparkSession, []
     try:
-        near = log.live("chunks", log.parts_of(offered, "doc_name"))
+        # parsed once: hashes, places and the texts of what is added all come from here
+        offered = written(offered_chunks(items), paths)
+        parts = log.parts_of(offered, "doc_name")
+        near = log.live("chunks", parts)
         arriving = offered.where(F.col("text").isNotNull()).select("content_md5").distinct()
         known = log.live("hashes", log.parts_of(arriving, "content_md5")).join(arriving, "content_md5", "left_semi").join(
             offered.select("doc_name").distinct(), "doc_name", "left_anti")
-        changes, candidates = incremental.offered_changes(near, offered, known)
-        columns = near.columns
-        added = incremental.added_rows(candidates, changes).select(*columns).unionByName(incremental.changed_rows(near, changes, only=True))
-        log.write("chunks", added, changes.where(F.col("kind") == "change"))
+        changes, candidates = incremental.offered_changes(near, offered, known, paths)
+        free_shuffles(spark)
+        ended = changes.where(F.col("kind") == "change")
+        moved = not ended.where(F.col("stays").isNotNull()).isEmpty()  # else no stored text is read
+        # texts of a large batch are shuffled a slice of the partitions at a time, and what a slice shuffled goes before the next
+        slices = max(1, min(log.parts, folder_bytes(spark, paths[0]) // SLICE_BYTES))
+        for n in range(slices):
+            mine = F.pmod(log.part("doc_name"), F.lit(slices)) == n
+            added = incremental.added_rows(candidates.where(mine), changes.where(mine)).select(*near.columns)
+            if moved:
+                stored = log.live("chunks", [p for p in parts if p % slices == n])
+                added = added.unionByName(incremental.changed_rows(stored, ended.where(mine), only=True))
+            log.write("chunks", added, ended.where(mine), more=n > 0)
+            free_shuffles(spark)
         new = log.written("chunks")
         log.write("hashes", new.where("_alive"), new.where("NOT _alive"))
         log.commit(stream, batch_id)
     finally:
-        offered.unpersist()
+        forget(spark, paths)
 
 
 def write_items(items: DataFrame, folder: str) -> None:

@@ -73,6 +73,25 @@ def test_a_killed_batch_shows_nothing_and_is_done_again(spark, tmp_path, monkeyp
     assert W.kb_log(spark, folder).base == -1 and {t for _, _, t in stored(spark, folder)} == set(PHRASES[2:6])
 
 
+def test_a_batch_leaves_only_its_rows_on_disk(spark, tmp_path, monkeypatch):
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    held = lambda: {p.name for p in shared.glob("written-*")}
+    first = {f"d{i}": [f"document {i} line {j} of a text that is long enough" for j in range(12)] for i in range(9)}
+    # some documents move their lines, some lose some, some come anew
+    second = {d: [f"a new first line of document {d}", *t] if i % 3 == 0 else t[:5] if i % 3 == 1 else t for i, (d, t) in enumerate(first.items())}
+    second |= {"z1": PHRASES[:6], "z2": PHRASES[3:9]}
+    rows = {}
+    for name, at_once in (("whole", 1 << 40), ("sliced", 1)):
+        monkeypatch.setattr(W, "SLICE_BYTES", at_once, raising=False)
+        before = held()
+        for batch, docs in enumerate((first, second)):
+            W.upsert_kb(W.kb_log(spark, str(tmp_path / name), 4), items_of(spark, docs), "s", batch)
+        assert held() == before  # what a batch wrote for itself is gone
+        rows[name] = stored(spark, str(tmp_path / name))
+    assert rows["whole"] == rows["sliced"] and len(rows["whole"]) == 3 * 13 + 3 * 5 + 3 * 12 + len(PHRASES[:9])
+    assert all(p.name.endswith(".zstd.parquet") for p in (tmp_path / "whole" / "chunks").rglob("*.parquet"))
+
+
 def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
     folder = str(tmp_path / "kb")
     many = {f"d{i}": [f"document {i} line {j} " + " ".join(str(i * 7919 + j * 101 + k * k) for k in range(60)) for j in range(40)] for i in range(40)}
