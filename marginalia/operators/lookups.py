@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from marginalia.functions import text as T
 from marginalia.functions.rules import upload_outcome
@@ -33,10 +39,123 @@ SHIPPED = 8_000_000
 #: Rules that every text meets first in ``classify_by_table``.
 EARLY_RULES = 20_000
 _BLOCK = 128
+#: Characters of texts searched at once in a task; bits of the filter of terms, as powers of two.
+CHARS, FILTER_BITS = 1 << 17, (16, 27)
+
+
+def _joined(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """Texts in one string, their lengths, and its code points."""
+    whole = "".join(texts)
+    return whole, np.array([len(t) for t in texts], np.int64), np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _hashes(points: np.ndarray, lengths: list[int], bits: int):
+    """``(n, hashes, places)`` for each length: of the pieces of ``n`` characters that begin at each character, and where the filter keeps them."""
+    h = np.zeros(len(points), np.uint64)
+    for n in range(1, min(lengths[-1], len(points)) + 1):
+        h = h[:len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1:]
+        if n in lengths:
+            z = (h ^ (h >> np.uint64(32)) ^ np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+            z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            yield n, z, (z >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _filter(terms: DataFrame, lengths: list[int], column: str) -> tuple[int, object]:
+    """``(bits, shipped)``: a bitmap of bounded size with a bit set for each term, however many there are."""
+    low, high = FILTER_BITS
+    bits = min(high, max(low, math.ceil(math.log2(64 * terms.count() + 1))))
+
+    @F.pandas_udf("long")
+    def place(some: pd.Series) -> pd.Series:
+        _, sizes, points = _joined(some.tolist())
+        starts, out = np.cumsum(sizes) - sizes, np.zeros(len(some), np.int64)
+        for n, _, places in _hashes(points, lengths, bits):
+            out[sizes == n] = places[starts[sizes == n]]
+        return pd.Series(out)
+
+    at = (place(column) + 1).alias("p")
+    rows = terms.select(at).groupBy(F.expr("bitmap_bucket_number(p)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("set"))
+    whole = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+    for r in rows.collect():  # a row of 4 KB per 32768 bits
+        whole[(r.block - 1) * 4096:r.block * 4096] = np.frombuffer(r.set, np.uint8)
+    return bits, terms.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def _distinct(at: np.ndarray, n: int, hashes: np.ndarray, row: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """One place each of the different pieces that begin at some places of a row; hashes bring equal ones together, characters decide."""
+    key = hashes[at] + row[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(key)
+    at, key = at[order], key[order]
+    new = np.append(True, key[1:] != key[:-1])[:len(at)]
+    first = at[new][np.cumsum(new) - 1]
+    same = row[at] == row[first]
+    for j in range(n):
+        same &= points[at + j] == points[first + j]
+    if same.all():
+        return at[new]
+    return np.array(list({(int(row[i]), points[i:i + n].tobytes()): i for i in at.tolist()}.values()), np.int64)
+
+
+def _pieces_kept(texts: list[str], lengths: list[int], bits: int, marks: np.ndarray) -> pa.ListArray:
+    """Of each text the distinct pieces of these lengths that the filter lets through."""
+    whole, sizes, points = _joined(texts)
+    row, room = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+    starts, wide = [], []
+    for n, hashes, places in _hashes(points, lengths, bits):
+        at = np.flatnonzero((marks[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool) & (room[:len(places)] >= n))
+        starts.append(_distinct(at, n, hashes, row, points))
+        wide.append(np.full(len(starts[-1]), n))
+    at, n = np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(wide or [np.zeros(0, np.int64)])
+    order = np.argsort(row[at], kind="stable")
+    at, n = at[order], n[order]
+    # the pieces as one run of bytes: where each character begins, and so each piece
+    begins = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+    low, long = begins[at], begins[at + n] - begins[at]
+    ends = np.concatenate([[0], np.cumsum(long)])
+    raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)[np.repeat(low - ends[:-1], long) + np.arange(ends[-1])]
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(texts)))]), pa.int32()), pieces)
+
+
+def _pieces(texts: DataFrame, columns: list[str], text: str, terms: DataFrame, lengths: list[int], out: str) -> DataFrame:
+    """``(*columns, out)``: a row's distinct pieces of these lengths that are terms, and a few that are not; to be joined with the terms.
+
+    All pieces of all texts are far more than those that meet a term, so a filter of the terms is
+    shipped to the texts, and only what it lets through becomes rows.
+    """
+    bits, shipped = _filter(terms, lengths, out)
+
+    def search(batches):
+        marks = np.frombuffer(shipped.value, np.uint8)
+
+        def rows(batch, places, found):
+            arrays = [batch.column(j).take(pa.array(places, pa.int64())) for j in range(len(columns))]
+            return pa.RecordBatch.from_arrays([*arrays, found], names=[*columns, "_pieces"])
+
+        for batch in batches:
+            held, places, size = [], [], 0
+            for i, t in enumerate(batch.column(len(columns)).to_pylist()):
+                if t and len(t) > CHARS:
+                    cuts = [t[a:a + CHARS + GRAM - 1] for a in range(0, len(t), CHARS)]
+                    found = pa.concat_arrays([_pieces_kept([c], lengths, bits, marks).flatten() for c in cuts]).unique()
+                    yield rows(batch, [i], pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found))
+                elif t:
+                    held.append(t)
+                    places.append(i)
+                    size += len(t)
+                if size > CHARS:
+                    yield rows(batch, places, _pieces_kept(held, lengths, bits, marks))
+                    held, places, size = [], [], 0
+            if held:
+                yield rows(batch, places, _pieces_kept(held, lengths, bits, marks))
+
+    read = texts.select(*columns, F.col(text).alias("_searched"))
+    schema = ST.StructType([*read.schema.fields[:-1], ST.StructField("_pieces", ST.ArrayType(ST.StringType()))])
+    return read.mapInArrow(search, schema).select(*columns, F.explode("_pieces").alias(out))
 
 
 def _grams(text: Column, n: int) -> Column:
-    """All distinct pieces of ``n`` characters; none of a shorter text. Cut from blocks, as finding a place counts from the start."""
+    """All distinct pieces of ``n`` characters of a term; none of a shorter one. Cut from blocks, as finding a place counts from the start."""
     def cut(blocks: Column) -> Column:
         wide = F.transform(blocks, lambda b, i: F.concat(b, F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(n - 1))))
         return F.flatten(F.transform(wide, lambda w: F.transform(
@@ -67,14 +186,13 @@ def _met(texts: DataFrame, terms: DataFrame, keys: list[str], keep: list[str], t
     columns = [*keys, *keep, *terms.columns]
     out = None
     if short := [n for n in lengths if n <= GRAM]:
-        pieces = F.concat(*[_grams(F.col(text), n) for n in short])
-        out = (texts.select(*keys, *keep, F.explode(pieces).alias("_term"))
-               .join(_sided(terms.where(F.length("_term") <= GRAM), "_term"), "_term").select(columns))
+        few = terms.where(F.length("_term") <= GRAM)
+        out = _pieces(texts, [*keys, *keep], text, few, short, "_term").join(_sided(few, "_term"), "_term").select(columns)
     if lengths and lengths[-1] > GRAM:
         long = terms.where(F.length("_term") > GRAM)
         wanted = written(long.select("_term").distinct().select("_term", F.explode(_grams(F.col("_term"), GRAM)).alias("_gram")))
-        pieces = texts.select(*keys, F.explode(_grams(F.col(text), GRAM)).alias("_gram"))
-        near = written(pieces.join(_sided(wanted.select("_gram").distinct(), "_gram"), "_gram", "left_semi"))
+        grams = written(wanted.select("_gram").distinct())
+        near = written(_pieces(texts, keys, text, grams, [GRAM], "_gram").join(_sided(grams, "_gram"), "_gram", "left_semi"))
         seen = near.groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
         keyed = written(wanted.join(seen.hint("merge"), "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_rows", "_gram")).alias("_gram")))
         offered = near.join(_sided(keyed, "_term"), "_gram").drop("_gram")
@@ -261,26 +379,27 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, search: str = "", group
             .join(ids, F.col("target") == F.col("_id"), "left_semi"))
 
 
-def topic_evidence(evidence: DataFrame, topics: list[str] | DataFrame) -> DataFrame:
+def topic_evidence(evidence: DataFrame, topics: list[str] | DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Documents that mention a topic in their PICO parts or findings, one row per match.
 
     ``evidence(doc_name, doc_title, evidence_level, pico map, findings array)``, a row per document.
     A short list of topics is tested inside the row, so only matches are ever emitted; longer lists,
     and topics given as rows ``(topic)``, are looked up by pieces of the documents, see ``_met``.
-    The empty topic is in every document.
+    The empty topic is in every document. ``keep`` names the columns to carry besides ``doc_name``, else all are.
     """
+    carried = evidence.columns if keep is None else ["doc_name", *keep]
     hay = F.lower(F.concat(F.to_json("pico"), F.lit("\n"), F.array_join("findings", " ")))
     if not isinstance(topics, DataFrame) and len(topics) <= MAX_LITERAL_TERMS:
         terms = F.array(*[F.lit(t) for t in topics]).cast("array<string>")
         found = F.explode(F.filter(terms, lambda t: F.contains(F.col("_hay"), F.lower(t))))
-        return evidence.withColumn("_hay", hay).withColumn("topic", found).drop("_hay")
+        return evidence.withColumn("_hay", hay).withColumn("topic", found).select(*carried, "topic")
     if not isinstance(topics, DataFrame):
         topics = evidence.sparkSession.createDataFrame([(t,) for t in topics], "topic string")
     asked = topics.select("topic", F.lower("topic").alias("_term"))
-    rest = [c for c in evidence.columns if c != "doc_name"]
+    rest = [c for c in carried if c != "doc_name"]
     met = _met(evidence.withColumn("_hay", hay), asked, ["doc_name"], rest, "_hay")
     whole = evidence.withColumn("_term", F.lit("")).join(asked.where(F.col("_term") == ""), "_term")
-    return met.select(*evidence.columns, "topic").unionByName(whole.select(*evidence.columns, "topic"))
+    return met.select(*carried, "topic").unionByName(whole.select(*carried, "topic"))
 
 
 def best_topic_evidence(matches: DataFrame) -> DataFrame:

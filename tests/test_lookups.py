@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.operators import lookups as L
@@ -107,3 +108,29 @@ def test_early_rules_decide_alone(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "some word"), (2, "word last"), (3, "last"), (4, "nil"), (5, "other some"), (6, None)], "id int, text string")
     got = L.classify_by_table(texts, rules, ["id"], default="-")
     assert sorted((r.id, r.label) for r in got.collect()) == [(1, "b"), (2, "e"), (3, "z"), (4, "-"), (5, "a"), (6, "-")]
+
+
+def test_only_pieces_that_may_be_terms_become_rows(spark, monkeypatch):
+    rnd = random.Random(4)
+    letters = "abc é治\U0001F600"
+    texts = {i: "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 3, 40, 400]))) for i in range(60)} | {60: None, 61: "ab" * 900}
+    monkeypatch.setattr(L, "CHARS", 500, raising=False)  # several runs of a batch, and a text longer than a run
+    words = {t[i:i + n] for t in texts.values() if t for n in (1, 2, 5, 16, 20) for i in [rnd.randrange(len(t))] if i + n <= len(t)}
+    words |= {"nowhere", "not in any of the texts", "", "ab" * 8, "ab" * 250 + "a"}
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in texts.items()] * 2, "id int, text string, note string")
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    got = L.match_terms(rows.distinct(), terms, ["id"]).collect()
+    want = {(i, w) for i, t in texts.items() for w in words if t and w and w in t}
+    assert {(r.id, r.term) for r in got} == want and len(got) == len(want)
+    # what a text has besides is never made into rows: few of its pieces come out of the search
+    long = spark.createDataFrame([(1, "".join(chr(97 + rnd.randrange(26)) for _ in range(5000)))], "id int, text string")
+    few = spark.createDataFrame([("qzj",), ("never",)], "term string")
+    offered = L._pieces(long, ["id"], "text", few, [3, 5], "term").count()
+    assert offered < 100
+
+
+def test_pieces_are_told_apart_by_their_characters():
+    whole, sizes, points = L._joined(["abab", "abcd"])
+    row = np.repeat([0, 1], sizes)
+    one = np.zeros(len(points), np.uint64)  # hashes that are all the same
+    assert sorted(whole[p:p + 2] for p in L._distinct(np.array([0, 1, 2, 4, 5, 6]), 2, one, row, points)) == ["ab", "ab", "ba", "bc", "cd"]
